@@ -113,6 +113,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     none = placed.filter("size = 0").select(*kept, F.lit(0).cast("long").alias("taken"))
     pieces = placed.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(a div {block_words}, (a + size - 1) div {block_words})")))
     pieces = pieces.select("skey", "a", *kept, "block", F.expr(f"greatest(a - block * {block_words}, 0)").alias("from_"), F.expr(f"least(a + size - block * {block_words}, {block_words})").alias("to_"))
-    taken = pieces.join(slots.select("skey", "block", "upto"), ["skey", "block"], "left").withColumn("got", F.coalesce(F.greatest(F.lit(0), F.least("to_", "upto") - F.col("from_")), F.lit(0)))
+    taken = pieces.join(slots.select("skey", "block", "upto"), ["skey", "block"], "left").withColumn("got", F.when(F.col("upto").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least("to_", "upto") - F.col("from_"))))
     some = taken.groupBy("skey", "a", *kept).agg(F.sum("got").cast("long").alias("taken"))
     return some.select(*kept, "taken").unionByName(none).select("doc_id", "size", "source_size", "target", "taken", "source", *extra)
