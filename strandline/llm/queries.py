@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import mixing, secrets, sharding
+from strandline.llm import mixing, neardup_text, neardup_vec, secrets, sharding
 from strandline.llm.base import table
 
 
@@ -23,10 +23,20 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vec.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_text.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_source_mix": op2_source_mix,
     "op3_histogram_shards": op3_histogram_shards,
+    "op5_cross_polytope": op5_cross_polytope,
+    "op9_super_minhash": op9_super_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
