@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,9 @@ from pyspark.sql import functions as F
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 #: Characters of the texts that are handled at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 #: Regions of a segmentation that are opened at first; the rest is one region until it wins.
-OPEN = 64
+OPEN = 48
 SPACE, LITERAL = "▁", "\U0010ffff"
 UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
@@ -44,10 +46,10 @@ def mix64(x):
     return x ^ (x >> np.uint64(31))
 
 
-def uniform(key, counter) -> np.ndarray:
-    """In (0, 1)."""
+def uniform(key, counter: np.ndarray | np.uint64) -> np.ndarray:
+    """In (0, 1), from mixed keys and counters."""
     with np.errstate(over="ignore"):
-        return ((mix64(key + mix64(counter.astype(np.uint64) * _STEP + np.uint64(1))) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+        return ((mix64(key + (np.uint64(1) + counter) * _STEP) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 class Vocabulary:
@@ -80,11 +82,29 @@ class Vocabulary:
                 h = self.step(h, ord(ch))
                 prefixes.setdefault(k + 1, {}).setdefault(h, (-1, 0.0))
             prefixes[len(pieces[i])][h] = (i, w)
-        #: By length: sorted prefix hashes, the piece that ends there or -1, its weight.
+        #: By length: sorted prefix hashes, the piece that ends there or -1, its weight, and where hashes with given leading 16 bits begin.
         self.tables = []
         for k in range(1, max(prefixes) + 1):
             items = sorted(prefixes[k].items())
-            self.tables.append((np.array([h for h, _ in items], np.uint64), np.array([v[0] for _, v in items], np.int32), np.array([v[1] for _, v in items])))
+            hashes = np.array([h for h, _ in items], np.uint64)
+            begin = np.searchsorted(hashes >> np.uint64(48), np.arange(65537, dtype=np.uint64)).astype(np.int32)
+            self.tables.append((hashes, np.array([v[0] for _, v in items], np.int32), np.array([v[1] for _, v in items]), begin))
+
+    @staticmethod
+    def find(hashes: np.ndarray, begin: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The place of each h in `hashes`, or -1."""
+        lead = (h >> np.uint64(48)).astype(np.int32)
+        i, end = begin[lead], begin[lead + 1]
+        out = np.full(len(h), -1, np.int32)
+        open_ = np.flatnonzero(i < end)
+        while len(open_):
+            at = i[open_]
+            hit = hashes[at] == h[open_]
+            out[open_[hit]] = at[hit]
+            open_ = open_[~hit]
+            i[open_] += 1
+            open_ = open_[i[open_] < end[open_]]
+        return out
 
     @staticmethod
     def step(h: int, code: int) -> int:
@@ -105,75 +125,82 @@ class Lattice:
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         ends = np.cumsum(lengths)
         self.first = ends - lengths
-        end_of = np.repeat(ends, lengths)
         n = len(code)
+        left = np.repeat(ends, lengths) - np.arange(n)
         at, h = np.arange(n), np.zeros(n, np.uint64)
+        alone = np.ones(n, bool)
         starts, sizes, ids, weights = [], [], [], []
         with np.errstate(over="ignore"):
-            for k, (hashes, piece, weight) in enumerate(vocabulary.tables, 1):
-                inside = at + k <= end_of[at]
-                at, h = at[inside], h[inside]
+            for k, (hashes, piece, weight, begin) in enumerate(vocabulary.tables, 1):
+                if k > 1:
+                    inside = left[at] >= k
+                    at, h = at[inside], h[inside]
                 if not len(at):
                     break
-                h = (h ^ code[at + k - 1]) * _STEP
+                h = (h ^ code[at + (k - 1)]) * _STEP
                 h ^= h >> np.uint64(29)
-                i = np.searchsorted(hashes, h)
-                i[i == len(hashes)] = 0
-                known = hashes[i] == h
-                if k == 1:
-                    alone = np.ones(n, bool)
-                    alone[at[known & (piece[i] >= 0)]] = False
+                i = vocabulary.find(hashes, begin, h)
+                known = i >= 0
                 at, h, i = at[known], h[known], i[known]
-                whole = piece[i] >= 0
-                starts.append(at[whole])
-                sizes.append(np.full(len(starts[-1]), k, np.int64))
-                ids.append(piece[i[whole]].astype(np.int64))
-                weights.append(weight[i[whole]])
-        spelled = np.flatnonzero(alone) if n else np.empty(0, np.int64)
-        char = code[spelled].astype(np.int64)
+                ends_here = piece[i] >= 0
+                start, i = at[ends_here], i[ends_here]
+                if k == 1:
+                    alone[start] = False
+                starts.append(start)
+                sizes.append(np.full(len(start), k, np.int64))
+                ids.append(piece[i])
+                weights.append(weight[i])
+        spelled = np.flatnonzero(alone)
+        char = code[spelled].astype(np.int32)
         char[char == ord(LITERAL)] = ord(SPACE)
         starts.append(spelled)
         sizes.append(np.ones(len(spelled), np.int64))
         ids.append(-1 - char)
         weights.append(vocabulary.byte_weight * (1.0 + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF)))
-        start, size, self.piece, weight = (np.concatenate(x) for x in (starts, sizes, ids, weights))
-        left = end_of[start] - start if n else start
-        # Backward sums, by characters left in the unit.
-        order = np.lexsort((size, start, left))
-        start, size, weight, left, self.piece = start[order], size[order], weight[order], left[order], self.piece[order]
+        start, size, piece, weight = (np.concatenate(x) for x in (starts, sizes, ids, weights))
+        # By characters left in the unit, for the backward sums; in a node by falling length, since long pieces are the likely ones.
+        order = np.argsort((left[start] << 40) + (start << 8) + (255 - size))
+        start, size, weight, self.piece = start[order], size[order], weight[order], piece[order]
         after = start + size
-        done = after == end_of[start] if n else after.astype(bool)
+        done = left[start] == size
         beta = np.zeros(n + 1)
-        score = np.empty(len(start))
-        head = np.flatnonzero(np.r_[True, start[1:] != start[:-1]]) if len(start) else np.empty(0, np.int64)
-        node_left = left[head]
+        head = np.flatnonzero(np.concatenate((np.ones(1, bool), start[1:] != start[:-1]))) if len(start) else np.empty(0, np.int64)
+        node = start[head]
+        tail = np.concatenate((head, [len(start)]))
+        count = np.diff(tail)
+        node_left = left[node]
         cuts = np.searchsorted(node_left, np.arange(1, (node_left[-1] if len(head) else 0) + 2))
-        tail = np.r_[head, len(start)]
+        x = np.empty(len(start))
         for r in range(len(cuts) - 1):
-            nodes = slice(cuts[r], cuts[r + 1])
-            if cuts[r] == cuts[r + 1]:
+            a, b = cuts[r], cuts[r + 1]
+            if a == b:
                 continue
-            lo, hi = tail[cuts[r]], tail[cuts[r + 1]]
-            x = weight[lo:hi] + np.where(done[lo:hi], 0.0, beta[after[lo:hi]])
-            seg = head[nodes] - lo
-            top = np.maximum.reduceat(x, seg)
-            count = np.diff(np.r_[seg, hi - lo])
-            beta[start[head[nodes]]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, count)), seg))
-            score[lo:hi] = x
-        self.log_prob = np.minimum(score - beta[start], 0.0) if len(start) else score
-        #: Edge range of each node, its edges' cumulative probabilities, and the node an edge leads to (-1: the unit's end).
+            lo, hi = tail[a], tail[b]
+            s = weight[lo:hi] + np.where(done[lo:hi], 0.0, beta[after[lo:hi]])
+            seg = head[a:b] - lo
+            top = np.maximum.reduceat(s, seg)
+            beta[node[a:b]] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, count[a:b])), seg))
+            x[lo:hi] = s
+        self.log_prob = np.minimum(x - beta[start], 0.0)
+        #: Edge range of each node, cumulative probabilities within it, and the node an edge leads to (-1: the unit's end).
         self.lo, self.hi = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.lo[start[head]], self.hi[start[head]] = head, tail[1:]
-        self.cumulative = np.cumsum(np.exp(self.log_prob))
+        self.lo[node], self.hi[node] = head, tail[1:]
+        cumulative = np.cumsum(np.exp(self.log_prob))
+        if len(head):
+            cumulative -= np.repeat(np.concatenate(([0.0], cumulative[tail[1:-1] - 1])), count)
+            cumulative[tail[1:] - 1] = 2.0
+        self.cumulative = cumulative
         self.next = np.where(done, -1, after)
         self.start = start
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node."""
-        lo, hi = self.lo[node], self.hi[node]
-        base = np.where(lo > 0, self.cumulative[lo - 1], 0.0)
-        edge = np.searchsorted(self.cumulative, base + u * (self.cumulative[hi - 1] - base), side="right")
-        return np.clip(edge, lo, hi - 1)
+        edge = self.lo[node]
+        more = np.flatnonzero(u > self.cumulative[edge])
+        while len(more):
+            edge[more] += 1
+            more = more[u[more] > self.cumulative[edge[more]]]
+        return edge
 
     def walk(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each node to its unit's end: (edges one walk after another, number of edges of each). Node -1: nothing."""
@@ -200,74 +227,74 @@ class Search:
     """Perturbed A* over one text's segmentations; `lattice` is shared by the texts of a block."""
 
     def __init__(self, lattice: Lattice, key: np.uint64):
-        self.lattice, self.key, self.heap, self.pushed = lattice, key, [], 0
+        self.lattice, self.key, self.heap, self.pushed, self.pushes = lattice, key, [], 0, 0
         self.best = float(-np.log(-np.log(self._uniform(1)[0])))
         self.samples: list[np.ndarray] = []
+        self.before: list[np.ndarray] = []
         self.gumbels: list[float] = []
 
     def _uniform(self, n):
-        u = uniform(self.key ^ np.uint64(0xA5A5A5A5), np.arange(self.pushed, self.pushed + n))
+        u = uniform(self.key ^ np.uint64(0xA5A5A5A5), np.arange(self.pushed, self.pushed + n, dtype=np.uint64))
         self.pushed += n
         return u
 
     def emit(self, edges: np.ndarray, from_: int, excluded: tuple) -> None:
         """Take a segmentation that was drawn in the region (same up to `from_`, no edge of `excluded` there) and split what is left of it."""
         self.samples.append(edges)
+        self.before.append(np.concatenate(([0.0], np.cumsum(self.lattice.log_prob[edges]))))
         self.gumbels.append(self.best)
         self._open(len(self.samples) - 1, from_, excluded, self.best, OPEN)
 
-    def _open(self, sample: int, from_: int, excluded: tuple, bound: float, room: int) -> None:
-        edges = self.samples[sample]
+    def _open(self, sample: int, from_: int, excluded: tuple, bound: float, room: int, value: float | None = None) -> None:
+        """Push the regions along `sample` from token `from_` on: one for each of `room` tokens, and one for all the others.
+
+        Their values are Gumbels truncated at `bound`; with `value` they are drawn freely and then lowered together so that the largest is that.
+        """
+        edges, lattice = self.samples[sample], self.lattice
         to = min(len(edges), from_ + room)
-        lp = self.lattice.log_prob[edges]
-        before = np.concatenate(([0.0], np.cumsum(lp)))
-        used = np.exp(lp[from_:to])
-        if to > from_:
-            used[0] += sum(np.exp(self.lattice.log_prob[list(excluded)])) if excluded else 0.0
-        single = self.lattice.hi[self.lattice.start[edges[from_:to]]] - self.lattice.lo[self.lattice.start[edges[from_:to]]] <= 1
-        if to > from_:
-            single[0] = self.lattice.hi[self.lattice.start[edges[from_]]] - self.lattice.lo[self.lattice.start[edges[from_]]] <= 1 + len(excluded)
+        if from_ >= to:
+            return
+        before, here = self.before[sample], edges[from_:to]
+        start = lattice.start[here]
+        width = lattice.hi[start] - lattice.lo[start]
+        width[0] -= len(excluded)
+        used = np.exp(lattice.log_prob[here])
+        if excluded:
+            used[0] += float(np.exp(lattice.log_prob[list(excluded)]).sum())
+        mass = np.full(to - from_ + 1, -np.inf)
         with np.errstate(divide="ignore"):
-            mass = before[from_:to] + np.log(np.where(single, 0.0, np.maximum(1.0 - used, 1e-300)))
-        self._push(mass, bound, [(sample, from_ + i, excluded if i == 0 else (), 0) for i in range(to - from_)])
-        if to < len(edges):  # the rest of this segmentation's neighbours, as one region
-            rest = float(-np.expm1(before[-1] - before[to]))
-            if rest > 0:
-                self._push(np.array([before[to] + np.log(rest)]), bound, [(sample, to, (), 2 * room)])
-
-    def _push(self, mass, bound, regions):
-        e = -np.log(self._uniform(len(mass)))
-        for m, x, region in zip(mass, e, regions, strict=True):
-            if np.isfinite(m):
-                g = m - np.log(x + np.exp(m - bound))
-                heapq.heappush(self.heap, (-float(g), len(self.heap), region))
+            mass[:-1] = before[from_:to] + np.log(np.where(width > 1, np.maximum(1.0 - used, 1e-300), 0.0))
+            if to < len(edges):
+                mass[-1] = before[to] + np.log(-np.expm1(before[-1] - before[to]))
+        g = -np.log(-np.log(self._uniform(len(mass))))
+        with np.errstate(invalid="ignore", over="ignore"):
+            if value is None:
+                values = mass - np.log(np.exp(-g) + np.exp(mass - bound))
+            else:
+                z = mass + g
+                values = value - np.log1p(np.maximum(np.exp(value - z) - np.exp(value - z.max()), 0.0))
+        values[~np.isfinite(mass)] = -np.inf
+        self._put(values, (sample, from_, to, excluded, 4 * room))
+
+    def _put(self, values: np.ndarray, regions: tuple) -> None:
+        i = int(values.argmax())
+        if values[i] > -np.inf:
+            self.pushes += 1
+            heapq.heappush(self.heap, (-float(values[i]), self.pushes, i, values, regions))
 
     def next_region(self):
         """The region of the next segmentation, (sample, at, excluded edges), or None."""
         while self.heap:
-            value, _, (sample, at, excluded, room) = heapq.heappop(self.heap)
-            if room == 0:
+            value, _, i, values, regions = heapq.heappop(self.heap)
+            values[i] = -np.inf
+            self._put(values, regions)
+            sample, from_, to, excluded, room = regions
+            if from_ + i < to:
                 self.best = -value
-                return sample, at, (*excluded, int(self.samples[sample][at]))
-            self._open_rest(sample, at, -value, room)
+                return sample, from_ + i, (*(excluded if i == 0 else ()), int(self.samples[sample][from_ + i]))
+            self._open(sample, to, (), np.inf, room, -value)
         return None
 
-    def _open_rest(self, sample, at, value, room):
-        # The region's own value belongs to one of its parts; parts drawn anew under the bound and then raised to it keep the law.
-        mark = len(self.heap)
-        old = self.heap
-        self.heap = []
-        self._open(sample, at, (), np.inf, room)
-        parts, self.heap = self.heap, old
-        if parts:
-            top = -min(parts)[0]
-            for g, _, region in parts:
-                # truncated so that the largest is exactly `value`
-                z = -g
-                v = value - np.log1p(max(np.exp(-(z - value)) - np.exp(-(top - value)), 0.0)) if z != top else value
-                heapq.heappush(self.heap, (-float(v), mark, region))
-                mark += 1
-
     def threshold(self) -> float:
         return -self.heap[0][0] if self.heap else -np.inf
 
@@ -286,11 +313,11 @@ def _blocks(texts):
 
 def segment_block(keys: list[int], texts: list[str | None], vocabulary: Vocabulary, samples: int):
     """For each text the list of its samples: (edges' pieces with byte codes, log probability, Gumbel value, log inclusion)."""
-    numbers: dict[str, int] = {}
+    numbers: dict[str, int] = defaultdict(count().__next__)
     occurrences, per_text = [], []
     for t in texts:
         units = UNIT.findall(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE)) if t else []
-        occurrences += [numbers.setdefault(u, len(numbers)) for u in units]
+        occurrences += [numbers[u] for u in units]
         per_text.append(len(units))
     lattice = Lattice(list(numbers), vocabulary)
     node = lattice.first[np.array(occurrences, np.int64)] if occurrences else np.empty(0, np.int64)
@@ -308,14 +335,14 @@ def segment_block(keys: list[int], texts: list[str | None], vocabulary: Vocabula
     regions: list = [(None, 0, ())] * len(texts)
     starts, unit_of = node, []
     for sample in range(samples):
-        edges, count = walked(starts, sample)
-        bounds = np.concatenate(([0], np.cumsum(count)))
+        edges, steps = walked(starts, sample)
+        bounds = np.concatenate(([0], np.cumsum(steps)))
         for d, s in enumerate(searches):
             if regions[d] is None:
                 continue
             a, b = first_unit[d], first_unit[d + 1]
             fresh = edges[bounds[a] : bounds[b]]
-            units = np.repeat(np.arange(a, b), count[a:b])
+            units = np.repeat(np.arange(a, b), steps[a:b])
             old, at, excluded = regions[d]
             if old is None:
                 s.emit(fresh, 0, ())
@@ -344,8 +371,8 @@ def segment_block(keys: list[int], texts: list[str | None], vocabulary: Vocabula
     out = []
     for s in searches:
         kappa, got = s.threshold(), []
-        for edges, g in zip(s.samples, s.gumbels, strict=True):
-            lp = float(lattice.log_prob[edges].sum())
+        for edges, before, g in zip(s.samples, s.before, s.gumbels, strict=True):
+            lp = float(before[-1])
             gap = lp - kappa
             got.append((lattice.piece[edges], lp, g, 0.0 if kappa == -np.inf else float(gap if gap < -30 else np.log(-np.expm1(-np.exp(min(gap, 700)))))))
         out.append(got)
