@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import mixing, neardup_text, neardup_vec, secrets, sharding
+from strandline.llm import langid, mixing, neardup_text, neardup_vec, pieces, quality, secrets, sharding
 from strandline.llm.base import table
 
 
@@ -23,6 +23,21 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify_languages(docs, langid.train_language_model(docs))
+
+
+def op6_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train_quality_model(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs.select("doc_id", "text"), model).drop("text")
+
+
+def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.sample_segmentations(table(spark, sf_dir, "documents"))
+
+
 def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vec.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -35,7 +50,10 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_source_mix": op2_source_mix,
     "op3_histogram_shards": op3_histogram_shards,
+    "op4_language_id": op4_language_id,
     "op5_cross_polytope": op5_cross_polytope,
+    "op6_quality_mil": op6_quality_mil,
+    "op7_sentencepiece_sampling": op7_sentencepiece_sampling,
     "op9_super_minhash": op9_super_minhash,
 }
 
