@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +38,21 @@ def cut(df: DataFrame) -> DataFrame:
 def hex_order(col, seed: int):
     """60 pseudo-random bits of a key, the same in Spark and in plain SQL (MD5)."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(col.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+
+
+def sorted_groups(batches):
+    """A pyarrow table for each run of equal values in the first three columns of sorted batches."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if rest is not None:
+            t = pa.concat_tables([rest, t])
+        key = np.stack([t.column(i).to_numpy() for i in range(3)])
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        at = 0
+        for c in cuts:
+            yield t.slice(at, c - at)
+            at = c
+        rest = t.slice(at)
+    if rest is not None and rest.num_rows:
+        yield rest

@@ -8,10 +8,13 @@ change anything and the document stops early. Bands of the signature propose
 pairs, the full shingle sets confirm them, and union-find by contraction
 groups what is linked.
 
-Within a bucket members are first compared with the smallest one. Then every
-member still outside the bucket's main group is compared with all members of
-other groups, so each pair of a bucket that could join two groups is seen,
-while a bucket of thousands of copies needs about one comparison a member.
+Within a bucket members are first compared with the smallest one, which
+settles most. Buckets that still hold several groups are then worked through
+in pairs of blocks of bounded size: every member outside the bucket's largest
+group meets all members of other groups there. A pair whose signatures agree
+in too few slots for the similarity asked is passed over, a pair already in
+one group is not looked at, and what a block returns is at most one link for
+each of its rows, never a list of pairs.
 """
 
 from __future__ import annotations
@@ -21,13 +24,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from strandline.llm.base import cut
+from strandline.llm.base import cut, sorted_groups
 from strandline.llm.graph import components
 
 SHINGLE_WORDS, SLOTS, BAND_ROWS = 5, 128, 4
 PERCENT_SIMILAR = 75
+#: Slots in which the signatures of a pair must agree to be confirmed in a block: 4.5 standard deviations below the similarity.
+AGREE = 74
+#: Rows and shingles that one block of a bucket holds, about.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 20
 #: Shingles handled at once; bounds the memory of a Python worker.
 BLOCK = 1 << 16
 #: Up to so many candidate ids are broadcast to find their texts (8 bytes each); beyond it the ids are joined by a shuffle.
@@ -120,17 +126,20 @@ def _signed(batches):
         for block in _blocks(x.as_py() for x in b.column(1)):
             sets = [s for _, s in block]
             full = [i for i, s in enumerate(sets) if len(s)]
-            hashes = np.zeros((len(sets), bands), np.int64)
+            hashes, prints = np.zeros((len(sets), bands), np.int64), np.zeros((len(sets), SLOTS), np.uint16)
             if full:
-                hashes[full] = band_hashes(super_minhash([sets[i] for i in full]))
+                signatures = super_minhash([sets[i] for i in full])
+                hashes[full] = band_hashes(signatures)
+                prints[full] = (mix64(signatures.view(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(block[0][0], len(block)).cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, hashes.size + 1, bands, dtype=np.int32)), pa.array(hashes.reshape(-1))),
+                    pa.array([x.tobytes() for x in prints], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "class", "bands"],
+                names=["doc_id", "n_shingles", "class", "bands", "prints"],
             )
 
 
@@ -158,16 +167,50 @@ def _confirmed(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a_id, keep, strict=True) if k], pa.int64()), pa.array([x for x, k in zip(b_id, keep, strict=True) if k], pa.int64())], names=["a", "b"])
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. texts: (id, text), one row or more an id."""
-    ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+def full_sets(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, set) of the given distinct ids. texts: (id, text), one row or more an id."""
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    sets = cut(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"]))
+    return cut(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"]))
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar."""
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     return left.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long")
 
 
+def _joined(batches):
+    """Blocks (bucket, bi, bj, side, rep, grp, prints, set) -> links (a, b) that join groups."""
+    for g in sorted_groups(batches):
+        rep, grp, side = (g.column(k).to_pylist() for k in ("rep", "grp", "side"))
+        prints = np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in g.column("prints")])
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in g.column("set")]
+        same = g.column("bi")[0].as_py() == g.column("bj")[0].as_py()
+        first = [i for i, x in enumerate(side) if x == g.column("bi")[0].as_py()]
+        second = first if same else [i for i, x in enumerate(side) if x == g.column("bj")[0].as_py()]
+        if not first or not second:
+            continue
+        root: dict[int, int] = {}
+
+        def find(x, root=root):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        found = []
+        other = prints[second]
+        for i in first:
+            likely = np.flatnonzero((other == prints[i]).sum(axis=1) >= AGREE)
+            for j in (second[k] for k in likely):
+                a, b = find(grp[i]), find(grp[j])
+                if a != b and similar(sets[i], sets[j]):
+                    root[max(a, b)] = min(a, b)
+                    found.append((rep[i], rep[j]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of `docs`.
 
@@ -178,26 +221,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row with a null component and kept null.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(texts.mapInArrow(_signed, "doc_id long, n_shingles long, class binary, bands array<long>"))
-    classes = cut(signed.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    in_bucket = classes.select("rep", F.posexplode("bands").alias("band", "hash")).select("rep", F.expr("hash").alias("bucket"))
+    signed = cut(texts.mapInArrow(_signed, "doc_id long, n_shingles long, class binary, bands array<long>, prints binary"))
+    own = signed.filter("class is not null and doc_id is not null").groupBy("class")
+    classes = cut(own.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("prints").alias("prints")))
+    in_bucket = classes.select("rep", F.explode("bands").alias("bucket"))
     smallest = in_bucket.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut(in_bucket.join(smallest.select("bucket", "hub"), "bucket"))
     tried = cut(members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-    links = cut(confirm(tried, texts))
+    ids = cut(tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).distinct())
+    sets = full_sets(ids, texts)
+    links = cut(confirm(tried, sets))
     grouped = components(links)
 
-    # Buckets that still hold several groups: who is outside the main one meets all members of other groups.
-    group = members.join(grouped, members.rep == grouped.id, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("grp"))
-    sizes = group.groupBy("bucket", "grp").agg(F.count(F.lit(1)).alias("n"))
-    ranked = W.partitionBy("bucket").orderBy(F.desc("n"), "grp")
-    minor = sizes.withColumn("rk", F.row_number().over(ranked)).filter("rk > 1").select("bucket", "grp")
-    outside = cut(group.join(minor, ["bucket", "grp"]).select("bucket", F.col("rep").alias("x"), F.col("grp").alias("gx")))
-    met = outside.join(group, "bucket").filter("gx <> grp").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    met = cut(met.join(tried, ["a", "b"], "left_anti"))
-    if not met.isEmpty():
-        links = cut(links.unionByName(confirm(met, texts)))
-        grouped = components(links)
+    # Buckets that still hold several groups. Blocks 0 .. outer-1 are of members outside the largest group.
+    group = cut(members.join(grouped, members.rep == grouped.id, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("grp")))
+    per_group = group.groupBy("bucket", "grp").agg(F.count(F.lit(1)).alias("n"))
+    main = per_group.groupBy("bucket").agg(F.max(F.struct("n", "grp")).alias("top"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    open_ = group.join(main.select("bucket", F.col("top.grp").alias("main")), "bucket").join(classes.select("rep", "n_shingles", "prints"), "rep")
+    open_ = cut(open_.withColumn("out", (F.col("grp") != F.col("main")).cast("int")))
+    blocks = lambda of: F.ceil(F.greatest(F.sum(of) / BLOCK_ROWS, F.sum(of * F.col("n_shingles")) / BLOCK_SHINGLES)).cast("int")
+    sized = open_.groupBy("bucket").agg(blocks(F.col("out")).alias("outer"), blocks(1 - F.col("out")).alias("inner"))
+    laid = open_.join(sized, "bucket").withColumn("side", F.when(F.col("out") == 1, F.pmod(F.xxhash64("rep"), "outer")).otherwise(F.col("outer") + F.pmod(F.xxhash64("rep"), "inner")).cast("int"))
+    meets = F.filter(F.transform(F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1), lambda k: F.struct(F.least(k, F.col("side")).alias("bi"), F.greatest(k, F.col("side")).alias("bj"))), lambda p: p["bi"] < F.col("outer"))
+    placed = laid.withColumn("pair", F.explode(meets)).select("bucket", "pair.bi", "pair.bj", "side", "rep", "grp", "prints")
+    dealt = placed.join(sets.withColumnRenamed("id", "rep"), "rep").select("bucket", "bi", "bj", "side", "rep", "grp", "prints", "set")
+    dealt = dealt.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+    more = cut(dealt.mapInArrow(_joined, "a long, b long"))
+    if not more.isEmpty():
+        grouped = components(links.unionByName(more))
 
     of_class = classes.select("class", "rep").join(grouped, classes.rep == grouped.id, "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")

@@ -18,12 +18,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from strandline.llm.base import cut
+from strandline.llm.base import cut, sorted_groups
 from strandline.llm.graph import components
 
 COSINE, TABLES, PROBES = 0.9, 10, 4
+#: Each hash of a table beyond three costs recall, which further tables make up for.
+MORE_TABLES = 6
 #: Buckets a table has for each vector, at least; and vectors of a bucket that one block holds.
 SPARSE, BLOCK = 32, 512
 
@@ -117,24 +118,6 @@ def _hashed(tables, hashes, probes):
     return run
 
 
-def _groups(batches):
-    """Tables of one block each, from batches sorted by (bucket, bi, bj)."""
-    rest = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        if rest is not None:
-            t = pa.concat_tables([rest, t])
-        key = np.stack([t.column(i).to_numpy() for i in range(3)])
-        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-        at = 0
-        for c in cuts:
-            yield t.slice(at, c - at)
-            at = c
-        rest = t.slice(at)
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
 def _local_groups(linked: np.ndarray) -> np.ndarray:
     label = np.arange(len(linked))
     while True:
@@ -154,7 +137,7 @@ def _verified(probes, cosine):
         def out():
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, counts, to)], names=["id", "n", "to"])
 
-        for g in _groups(batches):
+        for g in sorted_groups(batches):
             side = g.column("side").to_numpy()
             order = np.lexsort((g.column("rep").to_numpy(), side))
             g, side = g.take(order), side[order]
@@ -201,6 +184,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
     count = max(rows.count(), 1)
     hashes = max(1, math.ceil(math.log(SPARSE * count) / math.log(128)))
+    tables += MORE_TABLES * max(0, hashes - 3)
     hashed = cut(rows.mapInArrow(_hashed(tables, hashes, probes), "vec_id long, class binary, unit binary, codes array<long>"))
     classes = cut(hashed.filter("class is not null and vec_id is not null").groupBy("class").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("unit").alias("unit"), F.first("codes").alias("codes")))
     entries = classes.select("rep", F.explode(F.array_distinct("codes")).alias("bucket"))
