@@ -86,24 +86,24 @@ class Vocabulary:
         self.tables = []
         for k in range(1, max(prefixes) + 1):
             items = sorted(prefixes[k].items())
-            hashes = np.array([h for h, _ in items], np.uint64)
-            begin = np.searchsorted(hashes >> np.uint64(48), np.arange(65537, dtype=np.uint64)).astype(np.int32)
-            self.tables.append((hashes, np.array([v[0] for _, v in items], np.int32), np.array([v[1] for _, v in items]), begin))
+            hashes = np.array([h for h, _ in items] + [2**64 - 1], np.uint64)  # the last stands for none
+            begin = np.searchsorted(hashes[:-1] >> np.uint64(48), np.arange(65537, dtype=np.uint64)).astype(np.int32)
+            self.tables.append((hashes, np.array([v[0] for _, v in items] + [-1], np.int32), np.array([v[1] for _, v in items] + [0.0]), begin))
 
     @staticmethod
     def find(hashes: np.ndarray, begin: np.ndarray, h: np.ndarray) -> np.ndarray:
         """The place of each h in `hashes`, or -1."""
         lead = (h >> np.uint64(48)).astype(np.int32)
-        i, end = begin[lead], begin[lead + 1]
-        out = np.full(len(h), -1, np.int32)
-        open_ = np.flatnonzero(i < end)
-        while len(open_):
-            at = i[open_]
-            hit = hashes[at] == h[open_]
-            out[open_[hit]] = at[hit]
-            open_ = open_[~hit]
-            i[open_] += 1
-            open_ = open_[i[open_] < end[open_]]
+        out = begin[lead]
+        miss = np.flatnonzero(hashes[out] != h)
+        end = begin[1:][lead[miss]]
+        while len(miss):
+            out[miss] += 1
+            more = out[miss] < end
+            out[miss[~more]] = -1
+            miss, end = miss[more], end[more]
+            wrong = hashes[out[miss]] != h[miss]
+            miss, end = miss[wrong], end[wrong]
         return out
 
     @staticmethod
@@ -121,14 +121,16 @@ class Lattice:
     """Edges of many units at once; node numbers are positions in the joined units."""
 
     def __init__(self, units: list[str], vocabulary: Vocabulary):
-        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        lengths = np.fromiter(map(len, units), np.int64, len(units))
-        ends = np.cumsum(lengths)
-        self.first = ends - lengths
+        # A separator after each unit: a node without edges, where the backward sum is 0.
+        code = np.frombuffer("\0".join([*units, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        lengths = np.fromiter(map(len, units), np.int32, len(units))
+        ends = np.cumsum(lengths + 1, dtype=np.int32) - 1
+        self.first = (ends - lengths).astype(np.int64)
         n = len(code)
-        left = np.repeat(ends, lengths) - np.arange(n)
-        at, h = np.arange(n), np.zeros(n, np.uint64)
-        alone = np.ones(n, bool)
+        left = np.repeat(ends, lengths + 1) - np.arange(n, dtype=np.int32)
+        at = np.flatnonzero(left).astype(np.int32)
+        alone = left > 0
+        h = np.zeros(len(at), np.uint64)
         starts, sizes, ids, weights = [], [], [], []
         with np.errstate(over="ignore"):
             for k, (hashes, piece, weight, begin) in enumerate(vocabulary.tables, 1):
@@ -140,29 +142,29 @@ class Lattice:
                 h = (h ^ code[at + (k - 1)]) * _STEP
                 h ^= h >> np.uint64(29)
                 i = vocabulary.find(hashes, begin, h)
-                known = i >= 0
+                known = np.flatnonzero(i >= 0)
                 at, h, i = at[known], h[known], i[known]
-                ends_here = piece[i] >= 0
-                start, i = at[ends_here], i[ends_here]
+                here = piece[i]
+                ends_here = np.flatnonzero(here >= 0)
+                start = at[ends_here]
                 if k == 1:
                     alone[start] = False
                 starts.append(start)
-                sizes.append(np.full(len(start), k, np.int64))
-                ids.append(piece[i])
-                weights.append(weight[i])
-        spelled = np.flatnonzero(alone)
+                sizes.append(np.full(len(start), k, np.int32))
+                ids.append(here[ends_here])
+                weights.append(weight[i[ends_here]])
+        spelled = np.flatnonzero(alone).astype(np.int32)
         char = code[spelled].astype(np.int32)
         char[char == ord(LITERAL)] = ord(SPACE)
         starts.append(spelled)
-        sizes.append(np.ones(len(spelled), np.int64))
+        sizes.append(np.ones(len(spelled), np.int32))
         ids.append(-1 - char)
         weights.append(vocabulary.byte_weight * (1.0 + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF)))
         start, size, piece, weight = (np.concatenate(x) for x in (starts, sizes, ids, weights))
         # By characters left in the unit, for the backward sums; in a node by falling length, since long pieces are the likely ones.
-        order = np.argsort((left[start] << 40) + (start << 8) + (255 - size))
-        start, size, weight, self.piece = start[order], size[order], weight[order], piece[order]
-        after = start + size
-        done = left[start] == size
+        order = np.argsort((left[start].astype(np.int64) << 40) + (start.astype(np.int64) << 8) + (255 - size))
+        start, weight, self.piece = start[order], weight[order], piece[order]
+        after = start + size[order]
         beta = np.zeros(n + 1)
         head = np.flatnonzero(np.concatenate((np.ones(1, bool), start[1:] != start[:-1]))) if len(start) else np.empty(0, np.int64)
         node = start[head]
@@ -170,27 +172,28 @@ class Lattice:
         count = np.diff(tail)
         node_left = left[node]
         cuts = np.searchsorted(node_left, np.arange(1, (node_left[-1] if len(head) else 0) + 2))
-        x = np.empty(len(start))
+        log_prob = np.empty(len(start))
         for r in range(len(cuts) - 1):
             a, b = cuts[r], cuts[r + 1]
             if a == b:
                 continue
             lo, hi = tail[a], tail[b]
-            s = weight[lo:hi] + np.where(done[lo:hi], 0.0, beta[after[lo:hi]])
+            s = weight[lo:hi] + beta[after[lo:hi]]
             seg = head[a:b] - lo
             top = np.maximum.reduceat(s, seg)
-            beta[node[a:b]] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, count[a:b])), seg))
-            x[lo:hi] = s
-        self.log_prob = np.minimum(x - beta[start], 0.0)
+            total = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, count[a:b])), seg))
+            beta[node[a:b]] = total
+            log_prob[lo:hi] = s - np.repeat(total, count[a:b])
+        self.log_prob = np.minimum(log_prob, 0.0, out=log_prob)
         #: Edge range of each node, cumulative probabilities within it, and the node an edge leads to (-1: the unit's end).
-        self.lo, self.hi = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.lo, self.hi = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.lo[node], self.hi[node] = head, tail[1:]
-        cumulative = np.cumsum(np.exp(self.log_prob))
+        cumulative = np.cumsum(np.exp(log_prob))
         if len(head):
             cumulative -= np.repeat(np.concatenate(([0.0], cumulative[tail[1:-1] - 1])), count)
             cumulative[tail[1:] - 1] = 2.0
         self.cumulative = cumulative
-        self.next = np.where(done, -1, after)
+        self.next = np.where(left[after] == 0, np.int32(-1), after)
         self.start = start
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -217,7 +220,7 @@ class Lattice:
             live, at, k = live[more], at[more], k[more]
             step += 1
         first = np.cumsum(count) - count
-        out = np.empty(int(count.sum()), np.int64)
+        out = np.empty(int(count.sum()), np.int32)
         for s, (lanes, edge) in enumerate(steps):
             out[first[lanes] + s] = edge
         return out, count
@@ -336,13 +339,12 @@ def segment_block(keys: list[int], texts: list[str | None], vocabulary: Vocabula
     starts, unit_of = node, []
     for sample in range(samples):
         edges, steps = walked(starts, sample)
-        bounds = np.concatenate(([0], np.cumsum(steps)))
+        bounds = np.concatenate(([0], np.cumsum(steps)))[first_unit]
+        every_unit = np.repeat(np.arange(len(node), dtype=np.int32), steps)
         for d, s in enumerate(searches):
             if regions[d] is None:
                 continue
-            a, b = first_unit[d], first_unit[d + 1]
-            fresh = edges[bounds[a] : bounds[b]]
-            units = np.repeat(np.arange(a, b), steps[a:b])
+            fresh, units = edges[bounds[d] : bounds[d + 1]], every_unit[bounds[d] : bounds[d + 1]]
             old, at, excluded = regions[d]
             if old is None:
                 s.emit(fresh, 0, ())
