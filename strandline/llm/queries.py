@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, mixing, neardup_text, neardup_vec, pieces, quality, secrets, sharding
+from strandline.llm import langid, mixing, neardup_text, neardup_vec, pieces, quality, secrets, sharding, webp
 from strandline.llm.base import table
 
 
@@ -42,6 +42,10 @@ def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vec.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op8_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.digest_media(table(spark, sf_dir, "documents"))
+
+
 def op9_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_text.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op5_cross_polytope": op5_cross_polytope,
     "op6_quality_mil": op6_quality_mil,
     "op7_sentencepiece_sampling": op7_sentencepiece_sampling,
+    "op8_lossless_webp": op8_lossless_webp,
     "op9_super_minhash": op9_super_minhash,
 }
 
