@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, mixing, neardup_text, neardup_vec, pieces, quality, secrets, sharding, webp
-from strandline.llm.base import table
+from strandline.llm import langid, mixing, neardup_text, neardup_vec, pieces, quality, secrets, sharding, webp, wrapper
+from strandline.llm.base import cut, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op9_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_text.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return wrapper.extract_articles(pages, cut(wrapper.induce_templates(pages)))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_source_mix": op2_source_mix,
@@ -60,6 +65,7 @@ QUERIES = {
     "op7_sentencepiece_sampling": op7_sentencepiece_sampling,
     "op8_lossless_webp": op8_lossless_webp,
     "op9_super_minhash": op9_super_minhash,
+    "op10_wrapper_induction": op10_wrapper_induction,
 }
 
 ORACLE_SQL: dict[str, str] = {
