@@ -116,3 +116,19 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     taken = pieces.join(slots.select("skey", "block", "upto"), ["skey", "block"], "left").withColumn("got", F.when(F.col("upto").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least("to_", "upto") - F.col("from_"))))
     some = taken.groupBy("skey", "a", *kept).agg(F.sum("got").cast("long").alias("taken"))
     return some.select(*kept, "taken").unionByName(none).select("doc_id", "size", "source_size", "target", "taken", "source", *extra)
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of `docs` as often as the schedule reads it, columns as they are.
+
+    A document counts as read once for each full reading, a last reading by
+    the nearest whole number; each source has at most one read in part.
+    """
+    content = F.xxhash64(F.col(text_col))
+    taken = mix_sources(docs, id_col, text_col, source_col, extra={"mix_content": content}, **options)
+    times = taken.filter("taken > 0").select("doc_id", "mix_content", F.expr("cast(floor(taken / size + 0.5) as int)").alias("mix_times"))
+    times = times.groupBy("doc_id", "mix_content").agg(F.max("mix_times").alias("mix_times")).filter("mix_times > 0")
+    keyed = docs.withColumn("mix_content", content)
+    same = keyed[id_col].eqNullSafe(times["doc_id"]) & (keyed["mix_content"] == times["mix_content"])
+    copies = keyed.join(times, same).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), times["mix_times"])))
+    return copies.select(*[keyed[c] for c in docs.columns])

@@ -254,3 +254,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = signed.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row for each group of near-duplicates, columns as they are.
+
+    Only the ids that go are moved: they are broadcast while they are few
+    (BROADCAST_IDS), and joined by a shuffle beyond that. Rows that repeat an
+    id are one document; rows without an id stay.
+    """
+    found = cut(near_duplicates(docs, id_col, text_col).filter("doc_id is not null"))
+    gone = found.filter("not kept").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = found.filter("kept").select("doc_id")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    out = docs.join(gone, id_col, "left_anti")
+    if kept.count() > kept.distinct().count():
+        out = out.filter(F.col(id_col).isNull()).unionByName(out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    return out.select(docs.columns)

@@ -160,6 +160,27 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     return Attention().fit([np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in got], np.array([float(r["y"]) for r in got]))
 
 
+def _scores(column, model: Attention) -> np.ndarray:
+    scores, bags, load = [], [], 0
+    for x in column:
+        bags.append(passage_features(x.as_py()))
+        load += len(bags[-1])
+        if load >= 4096:
+            scores.append(model.score(bags))
+            bags, load = [], 0
+    return np.concatenate([*scores, model.score(bags)])
+
+
+def keep_good(docs: DataFrame, model: Attention, text_col: str = "text", keep: float = KEEP) -> DataFrame:
+    """The rows of `docs` that are not rejected, with their columns as they are. No shuffle."""
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(_scores(b.column(b.schema.get_field_index(text_col)), model) >= keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_quality(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
     """`docs` with `held_out`, `score` and `predicted` added (columns of these names are replaced).
 
@@ -173,14 +194,7 @@ def score_quality(docs: DataFrame, model: Attention, id_col: str = "doc_id", tex
 
     def run(batches):
         for b in batches:
-            scores, bags, load = [], [], 0
-            for x in b.column(at):
-                bags.append(passage_features(x.as_py()))
-                load += len(bags[-1])
-                if load >= 4096:
-                    scores.append(model.score(bags))
-                    bags, load = [], 0
-            scores = np.concatenate([*scores, model.score(bags)])
+            scores = _scores(b.column(at), model)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array((scores >= keep).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
     return shaped.mapInArrow(run, schema)
