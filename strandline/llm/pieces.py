@@ -74,7 +74,8 @@ class Vocabulary:
         rank = np.array([-sp.get_score(i) for i in normal])
         weight = -alpha * np.log(np.maximum(rank, 0) + 10)
         self.byte_weight = float(weight.min())
-        self.surface = [b"" if self.special[i] else bytes([int(pieces[i][3:5], 16)]) if sp.is_byte(i) else pieces[i].replace(SPACE, " ").encode() for i in range(n)]
+        surface = [b"" if self.special[i] else bytes([int(pieces[i][3:5], 16)]) if sp.is_byte(i) else pieces[i].replace(SPACE, " ").encode() for i in range(n)]
+        self.surface = np.array([*surface, None], object)[:-1]
         prefixes: dict[int, dict[int, tuple[int, float]]] = {}
         for i, w in zip(normal, weight, strict=True):
             h = 0
@@ -111,9 +112,12 @@ class Vocabulary:
         x = ((h ^ code) * 0x9E3779B97F4A7C15) & (2**64 - 1)
         return x ^ (x >> 29)
 
+    def raw(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.surface[ids].tolist())
+
     def decode(self, ids) -> str:
         """The text of piece ids; the first space is the encoder's own."""
-        raw = b"".join(map(self.surface.__getitem__, ids))
+        raw = self.raw(np.asarray(ids, np.int32))
         return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
@@ -162,7 +166,11 @@ class Lattice:
         weights.append(vocabulary.byte_weight * (1.0 + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF)))
         start, size, piece, weight = (np.concatenate(x) for x in (starts, sizes, ids, weights))
         # By characters left in the unit, for the backward sums; in a node by falling length, since long pieces are the likely ones.
-        order = np.argsort((left[start].astype(np.int64) << 40) + (start.astype(np.int64) << 8) + (255 - size))
+        by_left = np.argsort(np.minimum(left, 65535).astype(np.uint16) if n and left.max() < 65536 else left, kind="stable")
+        place = np.empty(n, np.int32)
+        place[by_left] = np.arange(n, dtype=np.int32)
+        longest = len(vocabulary.tables) + 1
+        order = np.argsort(place[start] * np.int64(longest) - size if n * longest >= 2**31 else place[start] * np.int32(longest) - size)
         start, weight, self.piece = start[order], weight[order], piece[order]
         after = start + size[order]
         beta = np.zeros(n + 1)
@@ -230,16 +238,17 @@ class Search:
     """Perturbed A* over one text's segmentations; `lattice` is shared by the texts of a block."""
 
     def __init__(self, lattice: Lattice, key: np.uint64):
-        self.lattice, self.key, self.heap, self.pushed, self.pushes = lattice, key, [], 0, 0
+        self.lattice, self.key, self.heap, self.pushed, self.pushes, self.drawn = lattice, key, [], 0, 0, ()
         self.best = float(-np.log(-np.log(self._uniform(1)[0])))
         self.samples: list[np.ndarray] = []
         self.before: list[np.ndarray] = []
         self.gumbels: list[float] = []
 
     def _uniform(self, n):
-        u = uniform(self.key ^ np.uint64(0xA5A5A5A5), np.arange(self.pushed, self.pushed + n, dtype=np.uint64))
+        if self.pushed + n > len(self.drawn):
+            self.drawn = uniform(self.key ^ np.uint64(0xA5A5A5A5), np.arange(2 * (self.pushed + n) + 2 * OPEN + 8, dtype=np.uint64))
         self.pushed += n
-        return u
+        return self.drawn[self.pushed - n : self.pushed]
 
     def emit(self, edges: np.ndarray, from_: int, excluded: tuple) -> None:
         """Take a segmentation that was drawn in the region (same up to `from_`, no edge of `excluded` there) and split what is left of it."""
@@ -383,9 +392,13 @@ def segment_block(keys: list[int], texts: list[str | None], vocabulary: Vocabula
 
 def spelled(pieces: np.ndarray, byte_id: np.ndarray) -> np.ndarray:
     """Piece ids, with characters that have no piece written in byte pieces."""
+    low = np.flatnonzero((pieces < 0) & (pieces >= -0x80))
+    if len(low):
+        pieces = pieces.copy()
+        pieces[low] = byte_id[-1 - pieces[low]]
     odd = np.flatnonzero(pieces < 0)
     if not len(odd):
-        return pieces.astype(np.int32)
+        return pieces.astype(np.int32, copy=False)
     parts, at = [], 0
     for i in odd:
         parts += [pieces[at:i], byte_id[list(chr(-1 - pieces[i]).encode("utf-8", "surrogatepass"))]]
@@ -416,7 +429,8 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 at = [i for i, _ in block]
                 texts = [t for _, t in block]
                 found = segment_block([row_key(ids[i]) for i in at], texts, vocabulary, samples)
-                rows = [(ids[i], n + 1, spelled(pieces, vocabulary.byte_id), lp, g, q, t or "") for i, t, got in zip(at, texts, found, strict=True) for n, (pieces, lp, g, q) in enumerate(got)]
+                raws = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+                rows = [(ids[i], n + 1, spelled(pieces, vocabulary.byte_id), lp, g, q, raw) for i, raw, got in zip(at, raws, found, strict=True) for n, (pieces, lp, g, q) in enumerate(got)]
                 sizes = [len(r[2]) for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -424,7 +438,7 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
                         pa.array([r[1] for r in rows], pa.int32()),
                         pa.array(sizes, pa.int32()),
                         *(pa.array([r[k] for r in rows], pa.float64()) for k in (3, 4, 5)),
-                        pa.array([vocabulary.decode(r[2].tolist()) == r[6] for r in rows], pa.bool_()),
+                        pa.array([vocabulary.raw(r[2]) == r[6] for r in rows], pa.bool_()),
                         pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate([r[2] for r in rows]) if rows else [], pa.int32())),
                     ],
                     names=["doc_id", "sample", "n_pieces", "log_prob", "gumbel", "log_inclusion", "round_trip", "pieces"],
