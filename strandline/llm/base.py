@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 import numpy as np
@@ -56,3 +57,21 @@ def sorted_groups(batches):
         rest = t.slice(at)
     if rest is not None and rest.num_rows:
         yield rest
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers are reused, and what one stage has freed would stay with the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """A function over batches that gives its freed memory back when a task ends."""
+
+    def out(batches):
+        yield from run(batches)
+        release_memory()
+
+    return out

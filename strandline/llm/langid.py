@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.base import lean
+
 BITS, GRAMS, DIMENSION = 14, (2, 3, 4), 16
 #: The sample to learn from: rows of each language, and the languages there may be.
 ROWS_PER_LANGUAGE, MAX_LANGUAGES = 600, 256
@@ -147,7 +149,7 @@ def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["lang", "h", "part", "ids", "share"])
 
-    sample = learn.filter(F.col("h") <= bound).mapInArrow(run, "lang string, h long, part int, ids binary, share binary")
+    sample = learn.filter(F.col("h") <= bound).mapInArrow(lean(run), "lang string, h long, part int, ids binary, share binary")
     got = sample.orderBy("h", "part", "lang").limit(4 * rows_per_language * len(languages)).collect()
     rows = [(np.frombuffer(r["ids"], np.uint16).astype(np.int64), np.frombuffer(r["share"], np.float32).astype(np.float64)) for r in got]
     number = {x: i for i, x in enumerate(languages)}
@@ -185,4 +187,4 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
             )
 
     chosen = docs.select(F.col(id_col).cast("long"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col))
-    return chosen.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
+    return chosen.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.base import cut, sorted_groups
+from strandline.llm.base import cut, lean, sorted_groups
 from strandline.llm.graph import components
 
 SHINGLE_WORDS, SLOTS, BAND_ROWS = 5, 128, 4
@@ -171,13 +171,13 @@ def full_sets(ids: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, set) of the given distinct ids. texts: (id, text), one row or more an id."""
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return cut(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"]))
+    return cut(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(lean(_sets), "id long, set binary").dropDuplicates(["id"]))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar."""
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return left.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long")
+    return left.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b").mapInArrow(lean(_confirmed), "a long, b long")
 
 
 def _joined(batches):
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row with a null component and kept null.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(texts.mapInArrow(_signed, "doc_id long, n_shingles long, class binary, bands array<long>, prints binary"))
+    signed = cut(texts.mapInArrow(lean(_signed), "doc_id long, n_shingles long, class binary, bands array<long>, prints binary"))
     own = signed.filter("class is not null and doc_id is not null").groupBy("class")
     classes = cut(own.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("prints").alias("prints")))
     in_bucket = classes.select("rep", F.explode("bands").alias("bucket"))
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = laid.withColumn("pair", F.explode(meets)).select("bucket", "pair.bi", "pair.bj", "side", "rep", "grp", "prints")
     dealt = placed.join(sets.withColumnRenamed("id", "rep"), "rep").select("bucket", "bi", "bj", "side", "rep", "grp", "prints", "set")
     dealt = dealt.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    more = cut(dealt.mapInArrow(_joined, "a long, b long"))
+    more = cut(dealt.mapInArrow(lean(_joined), "a long, b long"))
     if not more.isEmpty():
         grouped = components(links.unionByName(more))
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.base import cut, sorted_groups
+from strandline.llm.base import cut, lean, sorted_groups
 from strandline.llm.graph import components
 
 COSINE, TABLES, PROBES = 0.9, 10, 4
@@ -185,7 +185,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     count = max(rows.count(), 1)
     hashes = max(1, math.ceil(math.log(SPARSE * count) / math.log(128)))
     tables += MORE_TABLES * max(0, hashes - 3)
-    hashed = cut(rows.mapInArrow(_hashed(tables, hashes, probes), "vec_id long, class binary, unit binary, codes array<long>"))
+    hashed = cut(rows.mapInArrow(lean(_hashed(tables, hashes, probes)), "vec_id long, class binary, unit binary, codes array<long>"))
     classes = cut(hashed.filter("class is not null and vec_id is not null").groupBy("class").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("unit").alias("unit"), F.first("codes").alias("codes")))
     entries = classes.select("rep", F.explode(F.array_distinct("codes")).alias("bucket"))
     # A large bucket is cut by the representatives' hash; its number of rows says into how many blocks.
@@ -195,7 +195,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     placed = cutup.withColumn("pair", F.explode(pair)).select("rep", "bucket", "pair.bi", "pair.bj", F.col("block").alias("side"))
     full = placed.join(classes.select("rep", "mult", "unit", "codes"), "rep").select("bucket", "bi", "bj", "side", "rep", "mult", "unit", "codes")
     dealt = full.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    found = cut(dealt.mapInArrow(_verified(probes, cosine), "id long, n long, to long"))
+    found = cut(dealt.mapInArrow(lean(_verified(probes, cosine)), "id long, n long, to long"))
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     grouped = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
     of_class = classes.select("class", "rep", "mult").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(grouped.withColumnRenamed("id", "rep"), "rep", "left")

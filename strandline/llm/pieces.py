@@ -28,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.base import lean
+
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 #: Characters of the texts that are handled at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: Regions of a segmentation that are opened at first; the rest is one region until it wins.
 OPEN = 48
 SPACE, LITERAL = "▁", "\U0010ffff"
@@ -445,7 +447,7 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 )
 
     schema = "doc_id long, sample int, n_pieces int, log_prob double, gumbel double, log_inclusion double, round_trip boolean, pieces array<int>"
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(run), schema)
 
 
 def decode_pieces(df: DataFrame, pieces_col: str = "pieces", model_file: str = DEFAULT_MODEL) -> DataFrame:
@@ -460,4 +462,4 @@ def decode_pieces(df: DataFrame, pieces_col: str = "pieces", model_file: str = D
 
     shaped = df.select(*rest, pieces_col)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in shaped.schema.fields[: len(rest)]), "text string"])
-    return shaped.mapInArrow(run, schema)
+    return shaped.mapInArrow(lean(run), schema)

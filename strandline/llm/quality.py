@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.base import lean
 from strandline.llm.langid import held_out
 
 PASSAGE_WORDS, HIDDEN, ATTENTION = 64, 32, 16
@@ -156,7 +157,7 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
                 out.append((i, y, x.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["id", "y", "x"])
 
-    got = texts.select(F.col("id").cast("long"), "text", "y").mapInArrow(run, "id long, y int, x binary").orderBy("id", "x").limit(2 * sample_rows).collect()
+    got = texts.select(F.col("id").cast("long"), "text", "y").mapInArrow(lean(run), "id long, y int, x binary").orderBy("id", "x").limit(2 * sample_rows).collect()
     return Attention().fit([np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in got], np.array([float(r["y"]) for r in got]))
 
 
@@ -178,7 +179,7 @@ def keep_good(docs: DataFrame, model: Attention, text_col: str = "text", keep: f
         for b in batches:
             yield b.filter(pa.array(_scores(b.column(b.schema.get_field_index(text_col)), model) >= keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def score_quality(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
@@ -197,4 +198,4 @@ def score_quality(docs: DataFrame, model: Attention, id_col: str = "doc_id", tex
             scores = _scores(b.column(at), model)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array((scores >= keep).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
-    return shaped.mapInArrow(run, schema)
+    return shaped.mapInArrow(lean(run), schema)

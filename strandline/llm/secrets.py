@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.base import lean
+
 KINDS = ("assign", "access", "hex")
 #: The three patterns and the least lengths that count.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -254,7 +256,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers", "truncated"],
             )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(run), SCHEMA)
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -273,4 +275,4 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
                 b = b.set_column(j, b.schema.field(j), pa.array(lengths, b.schema.field(j).type))
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

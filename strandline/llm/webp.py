@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.base import lean
+
 MAX_SIDE = 1 << 14
 #: Fixed values of the format: the order of code length codes, and alphabet sizes.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -597,7 +599,7 @@ def store_as_webp(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 names=["doc_id", "n_bytes", "payload_bytes", "media"],
             )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, media binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(run), "doc_id long, n_bytes long, payload_bytes long, media binary")
 
 
 def read_webp(df: DataFrame, media_col: str = "media", size_col: str | None = "payload_bytes") -> DataFrame:
@@ -627,7 +629,7 @@ def read_webp(df: DataFrame, media_col: str = "media", size_col: str | None = "p
                 out.append((image.shape[1], image.shape[0], green.tobytes(), feature(green, image.shape[1], image.shape[0])))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *(pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.string())))], names=[*rest, "width", "height", "pixels", "feature"])
 
-    return shaped.mapInArrow(run, schema)
+    return shaped.mapInArrow(lean(run), schema)
 
 
 def digest_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -646,4 +648,4 @@ def digest_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
