@@ -11,21 +11,27 @@ from strandline.llm.base import cut
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (id, component): the smallest id reachable, for every id that has an edge.
 
-    Each round maps a node to its smallest neighbour and that one's, contracts
-    the edges and drops loops. Smallest neighbours are partial aggregates, so a
-    hub costs a row for each task; the joins have one row a node on one side.
-    Every round is cut to the shared checkpoint folder, so a lost executor
-    costs one round at most.
+    Each round points a node at its smallest neighbour, follows the pointers
+    to their end by doubling, contracts the edges and drops loops, so rounds
+    and doublings are few even for long chains. Smallest neighbours are partial
+    aggregates, so a hub costs a row for each task; the joins have one row a
+    node on one side. Every step is cut to the shared checkpoint folder, so a
+    lost executor costs one step at most.
     """
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     mapping = None
     while True:
         both = edges.select(F.col("b").alias("id"), F.col("a").alias("other")).unionByName(edges.select(F.col("a").alias("id"), F.col("b").alias("other")))
         step = both.groupBy("id").agg(F.min("other").alias("other")).select("id", F.least("id", "other").alias("root"))
-        step = cut(step)
-        jumped = step.join(step.select(F.col("id").alias("root"), F.col("root").alias("next")), "root").select("id", F.col("next").alias("root"))
+        jumped = cut(step)
+        while True:
+            further = jumped.join(jumped.select(F.col("id").alias("root"), F.col("root").alias("next")), "root")
+            further = cut(further.select("id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+            jumped = further.select("id", "root")
+            if further.filter("moved").isEmpty():
+                break
         if mapping is None:
-            mapping = cut(jumped)
+            mapping = jumped
         else:
             mapping = cut(mapping.join(jumped.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root")))
         left = jumped.select(F.col("id").alias("a"), F.col("root").alias("ra"))
