@@ -100,7 +100,7 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bo
     """(pid, path, text) of whole files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(normal_id(name).alias("pid"), "path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select(normal_id(name).alias("pid"), "path", F.decode("content", "UTF-8").alias("text"))
 
 
 def parse_mmcif(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -30,7 +30,7 @@ def read_hits(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
 
 def read_keys(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
     """Keys separated by white space, sorted and distinct; the first `skip` lines of each file are headings."""
-    files = spark.read.format("binaryFile").load(path).select(F.decode("content", F.lit("UTF-8")).alias("text"))
+    files = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("text"))
     lines = files.select(F.posexplode(F.split("text", "\r?\n")).alias("no", "line")).filter(F.col("no") >= skip)
     return lines.select(F.explode(F.split(F.trim("line"), r"\s+")).alias("key")).filter("key <> ''").distinct().orderBy("key")
 

@@ -13,7 +13,7 @@ from strandline.sources.structures import parse_mmcif
 def structure_stream(spark: SparkSession, folder: str, pattern: str = "*.cif", per_trigger: int = 1000) -> DataFrame:
     """New files of a folder as (pid, text)."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_trigger).load(folder)
-    return files.select(normal_id(F.element_at(F.split("path", "/"), -1)).alias("pid"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select(normal_id(F.element_at(F.split("path", "/"), -1)).alias("pid"), F.decode("content", "UTF-8").alias("text"))
 
 
 def ingest_structures(spark: SparkSession, folder: str, table: str, checkpoint: str, **options):
