@@ -331,7 +331,7 @@ def segment_block(keys: list[int], texts: list[str | None], vocabulary: Vocabula
     occurrences, per_text = [], []
     for t in texts:
         units = UNIT.findall(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE)) if t else []
-        occurrences += [numbers[u] for u in units]
+        occurrences.extend(map(numbers.__getitem__, units))
         per_text.append(len(units))
     lattice = Lattice(list(numbers), vocabulary)
     node = lattice.first[np.array(occurrences, np.int64)] if occurrences else np.empty(0, np.int64)
