@@ -42,22 +42,28 @@ def hex_order(col, seed: int):
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(col.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
-def sorted_groups(batches):
-    """A pyarrow table for each run of equal values in the first three columns of sorted batches."""
+def sorted_runs(batches):
+    """(table, bounds) of sorted batches: whole runs of equal values in the first three columns, and where each begins, with the end."""
     rest = None
     for b in batches:
         t = pa.Table.from_batches([b])
-        if rest is not None:
+        if rest is not None and rest.num_rows:
             t = pa.concat_tables([rest, t])
         key = np.stack([t.column(i).to_numpy() for i in range(3)])
         cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-        at = 0
-        for c in cuts:
-            yield t.slice(at, c - at)
-            at = c
-        rest = t.slice(at)
+        if len(cuts):
+            yield t.slice(0, cuts[-1]), np.concatenate(([0], cuts))
+            t = t.slice(cuts[-1])
+        rest = t
     if rest is not None and rest.num_rows:
-        yield rest
+        yield rest, np.array([0, rest.num_rows])
+
+
+def sorted_groups(batches):
+    """A table for each run of equal values in the first three columns of sorted batches."""
+    for t, bounds in sorted_runs(batches):
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield t.slice(a, b - a)
 
 
 def release_memory() -> None:

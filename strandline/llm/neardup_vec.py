@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.base import cut, lean, sorted_groups
+from strandline.llm.base import cut, lean, sorted_runs
 from strandline.llm.graph import components
 
 COSINE, TABLES, PROBES = 0.9, 10, 4
@@ -27,6 +27,8 @@ COSINE, TABLES, PROBES = 0.9, 10, 4
 MORE_TABLES = 6
 #: Buckets a table has for each vector, at least; and vectors of a bucket that one block holds.
 SPARSE, BLOCK = 32, 512
+#: Blocks of so few rows are verified together, many at a time; pairs that are at work at once.
+SMALL, PAIRS = 16, 1 << 15
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -128,46 +130,86 @@ def _local_groups(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _fresh(ci, cj, bucket, probes):
+    """Whether no smaller bucket is shared, for rows of codes of pairs that share `bucket`."""
+    fresh = np.ones(len(ci), bool)
+    for t in range(0, ci.shape[1], probes):
+        if len(ci) and ci[:, t : t + probes].min() >= bucket.max():
+            continue
+        for a in range(t, t + probes):
+            for b in range(t, t + probes):
+                fresh &= ~((ci[:, a] == cj[:, b]) & (ci[:, a] < bucket))
+    return fresh
+
+
+def _large(g, probes, cosine):
+    """(ids, links, smallest of the group) of one block."""
+    side = g.column("side").to_numpy()
+    order = np.lexsort((g.column("rep").to_numpy(), side))
+    g, side = g.take(order), side[order]
+    rep, mult = g.column("rep").to_numpy(), g.column("mult").to_numpy()
+    x = np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in g.column("unit")])
+    c = np.array(g.column("codes").to_pylist(), np.int64)
+    bucket, same = g.column("bucket")[0].as_py(), g.column("bi")[0].as_py() == g.column("bj")[0].as_py()
+    linked = x @ x.T >= cosine
+    linked &= ~np.eye(len(x), dtype=bool) if same else side[:, None] != side[None, :]
+    i, j = np.nonzero(np.triu(linked))
+    n = np.zeros(len(x))
+    for at in range(0, len(i), PAIRS):
+        a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+        fresh = _fresh(c[a], c[b], np.full(len(a), bucket), probes)
+        n += np.bincount(a[fresh], mult[b[fresh]], len(x)) + np.bincount(b[fresh], mult[a[fresh]], len(x))
+    hit = linked.any(axis=1)
+    return rep[hit], n[hit], rep[_local_groups(linked)][hit]
+
+
+def _small(t, starts, sizes, probes, cosine):
+    """The same for many blocks of a few rows: their pairs are formed at once, and a link is told where it is first met."""
+    rep, mult, side, bucket = (t.column(k).to_numpy() for k in ("rep", "mult", "side", "bucket"))
+    same = t.column("bi").to_numpy() == t.column("bj").to_numpy()
+    unit = t.column("unit").combine_chunks()
+    unit = unit.chunk(0) if isinstance(unit, pa.ChunkedArray) else unit
+    width = len(unit[0].as_buffer()) // 8
+    codes = np.array(t.column("codes").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(t.num_rows, -1)
+    x = np.frombuffer(b"".join(unit.to_pylist()), np.float64).reshape(-1, width)
+    first, second = [], []
+    for s in np.unique(sizes).tolist():
+        a, b = np.triu_indices(s, 1)
+        at = starts[sizes == s][:, None]
+        first.append((at + a).ravel())
+        second.append((at + b).ravel())
+    first, second = np.concatenate(first), np.concatenate(second)
+    keep = same[first] | (side[first] != side[second])
+    first, second = first[keep], second[keep]
+    out = []
+    for at in range(0, len(first), PAIRS):
+        i, j = first[at : at + PAIRS], second[at : at + PAIRS]
+        linked = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
+        i, j = i[linked], j[linked]
+        fresh = _fresh(codes[i], codes[j], bucket[i], probes) if len(i) else np.empty(0, bool)
+        i, j = i[fresh], j[fresh]
+        low = np.minimum(rep[i], rep[j])
+        out += [(rep[i], mult[j], low), (rep[j], mult[i], low)]
+    return [np.concatenate([o[k] for o in out]) for k in range(3)] if out else [np.empty(0)] * 3
+
+
 def _verified(probes, cosine):
-    """Blocks (bucket, bi, bj, side, rep, mult, unit, codes) -> (id, n, to): links counted here, smallest of its group in this block."""
+    """Blocks (bucket, bi, bj, side, rep, mult, unit, codes) -> (id, n, to): links counted here, and a smaller member of its group."""
+
+    def batch(found):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]).astype(np.int64)) for k in range(3)], names=["id", "n", "to"])
 
     def run(batches):
-        ids, counts, to = [], [], []
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, counts, to)], names=["id", "n", "to"])
-
-        for g in sorted_groups(batches):
-            side = g.column("side").to_numpy()
-            order = np.lexsort((g.column("rep").to_numpy(), side))
-            g, side = g.take(order), side[order]
-            rep, mult = g.column("rep").to_numpy(), g.column("mult").to_numpy()
-            x = np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in g.column("unit")])
-            c = np.array(g.column("codes").to_pylist(), np.int64)
-            bucket, same = g.column("bucket")[0].as_py(), g.column("bi")[0].as_py() == g.column("bj")[0].as_py()
-            linked = x @ x.T >= cosine
-            linked &= ~np.eye(len(x), dtype=bool) if same else side[:, None] != side[None, :]
-            i, j = np.nonzero(np.triu(linked))
-            if not len(i):
-                continue
-            fresh = np.ones(len(i), bool)  # no smaller bucket is shared
-            for t in range(0, c.shape[1], probes):
-                if c[:, t : t + probes].min() >= bucket:
-                    continue
-                for a in range(t, t + probes):
-                    for b in range(t, t + probes):
-                        fresh &= ~((c[i, a] == c[j, b]) & (c[i, a] < bucket))
-            n = np.bincount(i[fresh], mult[j[fresh]], len(x)) + np.bincount(j[fresh], mult[i[fresh]], len(x))
-            hit = linked.any(axis=1)
-            label = rep[_local_groups(linked)]
-            ids.append(rep[hit])
-            counts.append(n[hit])
-            to.append(label[hit])
-            if sum(map(len, ids)) >= 10_000:
-                yield out()
-                ids, counts, to = [], [], []
-        if ids:
-            yield out()
+        for t, bounds in sorted_runs(batches):
+            sizes, found = np.diff(bounds), []
+            lengths = {len(v.as_buffer()) for v in t.column("unit")} if t.num_rows else set()
+            few = (sizes <= SMALL) & (len(lengths) == 1)
+            if (few & (sizes > 1)).any():
+                found.append(_small(t, bounds[:-1][few & (sizes > 1)], sizes[few & (sizes > 1)], probes, cosine))
+            for k in np.flatnonzero(~few):
+                found.append(_large(t.slice(bounds[k], sizes[k]), probes, cosine))
+            if found:
+                yield batch(found)
 
     return run
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from strandline.llm import neardup_text as T
 from strandline.llm import neardup_vec as V
@@ -107,17 +108,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_vectors_match_brute_force(spark):
+@pytest.mark.parametrize("small", [0, 16])
+def test_vectors_match_brute_force(spark, small):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(120, 24))
     near = [x[i % 6] + rng.normal(size=24) * 0.05 for i in range(90)]
     data = [(i, v.tolist()) for i, v in enumerate([*x, *near, x[0], x[0], 2 * x[1]])]
     data += [(900, None), (901, []), (902, [0.0] * 24), (903, [None] + [1.0] * 23), (904, [float("nan")] + [1.0] * 23), (905, [1.0, 2.0]), (906, [2.0, 4.1]), (0, x[0].tolist())]
-    old, V.BLOCK = V.BLOCK, 8
+    old, V.BLOCK, V.SMALL = (V.BLOCK, V.SMALL), 8, small
     try:
-        got = V.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int, rep int".replace(", label int, rep int", ""))).collect()
+        got = V.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
     finally:
-        V.BLOCK = old
+        V.BLOCK, V.SMALL = old
     assert len(got) == len(data)
     ok = [(i, np.array(v)) for i, v in data if i < 900]
     m = np.stack([v / np.linalg.norm(v) for _, v in ok])
