@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
@@ -40,8 +41,9 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
-#: Bytes that decoding one text may produce in all; reached only by bombs, and then `truncated` is set.
-MAX_DECODED = 64 << 20
+#: Only decompression makes texts longer, so it alone is bounded. A payload may always grow by this factor; payloads of
+#: one text that grow by more share MAX_DECODED bytes. Beyond it a payload is read in part, and `truncated` is set.
+EXPANSION, MAX_DECODED = 32, 64 << 20
 
 PLACEHOLDER = "[SECRET]"
 
@@ -88,7 +90,7 @@ def matches(text: str) -> list[tuple[str, int, int]]:
 
 
 def inflate(data: bytes, room: int) -> tuple[bytes, bool]:
-    """Undo compression as long as there is any; no more than `room` bytes. True: something was cut."""
+    """Undo compression as long as there is any; no more than `room` bytes a step. True: something was cut."""
     seen = set()
     while MAGIC.match(data):
         mark = hashlib.blake2b(data, digest_size=16).digest()
@@ -97,25 +99,25 @@ def inflate(data: bytes, room: int) -> tuple[bytes, bool]:
         seen.add(mark)
         try:
             if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-                out = zlib.decompressobj(47).decompress(data, room)
+                out = zlib.decompressobj(47).decompress(data, room + 1)
             elif data[:3] == b"BZh":
-                out = bz2.BZ2Decompressor().decompress(data, room)
+                out = bz2.BZ2Decompressor().decompress(data, room + 1)
             else:
-                out = lzma.LZMADecompressor().decompress(data, room)
+                out = lzma.LZMADecompressor().decompress(data, room + 1)
         except (zlib.error, OSError, ValueError, lzma.LZMAError, EOFError):
             break
         if not out:
             break
-        data, room = out, room - len(out)
-        if room <= 0:
-            return data, True
+        data = out
+        if len(data) > room:
+            return data[:room], True
     return data, False
 
 
-def readable(data: bytes) -> str | None:
-    """The bytes as text, if they are text."""
+def readable(data: bytes, cut_short: bool = False) -> str | None:
+    """The bytes as text, if they are text; cut_short: the last character may be incomplete."""
     try:
-        text = data.decode("utf-8")
+        text = codecs.getincrementaldecoder("utf-8")().decode(data, not cut_short)
     except UnicodeDecodeError:
         return None
     return text if text and len(CONTROL.findall(text)) * 10 <= len(text) else None
@@ -125,7 +127,7 @@ def _substituted(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with every region that `decode` accepts replaced; decode: match -> (text, scale) or None."""
     text, parts, segments, at, pos = layer.text, [], [], 0, 0
     for m in pattern.finditer(text):
-        got = decode(m[0])
+        got = decode(m)
         if got is None:
             continue
         if m.start() > at:
@@ -146,39 +148,59 @@ def _substituted(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(parts), layer, segments)
 
 
-def children(layer: Layer, budget: list[int]):
-    """Layers one decoding step below. budget: bytes left, and whether any were refused."""
+class Budget:
+    """Bytes left for payloads of one text that grow much, what each payload was allowed, and ranges of the text not read to their end."""
 
-    def of_bytes(raw: bytes, scale: int):
-        out, cut_short = inflate(raw, max(budget[0], 1))
-        budget[1] |= cut_short
+    __slots__ = ("room", "allowed", "unopened")
+
+    def __init__(self):
+        self.room, self.allowed, self.unopened = MAX_DECODED, {}, set()
+
+
+def children(layer: Layer, budget: Budget):
+    """Layers one decoding step below."""
+
+    def opened(raw: bytes, m: re.Match):
+        """(the payload, whether it was cut short); a payload that several layers hold is charged once."""
+        if not MAGIC.match(raw):
+            return raw, False
+        mark, free = hashlib.blake2b(raw, digest_size=16).digest(), EXPANSION * len(raw)
+        fresh = mark not in budget.allowed
+        room = budget.allowed.setdefault(mark, max(free, budget.room))
+        out, cut_short = inflate(raw, room)
+        if fresh and len(out) > free:
+            budget.room -= len(out)
+        if cut_short:
+            budget.unopened.add(layer.origin(m.start(), m.end()))
+        return out, cut_short
+
+    def of_bytes(raw: bytes, scale: int, m: re.Match):
+        out, cut_short = opened(raw, m)
         if out is not raw:
-            text = readable(out)
+            text = readable(out, cut_short)
             return None if text is None else (text, 0)
         return (raw.decode("ascii"), scale) if raw.isascii() else (raw.decode("utf-8", "replace"), 0)
 
-    def percent(run):
-        return of_bytes(bytes.fromhex(run.replace("%", "")), 3)
+    def percent(m):
+        return of_bytes(bytes.fromhex(m[0].replace("%", "")), 3, m)
 
-    def byte_escape(run):
-        return of_bytes(bytes.fromhex(run.replace("\\x", "")), 4)
+    def byte_escape(m):
+        return of_bytes(bytes.fromhex(m[0].replace("\\x", "")), 4, m)
 
-    def unicode_escape(run):
-        units = bytes.fromhex(run.replace("\\u", ""))
+    def unicode_escape(m):
+        units = bytes.fromhex(m[0].replace("\\u", ""))
         text = units.decode("utf-16-be", "replace")
         return text, 6 if len(text) * 2 == len(units) else 0
 
-    def base64_token(run):
-        body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    def base64_token(m):
+        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:
             return None
         try:
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
         except binascii.Error:
             return None
-        out, cut_short = inflate(raw, max(budget[0], 1))
-        budget[1] |= cut_short
-        text = readable(out)
+        text = readable(*opened(raw, m))
         return None if text is None else (text, 0)
 
     for sign, pattern, decode in (("%", PERCENT, percent), ("\\u", UNICODE, unicode_escape), ("\\x", BYTE_ESCAPE, byte_escape), ("", BASE64, base64_token)):
@@ -187,10 +209,14 @@ def children(layer: Layer, budget: list[int]):
 
 
 def scan(text: str | None) -> dict:
-    """Base findings and all findings of one text (null: empty), with the number of decoded layers."""
+    """Base findings and all findings of one text (null: empty), with the number of decoded layers and the ranges not read to their end.
+
+    Every layer is opened, whatever the text's length: each step but
+    decompression makes a text shorter, so the worklist ends.
+    """
     text = text or ""
     base = matches(text)
-    every, work, layers, budget = set(base), [Layer(text)], 0, [MAX_DECODED, False]
+    every, work, layers, budget = set(base), [Layer(text)], 0, Budget()
     seen = None
     while work:
         layer = work.pop()
@@ -199,16 +225,12 @@ def scan(text: str | None) -> dict:
             mark = hashlib.blake2b(child.text.encode("utf-8", "replace"), digest_size=16).digest()
             if mark in seen:
                 continue
-            if len(child.text) > budget[0]:
-                budget[1] = True
-                continue
             seen.add(mark)
-            budget[0] -= len(child.text)
             layers += 1
             every.update((kind, *child.origin(s, e)) for kind, s, e in matches(child.text) if child.parent.parent is not None or child.decoded(s, e))
             work.append(child)
     order = lambda f: (f[1], KINDS.index(f[0]), f[2])
-    return {"base": sorted(base, key=order), "all": sorted(every, key=order), "layers": layers, "truncated": budget[1]}
+    return {"base": sorted(base, key=order), "all": sorted(every, key=order), "layers": layers, "truncated": bool(budget.unopened), "unopened": sorted(budget.unopened)}
 
 
 def told(findings) -> str:
@@ -216,7 +238,7 @@ def told(findings) -> str:
 
 
 def redact(text: str | None, findings) -> str | None:
-    """The text with every found range, overlapping ones as one, replaced by a placeholder."""
+    """The text with every found range (by start), overlapping ones as one, replaced by a placeholder."""
     if not text or not findings:
         return text
     parts, at = [], 0
@@ -260,13 +282,20 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """`docs` with every found secret in `text_col` replaced; rows and columns stay. `length_col` follows the new text if it is there."""
+    """`docs` with every found secret in `text_col` replaced; rows and columns stay. `length_col` follows the new text if it is there.
+
+    A payload that was not read to its end is replaced as a whole, as secrets may lie beyond.
+    """
+
+    def hidden(text):
+        found = scan(text)
+        return sorted(found["all"] + [("unopened", s, e) for s, e in found["unopened"]], key=lambda f: f[1])
 
     def run(batches):
         for b in batches:
             i = b.schema.get_field_index(text_col)
             texts = b.column(i).to_pylist()
-            new = [redact(t, scan(t)["all"]) for t in texts]
+            new = [redact(t, hidden(t)) for t in texts]
             b = b.set_column(i, b.schema.field(i), pa.array(new, b.schema.field(i).type))
             j = b.schema.get_field_index(length_col) if length_col else -1
             if j >= 0:

@@ -79,6 +79,40 @@ def test_bomb_is_bounded():
     assert S.scan(bomb)["truncated"]
 
 
+def test_long_texts_are_decoded_in_full(monkeypatch):
+    monkeypatch.setattr(S, "MAX_DECODED", 5000)
+    within = urllib.parse.quote(base64.b64encode(b"password=inner77 in base64 in percent").decode() + "==", safe="")
+    packed = base64.b64encode(gzip.compress(b"passwd=packed99 " + bytes(range(97, 122)) * 9)).decode()
+    text = "word " * 2000 + f"%74oken%3Dabcdef1 \\u0074oken=abcdef2 \\x74oken=abcdef3 {base64.b64encode(KEY.encode()).decode()} {within} {packed}"
+    found = S.scan(text)
+    assert not found["truncated"]
+    for part in ("%74oken%3Dabcdef1", "\\u0074oken=abcdef2", "\\x74oken=abcdef3", base64.b64encode(KEY.encode()).decode(), within, packed):
+        at = text.index(part)
+        assert any(at <= s < e <= at + len(part) for _, s, e in found["all"]), part
+
+
+def test_a_payload_is_charged_once(monkeypatch):
+    monkeypatch.setattr(S, "MAX_DECODED", 5000)
+    payload = base64.b64encode(zlib.compress(b"a" * 4000 + b" " + KEY.encode(), 9)).decode()
+    found = S.scan(f"{payload} %20 {payload} \\x20")
+    assert found["layers"] > 2 and not found["truncated"]
+    assert len([f for f in found["all"] if f[0] == "assign"]) == 2
+
+
+def test_a_bomb_does_not_close_other_payloads(spark, monkeypatch):
+    monkeypatch.setattr(S, "MAX_DECODED", 5000)
+    bomb, other = (base64.b64encode(zlib.compress(t, 9)).decode() for t in (b"a" * 9000 + KEY.encode(), KEY.encode()))
+    found = S.scan(f"{bomb} {other}")
+    assert found["truncated"] and found["unopened"] == [(0, len(bomb))]
+    assert ("assign", len(bomb) + 1, len(bomb) + 1 + len(other)) in found["all"]
+
+
+def test_payloads_not_read_to_their_end_are_redacted(spark):
+    bomb = base64.b64encode(zlib.compress(b"a" * (S.MAX_DECODED + 10) + KEY.encode(), 9)).decode()
+    docs = spark.createDataFrame([(1, f"see {bomb} end", 0)], "doc_id long, text string, n_chars long")
+    assert S.redact_secrets(docs).first()["text"] == f"see {S.PLACEHOLDER} end"
+
+
 def test_redact():
     text = f"a {KEY} b {'0' * 30} c"
     assert S.redact(text, S.scan(text)["all"]) == f"a {S.PLACEHOLDER} b {S.PLACEHOLDER} c"
