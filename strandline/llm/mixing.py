@@ -63,7 +63,8 @@ def schedule(targets: DataFrame, slots: int, block_words: int) -> DataFrame:
     t = t.withColumn("hi", F.sum("target").over(upto_now) / F.col("goal"))
     t = t.withColumn("lo", F.lag("hi", 1, 0.0).over(W.partitionBy(F.lit(0)).orderBy("skey")))
     t = t.withColumn("hi", F.when(F.lead("skey").over(W.partitionBy(F.lit(0)).orderBy("skey")).isNull(), F.lit(2.0)).otherwise(F.col("hi")))
-    t = t.select("skey", "blocks", "rounds", "rest", "needed", "lo", "hi")
+    t = t.withColumn("at", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("skey")) - 1).withColumn("sources", F.count(F.lit(1)).over(W.partitionBy(F.lit(0))))
+    t = t.select("skey", "blocks", "rounds", "rest", "needed", "lo", "hi", "at", "sources")
     by_cell = t.select("skey", "lo", "hi", F.explode(F.expr(f"sequence(least({CELLS - 1}, cast(floor(lo * {CELLS}) as int)), least({CELLS - 1}, cast(floor(hi * {CELLS}) as int)))")).alias("cell"))
     point = (F.col("id") + F.lit(0.5)) * F.lit(GOLDEN)
     points = spark.range(slots).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("u")).withColumn("cell", F.least(F.lit(CELLS - 1), F.floor(F.col("u") * CELLS).cast("int")))
@@ -77,24 +78,16 @@ def schedule(targets: DataFrame, slots: int, block_words: int) -> DataFrame:
     ranked = ranked.select("skey", "slot", (F.col("start") + F.col("rn") - 1).alias("rank"))
     given = dealt.groupBy("skey").agg(F.count(F.lit(1)).alias("given"))
     t = t.join(given, "skey", "left").withColumn("given", F.coalesce("given", F.lit(0)))
-    closing = t.filter("needed > given").select("skey", F.explode(F.expr("sequence(given, needed - 1)")).alias("rank"))
-    every = ranked.unionByName(closing.select("skey", (F.lit(slots) + F.col("rank")).alias("slot"), "rank"))
+    closing = t.filter("needed > given").select("skey", "at", "sources", F.explode(F.expr("sequence(given, needed - 1)")).alias("rank"))
+    # Closing slots come after all others, by rank, and no two sources share one.
+    every = ranked.unionByName(closing.select("skey", (F.lit(slots) + F.col("rank") * F.col("sources") + F.col("at")).alias("slot"), "rank"))
     used = every.join(t.select("skey", "blocks", "rounds", "rest", "needed"), "skey").filter("rank < needed")
     full, last = F.lit(block_words), F.expr(f"rest - (rank - rounds * blocks) * {block_words}")
     return used.select("skey", "slot", "rank", F.expr("rank % blocks").alias("block"), F.when(F.expr("rank div blocks >= rounds"), F.least(full, last)).otherwise(full).alias("upto"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share=SHARE, cap=CAP, block_words: int = 256, seed: int = 17, extra: dict | None = None) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source, *extra) for each row of `docs`.
-
-    Null text: size 0, taken 0. A null source is a source, the last one.
-    Repeated rows each have words of their own. Ties in the order key fall by
-    id and size, so reruns agree. Empty table: empty result. Only ids, sizes
-    and sources are shuffled; a source's rows are ordered in hashed parts of
-    about the square root of all rows, so no task gets a whole source.
-    `extra`: further columns to carry, name -> Column.
-    """
-    extra = extra or {}
+def _scheduled(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share, cap, block_words: int, seed: int, extra: dict) -> tuple[DataFrame, DataFrame]:
+    """Each reading of a row's words in a slot, in the schedule's numbering (slot null: words never read), and the rows without words."""
     skey = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
     base = cut(docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), skey.alias("skey"), hex_order(F.col(id_col), seed).alias("okey"), *[c.alias(k) for k, c in extra.items()]))
     rows = base.count()
@@ -110,16 +103,46 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     inside = W.partitionBy("skey", "part").orderBy("okey", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     placed = base.withColumn("upto_here", F.sum("size").over(inside)).join(offsets, ["skey", "part"]).withColumn("a", F.col("start") + F.col("upto_here") - F.col("size"))
     kept = ["doc_id", "size", "source_size", "target", "source", *extra]
-    none = placed.filter("size = 0").select(*kept, F.lit(0).cast("long").alias("taken"))
+    none = placed.filter("size = 0").select(*kept)
     pieces = placed.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(a div {block_words}, (a + size - 1) div {block_words})")))
     pieces = pieces.select("skey", "a", *kept, "block", F.expr(f"greatest(a - block * {block_words}, 0)").alias("from_"), F.expr(f"least(a + size - block * {block_words}, {block_words})").alias("to_"))
-    taken = pieces.join(slots.select("skey", "block", "upto"), ["skey", "block"], "left").withColumn("got", F.when(F.col("upto").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least("to_", "upto") - F.col("from_"))))
-    some = taken.groupBy("skey", "a", *kept).agg(F.sum("got").cast("long").alias("taken"))
-    return some.select(*kept, "taken").unionByName(none).select("doc_id", "size", "source_size", "target", "taken", "source", *extra)
+    read = pieces.join(slots.select("skey", "block", "slot", "upto"), ["skey", "block"], "left").withColumn("slot", F.when(F.col("upto") > F.col("from_"), F.col("slot")))
+    before = F.col("block") * F.lit(block_words) - F.col("a")
+    return read.select("skey", "a", *kept, "slot", F.col("from_").alias("at"), (before + F.col("from_")).alias("word_from"), (before + F.least("to_", F.coalesce("upto", "to_"))).alias("word_to")), none
+
+
+def interleave_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share=SHARE, cap=CAP, block_words: int = 256, seed: int = 17, extra: dict | None = None) -> DataFrame:
+    """The mix itself: (slot, at, source, doc_id, word_from, word_to, *extra), a row for each reading of words word_from <= w < word_to of a row.
+
+    Ordered by (slot, at) the rows are the interleaved stream; `at` is the
+    first word's place in its slot. All words of a slot are of one source.
+    Rows and options are those of `mix_sources`.
+    """
+    extra = extra or {}
+    read, _ = _scheduled(docs, id_col, text_col, source_col, weights, share, cap, block_words, seed, extra)
+    return read.filter("slot is not null").select("slot", "at", "source", "doc_id", "word_from", "word_to", *extra)
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share=SHARE, cap=CAP, block_words: int = 256, seed: int = 17, extra: dict | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, source, *extra) for each row of `docs`; taken: its words in `interleave_sources`.
+
+    Null text: size 0, taken 0. A null source is a source, the last one.
+    Repeated rows each have words of their own. Ties in the order key fall by
+    id and size, so reruns agree. Empty table: empty result. Only ids, sizes
+    and sources are shuffled; a source's rows are ordered in hashed parts of
+    about the square root of all rows, so no task gets a whole source.
+    `extra`: further columns to carry, name -> Column.
+    """
+    extra = extra or {}
+    read, none = _scheduled(docs, id_col, text_col, source_col, weights, share, cap, block_words, seed, extra)
+    kept = ["doc_id", "size", "source_size", "target", "source", *extra]
+    got = F.when(F.col("slot").isNull(), F.lit(0)).otherwise(F.col("word_to") - F.col("word_from"))
+    some = read.groupBy("skey", "a", *kept).agg(F.sum(got).cast("long").alias("taken"))
+    return some.select(*kept, "taken").unionByName(none.withColumn("taken", F.lit(0).cast("long"))).select("doc_id", "size", "source_size", "target", "taken", "source", *extra)
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: each row of `docs` as often as the schedule reads it, columns as they are.
+    """The mix in whole documents: each row of `docs` as often as the schedule reads it, columns as they are.
 
     A document counts as read once for each full reading, a last reading by
     the nearest whole number; each source has at most one read in part.

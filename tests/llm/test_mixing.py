@@ -67,6 +67,31 @@ def test_schedule_is_even(spark):
         assert abs(a - n / 2) <= 2
 
 
+def test_stream_is_the_mix(spark):
+    data = [(i, " ".join(f"w{i}_{k}" for k in range(i % 37)), "hot" if i % 3 else f"s{i % 5}") for i in range(900)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    stream = sorted(M.interleave_sources(docs, block_words=32).collect(), key=lambda r: (r["slot"], r["at"]))
+    by, taken, slots = {i: (t.split(), s) for i, t, s in data}, defaultdict(int), defaultdict(list)
+    for r in stream:
+        assert 0 <= r["word_from"] < r["word_to"] <= len(by[r["doc_id"]][0]) and r["source"] == by[r["doc_id"]][1]
+        taken[r["doc_id"]] += r["word_to"] - r["word_from"]
+        slots[r["slot"]].append(r)
+    assert {r["doc_id"]: r["taken"] for r in M.mix_sources(docs, block_words=32).collect()} == {i: taken[i] for i in by}
+    # A slot reads one block of one source from its start, without gaps.
+    words = defaultdict(int)
+    total = sum(taken.values())
+    share = {s: sum(taken[i] for i in by if by[i][1] == s) / total for s in {d[2] for d in data}}
+    for n, slot in enumerate(sorted(slots)):
+        at = 0
+        for r in slots[slot]:
+            assert r["at"] == at and r["source"] == slots[slot][0]["source"]
+            at += r["word_to"] - r["word_from"]
+        assert at <= 32
+        words[slots[slot][0]["source"]] += at
+        if n % 20 == 19:
+            assert all(abs(words[s] - share[s] * sum(words.values())) <= 32 * 5 for s in share)
+
+
 def test_documents_follow_the_mix(spark):
     data = [(i, "w " * 10, f"s{i % 3}", i) for i in range(300)]
     docs = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long")
