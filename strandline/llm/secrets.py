@@ -11,7 +11,6 @@ a finding is reported at the characters of the original text it comes from.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import codecs
 import hashlib
@@ -37,7 +36,12 @@ WORDS = ("token", "password", "passwd", "secret", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
 BYTE_ESCAPE = re.compile(r"(?:\\x[0-9A-Fa-f]{2})+")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: One token, or lines of one width and a last one that is no longer.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{1,15}(?![A-Za-z0-9+/_-]))?={0,2}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+TOKEN_MIN = 16
+#: Text within other bytes, as long as a shortest token holds.
+RUN = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
 MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
@@ -89,6 +93,26 @@ def matches(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def members(data: bytes, room: int) -> tuple[bytes, bool]:
+    """What all members or streams of one compressed payload hold, up to `room` bytes; what follows them is ignored. True: something was cut."""
+    parts, size = [], 0
+    while MAGIC.match(data):
+        kind = bz2.BZ2Decompressor if data[:3] == b"BZh" else lzma.LZMADecompressor if data[:1] == b"\xfd" else lambda: zlib.decompressobj(47)
+        one = kind()
+        try:
+            out = one.decompress(data, room + 1 - size)
+        except (zlib.error, OSError, ValueError, lzma.LZMAError, EOFError):
+            break
+        parts.append(out)
+        size += len(out)
+        if size > room:
+            return b"".join(parts)[:room], True
+        if not one.eof:
+            break
+        data = one.unused_data.lstrip(b"\0")
+    return b"".join(parts), False
+
+
 def inflate(data: bytes, room: int) -> tuple[bytes, bool]:
     """Undo compression as long as there is any; no more than `room` bytes a step. True: something was cut."""
     seen = set()
@@ -97,20 +121,12 @@ def inflate(data: bytes, room: int) -> tuple[bytes, bool]:
         if mark in seen:
             break
         seen.add(mark)
-        try:
-            if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-                out = zlib.decompressobj(47).decompress(data, room + 1)
-            elif data[:3] == b"BZh":
-                out = bz2.BZ2Decompressor().decompress(data, room + 1)
-            else:
-                out = lzma.LZMADecompressor().decompress(data, room + 1)
-        except (zlib.error, OSError, ValueError, lzma.LZMAError, EOFError):
-            break
+        out, cut_short = members(data, room)
+        if cut_short:
+            return out, True
         if not out:
             break
         data = out
-        if len(data) > room:
-            return data[:room], True
     return data, False
 
 
@@ -124,22 +140,18 @@ def readable(data: bytes, cut_short: bool = False) -> str | None:
 
 
 def _substituted(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """The layer with every region that `decode` accepts replaced; decode: match -> (text, scale) or None."""
+    """The layer with every region that `decode` accepts replaced; decode: match -> [(from, to, text, scale)], in order."""
     text, parts, segments, at, pos = layer.text, [], [], 0, 0
-    for m in pattern.finditer(text):
-        got = decode(m)
-        if got is None:
-            continue
-        if m.start() > at:
-            segments.append((pos, pos + m.start() - at, at, m.start(), 1))
-            parts.append(text[at : m.start()])
-            pos += m.start() - at
-        out, scale = got
+    for start, end, out, scale in (found for m in pattern.finditer(text) for found in decode(m)):
+        if start > at:
+            segments.append((pos, pos + start - at, at, start, 1))
+            parts.append(text[at:start])
+            pos += start - at
         if out:
-            segments.append((pos, pos + len(out), m.start(), m.end(), scale))
+            segments.append((pos, pos + len(out), start, end, scale))
             parts.append(out)
             pos += len(out)
-        at = m.end()
+        at = end
     if not any(s[4] != 1 for s in segments):
         return None
     if at < len(text):
@@ -160,7 +172,7 @@ class Budget:
 def children(layer: Layer, budget: Budget):
     """Layers one decoding step below."""
 
-    def opened(raw: bytes, m: re.Match):
+    def opened(raw: bytes, start: int, end: int):
         """(the payload, whether it was cut short); a payload that several layers hold is charged once."""
         if not MAGIC.match(raw):
             return raw, False
@@ -171,15 +183,15 @@ def children(layer: Layer, budget: Budget):
         if fresh and len(out) > free:
             budget.room -= len(out)
         if cut_short:
-            budget.unopened.add(layer.origin(m.start(), m.end()))
+            budget.unopened.add(layer.origin(start, end))
         return out, cut_short
 
     def of_bytes(raw: bytes, scale: int, m: re.Match):
-        out, cut_short = opened(raw, m)
+        out, cut_short = opened(raw, *m.span())
         if out is not raw:
             text = readable(out, cut_short)
-            return None if text is None else (text, 0)
-        return (raw.decode("ascii"), scale) if raw.isascii() else (raw.decode("utf-8", "replace"), 0)
+            return [] if text is None else [(*m.span(), text, 0)]
+        return [(*m.span(), *((raw.decode("ascii"), scale) if raw.isascii() else (raw.decode("utf-8", "replace"), 0)))]
 
     def percent(m):
         return of_bytes(bytes.fromhex(m[0].replace("%", "")), 3, m)
@@ -190,20 +202,65 @@ def children(layer: Layer, budget: Budget):
     def unicode_escape(m):
         units = bytes.fromhex(m[0].replace("\\u", ""))
         text = units.decode("utf-16-be", "replace")
-        return text, 6 if len(text) * 2 == len(units) else 0
+        return [(*m.span(), text, 6 if len(text) * 2 == len(units) else 0)]
 
-    def base64_token(m):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+    def base64_whole(tokens):
+        """The tokens, one after another, as one payload."""
+        body = "".join(t[0] for t in tokens).rstrip("=").replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:
-            return None
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        except binascii.Error:
-            return None
-        text = readable(*opened(raw, m))
-        return None if text is None else (text, 0)
-
-    for sign, pattern, decode in (("%", PERCENT, percent), ("\\u", UNICODE, unicode_escape), ("\\x", BYTE_ESCAPE, byte_escape), ("", BASE64, base64_token)):
+            return []
+        start, end = tokens[0].start(), tokens[-1].end()
+        text = readable(*opened(base64.b64decode(body + "=" * (-len(body) % 4)), start, end))
+        return [] if text is None else [(start, end, text, 0)]
+
+    def base64_within(tokens):
+        """Texts and compressed payloads within the tokens, as words and paths glued to base64 shift its start."""
+        body = "".join(t[0] for t in tokens).rstrip("=").replace("-", "+").replace("_", "/")
+        starts = [0]
+        for t in tokens:
+            starts.append(starts[-1] + len(t[0]))
+
+        def place(i):
+            k = min(bisect_right(starts, i), len(tokens)) - 1
+            return tokens[k].start() + i - starts[k]
+
+        found = []
+        for shift in range(4):
+            part = body[shift:]
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            raw = base64.b64decode(part + "=" * (-len(part) % 4))
+            spans = [(m.start(), m.end(), m[0].decode("utf-8", "ignore")) for m in RUN.finditer(raw)]
+            for m in MAGIC.finditer(raw):
+                # The first bytes tell most of what only looks like a deflated payload.
+                head = raw[m.start() : m.start() + 1024]
+                if head[:1] in b"\x1f\x78" and inflate(head, 64)[0] is head:
+                    continue
+                text = readable(*opened(raw[m.start() :], place(shift + m.start() * 4 // 3), tokens[-1].end()))
+                if text is not None:
+                    spans.append((m.start(), len(raw), text))
+                    break
+            found += [(place(shift + s * 4 // 3), place(min(shift + -(-e * 4 // 3), len(body)) - 1) + 1, text, 0) for s, e, text in spans]
+        chosen: list[tuple] = []
+        for f in sorted(found, key=lambda f: (f[0], -f[1])):
+            if chosen and f[0] < chosen[-1][1]:
+                if len(f[2]) > len(chosen[-1][2]):
+                    chosen[-1] = f
+            else:
+                chosen.append(f)
+        return chosen
+
+    def base64_tokens(m):
+        tokens = list(TOKEN.finditer(layer.text, *m.span()))
+        if len(tokens) > 1 and len({len(t[0]) for t in tokens[:-1]}) == 1 and len(tokens[-1][0]) <= len(tokens[0][0]):
+            if whole := base64_whole(tokens) or len(tokens) > 2 and base64_whole(tokens[:-1]):
+                return whole
+        out = []
+        for t in tokens:
+            if len(t[0].rstrip("=")) >= TOKEN_MIN:
+                out += base64_whole([t]) or base64_within([t])
+        return out or (base64_within(tokens) if len(tokens) > 1 else [])
+
+    for sign, pattern, decode in (("%", PERCENT, percent), ("\\u", UNICODE, unicode_escape), ("\\x", BYTE_ESCAPE, byte_escape), ("", BASE64, base64_tokens)):
         if sign in layer.text and (child := _substituted(layer, pattern, decode)) is not None:
             yield child
 

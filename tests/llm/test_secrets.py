@@ -91,6 +91,29 @@ def test_long_texts_are_decoded_in_full(monkeypatch):
         assert any(at <= s < e <= at + len(part) for _, s, e in found["all"]), part
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_every_member_of_a_payload_is_read(pack):
+    text = base64.b64encode(pack(b"first member ") + pack(KEY.encode())).decode()
+    assert ("assign", 0, len(text)) in S.scan(text)["all"]
+
+
+@pytest.mark.parametrize("before", ["https://host/p/", "https://host/pa/", "key-", "some_word_", "a/b/c/d/"])
+@pytest.mark.parametrize("payload", [KEY.encode(), gzip.compress(KEY.encode() * 3), zlib.compress(b"x " + KEY.encode()), bz2.compress(KEY.encode()), lzma.compress(KEY.encode())])
+def test_base64_glued_to_words(before, payload):
+    hidden = base64.urlsafe_b64encode(payload).decode()
+    text = f"see {before}{hidden} end"
+    found = [f for f in S.scan(text)["all"] if f[0] == "assign"]
+    assert found and all(4 <= s and abs(s - text.index(hidden)) <= 16 and e <= len(text) - 4 for _, s, e in found)
+
+
+@pytest.mark.parametrize("payload", [gzip.compress(bytes(range(256)).hex().encode() + KEY.encode()), b"text before it is fifty " * 2 + KEY.encode() + b" after"])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+def test_base64_over_lines(payload, end):
+    whole = base64.b64encode(payload).decode()
+    text = "data:\n" + end.join(whole[i : i + 76] for i in range(0, len(whole), 76)) + "\nend"
+    assert "assign" in {k for k, *_ in S.scan(text)["all"]}
+
+
 def test_a_payload_is_charged_once(monkeypatch):
     monkeypatch.setattr(S, "MAX_DECODED", 5000)
     payload = base64.b64encode(zlib.compress(b"a" * 4000 + b" " + KEY.encode(), 9)).decode()
