@@ -1,4 +1,5 @@
 import json
+import random
 
 import numpy as np
 import pytest
@@ -200,3 +201,15 @@ def test_shuffled_rows_give_the_same(spark):
     a = ensemble.rmsd_pairs(ensemble.as_models(p)).orderBy("m1", "m2").collect()
     b = ensemble.rmsd_pairs(ensemble.as_models(p.orderBy(F.rand(1)).repartition(7))).orderBy("m1", "m2").collect()
     assert json.dumps([round(r["rmsd"], 9) for r in a]) == json.dumps([round(r["rmsd"], 9) for r in b])
+
+
+def test_word_hits_read_whole_texts(spark):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("acgt") for _ in range(n))
+    q = [(i, letters(60)) for i in range(3)]
+    # Passages before and after character 30,000, one at the very end, and a text shorter than a word.
+    t = [(10, letters(100) + q[0][1] + letters(31_000) + q[1][1] + letters(500)), (11, letters(40_000) + q[2][1][:40]), (12, "acgt"), (13, letters(200))]
+    words = lambda x: {x[i : i + 24] for i in range(len(x) - 23)}
+    want = {(a, b, len(words(x) & words(y))) for a, x in q for b, y in t if len(words(x) & words(y)) >= 2}
+    frames = [spark.createDataFrame(rows, "id long, seq string") for rows in (q, t)]
+    assert {tuple(r) for r in seqsearch.word_hits(*frames, 24, 2).select("query", "target", "shared").collect()} == want and len(want) == 3
