@@ -2,17 +2,25 @@
 
 The decoder reads prefix codes, backward references, the colour cache, groups
 of codes, and undoes the predictor, cross-colour, subtract-green and palette
-transforms. Where only the green code carries information, as in grey images,
-it decodes without a loop over pixels: the code that begins at each bit is
-looked up for all bits at once, and the chain of codes is followed by doubled
-jumps.
+transforms. Where only the green code carries information, as in palette
+images, it decodes without a loop over pixels: the code that begins at each
+bit is looked up for all bits at once, and the chain of codes is followed by
+doubled jumps.
+
+The encoder stores two bytes of a payload as one pixel, its green and red.
+Repeats become backward references, colours seen lately are taken from the
+cache where that is shorter, and few colours become a palette. Bytes of text
+have no smoothness that predictor, cross-colour or subtract-green could use,
+so where no palette is written each of these three is dealt to a sixteenth of
+the images by the payload's checksum: reading a corpus back undoes every
+transform of the format, and equal payloads have equal media.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,86 +46,101 @@ class Corrupt(ValueError):
     """The bytes are not a lossless WebP image."""
 
 
+#: Windows that a reader keeps: 25 bits from each bit on.
+WINDOWS, PAST = 1 << 16, 256
+
+
+def windows(data: bytes, first: int, count: int) -> np.ndarray:
+    """The 25 bits and more from each bit of `count` bytes on, beginning at byte `first`; zeros after the end."""
+    raw = np.frombuffer(data, np.uint8, max(0, min(count + 3, len(data) - first)), min(first, len(data)))
+    raw = np.concatenate((raw, np.zeros(count + 3 - len(raw), np.uint8))).astype(np.uint32)
+    word = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
+    return (word[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)
+
+
 class Bits:
-    """Reads little-endian bit fields."""
+    """Reads little-endian bit fields of up to 25 bits."""
 
     def __init__(self, data: bytes):
         self.data, self.pos, self.end = data, 0, len(data) * 8
+        self.base, self.view = 0, []
+
+    def room(self, n: int) -> int:
+        """Load windows so that the next n bits have theirs, or all that are left; the place of `pos` among them."""
+        if self.pos - self.base + n > len(self.view) and self.base + len(self.view) < self.end + PAST:
+            first = self.pos >> 3
+            self.base = first << 3
+            self.view = windows(self.data, first, min((max(n, WINDOWS) >> 3) + 8, max(0, len(self.data) - first) + (PAST >> 3))).tolist()
+        return self.pos - self.base
 
     def read(self, n: int) -> int:
         if self.pos + n > self.end:
             raise Corrupt("the data end early")
-        first = self.pos >> 3
-        out = int.from_bytes(self.data[first : (self.pos + n + 7) >> 3], "little") >> (self.pos & 7) & ((1 << n) - 1)
+        at = self.room(32)
+        out = self.view[at] & ((1 << n) - 1)
         self.pos += n
         return out
 
-    def peek(self) -> int:
-        """The next 15 bits; zeros after the end."""
-        first = self.pos >> 3
-        return int.from_bytes(self.data[first : first + 3], "little") >> (self.pos & 7) & 0x7FFF
+
+@cache
+def reversal(n: int) -> np.ndarray:
+    """All numbers of n bits with their bits in reverse order."""
+    return REVERSED[: 1 << n] >> (MAX_BITS - n)
 
 
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """Bit-reversed canonical code words."""
-    count = np.bincount(lengths, minlength=MAX_BITS + 1)
-    count[0] = 0
-    first, code = np.zeros(MAX_BITS + 2, np.int64), 0
-    for n in range(1, MAX_BITS + 1):
-        code = (code + count[n - 1]) << 1
-        first[n] = code
     out = np.zeros(len(lengths), np.int64)
     used = np.flatnonzero(lengths)
-    order = used[np.argsort(lengths[used], kind="stable")]
-    n = lengths[order]
-    start = np.concatenate(([0], np.cumsum(count)))[n]
-    word = first[n] + np.arange(len(order)) - start
-    out[order] = REVERSED[word & 0x7FFF] >> (MAX_BITS - n)
+    if len(used):
+        order = used[np.argsort(lengths[used], kind="stable")]
+        n = lengths[order].astype(np.int64)
+        longest = int(n[-1])
+        # In order of length each word begins where the words before it end.
+        place = np.cumsum(1 << (longest - n)) - (1 << (longest - n))
+        out[order] = REVERSED[place >> (longest - n)] >> (MAX_BITS - n)
     return out
 
 
 class Code:
-    """A prefix code as a table over the next 15 bits: length << 16 | symbol. A single symbol takes no bits."""
-
-    def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
-        self.single = int(used[0]) if len(used) == 1 else 0 if not len(used) else None
-        self.table = None
-        if self.single is not None:
+    """A prefix code as a table over the next `bits` bits: length << 16 | symbol. A single symbol takes no bits."""
+
+    def __init__(self, lengths: np.ndarray | None, single: int = 0):
+        self.table, self.bits = None, 0
+        if lengths is not None:
+            used = np.flatnonzero(lengths)
+            single = int(used[0]) if len(used) == 1 else 0 if not len(used) else None
+        self.single = single
+        if single is not None:
+            self.rows = [single]
             return
-        n = lengths[used].astype(np.int64)
-        if (1 << (MAX_BITS - n)).sum() != 1 << MAX_BITS:
+        order = used[np.argsort(lengths[used], kind="stable")]
+        n = lengths[order].astype(np.int64)
+        self.bits = int(n[-1])
+        share = 1 << (self.bits - n)
+        if share.sum() != 1 << self.bits:
             raise Corrupt("a prefix code is not complete")
-        self.table = np.zeros(1 << MAX_BITS, np.int32)
-        # By length: a word of n bits fills every 2^n-th place.
-        for s, size, word in zip(used.tolist(), n.tolist(), canonical(lengths)[used].tolist(), strict=True):
-            self.table[word :: 1 << size] = size << 16 | s
+        self.table = np.repeat((n << 16 | order).astype(np.int32), share)[reversal(self.bits)]
+        self.rows = self.table.tolist()
 
     def at(self, view: np.ndarray) -> np.ndarray:
         """length << 16 | symbol for many windows."""
-        return np.full(len(view), self.single, np.int32) if self.table is None else self.table[view & np.uint32(0x7FFF)]
-
-    def read(self, bits: Bits) -> int:
-        if self.table is None:
-            return self.single
-        x = int(self.table[bits.peek()])
-        bits.pos += x >> 16
-        if bits.pos > bits.end:
-            raise Corrupt("the data end early")
-        return x & 0xFFFF
+        return np.full(len(view), self.single, np.int32) if self.table is None else self.table[view & np.uint32((1 << self.bits) - 1)]
 
 
 def read_code(bits: Bits, alphabet: int) -> Code:
-    lengths = np.zeros(alphabet, np.int64)
     if bits.read(1):
         two = bits.read(1)
-        symbols = [bits.read(8 if bits.read(1) else 1)]
-        if two:
-            symbols.append(bits.read(8))
-        if max(symbols) >= alphabet:
+        first = bits.read(8 if bits.read(1) else 1)
+        second = bits.read(8) if two else first
+        if max(first, second) >= alphabet:
             raise Corrupt("a symbol is outside its alphabet")
-        lengths[symbols] = 1
+        if first == second:
+            return Code(None, first)
+        lengths = np.zeros(alphabet, np.int64)
+        lengths[[first, second]] = 1
         return Code(lengths)
+    lengths = np.zeros(alphabet, np.int64)
     of_lengths = np.zeros(19, np.int64)
     for i in range(4 + bits.read(4)):
         of_lengths[LENGTH_ORDER[i]] = bits.read(3)
@@ -125,20 +148,38 @@ def read_code(bits: Bits, alphabet: int) -> Code:
     room = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     if room > alphabet:
         raise Corrupt("too many code lengths")
-    at, last = 0, 8
+    here = bits.room(14 * room + 64)
+    view, rows, mask = bits.view, code.rows, (1 << code.bits) - 1
+    at, last, p, found = 0, 8, here, []
     while at < alphabet and room:
         room -= 1
-        n = code.read(bits)
+        e = rows[view[p] & mask]
+        p += e >> 16
+        n = e & 0xFFFF
         if n < 16:
-            lengths[at] = n
+            if n:
+                found.append((at, n))
+                last = n
             at += 1
-            last = n or last
             continue
-        value, times = (last, 3 + bits.read(2)) if n == 16 else (0, 3 + bits.read(3)) if n == 17 else (0, 11 + bits.read(7))
-        if at + times > alphabet:
-            raise Corrupt("code lengths run over")
-        lengths[at : at + times] = value
+        if n == 16:
+            times = 3 + (view[p] & 3)
+            p += 2
+            found += [(at + i, last) for i in range(times)]
+        elif n == 17:
+            times = 3 + (view[p] & 7)
+            p += 3
+        else:
+            times = 11 + (view[p] & 127)
+            p += 7
         at += times
+        if at > alphabet:
+            raise Corrupt("code lengths run over")
+    bits.pos += p - here
+    if bits.pos > bits.end:
+        raise Corrupt("the data end early")
+    for at, n in found:
+        lengths[at] = n
     return Code(lengths)
 
 
@@ -163,10 +204,8 @@ JUMPS = 5
 
 def _grey(bits: Bits, codes: list[Code], width: int, total: int) -> np.ndarray:
     """Green samples of an image whose other channels are constant; no colour cache, one group."""
-    raw = np.frombuffer(bits.data, np.uint8)
-    raw = np.concatenate((raw[bits.pos >> 3 :], np.zeros(8, np.uint8))).astype(np.uint32)
-    word = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
-    view = (word[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)
+    first = bits.pos >> 3
+    view = windows(bits.data, first, len(bits.data) - first + 5)
     here = codes[0].at(view)
     size, symbol = here >> 16, here & 0xFFFF
     if codes[0].table is None:
@@ -260,33 +299,76 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     total = width * height
     if groups == 1 and not cache_size and all(c.single is not None for c in sets[0][1:4]):
         red, blue, alpha = (c.single for c in sets[0][1:4])
+        if (sets[0][0].single or 0) < LITERALS and sets[0][0].table is None:
+            return np.full((height, width), alpha << 24 | red << 16 | sets[0][0].single << 8 | blue, np.uint32)
         green = _grey(bits, sets[0], width, total).astype(np.uint32)
         return (np.uint32(alpha << 24 | red << 16 | blue) | green << np.uint32(8)).reshape(height, width)
-    out, cache, at = [0] * total, [0] * cache_size, 0
-    while at < total:
-        group = sets[int(meta[(at // width) >> shift, (at % width) >> shift])] if meta is not None else sets[0]
-        s = group[0].read(bits)
-        if s < LITERALS:
-            red, blue, alpha = group[1].read(bits), group[2].read(bits), group[3].read(bits)
-            fresh = [alpha << 24 | red << 16 | s << 8 | blue]
-        elif s < LITERALS + LENGTHS:
-            k, offset = _extra(s - LITERALS)
-            length = offset + bits.read(k) + 1
-            k, offset = _extra(group[4].read(bits))
-            distance = _distance(offset + bits.read(k) + 1, width)
-            if distance > at or at + length > total:
-                raise Corrupt("a copy leaves the image")
-            fresh = [out[at - distance + i] for i in range(min(length, distance))]
-            fresh = (fresh * (length // len(fresh) + 1))[:length]
-        else:
-            if s - LITERALS - LENGTHS >= cache_size:
-                raise Corrupt("a colour is not in the cache")
-            fresh = [cache[s - LITERALS - LENGTHS]]
-        out[at : at + len(fresh)] = fresh
-        at += len(fresh)
-        if cache_size:
-            for c in fresh:
-                cache[(0x1E35A7BD * c & 0xFFFFFFFF) >> (32 - cache_bits)] = c
+    tables = [tuple(x for c in codes for x in (c.rows, (1 << c.bits) - 1)) for codes in sets]
+    out, seen, at, drop = [0] * total, [0] * cache_size, 0, 32 - cache_bits
+    t0, m0, t1, m1, t2, m2, t3, m3, t4, m4 = tables[0]
+    copies = LITERALS + LENGTHS
+    # Where blue and alpha are constant nothing is read for them.
+    flat = groups == 1 and not m2 and not m3
+    rest = t3[0] << 24 | t2[0] if flat else 0
+    p, view, limit = 0, (), -1
+    try:
+        while at < total:
+            if p > limit:
+                bits.pos = bits.base + p if view else bits.pos
+                p = bits.room(WINDOWS >> 1)
+                view = bits.view
+                limit = len(view) - 96 if bits.base + len(view) < bits.end + PAST else len(view)
+            if meta is not None:
+                t0, m0, t1, m1, t2, m2, t3, m3, t4, m4 = tables[int(meta[(at // width) >> shift, (at % width) >> shift])]
+            e = t0[view[p] & m0]
+            p += e >> 16
+            s = e & 0xFFFF
+            if s < LITERALS:
+                e = t1[view[p] & m1]
+                p += e >> 16
+                c = (e & 0xFF) << 16 | s << 8
+                if flat:
+                    c |= rest
+                else:
+                    e = t2[view[p] & m2]
+                    p += e >> 16
+                    c |= e & 0xFF
+                    e = t3[view[p] & m3]
+                    p += e >> 16
+                    c |= (e & 0xFF) << 24
+            elif s >= copies:
+                # What the cache gives is already in its place.
+                out[at] = seen[s - copies]
+                at += 1
+                continue
+            else:
+                k, offset = _extra(s - LITERALS)
+                length = offset + (view[p] & ((1 << k) - 1)) + 1
+                p += k
+                e = t4[view[p] & m4]
+                p += e >> 16
+                k, offset = _extra(e & 0xFFFF)
+                distance = _distance(offset + (view[p] & ((1 << k) - 1)) + 1, width)
+                p += k
+                if distance > at or at + length > total:
+                    raise Corrupt("a copy leaves the image")
+                fresh = out[at - distance : at - distance + min(length, distance)]
+                fresh = (fresh * (length // len(fresh) + 1))[:length]
+                out[at : at + length] = fresh
+                at += length
+                if cache_size:
+                    for c in fresh:
+                        seen[(0x1E35A7BD * c & 0xFFFFFFFF) >> drop] = c
+                continue
+            out[at] = c
+            at += 1
+            if cache_size:
+                seen[(0x1E35A7BD * c & 0xFFFFFFFF) >> drop] = c
+    except IndexError:
+        raise Corrupt("the data end early") from None
+    bits.pos = bits.base + p
+    if bits.pos > bits.end:
+        raise Corrupt("the data end early")
     return np.array(out, np.uint32).reshape(height, width)
 
 
@@ -326,6 +408,10 @@ def predict(mode: int, left, top, top_left, top_right):
     return np.array([255, 0, 0, 0])
 
 
+#: Modes that need no pixel of their own row but the first, or only a running sum of it.
+ROW_MODES = (0, 1, 2, 3, 4, 8, 9)
+
+
 def undo_predictor(pixels: np.ndarray, modes: np.ndarray, shift: int) -> np.ndarray:
     out = _channels(pixels)
     height, width = pixels.shape
@@ -335,15 +421,24 @@ def undo_predictor(pixels: np.ndarray, modes: np.ndarray, shift: int) -> np.ndar
     for y in range(1, height):
         row, above = out[y], out[y - 1]
         row[0] = (row[0] + above[0]) & 255
+        of_row = mode[y >> shift].tolist()
+        if len(set(of_row)) == 1 and of_row[0] in ROW_MODES and width > 1:
+            m = of_row[0]
+            if m == 1:
+                row[:] = np.cumsum(row, axis=0) & 255
+                continue
+            if m == 0:
+                row[1:, 0] += 255
+            elif m in (2, 4):
+                row[1:] += above[1:] if m == 2 else above[:-1]
+            else:
+                right = np.concatenate((above[2:], row[:1]))
+                row[1:] += right if m == 3 else (above[:-1] + above[1:]) >> 1 if m == 8 else (above[1:] + right) >> 1
+            row[1:] &= 255
+            continue
         right = np.concatenate((above[1:], row[:1]))
-        of_row = np.repeat(mode[y >> shift], 1 << shift)[:width]
-        if (of_row[1:] == 2).all():
-            row[1:] = (row[1:] + above[1:]) & 255
-        elif (of_row[1:] == 1).all():
-            row[:] = np.cumsum(row, axis=0) & 255
-        else:
-            for x in range(1, width):
-                row[x] = (row[x] + predict(int(of_row[x]), row[x - 1], above[x], above[x - 1], right[x])) & 255
+        for x in range(1, width):
+            row[x] = (row[x] + predict(of_row[x >> shift], row[x - 1], above[x], above[x - 1], right[x])) & 255
     return _packed(out)
 
 
@@ -415,19 +510,49 @@ def decode(data: bytes) -> np.ndarray:
     return pixels
 
 
+def images(media: bytes) -> list[np.ndarray]:
+    """All images of a medium: files one after another."""
+    out, at = [], 0
+    while at < len(media) or not out:
+        size = int.from_bytes(media[at + 4 : at + 8], "little") + 8
+        out.append(decode(media[at : at + size]))
+        at += size
+    return out
+
+
+def samples(found: list[np.ndarray]) -> bytes:
+    """The bytes of the pixels, two each: green, red."""
+    return b"".join((x >> np.uint32(8)).astype("<u2").tobytes() for x in found)
+
+
+def bit_array(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Little-endian fields as one array of bits."""
+    total = np.cumsum(sizes)
+    if not len(total) or not total[-1]:
+        return np.empty(0, np.uint8)
+    at = np.arange(total[-1], dtype=np.int64) - np.repeat(total - sizes, sizes)
+    return (np.repeat(values, sizes) >> at & 1).astype(np.uint8)
+
+
 class Writer:
     """Collects bit fields and writes them little-endian."""
 
     def __init__(self):
-        self.value, self.size = 0, 0
+        self.parts, self.values, self.sizes = [], [], []
 
     def put(self, value: int, n: int):
-        self.value |= value << self.size
-        self.size += n
+        self.values.append(value)
+        self.sizes.append(n)
+
+    def fields(self, values: np.ndarray, sizes: np.ndarray):
+        self.parts += [self._own(), bit_array(values, sizes)]
+        self.values, self.sizes = [], []
+
+    def _own(self):
+        return bit_array(np.array(self.values, np.int64), np.array(self.sizes, np.int64))
 
     def array(self) -> np.ndarray:
-        raw = self.value.to_bytes((self.size + 7) // 8, "little")
-        return np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")[: self.size]
+        return np.concatenate([*self.parts, self._own()])
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -439,26 +564,38 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     if len(used) < 2:
         return out
     weight = counts[used].astype(np.int64)
+    n = len(used)
     while True:
-        n = len(used)
-        heap = [(w, i) for i, w in enumerate(weight.tolist())]
-        heapq.heapify(heap)
-        parent, new = [0] * (2 * n - 1), n
-        while len(heap) > 1:
-            a = heapq.heappop(heap)
-            b = heap[0]
-            parent[a[1]] = parent[b[1]] = new
-            heapq.heapreplace(heap, (a[0] + b[0], new))
-            new += 1
+        # The two lightest are joined again and again: leaves and joints both come by rising weight.
+        order = np.argsort(weight, kind="stable")
+        leaves = [*weight[order].tolist(), 1 << 62]
+        joints, parent = [], [0] * (2 * n - 1)
+        i = j = 0
+        for new in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if j == len(joints) or leaves[i] <= joints[j]:
+                    total += leaves[i]
+                    parent[i] = new
+                    i += 1
+                else:
+                    total += joints[j]
+                    parent[n + j] = new
+                    j += 1
+            joints.append(total)
         depth = [0] * (2 * n - 1)
         for i in range(2 * n - 3, -1, -1):
             depth[i] = depth[parent[i]] + 1
-        if max(depth[:n]) <= limit:
-            out[used] = depth[:n]
+        if depth[0] <= limit:
+            out[used[order]] = depth[:n]
             return out
         weight = weight // 2 + 1
 
 
+def put_single(w: Writer, symbol: int) -> None:
+    w.put(5 | symbol << 3, 11)
+
+
 def put_code(w: Writer, lengths: np.ndarray) -> None:
     """Write a prefix code: in the short form when it has no more than two symbols below 256."""
     used = np.flatnonzero(lengths)
@@ -470,32 +607,38 @@ def put_code(w: Writer, lengths: np.ndarray) -> None:
         for s in symbols:
             w.put(s, 8)
         return
-    tokens, at, n = [], 0, lengths.tolist()
-    end = len(n)
-    while at < end:
-        if n[at]:
-            tokens.append((n[at], 0, 0))
-            at += 1
-            continue
-        stop = at
-        while stop < end and not n[stop] and stop - at < 138:
-            stop += 1
-        zeros = stop - at
-        tokens += [(0, 0, 0)] * zeros if zeros < 3 else [(17, zeros - 3, 3)] if zeros < 11 else [(18, zeros - 11, 7)]
-        at = stop
-    of_lengths = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
+    # Before each used symbol, and at the end, come zeros: one or two spelled out, or one or more runs.
+    last = np.concatenate(([-1], used))
+    zeros = np.concatenate((used, [len(lengths)])) - last - 1
+    runs = np.where(zeros < 3, zeros, -(-zeros // 138))
+    which = np.repeat(np.arange(len(zeros)), runs + 1)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(runs + 1) - runs - 1, runs + 1)
+    left = zeros[which] - nth * 138
+    own = nth == runs[which]
+    few, short = zeros[which] < 3, left < 11
+    token = np.where(own, np.append(lengths[used], 0)[which], np.where(few, 0, np.where(short, 17, 18)))
+    extra = np.where(own | few, 0, np.where(short, left - 3, np.minimum(left, 138) - 11))
+    more = np.where(own | few, 0, np.where(short, 3, 7))
+    # A rest of one or two zeros after a full run is spelled as such.
+    tail = ~own & ~few & (left < 3)
+    token[tail], extra[tail], more[tail] = 0, 0, 0
+    again = np.flatnonzero(tail & (left == 2))
+    if len(again):
+        token, extra, more = np.insert(token, again, 0), np.insert(extra, again, 0), np.insert(more, again, 0)
+        token, extra, more = token[:-1], extra[:-1], more[:-1]
+    else:
+        token, extra, more = token[:-1], extra[:-1], more[:-1]
+    of_lengths = code_lengths(np.bincount(token, minlength=19), 7)
     words = canonical(of_lengths)
-    present = max(i for i, s in enumerate(LENGTH_ORDER) if of_lengths[s]) + 1
+    present = max(max(i for i, s in enumerate(LENGTH_ORDER) if of_lengths[s]) + 1, 4)
     w.put(0, 1)
-    w.put(max(present, 4) - 4, 4)
-    for s in LENGTH_ORDER[: max(present, 4)]:
+    w.put(present - 4, 4)
+    for s in LENGTH_ORDER[:present]:
         w.put(int(of_lengths[s]), 3)
     w.put(0, 1)
-    single = np.count_nonzero(of_lengths) == 1
-    for s, extra, k in tokens:
-        if not single:
-            w.put(int(words[s]), int(of_lengths[s]))
-        w.put(extra, k)
+    if np.count_nonzero(of_lengths) == 1:
+        of_lengths = np.zeros(19, np.int64)
+    w.fields(words[token] | extra << of_lengths[token], of_lengths[token] + more)
 
 
 def _prefix(value: np.ndarray):
@@ -513,61 +656,235 @@ def container(bits: np.ndarray) -> bytes:
     return b"RIFF" + (len(padded) + 12).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + padded
 
 
-def encode_bytes(payload: bytes, width: int = 64, least_run: int = 6) -> bytes:
-    """Bytes as the green samples of an image, one Huffman code, runs of a byte as backward references."""
-    while len(payload) > width * MAX_SIDE and width < MAX_SIDE:
-        width *= 2
-    if len(payload) > width * MAX_SIDE:
-        raise ValueError("more bytes than one image holds")
-    height = max(1, -(-len(payload) // width))
-    b = np.frombuffer(payload, np.uint8)
-    if len(b) < width * height:
-        b = np.concatenate((b, np.zeros(width * height - len(b), np.uint8)))
-    # Runs: a literal, then a copy of distance 1.
-    change = np.flatnonzero(b[1:] != b[:-1]) + 1
-    begin = np.concatenate(([0], change))
-    length = np.diff(np.concatenate((begin, [len(b)])))
-    long_ = np.flatnonzero(length > least_run)
-    symbol, extra, extra_bits = b.astype(np.int64), None, None
-    if len(long_):
-        pieces = -(-(length[long_] - 1) // 4096)
-        which = np.repeat(np.arange(len(long_)), pieces)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        size = np.minimum(length[long_][which] - 1 - nth * 4096, 4096)
-        at = begin[long_][which] + 1 + nth * 4096
-        keep = np.ones(len(b), bool)
-        cover = np.zeros(len(b) + 1, np.int64)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + size, -1)
-        keep[np.cumsum(cover[:-1]) > 0] = False
-        keep[at] = True
-        s, k, x = _prefix(size)
-        symbol[at] = LITERALS + s
-        copy = np.zeros(len(b), np.int64)
-        copy_bits = np.zeros(len(b), np.int64)
-        copy[at], copy_bits[at] = x, k
-        symbol, extra, extra_bits = symbol[keep], copy[keep], copy_bits[keep]
-    lengths = code_lengths(np.bincount(symbol, minlength=LITERALS + LENGTHS))
+#: Pixels of a row; bytes that one image holds at most (more rows than that an image cannot have).
+WIDTH, IMAGE_BYTES = 32, 1 << 20
+#: Shortest copy in pixels, longest one, and how far back it may reach.
+LEAST_COPY, MOST_COPY, FARTHEST = 4, 4096, (1 << 20) - 120
+#: Of so many images without a palette one has the predictor, one cross-colour and one subtract-green.
+DEALT = 16
+#: Rows of a tile of predictor modes and of cross-colour factors, as powers of two.
+PREDICTOR_SHIFT, CROSS_SHIFT = 5, 5
+#: Modes that the encoder tries.
+TRIED = (1, 2, 3, 4, 8, 9)
+
+
+@cache
+def near_codes(width: int) -> np.ndarray:
+    """The short code of each near distance, 0: none."""
+    out = np.zeros(8 * width + 16, np.int64)
+    for i in range(len(NEAR), 0, -1):
+        out[_distance(i, width)] = i
+    return out
+
+
+def repeats(px: np.ndarray):
+    """(starts, lengths, distances) of copies, in order and apart: stretches whose pairs of pixels all came before at one distance."""
+    none = np.empty(0, np.int64)
+    if len(px) < LEAST_COPY + 1:
+        return none, none, none
+    key = px[:-1].astype(np.uint64) << np.uint64(32) | px[1:]
+    order = np.argsort(key, kind="stable")
+    again = key[order][1:] == key[order][:-1]
+    back = np.zeros(len(key), np.int64)
+    back[order[1:][again]] = (order[1:] - order[:-1])[again]
+    back[back > FARTHEST] = 0
+    head = np.flatnonzero((back != 0) & (np.concatenate(([0], back[:-1])) != back))
+    if not len(head):
+        return none, none, none
+    tail = np.flatnonzero((back != 0) & (np.concatenate((back[1:], [0])) != back))
+    start, end, distance = head, tail + 2, back[head]
+    start = np.maximum(start, np.concatenate(([0], end[:-1])))
+    good = end - start >= LEAST_COPY
+    start, end, distance = start[good], end[good], distance[good]
+    pieces = -(-(end - start) // MOST_COPY)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start, end, distance = (np.repeat(x, pieces) for x in (start, end, distance))
+    start = start + nth * MOST_COPY
+    return start, np.minimum(end - start, MOST_COPY), distance
+
+
+def entropy(counts: np.ndarray) -> float:
+    """Bits of all symbols together."""
+    c = counts[counts > 0]
+    return float(c.sum() * np.log2(c.sum()) - (c * np.log2(c)).sum()) if len(c) > 1 else 0.0
+
+
+def recent(px: np.ndarray, literal: np.ndarray, bits: int):
+    """(cache places, whether the place holds the pixel) with a cache of 2^bits colours."""
+    place = (px * np.uint32(0x1E35A7BD) >> np.uint32(32 - bits)).astype(np.uint16)
+    order = np.argsort(place, kind="stable")
+    hit = np.zeros(len(px), bool)
+    hit[order[1:]] = (place[order][1:] == place[order][:-1]) & (px[order][1:] == px[order][:-1])
+    return place.astype(np.int64), hit & literal
+
+
+def put_image(w: Writer, px: np.ndarray, width: int, main: bool) -> None:
+    """An entropy-coded image of ARGB numbers."""
+    n = len(px)
+    if n == 1 or not (px != px[0]).any():
+        # One colour: every code has a single symbol, and pixels take no bits.
+        w.put(0, 2 if main else 1)
+        for shift in (8, 16, 0, 24):
+            put_single(w, int(px[0]) >> shift & 0xFF)
+        put_single(w, 0)
+        return
+    channels = [(px >> np.uint32(s) & np.uint32(0xFF)).astype(np.int64) for s in (8, 16, 0, 24)]
+    start = length = distance = np.empty(0, np.int64)
+    if main:
+        start, length, distance = repeats(px)
+    literal = np.ones(n, bool)
+    first = literal
+    if len(start):
+        step = np.zeros(n + 1, np.int64)
+        np.add.at(step, start, 1)
+        np.add.at(step, start + length, -1)
+        literal = np.cumsum(step[:-1]) == 0
+        first = literal.copy()
+        first[start] = True
+    symbol, cache_bits, hit = channels[0], 0, None
+    if main and n >= 32:
+        bits = min(10, n.bit_length() - 2)
+        place, hit = recent(px, literal, bits)
+        each = sum(entropy(np.bincount(c[literal])) for c in channels) / max(1, literal.sum())
+        shown = np.bincount(place[hit], minlength=1)
+        # A hit costs its index and a bit that tells it from literals; each index in use costs a code length.
+        if hit.sum() * (each - 1) > entropy(shown) + 5 * np.count_nonzero(shown):
+            cache_bits, symbol = bits, np.where(hit, LITERALS + LENGTHS + place, symbol)
+        else:
+            hit = None
+    if len(start):
+        codes = near_codes(width)
+        code = np.where(distance < len(codes), codes[np.minimum(distance, len(codes) - 1)], 0)
+        long_symbol, long_bits, long_extra = _prefix(length)
+        far_symbol, far_bits, far_extra = _prefix(np.where(code > 0, code, distance + len(NEAR)))
+        symbol = symbol.copy()
+        symbol[start] = LITERALS + long_symbol
+    w.put(1 if cache_bits else 0, 1)
+    if cache_bits:
+        w.put(cache_bits, 4)
+    if main:
+        w.put(0, 1)  # one group of codes
+    spelled = literal if hit is None else literal & ~hit
+    counts = [np.bincount(symbol[first], minlength=LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0)), *(np.bincount(c[spelled], minlength=LITERALS) for c in channels[1:])]
+    counts.append(np.bincount(far_symbol, minlength=DISTANCES) if len(start) else None)
+    values, sizes = np.zeros((n, 4), np.int64), np.zeros((n, 4), np.int64)
+    for k, count in enumerate(counts):
+        top = 0 if count is None else int(count.argmax())
+        if top < LITERALS and (count is None or not count.any() or count[top] == count.sum()):
+            put_single(w, top)
+            continue
+        lengths = code_lengths(count, 12 if n <= 1 << 13 else MAX_BITS)
+        put_code(w, lengths)
+        if np.count_nonzero(lengths) < 2:
+            continue
+        words = canonical(lengths)
+        if k == 0:
+            values[first, 0], sizes[first, 0] = words[symbol[first]], lengths[symbol[first]]
+        elif k < 4:
+            values[spelled, k], sizes[spelled, k] = words[channels[k][spelled]], lengths[channels[k][spelled]]
+        else:
+            values[start, 2], sizes[start, 2] = words[far_symbol], lengths[far_symbol]
+    if len(start):
+        values[start, 1], sizes[start, 1] = long_extra, long_bits
+        values[start, 3], sizes[start, 3] = far_extra, far_bits
+    w.fields(values.reshape(-1), sizes.reshape(-1))
+
+
+def put_predictor(w: Writer, c: np.ndarray) -> np.ndarray:
+    """Write the predictor modes of the tiles, those of least absolute residuals; the residuals of channels c."""
+    height, width, _ = c.shape
+    left = np.concatenate((np.zeros((height, 1, 4), np.int32), c[:, :-1]), axis=1)
+    top = np.concatenate((np.zeros((1, width, 4), np.int32), c[:-1]))
+    corner = np.concatenate((np.zeros((height, 1, 4), np.int32), top[:, :-1]), axis=1)
+    right = np.concatenate((top[:, 1:], c[:, :1]), axis=1)
+    guesses = np.stack([{1: left, 2: top, 3: right, 4: corner, 8: corner + top >> 1, 9: top + right >> 1}[m] for m in TRIED])
+    guesses[:, 0], guesses[:, 1:, 0] = left[0], top[1:, 0]
+    guesses[:, 0, 0] = (255, 0, 0, 0)
+    residual = c - guesses & 255
+    cost = np.abs((residual + 128 & 255) - 128).sum(axis=(2, 3))
+    tiles = np.add.reduceat(cost, np.arange(0, height, 1 << PREDICTOR_SHIFT), axis=1).argmin(axis=0)
+    w.put(1, 1)
+    w.put(PREDICTOR, 2)
+    w.put(PREDICTOR_SHIFT - 2, 3)
+    put_image(w, np.array(TRIED, np.uint32)[tiles] << np.uint32(8), 1, False)
+    of_row = np.repeat(tiles, 1 << PREDICTOR_SHIFT)[:height]
+    return residual[of_row, np.arange(height)]
+
+
+def put_cross_colour(w: Writer, c: np.ndarray) -> np.ndarray:
+    """Write the cross-colour factors of the tiles, those of least squares; the residuals of channels c."""
+    height = len(c)
+    signed = (c + 128 & 255) - 128
+    tops = np.arange(0, height, 1 << CROSS_SHIFT)
+    added = lambda a, b: np.add.reduceat((signed[..., a] * signed[..., b]).sum(1), tops)
+    of = lambda over, under: np.clip(np.round(32 * over / np.maximum(under, 1)), -128, 127).astype(np.int32)
+    gg = added(2, 2)
+    green_red, green_blue = of(added(1, 2), gg), of(added(3, 2), gg)
+    red_blue = np.zeros_like(green_red)
+    w.put(1, 1)
+    w.put(CROSS_COLOUR, 2)
+    w.put(CROSS_SHIFT - 2, 3)
+    factors = np.stack([np.full_like(red_blue, 255), red_blue, green_blue, green_red], axis=-1)
+    put_image(w, _packed(factors), 1, False)
+    grown = lambda x: np.repeat(x, 1 << CROSS_SHIFT)[:height, None]
+    out = c.copy()
+    out[..., 1] -= grown(green_red) * signed[..., 2] >> 5
+    out[..., 3] -= grown(green_blue) * signed[..., 2] >> 5
+    return out & 255
+
+
+def put_palette(w: Writer, colours: np.ndarray, index: np.ndarray, height: int) -> tuple[np.ndarray, int]:
+    """Write the colours; (pixels that hold the indices, several each where there are few colours, and pixels of a row)."""
+    steps = _channels(colours)
+    steps[1:] -= _channels(colours)[:-1]
+    w.put(1, 1)
+    w.put(PALETTE, 2)
+    w.put(len(colours) - 1, 8)
+    put_image(w, _packed(steps), len(colours), False)
+    bits = _pixel_bits(len(colours))
+    per = 8 // bits
+    packed = (index.reshape(height, WIDTH // per, per) << (np.arange(per) * bits)).sum(axis=2)
+    return packed.reshape(-1).astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), WIDTH // per
+
+
+def encode_image(data: bytes) -> bytes:
+    """Up to IMAGE_BYTES bytes, a multiple of 64, as one image."""
+    pair = np.frombuffer(data, "<u2").astype(np.uint32)
+    px = pair << np.uint32(8) | np.uint32(0xFF000000)
+    height, width = len(px) // WIDTH, WIDTH
     w = Writer()
-    w.put(width - 1, 14)
+    w.put(WIDTH - 1, 14)
     w.put(height - 1, 14)
     w.put(0, 4)  # no alpha, version 0
-    w.put(0, 3)  # no transform, no cache, one group
-    put_code(w, lengths)
-    for value in (0, 0, 255):
-        put_code(w, np.bincount([value], minlength=LITERALS))
-    # Every copy has distance 1: the second of the near pixels, prefix symbol 1.
-    put_code(w, np.bincount([1], minlength=DISTANCES))
-    head = w.array()
-    if np.count_nonzero(lengths) == 1:
-        return container(head)
-    n, word = lengths[symbol], canonical(lengths)[symbol]
-    if extra is not None:
-        word, n = word | extra << n, n + extra_bits
-    total = np.cumsum(n)
-    at = np.repeat(total - n, n)
-    stream = (np.repeat(word, n) >> (np.arange(total[-1]) - at) & 1).astype(np.uint8)
-    return container(np.concatenate((head, stream)))
+    colours = np.unique(px)
+    small = len(colours) <= 256
+    if small:
+        index = np.searchsorted(colours, px)
+        plain = sum(entropy(c) + 5 * np.count_nonzero(c) for c in (np.bincount(x) for x in np.frombuffer(data, np.uint8).reshape(-1, 2).T))
+    dealt = zlib.crc32(data) % DEALT
+    if small and 13 * len(colours) + entropy(np.bincount(index)) < plain:
+        px, width = put_palette(w, colours, index, height)
+    elif dealt == 0:
+        px = _packed(put_predictor(w, _channels(px).reshape(height, WIDTH, 4))).reshape(-1)
+    elif dealt < 3:
+        # The blue samples, which are free, repeat the green ones, so that both transforms leave none.
+        c = _channels(px | pair & np.uint32(0xFF))
+        if dealt == 1:
+            px = _packed(put_cross_colour(w, c.reshape(height, WIDTH, 4))).reshape(-1)
+        else:
+            c[..., 1] -= c[..., 2]
+            c[..., 3] -= c[..., 2]
+            w.put(1, 1)
+            w.put(SUBTRACT_GREEN, 2)
+            px = _packed(c)
+    w.put(0, 1)
+    put_image(w, px, width, True)
+    return container(w.array())
+
+
+def encode_bytes(payload: bytes) -> bytes:
+    """A payload, a positive multiple of 64 bytes, as images one after another, each a file of its own."""
+    return b"".join(encode_image(payload[at : at + IMAGE_BYTES]) for at in range(0, len(payload), IMAGE_BYTES))
 
 
 def payload_of(text: str | None) -> bytes:
@@ -576,11 +893,18 @@ def payload_of(text: str | None) -> bytes:
     return raw + b"\0" * (64 - len(raw) if not raw else -len(raw) % 64)
 
 
-def feature(samples: np.ndarray, width: int, height: int) -> str:
-    counts = np.bincount(samples, minlength=256)
-    p = counts[counts > 0] / max(len(samples), 1)
-    entropy = abs(float(-(p * np.log2(p)).sum()))
-    return f"{width}x{height};mean={samples.mean():.4f};std={samples.std():.4f};entropy={entropy:.4f};distinct={len(p)};top={int(counts.argmax())}"
+def feature(data: bytes, found: list[np.ndarray]) -> str:
+    """Shape of the images, and what their samples are like."""
+    x = np.frombuffer(data, np.uint8)
+    counts = np.bincount(x, minlength=256)
+    p = counts[counts > 0] / max(len(x), 1)
+    bits = abs(float(-(p * np.log2(p)).sum()))
+    # Sums of whole numbers, so that no order of adding shows.
+    values = np.arange(256)
+    n = max(len(x), 1)
+    mean = int((counts * values).sum()) / n
+    spread = max(int((counts * values * values).sum()) / n - mean * mean, 0.0) ** 0.5
+    return f"{found[0].shape[1]}x{sum(len(f) for f in found)};images={len(found)};mean={mean:.4f};std={spread:.4f};entropy={bits:.4f};distinct={len(p)};top={int(counts.argmax())}"
 
 
 def store_as_webp(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -603,10 +927,13 @@ def store_as_webp(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def read_webp(df: DataFrame, media_col: str = "media", size_col: str | None = "payload_bytes") -> DataFrame:
-    """`df` without the media, with what they decode to: width, height, pixels (green samples as bytes), feature.
+    """`df` without the media, with what they decode to: width, height, pixels, feature.
 
-    `size_col`: number of samples that are payload (the image may have more).
-    A null medium, or bytes that are no lossless WebP, give nulls.
+    pixels: two bytes each (green, red), row by row; a medium may be several
+    images of one width, which follow one another. `size_col`: bytes
+    that are payload (the images may have more). A null medium, or bytes that
+    are no lossless WebP, give nulls. Columns named width, height, pixels or
+    feature are replaced. Repeated rows are repeated. Empty table: empty result.
     """
     rest = [c for c in df.columns if c not in (media_col, "width", "height", "pixels", "feature")]
     shaped = df.select(*rest, media_col)
@@ -617,34 +944,40 @@ def read_webp(df: DataFrame, media_col: str = "media", size_col: str | None = "p
         for b in batches:
             sizes = b.column(at).to_pylist() if at is not None else [None] * b.num_rows
             out = []
-            for x, n in zip(b.column(len(rest)).to_pylist(), sizes, strict=True):
+            for x, n in zip(b.column(len(rest)), sizes, strict=True):
                 try:
-                    image = decode(x) if x is not None else None
+                    found = images(x.as_py()) if x.is_valid else None
                 except Corrupt:
-                    image = None
-                if image is None:
+                    found = None
+                if found is None:
                     out.append((None, None, None, None))
                     continue
-                green = (image.reshape(-1)[:n] >> np.uint32(8)).astype(np.uint8)
-                out.append((image.shape[1], image.shape[0], green.tobytes(), feature(green, image.shape[1], image.shape[0])))
+                data = samples(found)[:n]
+                out.append((found[0].shape[1], sum(len(f) for f in found), data, feature(data, found)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *(pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.string())))], names=[*rest, "width", "height", "pixels", "feature"])
 
     return shaped.mapInArrow(lean(run), schema)
 
 
 def digest_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each text, read the stored bytes back, and return digests of both; media and pixels do not leave the pass."""
+    """Store each text, read the stored bytes back, and return digests of both; media and pixels do not leave the pass.
+
+    (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    media_sha256, feature). Null and empty texts are 64 zero bytes. A long text
+    is stored as several images, so memory is bounded by the text itself. Equal
+    texts have equal values; repeated rows are repeated; a null id stays null;
+    other columns are not read. Empty table: empty result.
+    """
 
     def run(batches):
         for b in batches:
             out = []
-            for t in b.column(1).to_pylist():
-                payload = payload_of(t)
+            for t in b.column(1):
+                payload = payload_of(t.as_py())
                 media = encode_bytes(payload)
-                image = decode(media)
-                green = (image.reshape(-1)[: len(payload)] >> np.uint32(8)).astype(np.uint8)
-                back = green.tobytes()
-                out.append((len((t or "").encode("utf-8", "surrogatepass")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(green, image.shape[1], image.shape[0])))
+                found = images(media)
+                back = samples(found)
+                out.append((len((t.as_py() or "").encode("utf-8", "surrogatepass")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(back, found)))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 

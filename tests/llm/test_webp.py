@@ -216,12 +216,18 @@ def test_all_transforms_together():
     assert (W.decode(s.file()) == table[index]).all()
 
 
+def stored(payload):
+    """What an image reader makes of the stored bytes: green and red of each pixel."""
+    found = W.images(W.encode_bytes(payload))
+    assert all((x >> np.uint32(24) == 255).all() for x in found)
+    return b"".join(np.stack([x >> np.uint32(8) & np.uint32(255), x >> np.uint32(16) & np.uint32(255)], axis=-1).astype(np.uint8).tobytes() for x in found)
+
+
 @pytest.mark.parametrize("text", [None, "", "a", "ab" * 3000, "x" * 100_000, "\0" * 300, "é日\U0001f600" * 50, "".join(chr(i) for i in range(1, 600))])
 def test_payload_round_trip(text):
     payload = W.payload_of(text)
     assert len(payload) % 64 == 0 and payload and payload.rstrip(b"\0") == (text or "").encode().rstrip(b"\0")
-    image = W.decode(W.encode_bytes(payload))
-    assert (image >> np.uint32(8)).astype(np.uint8).tobytes() == payload and (image >> np.uint32(24) == 255).all()
+    assert stored(payload) == payload == W.samples(W.images(W.encode_bytes(payload)))
 
 
 def test_random_payloads():
@@ -229,14 +235,85 @@ def test_random_payloads():
         for kinds in (1, 2, 3, 17, 256):
             payload = RNG.integers(0, kinds, n).astype(np.uint8)
             payload[n // 3 : n // 2] = 7
-            image = W.decode(W.encode_bytes(payload.tobytes()))
-            assert ((image >> np.uint32(8)).astype(np.uint8).reshape(-1) == payload).all()
-
-
-def test_wide_image():
-    payload = b"z" * (64 * W.MAX_SIDE + 64)
-    image = W.decode(W.encode_bytes(payload))
-    assert image.shape[1] == 128 and (image >> np.uint32(8)).astype(np.uint8).tobytes()[: len(payload)] == payload
+            assert stored(payload.tobytes()) == payload.tobytes()
+
+
+def prose(n, seed):
+    rng = np.random.default_rng(seed)
+    known = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(120)]
+    return " ".join(known[i] for i in rng.integers(0, 120, n))
+
+
+@pytest.mark.parametrize("width", [1, 2, 7, 32])
+def test_any_pixels_through_each_transform(width):
+    # The encoder's own transforms on arbitrary channels, not only those of payloads.
+    for kind in ("predictor", "cross"):
+        c = W._channels(pixels(70, width))
+        w = W.Writer()
+        residual = (W.put_predictor if kind == "predictor" else W.put_cross_colour)(w, c)
+        bits = W.Bits(np.packbits(np.concatenate((w.array(), np.zeros(64, np.uint8))), bitorder="little").tobytes())
+        assert bits.read(1) == 1 and bits.read(2) == (W.PREDICTOR if kind == "predictor" else W.CROSS_COLOUR)
+        shift = bits.read(3) + 2
+        extra = W.read_pixels(bits, -(-width >> shift), -(-70 >> shift), False)
+        undo = W.undo_predictor if kind == "predictor" else W.undo_cross_colour
+        assert (W._channels(undo(W._packed(residual), extra, shift)) == c).all()
+
+
+def test_a_corpus_goes_through_every_part_of_the_format(monkeypatch):
+    texts = [prose(20 + 9 * i, i) for i in range(150)] + ["no", "", "abc " * 300, "ab" * 40, prose(60, 1) * 3]
+    used = {}
+
+    def count(name):
+        f = getattr(W, name)
+
+        def counted(*a):
+            out = f(*a)
+            used[name] = used.get(name, 0) + (name == "undo_palette" or not (out == a[0]).all())
+            return out
+
+        monkeypatch.setattr(W, name, counted)
+
+    for name in ("undo_predictor", "undo_cross_colour", "undo_subtract_green", "undo_palette"):
+        count(name)
+    media = [W.encode_bytes(W.payload_of(t)) for t in texts]
+    for t, m in zip(texts, media, strict=True):
+        assert W.samples(W.images(m)) == W.payload_of(t)
+    assert len(used) == 4 and min(used.values()) >= 3
+    # The cache and copies, told by what the encoder found for them.
+    px = [np.frombuffer(W.payload_of(t), "<u2").astype(np.uint32) for t in texts]
+    assert sum(len(W.repeats(p)[0]) > 0 for p in px) > 50
+    assert sum(W.recent(p, np.ones(len(p), bool), 8)[1].mean() > 0.2 for p in px) > 50
+
+
+def test_repeats_are_what_was_before():
+    for n, kinds in ((5, 1), (300, 2), (4000, 3), (20000, 1), (3000, 200)):
+        px = RNG.integers(0, kinds, n).astype(np.uint32)
+        px[n // 2 :] = px[: n - n // 2]
+        covered = np.zeros(n, int)
+        for s, size, back in zip(*W.repeats(px), strict=True):
+            assert 1 <= back <= s and size <= W.MOST_COPY
+            covered[s : s + size] += 1
+            assert all(px[i] == px[i - back] for i in range(s, s + size))
+        assert covered.max(initial=0) <= 1
+
+
+def test_long_payloads_are_several_images():
+    payload = W.payload_of(prose(400_000, 3))
+    found = W.images(W.encode_bytes(payload))
+    assert [x.shape for x in found] == [(W.IMAGE_BYTES // 64, 32)] * (len(found) - 1) + [(len(payload) % W.IMAGE_BYTES // 64, 32)] and W.samples(found) == payload
+
+
+def test_code_headers_round_trip():
+    for n in (1, 2, 3, 5, 40, 256, 280, 1304):
+        for share in (0.01, 0.2, 1.0):
+            counts = RNG.integers(1, 50, n) * (RNG.random(n) < share)
+            counts[RNG.integers(0, n)] += 1
+            lengths = W.code_lengths(counts)
+            w = W.Writer()
+            W.put_code(w, lengths)
+            back = W.read_code(W.Bits(np.packbits(np.concatenate((w.array(), np.zeros(300, np.uint8))), bitorder="little").tobytes()), max(n, 256))
+            fresh = W.Code(np.concatenate((lengths, np.zeros(max(n, 256) - n, np.int64))))
+            assert back.single == fresh.single and back.rows == fresh.rows
 
 
 def test_long_codes_are_limited():
