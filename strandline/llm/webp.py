@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +128,11 @@ class Code:
         return np.full(len(view), self.single, np.int32) if self.table is None else self.table[view & np.uint32((1 << self.bits) - 1)]
 
 
+@lru_cache(64)
+def _code_of(lengths: bytes) -> Code:
+    return Code(np.frombuffer(lengths, np.int64))
+
+
 def read_code(bits: Bits, alphabet: int) -> Code:
     if bits.read(1):
         two = bits.read(1)
@@ -144,7 +149,7 @@ def read_code(bits: Bits, alphabet: int) -> Code:
     of_lengths = np.zeros(19, np.int64)
     for i in range(4 + bits.read(4)):
         of_lengths[LENGTH_ORDER[i]] = bits.read(3)
-    code = Code(of_lengths)
+    code = _code_of(of_lengths.tobytes())
     room = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     if room > alphabet:
         raise Corrupt("too many code lengths")
@@ -198,8 +203,8 @@ def _distance(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
-#: Codes are followed 2^JUMPS at a time.
-JUMPS = 5
+#: Codes are followed 2^JUMPS at a time, in images from AT_ONCE pixels on.
+JUMPS, AT_ONCE = 5, 1 << 14
 
 
 def _grey(bits: Bits, codes: list[Code], width: int, total: int) -> np.ndarray:
@@ -298,18 +303,18 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sets = [[read_code(bits, a) for a in (LITERALS + LENGTHS + cache_size, LITERALS, LITERALS, LITERALS, DISTANCES)] for _ in range(groups)]
     total = width * height
     if groups == 1 and not cache_size and all(c.single is not None for c in sets[0][1:4]):
-        red, blue, alpha = (c.single for c in sets[0][1:4])
-        if (sets[0][0].single or 0) < LITERALS and sets[0][0].table is None:
-            return np.full((height, width), alpha << 24 | red << 16 | sets[0][0].single << 8 | blue, np.uint32)
-        green = _grey(bits, sets[0], width, total).astype(np.uint32)
-        return (np.uint32(alpha << 24 | red << 16 | blue) | green << np.uint32(8)).reshape(height, width)
+        rest = sets[0][3].single << 24 | sets[0][1].single << 16 | sets[0][2].single
+        if sets[0][0].table is None and sets[0][0].single < LITERALS:
+            return np.full((height, width), rest | sets[0][0].single << 8, np.uint32)
+        if total >= AT_ONCE:
+            return (np.uint32(rest) | _grey(bits, sets[0], width, total).astype(np.uint32) << np.uint32(8)).reshape(height, width)
     tables = [tuple(x for c in codes for x in (c.rows, (1 << c.bits) - 1)) for codes in sets]
     out, seen, at, drop = [0] * total, [0] * cache_size, 0, 32 - cache_bits
     t0, m0, t1, m1, t2, m2, t3, m3, t4, m4 = tables[0]
     copies = LITERALS + LENGTHS
-    # Where blue and alpha are constant nothing is read for them.
-    flat = groups == 1 and not m2 and not m3
-    rest = t3[0] << 24 | t2[0] if flat else 0
+    # Nothing is read for constant channels.
+    red, flat = groups > 1 or m1 > 0, groups == 1 and not m2 and not m3
+    rest = (0 if red else t1[0] << 16) | (t3[0] << 24 | t2[0] if flat else 0)
     p, view, limit = 0, (), -1
     try:
         while at < total:
@@ -324,12 +329,12 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             p += e >> 16
             s = e & 0xFFFF
             if s < LITERALS:
-                e = t1[view[p] & m1]
-                p += e >> 16
-                c = (e & 0xFF) << 16 | s << 8
-                if flat:
-                    c |= rest
-                else:
+                c = s << 8 | rest
+                if red:
+                    e = t1[view[p] & m1]
+                    p += e >> 16
+                    c |= (e & 0xFF) << 16
+                if not flat:
                     e = t2[view[p] & m2]
                     p += e >> 16
                     c |= e & 0xFF
@@ -525,13 +530,18 @@ def samples(found: list[np.ndarray]) -> bytes:
     return b"".join((x >> np.uint32(8)).astype("<u2").tobytes() for x in found)
 
 
-def bit_array(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Little-endian fields as one array of bits."""
+def packed_bits(values: np.ndarray, sizes: np.ndarray) -> tuple[bytes, int]:
+    """(bytes, number of bits) of little-endian fields of up to 33 bits."""
     total = np.cumsum(sizes)
     if not len(total) or not total[-1]:
-        return np.empty(0, np.uint8)
-    at = np.arange(total[-1], dtype=np.int64) - np.repeat(total - sizes, sizes)
-    return (np.repeat(values, sizes) >> at & 1).astype(np.uint8)
+        return b"", 0
+    at = (total - sizes).astype(np.uint64)
+    place, shifted = (at >> np.uint64(5)).astype(np.int64), values.astype(np.uint64) << (at & np.uint64(31))
+    words = (int(total[-1]) + 31) // 32 + 1
+    # Fields share no bit, so sums are unions; sums below 2^53 are exact.
+    low = np.bincount(place, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), words)
+    high = np.bincount(place + 1, (shifted >> np.uint64(32)).astype(np.float64), words + 1)
+    return (low + high[:words]).astype(np.uint32).tobytes()[: (int(total[-1]) + 7) // 8], int(total[-1])
 
 
 class Writer:
@@ -545,14 +555,18 @@ class Writer:
         self.sizes.append(n)
 
     def fields(self, values: np.ndarray, sizes: np.ndarray):
-        self.parts += [self._own(), bit_array(values, sizes)]
-        self.values, self.sizes = [], []
+        if self.values:
+            self.parts.append((np.array(self.values, np.int64), np.array(self.sizes, np.int64)))
+            self.values, self.sizes = [], []
+        self.parts.append((values, sizes))
 
-    def _own(self):
-        return bit_array(np.array(self.values, np.int64), np.array(self.sizes, np.int64))
+    def bytes(self) -> tuple[bytes, int]:
+        self.fields(np.empty(0, np.int64), np.empty(0, np.int64))
+        return packed_bits(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))
 
     def array(self) -> np.ndarray:
-        return np.concatenate([*self.parts, self._own()])
+        data, n = self.bytes()
+        return np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[:n]
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -568,21 +582,28 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     while True:
         # The two lightest are joined again and again: leaves and joints both come by rising weight.
         order = np.argsort(weight, kind="stable")
-        leaves = [*weight[order].tolist(), 1 << 62]
-        joints, parent = [], [0] * (2 * n - 1)
+        leaves = weight[order].tolist()
+        leaves += [1 << 62, 1 << 62]
+        joints, parent = [1 << 62] * (n + 1), [0] * (2 * n - 1)
         i = j = 0
-        for new in range(n, 2 * n - 1):
-            total = 0
-            for _ in range(2):
-                if j == len(joints) or leaves[i] <= joints[j]:
-                    total += leaves[i]
-                    parent[i] = new
-                    i += 1
-                else:
-                    total += joints[j]
-                    parent[n + j] = new
-                    j += 1
-            joints.append(total)
+        for k in range(n - 1):
+            if leaves[i] <= joints[j]:
+                total = leaves[i]
+                parent[i] = n + k
+                i += 1
+            else:
+                total = joints[j]
+                parent[n + j] = n + k
+                j += 1
+            if leaves[i] <= joints[j]:
+                total += leaves[i]
+                parent[i] = n + k
+                i += 1
+            else:
+                total += joints[j]
+                parent[n + j] = n + k
+                j += 1
+            joints[k] = total
         depth = [0] * (2 * n - 1)
         for i in range(2 * n - 3, -1, -1):
             depth[i] = depth[parent[i]] + 1
@@ -628,19 +649,21 @@ def put_code(w: Writer, lengths: np.ndarray) -> None:
         token, extra, more = token[:-1], extra[:-1], more[:-1]
     else:
         token, extra, more = token[:-1], extra[:-1], more[:-1]
-    of_lengths = code_lengths(np.bincount(token, minlength=19), 7)
-    words = canonical(of_lengths)
+    # Lengths up to 13 have a code of four bits for each of 16 symbols; longer ones one of their own.
+    of_lengths = FOUR_BITS if int(lengths.max()) <= 13 else code_lengths(np.bincount(token, minlength=19), 7)
+    words = FOUR_WORDS if of_lengths is FOUR_BITS else canonical(of_lengths)
     present = max(max(i for i, s in enumerate(LENGTH_ORDER) if of_lengths[s]) + 1, 4)
-    w.put(0, 1)
-    w.put(present - 4, 4)
+    w.put(present - 4 << 1, 5)
     for s in LENGTH_ORDER[:present]:
         w.put(int(of_lengths[s]), 3)
     w.put(0, 1)
-    if np.count_nonzero(of_lengths) == 1:
-        of_lengths = np.zeros(19, np.int64)
     w.fields(words[token] | extra << of_lengths[token], of_lengths[token] + more)
 
 
+FOUR_BITS = np.array([4] * 14 + [0] * 3 + [4] * 2)
+FOUR_WORDS = canonical(FOUR_BITS)
+
+
 def _prefix(value: np.ndarray):
     """(symbol, extra bits, extra value) of lengths or distances (1 and up)."""
     v = value - 1
@@ -651,7 +674,12 @@ def _prefix(value: np.ndarray):
 
 
 def container(bits: np.ndarray) -> bytes:
-    body = b"\x2f" + np.packbits(bits, bitorder="little").tobytes()
+    """A file of these bits."""
+    return file_of(np.packbits(bits, bitorder="little").tobytes())
+
+
+def file_of(data: bytes) -> bytes:
+    body = b"\x2f" + data
     padded = body + b"\0" * (len(body) & 1)
     return b"RIFF" + (len(padded) + 12).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + padded
 
@@ -677,16 +705,24 @@ def near_codes(width: int) -> np.ndarray:
     return out
 
 
+def by_key(key: np.ndarray) -> np.ndarray:
+    """Places by key (32 bits), then place."""
+    both = key.astype(np.uint64) << np.uint64(32) | np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def repeats(px: np.ndarray):
     """(starts, lengths, distances) of copies, in order and apart: stretches whose pairs of pixels all came before at one distance."""
     none = np.empty(0, np.int64)
     if len(px) < LEAST_COPY + 1:
         return none, none, none
-    key = px[:-1].astype(np.uint64) << np.uint64(32) | px[1:]
-    order = np.argsort(key, kind="stable")
-    again = key[order][1:] == key[order][:-1]
-    back = np.zeros(len(key), np.int64)
-    back[order[1:][again]] = (order[1:] - order[:-1])[again]
+    # Equal pairs of pixels stand side by side, by place; what only looks equal falls out.
+    order = by_key(px[:-1] * np.uint32(0x9E3779B1) ^ px[1:] * np.uint32(0x85EBCA77))
+    one, two = order[:-1], order[1:]
+    again = (px[one] == px[two]) & (px[one + 1] == px[two + 1])
+    back = np.zeros(len(px) - 1, np.int64)
+    back[two[again]] = (two - one)[again]
     back[back > FARTHEST] = 0
     head = np.flatnonzero((back != 0) & (np.concatenate(([0], back[:-1])) != back))
     if not len(head):
@@ -711,10 +747,11 @@ def entropy(counts: np.ndarray) -> float:
 
 def recent(px: np.ndarray, literal: np.ndarray, bits: int):
     """(cache places, whether the place holds the pixel) with a cache of 2^bits colours."""
-    place = (px * np.uint32(0x1E35A7BD) >> np.uint32(32 - bits)).astype(np.uint16)
-    order = np.argsort(place, kind="stable")
+    place = px * np.uint32(0x1E35A7BD) >> np.uint32(32 - bits)
+    order = by_key(place)
+    one, two = order[:-1], order[1:]
     hit = np.zeros(len(px), bool)
-    hit[order[1:]] = (place[order][1:] == place[order][:-1]) & (px[order][1:] == px[order][:-1])
+    hit[two] = (place[one] == place[two]) & (px[one] == px[two])
     return place.astype(np.int64), hit & literal
 
 
@@ -728,7 +765,8 @@ def put_image(w: Writer, px: np.ndarray, width: int, main: bool) -> None:
             put_single(w, int(px[0]) >> shift & 0xFF)
         put_single(w, 0)
         return
-    channels = [(px >> np.uint32(s) & np.uint32(0xFF)).astype(np.int64) for s in (8, 16, 0, 24)]
+    varies = int(np.bitwise_or.reduce(px ^ px[0]))
+    channels = [(px >> np.uint32(s) & np.uint32(0xFF)).astype(np.int64) if not k or varies >> s & 0xFF else int(px[0]) >> s & 0xFF for k, s in enumerate((8, 16, 0, 24))]
     start = length = distance = np.empty(0, np.int64)
     if main:
         start, length, distance = repeats(px)
@@ -745,7 +783,7 @@ def put_image(w: Writer, px: np.ndarray, width: int, main: bool) -> None:
     if main and n >= 32:
         bits = min(10, n.bit_length() - 2)
         place, hit = recent(px, literal, bits)
-        each = sum(entropy(np.bincount(c[literal])) for c in channels) / max(1, literal.sum())
+        each = sum(entropy(np.bincount(c[literal])) for c in channels if not isinstance(c, int)) / max(1, literal.sum())
         shown = np.bincount(place[hit], minlength=1)
         # A hit costs its index and a bit that tells it from literals; each index in use costs a code length.
         if hit.sum() * (each - 1) > entropy(shown) + 5 * np.count_nonzero(shown):
@@ -765,28 +803,40 @@ def put_image(w: Writer, px: np.ndarray, width: int, main: bool) -> None:
     if main:
         w.put(0, 1)  # one group of codes
     spelled = literal if hit is None else literal & ~hit
-    counts = [np.bincount(symbol[first], minlength=LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0)), *(np.bincount(c[spelled], minlength=LITERALS) for c in channels[1:])]
-    counts.append(np.bincount(far_symbol, minlength=DISTANCES) if len(start) else None)
-    values, sizes = np.zeros((n, 4), np.int64), np.zeros((n, 4), np.int64)
-    for k, count in enumerate(counts):
-        top = 0 if count is None else int(count.argmax())
-        if top < LITERALS and (count is None or not count.any() or count[top] == count.sum()):
+    green = np.bincount(symbol[first], minlength=LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0))
+    far = np.bincount(far_symbol, minlength=DISTANCES) if len(start) else 0
+    limit = 12 if n <= 1 << 13 else MAX_BITS
+    # Two fields a pixel: green and red, or a copy's length; blue and alpha, or its distance.
+    values, sizes = np.zeros((n, 2), np.int64), np.zeros((n, 2), np.int64)
+    every = bool(spelled.all())
+    for k, count in enumerate((green, *(c if isinstance(c, int) else np.bincount(c if every else c[spelled], minlength=LITERALS) for c in channels[1:]), far)):
+        if isinstance(count, int):
+            put_single(w, count)
+            continue
+        top = int(count.argmax())
+        if top < LITERALS and np.count_nonzero(count) == 1:
             put_single(w, top)
             continue
-        lengths = code_lengths(count, 12 if n <= 1 << 13 else MAX_BITS)
+        lengths = code_lengths(count, limit)
         put_code(w, lengths)
         if np.count_nonzero(lengths) < 2:
             continue
-        words = canonical(lengths)
-        if k == 0:
-            values[first, 0], sizes[first, 0] = words[symbol[first]], lengths[symbol[first]]
-        elif k < 4:
-            values[spelled, k], sizes[spelled, k] = words[channels[k][spelled]], lengths[channels[k][spelled]]
-        else:
-            values[start, 2], sizes[start, 2] = words[far_symbol], lengths[far_symbol]
+        words, side = canonical(lengths), k >> 1
+        if k == 4:
+            values[start, 1] = words[far_symbol] | far_extra << lengths[far_symbol]
+            sizes[start, 1] = lengths[far_symbol] + far_bits
+            continue
+        own = first if k == 0 else spelled
+        of = (symbol if k == 0 else channels[k])[own]
+        values[own, side] |= words[of] << sizes[own, side]
+        sizes[own, side] += lengths[of]
     if len(start):
-        values[start, 1], sizes[start, 1] = long_extra, long_bits
-        values[start, 3], sizes[start, 3] = far_extra, far_bits
+        values[start, 0] |= long_extra << sizes[start, 0]
+        sizes[start, 0] += long_bits
+        if np.count_nonzero(far) < 2:
+            values[start, 1], sizes[start, 1] = far_extra, far_bits
+    if not sizes[:, 1].any():
+        values, sizes = values[:, 0], sizes[:, 0]
     w.fields(values.reshape(-1), sizes.reshape(-1))
 
 
@@ -879,7 +929,7 @@ def encode_image(data: bytes) -> bytes:
             px = _packed(c)
     w.put(0, 1)
     put_image(w, px, width, True)
-    return container(w.array())
+    return file_of(w.bytes()[0])
 
 
 def encode_bytes(payload: bytes) -> bytes:

@@ -308,11 +308,11 @@ def test_code_headers_round_trip():
         for share in (0.01, 0.2, 1.0):
             counts = RNG.integers(1, 50, n) * (RNG.random(n) < share)
             counts[RNG.integers(0, n)] += 1
-            lengths = W.code_lengths(counts)
+            lengths = W.code_lengths(np.concatenate((counts, np.zeros(max(n, 256) - n, np.int64))))
             w = W.Writer()
             W.put_code(w, lengths)
-            back = W.read_code(W.Bits(np.packbits(np.concatenate((w.array(), np.zeros(300, np.uint8))), bitorder="little").tobytes()), max(n, 256))
-            fresh = W.Code(np.concatenate((lengths, np.zeros(max(n, 256) - n, np.int64))))
+            back = W.read_code(W.Bits(np.packbits(np.concatenate((w.array(), np.zeros(300, np.uint8))), bitorder="little").tobytes()), len(lengths))
+            fresh = W.Code(lengths)
             assert back.single == fresh.single and back.rows == fresh.rows
 
 
