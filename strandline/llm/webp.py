@@ -7,13 +7,13 @@ images, it decodes without a loop over pixels: the code that begins at each
 bit is looked up for all bits at once, and the chain of codes is followed by
 doubled jumps.
 
-The encoder stores two bytes of a payload as one pixel, its green and red.
-Repeats become backward references, colours seen lately are taken from the
-cache where that is shorter, and few colours become a palette. Bytes of text
-have no smoothness that predictor, cross-colour or subtract-green could use,
-so where no palette is written each of these three is dealt to a sixteenth of
-the images by the payload's checksum: reading a corpus back undoes every
-transform of the format, and equal payloads have equal media.
+The encoder stores a payload as a grey image, one byte a pixel. Repeats become
+backward references, and few different bytes become a palette with several
+pixels in one. Text has no smoothness that another transform could use, so
+each of the others is dealt to a sixteenth of the images by the payload's
+checksum: predictor, cross-colour, subtract-green, and two bytes a pixel with
+a colour cache. Reading a corpus back undoes every part of the format, and
+equal payloads have equal media.
 """
 
 from __future__ import annotations
@@ -46,8 +46,8 @@ class Corrupt(ValueError):
     """The bytes are not a lossless WebP image."""
 
 
-#: Windows that a reader keeps: 25 bits from each bit on.
-WINDOWS, PAST = 1 << 16, 256
+#: Windows (25 bits from each bit on) that a reader loads for codes and for pixels; zeros after the end.
+HEADER, WINDOWS, PAST = 1 << 11, 1 << 16, 256
 
 
 def windows(data: bytes, first: int, count: int) -> np.ndarray:
@@ -70,7 +70,7 @@ class Bits:
         if self.pos - self.base + n > len(self.view) and self.base + len(self.view) < self.end + PAST:
             first = self.pos >> 3
             self.base = first << 3
-            self.view = windows(self.data, first, min((max(n, WINDOWS) >> 3) + 8, max(0, len(self.data) - first) + (PAST >> 3))).tolist()
+            self.view = windows(self.data, first, min((max(n, HEADER) >> 3) + 8, max(0, len(self.data) - first) + (PAST >> 3))).tolist()
         return self.pos - self.base
 
     def read(self, n: int) -> int:
@@ -110,10 +110,11 @@ class Code:
         if lengths is not None:
             used = np.flatnonzero(lengths)
             single = int(used[0]) if len(used) == 1 else 0 if not len(used) else None
-        self.single = single
+        self.single, self.last = single, single
         if single is not None:
             self.rows = [single]
             return
+        self.last = int(used[-1])
         order = used[np.argsort(lengths[used], kind="stable")]
         n = lengths[order].astype(np.int64)
         self.bits = int(n[-1])
@@ -125,7 +126,7 @@ class Code:
 
     def at(self, view: np.ndarray) -> np.ndarray:
         """length << 16 | symbol for many windows."""
-        return np.full(len(view), self.single, np.int32) if self.table is None else self.table[view & np.uint32((1 << self.bits) - 1)]
+        return np.full(len(view), self.single, np.int32) if self.table is None else self.table.take((view & np.uint32((1 << self.bits) - 1)).astype(np.intp), mode="clip")
 
 
 @lru_cache(64)
@@ -153,11 +154,16 @@ def read_code(bits: Bits, alphabet: int) -> Code:
     room = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     if room > alphabet:
         raise Corrupt("too many code lengths")
-    here = bits.room(14 * room + 64)
+    # A code that ends later than this loads more.
+    here = bits.room(HEADER)
     view, rows, mask = bits.view, code.rows, (1 << code.bits) - 1
     at, last, p, found = 0, 8, here, []
     while at < alphabet and room:
         room -= 1
+        if p + 32 > len(view):
+            bits.pos += p - here
+            here = p = bits.room(HEADER)
+            view = bits.view
         e = rows[view[p] & mask]
         p += e >> 16
         n = e & 0xFFFF
@@ -204,7 +210,7 @@ def _distance(code: int, width: int) -> int:
 
 
 #: Codes are followed 2^JUMPS at a time, in images from AT_ONCE pixels on.
-JUMPS, AT_ONCE = 5, 1 << 14
+JUMPS, AT_ONCE = 5, 256
 
 
 def _grey(bits: Bits, codes: list[Code], width: int, total: int) -> np.ndarray:
@@ -219,8 +225,9 @@ def _grey(bits: Bits, codes: list[Code], width: int, total: int) -> np.ndarray:
         return np.full(total, codes[0].single, np.uint8)
     n = len(view)
     step = size.copy()
-    copies = np.flatnonzero(symbol >= LITERALS)
     run = back = None
+    # A code without copies needs no look at what each bit could begin.
+    copies = np.flatnonzero(symbol >= LITERALS) if codes[0].last >= LITERALS else ()
     if len(copies):
         at = copies + size[copies]
 
@@ -241,13 +248,13 @@ def _grey(bits: Bits, codes: list[Code], width: int, total: int) -> np.ndarray:
         back = np.zeros(n, np.int64)
         back[copies] = far
     stop = n - 1
-    step += np.arange(n, dtype=np.int32)
+    step = step + np.arange(n)
     jumps, made = [np.minimum(step, stop, out=step)], run
     for _ in range(JUMPS):
         j = jumps[-1]
         if made is not None:
-            made = made + made[j]
-        jumps.append(j[j])
+            made = made + made.take(j, mode="clip")
+        jumps.append(j.take(j, mode="clip"))
     far_jump = jumps[JUMPS]
     p, have, starts = bits.pos & 7, 0, []
     while have < total:
@@ -257,9 +264,9 @@ def _grey(bits: Bits, codes: list[Code], width: int, total: int) -> np.ndarray:
         if q == stop and have < total:
             raise Corrupt("the data end early")
         p = q
-    chain = np.array(starts, np.int32)
+    chain = np.array(starts)
     for k in reversed(range(JUMPS)):
-        chain = np.stack((chain, jumps[k][chain]), axis=1).reshape(-1)
+        chain = np.stack((chain, jumps[k].take(chain, mode="clip")), axis=1).reshape(-1)
     jump = jumps[0]
     if run is None:
         chain = chain[:total]
@@ -320,7 +327,7 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         while at < total:
             if p > limit:
                 bits.pos = bits.base + p if view else bits.pos
-                p = bits.room(WINDOWS >> 1)
+                p = bits.room(WINDOWS)
                 view = bits.view
                 limit = len(view) - 96 if bits.base + len(view) < bits.end + PAST else len(view)
             if meta is not None:
@@ -418,32 +425,46 @@ ROW_MODES = (0, 1, 2, 3, 4, 8, 9)
 
 
 def undo_predictor(pixels: np.ndarray, modes: np.ndarray, shift: int) -> np.ndarray:
-    out = _channels(pixels)
     height, width = pixels.shape
-    mode = modes >> 8 & 0xF
-    out[0, 0, 0] += 255
+    mode = (modes >> 8 & 0xF).tolist()
+    whole = [m[0] if len(set(m)) == 1 and m[0] in ROW_MODES and width > 1 else -1 for m in mode]
+    residual = _channels(pixels)
+    residual[0, 0, 0] = residual[0, 0, 0] + 255 & 255
+    # Without residuals a channel is its first pixel, but for alpha under mode 0, which is not taken from a neighbour.
+    still = [] if min(whole) < 1 else [k for k in range(4) if np.count_nonzero(residual[..., k]) == (residual[0, 0, k] != 0)]
+    vary = [k for k in range(4) if k not in still]
+    if not vary:
+        return np.full((height, width), _packed(residual[0, 0]))
+    out = residual[..., vary] if still else residual
     out[0] = np.cumsum(out[0], axis=0) & 255
     for y in range(1, height):
-        row, above = out[y], out[y - 1]
-        row[0] = (row[0] + above[0]) & 255
-        of_row = mode[y >> shift].tolist()
-        if len(set(of_row)) == 1 and of_row[0] in ROW_MODES and width > 1:
-            m = of_row[0]
+        row, above, m = out[y], out[y - 1], whole[y >> shift]
+        row[0] += above[0]
+        if m >= 0:
             if m == 1:
-                row[:] = np.cumsum(row, axis=0) & 255
-                continue
-            if m == 0:
+                np.cumsum(row, axis=0, out=row)
+            elif m == 0:
+                row[0] &= 255
                 row[1:, 0] += 255
-            elif m in (2, 4):
+            elif m == 2 or m == 4:
                 row[1:] += above[1:] if m == 2 else above[:-1]
+            elif m == 8:
+                row[1:] += (above[:-1] + above[1:]) >> 1
             else:
+                row[0] &= 255
                 right = np.concatenate((above[2:], row[:1]))
-                row[1:] += right if m == 3 else (above[:-1] + above[1:]) >> 1 if m == 8 else (above[1:] + right) >> 1
-            row[1:] &= 255
+                row[1:] += right if m == 3 else (above[1:] + right) >> 1
+            row &= 255
             continue
+        row[0] &= 255
+        of_row = mode[y >> shift]
         right = np.concatenate((above[1:], row[:1]))
         for x in range(1, width):
             row[x] = (row[x] + predict(of_row[x >> shift], row[x - 1], above[x], above[x - 1], right[x])) & 255
+    if still:
+        residual[..., vary] = out
+        residual[..., still] = residual[0, 0, still]
+        out = residual
     return _packed(out)
 
 
@@ -460,10 +481,8 @@ def undo_cross_colour(pixels: np.ndarray, factors: np.ndarray, shift: int) -> np
 
 
 def undo_subtract_green(pixels: np.ndarray) -> np.ndarray:
-    c = _channels(pixels)
-    c[..., 1] += c[..., 2]
-    c[..., 3] += c[..., 2]
-    return _packed(c)
+    green = pixels >> np.uint32(8) & np.uint32(0xFF)
+    return pixels & np.uint32(0xFF00FF00) | (pixels & np.uint32(0xFF00FF)) + (green << np.uint32(16) | green) & np.uint32(0xFF00FF)
 
 
 def undo_palette(pixels: np.ndarray, palette: np.ndarray, width: int) -> np.ndarray:
@@ -526,8 +545,8 @@ def images(media: bytes) -> list[np.ndarray]:
 
 
 def samples(found: list[np.ndarray]) -> bytes:
-    """The bytes of the pixels, two each: green, red."""
-    return b"".join((x >> np.uint32(8)).astype("<u2").tobytes() for x in found)
+    """The bytes of the pixels: green and red in images of PAIRS columns, green in all others."""
+    return b"".join((x >> np.uint32(8)).astype("<u2" if x.shape[1] == PAIRS else np.uint8).tobytes() for x in found)
 
 
 def packed_bits(values: np.ndarray, sizes: np.ndarray) -> tuple[bytes, int]:
@@ -684,14 +703,14 @@ def file_of(data: bytes) -> bytes:
     return b"RIFF" + (len(padded) + 12).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + padded
 
 
-#: Pixels of a row; bytes that one image holds at most (more rows than that an image cannot have).
-WIDTH, IMAGE_BYTES = 32, 1 << 20
-#: Shortest copy in pixels, longest one, and how far back it may reach.
-LEAST_COPY, MOST_COPY, FARTHEST = 4, 4096, (1 << 20) - 120
-#: Of so many images without a palette one has the predictor, one cross-colour and one subtract-green.
+#: Pixels of a row of 64 bytes, with one byte and with two bytes a pixel; bytes that one image holds at most.
+WIDTH, PAIRS, IMAGE_BYTES = 64, 32, 1 << 20
+#: Shortest copy in bytes, longest one in pixels, and how far back it may reach; copies are used where they cover one in COPIED pixels.
+LEAST_COPY, MOST_COPY, FARTHEST, COPIED = 12, 4096, (1 << 20) - 120, 16
+#: Of so many images without a palette one has the predictor, one cross-colour, one subtract-green and one the cache.
 DEALT = 16
-#: Rows of a tile of predictor modes and of cross-colour factors, as powers of two.
-PREDICTOR_SHIFT, CROSS_SHIFT = 5, 5
+#: Sides of a tile of predictor modes and of cross-colour factors, as powers of two.
+PREDICTOR_SHIFT, CROSS_SHIFT = 6, 6
 #: Modes that the encoder tries.
 TRIED = (1, 2, 3, 4, 8, 9)
 
@@ -712,30 +731,34 @@ def by_key(key: np.ndarray) -> np.ndarray:
     return (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def repeats(px: np.ndarray):
-    """(starts, lengths, distances) of copies, in order and apart: stretches whose pairs of pixels all came before at one distance."""
+def repeats(key: np.ndarray, window: int, least: int):
+    """(starts, lengths, distances) of copies of `least` pixels and more, in order and apart; key: what the next `window` pixels are.
+
+    A copy is a stretch whose windows were all last seen at one distance.
+    """
     none = np.empty(0, np.int64)
-    if len(px) < LEAST_COPY + 1:
+    if len(key) < 2:
         return none, none, none
-    # Equal pairs of pixels stand side by side, by place; what only looks equal falls out.
-    order = by_key(px[:-1] * np.uint32(0x9E3779B1) ^ px[1:] * np.uint32(0x85EBCA77))
+    order = by_key(key)
     one, two = order[:-1], order[1:]
-    again = (px[one] == px[two]) & (px[one + 1] == px[two + 1])
-    back = np.zeros(len(px) - 1, np.int64)
-    back[two[again]] = (two - one)[again]
+    again = key[one] == key[two]
+    back = np.zeros(len(key) + 2, np.int64)
+    back[two[again] + 1] = (two - one)[again]
     back[back > FARTHEST] = 0
-    head = np.flatnonzero((back != 0) & (np.concatenate(([0], back[:-1])) != back))
+    edge = back[1:] != back[:-1]
+    head = np.flatnonzero(edge[:-1] & (back[1:-1] != 0))
     if not len(head):
         return none, none, none
-    tail = np.flatnonzero((back != 0) & (np.concatenate((back[1:], [0])) != back))
-    start, end, distance = head, tail + 2, back[head]
-    start = np.maximum(start, np.concatenate(([0], end[:-1])))
-    good = end - start >= LEAST_COPY
+    end = np.flatnonzero(edge[1:] & (back[1:-1] != 0)) + window
+    distance = back[head + 1]
+    start = np.maximum(head, np.concatenate(([0], end[:-1])))
+    good = end - start >= least
     start, end, distance = start[good], end[good], distance[good]
-    pieces = -(-(end - start) // MOST_COPY)
-    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start, end, distance = (np.repeat(x, pieces) for x in (start, end, distance))
-    start = start + nth * MOST_COPY
+    if len(start) and (end - start).max() > MOST_COPY:
+        pieces = -(-(end - start) // MOST_COPY)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start, end, distance = (np.repeat(x, pieces) for x in (start, end, distance))
+        start = start + nth * MOST_COPY
     return start, np.minimum(end - start, MOST_COPY), distance
 
 
@@ -768,8 +791,17 @@ def put_image(w: Writer, px: np.ndarray, width: int, main: bool) -> None:
     varies = int(np.bitwise_or.reduce(px ^ px[0]))
     channels = [(px >> np.uint32(s) & np.uint32(0xFF)).astype(np.int64) if not k or varies >> s & 0xFF else int(px[0]) >> s & 0xFF for k, s in enumerate((8, 16, 0, 24))]
     start = length = distance = np.empty(0, np.int64)
-    if main:
-        start, length, distance = repeats(px)
+    if main and not varies & 0xFF0000FF:
+        # Four bytes are a key: of as many grey pixels, or of two pixels of two bytes.
+        low = channels[0].astype(np.uint32)
+        if isinstance(channels[1], int):
+            key = low[:-3] | low[1:-2] << np.uint32(8) | low[2:-1] << np.uint32(16) | low[3:] << np.uint32(24)
+            start, length, distance = repeats(key, 4, LEAST_COPY)
+        else:
+            both = low | channels[1].astype(np.uint32) << np.uint32(8)
+            start, length, distance = repeats(both[:-1] | both[1:] << np.uint32(16), 2, LEAST_COPY // 2)
+        if length.sum() * COPIED < n:
+            start = length = distance = np.empty(0, np.int64)
     literal = np.ones(n, bool)
     first = literal
     if len(start):
@@ -780,7 +812,8 @@ def put_image(w: Writer, px: np.ndarray, width: int, main: bool) -> None:
         first = literal.copy()
         first[start] = True
     symbol, cache_bits, hit = channels[0], 0, None
-    if main and n >= 32:
+    # A cache saves nothing where a pixel is a single symbol.
+    if main and n >= 32 and varies & 0xFFFF00FF:
         bits = min(10, n.bit_length() - 2)
         place, hit = recent(px, literal, bits)
         each = sum(entropy(np.bincount(c[literal])) for c in channels if not isinstance(c, int)) / max(1, literal.sum())
@@ -843,43 +876,49 @@ def put_image(w: Writer, px: np.ndarray, width: int, main: bool) -> None:
 def put_predictor(w: Writer, c: np.ndarray) -> np.ndarray:
     """Write the predictor modes of the tiles, those of least absolute residuals; the residuals of channels c."""
     height, width, _ = c.shape
-    left = np.concatenate((np.zeros((height, 1, 4), np.int32), c[:, :-1]), axis=1)
-    top = np.concatenate((np.zeros((1, width, 4), np.int32), c[:-1]))
-    corner = np.concatenate((np.zeros((height, 1, 4), np.int32), top[:, :-1]), axis=1)
+    # A constant channel is predicted by any mode but at the first pixel.
+    vary = [k for k in range(4) if (c[..., k] != c[0, 0, k]).any()]
+    out = np.zeros_like(c)
+    out[0, 0] = c[0, 0] - (255, 0, 0, 0) & 255
+    c = c[..., vary]
+    n = len(vary)
+    left = np.concatenate((np.zeros((height, 1, n), np.int32), c[:, :-1]), axis=1)
+    top = np.concatenate((np.zeros((1, width, n), np.int32), c[:-1]))
+    corner = np.concatenate((np.zeros((height, 1, n), np.int32), top[:, :-1]), axis=1)
     right = np.concatenate((top[:, 1:], c[:, :1]), axis=1)
     guesses = np.stack([{1: left, 2: top, 3: right, 4: corner, 8: corner + top >> 1, 9: top + right >> 1}[m] for m in TRIED])
     guesses[:, 0], guesses[:, 1:, 0] = left[0], top[1:, 0]
-    guesses[:, 0, 0] = (255, 0, 0, 0)
+    guesses[:, 0, 0] = np.array((255, 0, 0, 0))[vary]
     residual = c - guesses & 255
-    cost = np.abs((residual + 128 & 255) - 128).sum(axis=(2, 3))
-    tiles = np.add.reduceat(cost, np.arange(0, height, 1 << PREDICTOR_SHIFT), axis=1).argmin(axis=0)
+    cost = np.abs((residual + 128 & 255) - 128).sum(axis=3)
+    side = np.arange(0, height, 1 << PREDICTOR_SHIFT), np.arange(0, width, 1 << PREDICTOR_SHIFT)
+    tiles = np.add.reduceat(np.add.reduceat(cost, side[0], axis=1), side[1], axis=2).argmin(axis=0)
     w.put(1, 1)
     w.put(PREDICTOR, 2)
     w.put(PREDICTOR_SHIFT - 2, 3)
-    put_image(w, np.array(TRIED, np.uint32)[tiles] << np.uint32(8), 1, False)
-    of_row = np.repeat(tiles, 1 << PREDICTOR_SHIFT)[:height]
-    return residual[of_row, np.arange(height)]
+    put_image(w, np.array(TRIED, np.uint32)[tiles].reshape(-1) << np.uint32(8), tiles.shape[1], False)
+    of = np.repeat(np.repeat(tiles, 1 << PREDICTOR_SHIFT, axis=0)[:height], 1 << PREDICTOR_SHIFT, axis=1)[:, :width]
+    out[..., vary] = np.take_along_axis(residual, of[None, :, :, None], axis=0)[0]
+    return out
 
 
 def put_cross_colour(w: Writer, c: np.ndarray) -> np.ndarray:
     """Write the cross-colour factors of the tiles, those of least squares; the residuals of channels c."""
-    height = len(c)
+    height, width, _ = c.shape
     signed = (c + 128 & 255) - 128
-    tops = np.arange(0, height, 1 << CROSS_SHIFT)
-    added = lambda a, b: np.add.reduceat((signed[..., a] * signed[..., b]).sum(1), tops)
+    side = np.arange(0, height, 1 << CROSS_SHIFT), np.arange(0, width, 1 << CROSS_SHIFT)
+    added = lambda a: np.add.reduceat(np.add.reduceat(signed[..., a] * signed[..., 2], side[0], axis=0), side[1], axis=1)
     of = lambda over, under: np.clip(np.round(32 * over / np.maximum(under, 1)), -128, 127).astype(np.int32)
-    gg = added(2, 2)
-    green_red, green_blue = of(added(1, 2), gg), of(added(3, 2), gg)
-    red_blue = np.zeros_like(green_red)
+    own = added(2)
+    to_red, to_blue = of(added(1), own), of(added(3), own)
     w.put(1, 1)
     w.put(CROSS_COLOUR, 2)
     w.put(CROSS_SHIFT - 2, 3)
-    factors = np.stack([np.full_like(red_blue, 255), red_blue, green_blue, green_red], axis=-1)
-    put_image(w, _packed(factors), 1, False)
-    grown = lambda x: np.repeat(x, 1 << CROSS_SHIFT)[:height, None]
+    put_image(w, _packed(np.stack([np.full_like(own, 255), np.zeros_like(own), to_blue, to_red], axis=-1)).reshape(-1), own.shape[1], False)
+    grown = lambda x: np.repeat(np.repeat(x, 1 << CROSS_SHIFT, axis=0)[:height], 1 << CROSS_SHIFT, axis=1)[:, :width]
     out = c.copy()
-    out[..., 1] -= grown(green_red) * signed[..., 2] >> 5
-    out[..., 3] -= grown(green_blue) * signed[..., 2] >> 5
+    out[..., 1] -= grown(to_red) * signed[..., 2] >> 5
+    out[..., 3] -= grown(to_blue) * signed[..., 2] >> 5
     return out & 255
 
 
@@ -899,34 +938,30 @@ def put_palette(w: Writer, colours: np.ndarray, index: np.ndarray, height: int)
 
 def encode_image(data: bytes) -> bytes:
     """Up to IMAGE_BYTES bytes, a multiple of 64, as one image."""
-    pair = np.frombuffer(data, "<u2").astype(np.uint32)
-    px = pair << np.uint32(8) | np.uint32(0xFF000000)
-    height, width = len(px) // WIDTH, WIDTH
+    grey = np.frombuffer(data, np.uint8).astype(np.uint32)
+    height, width = len(grey) // WIDTH, WIDTH
+    colours = np.flatnonzero(np.bincount(grey, minlength=256))
+    dealt = zlib.crc32(data) % DEALT if len(colours) > 16 else None
+    px = grey << np.uint32(8) | np.uint32(0xFF000000)
+    if dealt == 3:
+        width = PAIRS
+        px = np.frombuffer(data, "<u2").astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000)
+    elif dealt in (1, 2):
+        px |= grey | grey << np.uint32(16)
     w = Writer()
-    w.put(WIDTH - 1, 14)
+    w.put(width - 1, 14)
     w.put(height - 1, 14)
     w.put(0, 4)  # no alpha, version 0
-    colours = np.unique(px)
-    small = len(colours) <= 256
-    if small:
-        index = np.searchsorted(colours, px)
-        plain = sum(entropy(c) + 5 * np.count_nonzero(c) for c in (np.bincount(x) for x in np.frombuffer(data, np.uint8).reshape(-1, 2).T))
-    dealt = zlib.crc32(data) % DEALT
-    if small and 13 * len(colours) + entropy(np.bincount(index)) < plain:
-        px, width = put_palette(w, colours, index, height)
+    if dealt is None:
+        px, width = put_palette(w, colours.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), np.searchsorted(colours, grey), height)
     elif dealt == 0:
-        px = _packed(put_predictor(w, _channels(px).reshape(height, WIDTH, 4))).reshape(-1)
-    elif dealt < 3:
-        # The blue samples, which are free, repeat the green ones, so that both transforms leave none.
-        c = _channels(px | pair & np.uint32(0xFF))
-        if dealt == 1:
-            px = _packed(put_cross_colour(w, c.reshape(height, WIDTH, 4))).reshape(-1)
-        else:
-            c[..., 1] -= c[..., 2]
-            c[..., 3] -= c[..., 2]
-            w.put(1, 1)
-            w.put(SUBTRACT_GREEN, 2)
-            px = _packed(c)
+        px = _packed(put_predictor(w, _channels(px).reshape(height, width, 4))).reshape(-1)
+    elif dealt == 1:
+        px = _packed(put_cross_colour(w, _channels(px).reshape(height, width, 4))).reshape(-1)
+    elif dealt == 2:
+        w.put(1, 1)
+        w.put(SUBTRACT_GREEN, 2)
+        px &= np.uint32(0xFF00FF00)
     w.put(0, 1)
     put_image(w, px, width, True)
     return file_of(w.bytes()[0])
@@ -979,8 +1014,8 @@ def store_as_webp(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def read_webp(df: DataFrame, media_col: str = "media", size_col: str | None = "payload_bytes") -> DataFrame:
     """`df` without the media, with what they decode to: width, height, pixels, feature.
 
-    pixels: two bytes each (green, red), row by row; a medium may be several
-    images of one width, which follow one another. `size_col`: bytes
+    pixels: the green samples row by row, or green and red in images of 32
+    columns; a medium may be several images, which follow one another. `size_col`: bytes
     that are payload (the images may have more). A null medium, or bytes that
     are no lossless WebP, give nulls. Columns named width, height, pixels or
     feature are replaced. Repeated rows are repeated. Empty table: empty result.
