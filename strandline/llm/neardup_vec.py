@@ -4,14 +4,21 @@ A vector is turned by three rounds of random signs and fast Hadamard
 transforms; its hash is the signed axis it then lies closest to. A table joins
 several such hashes. Besides its own bucket a vector enters the next likely
 ones (second axes, by least loss), so a pair meets if any of their buckets
-coincide. Pairs of a bucket are verified by exact cosine in blocks of bounded
-size: a block gives each vector its number of links and its group, never a
-list of pairs. A pair is counted in the first bucket it shares.
+coincide. How many hashes a table joins follows from the number of vectors and
+their width, how many tables there are from the chance that a pair at the
+threshold meets in one table (found by hashing random such pairs) and the
+recall asked for.
+
+Only ids travel to buckets. Buckets with the same members are one; the
+vectors then meet once for each of those left, in blocks of bounded size. A
+block gives each vector its number of links and its group, never a list of
+pairs. A pair is counted in the first bucket it shares.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +29,59 @@ from pyspark.sql import functions as F
 from strandline.llm.base import cut, lean, sorted_runs
 from strandline.llm.graph import components
 
-COSINE, TABLES, PROBES = 0.9, 10, 4
-#: Each hash of a table beyond three costs recall, which further tables make up for.
-MORE_TABLES = 6
+COSINE, PROBES = 0.9, 4
+#: Share of the pairs at the threshold that are to be met; tables there may be for it, else a table joins fewer hashes.
+RECALL, MAX_TABLES = 0.995, 64
 #: Buckets a table has for each vector, at least; and vectors of a bucket that one block holds.
 SPARSE, BLOCK = 32, 512
 #: Blocks of so few rows are verified together, many at a time; pairs that are at work at once.
 SMALL, PAIRS = 16, 1 << 15
+#: A bucket's number: its table, then bits of its hash. Codes hold the upper 32 of these bits.
+TABLE_BITS, HASH_BITS = 7, 56
+
+_M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+def padded_width(d: int) -> int:
+    """Components after padding with zeros; short vectors get room, or their rotations would be few."""
+    return 1 << max(6, (d - 1).bit_length())
+
+
+@lru_cache(64)
+def chance(d: int, hashes: int, probes: int, cosine: float) -> float:
+    """The chance that two vectors of d components at this cosine meet in a table, from random pairs."""
+    rng = np.random.default_rng(11)
+    n, tables = 384, 8
+    x, z = rng.normal(size=(2, n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if d > 1:
+        z -= (z * x).sum(1, keepdims=True) * x
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        y = cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * z
+    else:
+        y = x
+    a, b = (codes(v, tables, hashes, probes, seed=77).reshape(n, tables, probes) for v in (x, y))
+    met = (a[:, :, :, None] == b[:, :, None, :]).any(axis=(2, 3))
+    # One half is taken off the hits, so that a chance is not thought larger than it is.
+    return max(0.0, (met.sum() - 0.5) / met.size)
+
+
+def plan(d: int, count: int, probes: int = PROBES, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
+    """(hashes of a table, tables) for `count` vectors of d components."""
+    hashes = max(1, math.ceil(math.log(SPARSE * max(count, 1)) / math.log(2 * padded_width(d))))
+    while True:
+        p = chance(d, hashes, probes, cosine)
+        tables = 1 if p >= recall else math.ceil(math.log(1 - recall) / math.log(1 - p)) if p > 0 else MAX_TABLES + 1
+        if tables <= MAX_TABLES or hashes == 1:
+            return hashes, min(tables, (1 << TABLE_BITS) - 1)
+        hashes -= 1
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -45,7 +98,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 def codes(units: np.ndarray, tables: int, hashes: int, probes: int, seed: int = 5) -> np.ndarray:
     """(vectors, tables * probes) bucket numbers of unit vectors; the first of each table is the vector's own."""
     n, d = units.shape
-    width = 1 << max(1, (d - 1).bit_length())
+    width = padded_width(d)
     padded = np.zeros((n, width))
     padded[:, :d] = units
     rng = np.random.default_rng(seed + width)
@@ -59,24 +112,27 @@ def codes(units: np.ndarray, tables: int, hashes: int, probes: int, seed: int =
             for k in range(3):
                 y = hadamard(y * signs[t, h, k])
             size = np.abs(y)
-            top = np.argpartition(-size, 1, axis=1)[:, :2]
-            swap = size[rows, top[:, 0]] < size[rows, top[:, 1]]
-            top[swap] = top[swap][:, ::-1]
-            axis = lambda i: 2 * top[:, i] + (y[rows, top[:, i]] < 0)  # noqa: E731, B023
-            best[:, h], second[:, h] = axis(0), axis(1)
-            loss[:, h] = size[rows, top[:, 0]] - size[rows, top[:, 1]]
+            first = size.argmax(axis=1)
+            top = size[rows, first]
+            best[:, h] = 2 * first + (y[rows, first] < 0)
+            size[rows, first] = -1.0
+            other = size.argmax(axis=1)
+            second[:, h] = 2 * other + (y[rows, other] < 0)
+            loss[:, h] = top - size[rows, other]
         # Which hashes take their second axis: the sets of least total loss, the empty one first.
         masks = np.array([[m >> h & 1 for h in range(hashes)] for m in range(1 << hashes)], bool)
         cost = (loss[:, None, :] * masks[None]).sum(2)
         chosen = np.argsort(cost, axis=1, kind="stable")[:, :probes]
         axes = np.where(masks[chosen], second[:, None, :], best[:, None, :])
-        acc = np.full(axes.shape[:2], t, np.int64)
-        for h in range(hashes):
-            acc = acc * (2 * width) + axes[:, :, h]
-        out[:, t, : acc.shape[1]] = acc
-        out[:, t, acc.shape[1] :] = acc[:, :1]
-    # Bucket numbers rise with the table; vectors of other lengths never meet.
-    return out.reshape(n, -1) * 4096 + min(d, 4095)
+        # Vectors of other lengths never meet.
+        with np.errstate(over="ignore"):
+            acc = np.full(axes.shape[:2], d, np.uint64)
+            for h in range(hashes):
+                acc = _mix(acc * _STEP + axes[:, :, h].astype(np.uint64))
+        own = (acc >> np.uint64(64 - HASH_BITS)).astype(np.int64) | t << HASH_BITS
+        out[:, t, : own.shape[1]] = own
+        out[:, t, own.shape[1] :] = own[:, :1]
+    return out.reshape(n, -1)
 
 
 def _vectors(batch):
@@ -97,25 +153,55 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(float(x @ x))
 
 
-def _hashed(tables, hashes, probes):
+def _kinds(batches):
+    """(id, vector) -> (vec_id, class, width): equal usable vectors have one class."""
+    for b in batches:
+        vectors = _vectors(b)
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0).cast(pa.int64()), pa.array([None if v is None else xxhash.xxh3_128_digest((v + 0.0).tobytes()) for v in vectors], pa.binary()), pa.array([0 if v is None else len(v) for v in vectors], pa.int32())],
+            names=["vec_id", "class", "width"],
+        )
+
+
+def _stored(v: np.ndarray) -> bytes:
+    """A vector's bytes, in single precision where that loses nothing; the last byte tells."""
+    with np.errstate(over="ignore"):
+        single = v.astype(np.float32)
+    return single.tobytes() + b"4" if (single == v).all() else v.tobytes() + b"8"
+
+
+def _units(column) -> np.ndarray:
+    """Unit vectors of stored ones of equal length."""
+    out = []
+    for x in column:
+        raw = x.as_buffer()
+        kind = np.float32 if len(raw) % 4 == 1 and memoryview(raw)[-1] == 52 else np.float64
+        out.append(_unit(np.frombuffer(raw, kind, (len(raw) - 1) // np.dtype(kind).itemsize).astype(np.float64)))
+    return np.stack(out)
+
+
+def _classed(batches):
+    """(id, vector) -> (class, stored vector) of the usable ones."""
+    for b in batches:
+        vectors = [v for v in _vectors(b) if v is not None]
+        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest((v + 0.0).tobytes()) for v in vectors], pa.binary()), pa.array([_stored(v) for v in vectors], pa.binary())], names=["class", "vector"])
+
+
+def _hashed(plans, probes):
+    """(key, vector, width) -> with codes and buckets; plans: width -> (hashes, tables)."""
+
     def run(batches):
         for b in batches:
-            vectors = _vectors(b)
-            unit = [None if v is None else _unit(v) for v in vectors]
-            got: list = [None] * len(vectors)
-            for d in {len(u) for u in unit if u is not None}:
-                at = [i for i, u in enumerate(unit) if u is not None and len(u) == d]
-                for i, c in zip(at, codes(np.stack([unit[i] for i in at]), tables, hashes, probes), strict=True):
-                    got[i] = c
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).cast(pa.int64()),
-                    pa.array([None if v is None else xxhash.xxh3_128_digest((v + 0.0).tobytes()) for v in vectors], pa.binary()),
-                    pa.array([None if u is None else u.tobytes() for u in unit], pa.binary()),
-                    pa.array(got, pa.list_(pa.int64())),
-                ],
-                names=["vec_id", "class", "unit", "codes"],
-            )
+            width = b.column(2).to_numpy()
+            short, buckets = [None] * b.num_rows, [None] * b.num_rows
+            for d in np.unique(width).tolist():
+                at = np.flatnonzero(width == d)
+                hashes, tables = plans[d]
+                got = codes(_units(b.column(1).take(pa.array(at))), tables, hashes, probes)
+                for i, c in zip(at.tolist(), got, strict=True):
+                    short[i] = (c >> (HASH_BITS - 32) & 0xFFFFFFFF).astype(np.uint32).tobytes()
+                    buckets[i] = np.unique(c)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(short, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["key", "vector", "width", "codes", "buckets"])
 
     return run
 
@@ -133,23 +219,27 @@ def _local_groups(linked: np.ndarray) -> np.ndarray:
 def _fresh(ci, cj, bucket, probes):
     """Whether no smaller bucket is shared, for rows of codes of pairs that share `bucket`."""
     fresh = np.ones(len(ci), bool)
-    for t in range(0, ci.shape[1], probes):
-        if len(ci) and ci[:, t : t + probes].min() >= bucket.max():
-            continue
-        for a in range(t, t + probes):
-            for b in range(t, t + probes):
-                fresh &= ~((ci[:, a] == cj[:, b]) & (ci[:, a] < bucket))
+    table, own = bucket >> HASH_BITS, (bucket >> (HASH_BITS - 32) & 0xFFFFFFFF).astype(np.uint32)
+    for t in range(int(table.max(initial=-1)) + 1):
+        at = slice(t * probes, (t + 1) * probes)
+        before = t < table
+        for a in ci[:, at].T:
+            for b in cj[:, at].T:
+                fresh &= ~((a == b) & (before | (t == table) & (a < own)))
     return fresh
 
 
+def _codes(column) -> np.ndarray:
+    return np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in column])
+
+
 def _large(g, probes, cosine):
-    """(ids, links, smallest of the group) of one block."""
+    """(classes, ids, links, smallest id of the group) of one block."""
     side = g.column("side").to_numpy()
     order = np.lexsort((g.column("rep").to_numpy(), side))
     g, side = g.take(order), side[order]
-    rep, mult = g.column("rep").to_numpy(), g.column("mult").to_numpy()
-    x = np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in g.column("unit")])
-    c = np.array(g.column("codes").to_pylist(), np.int64)
+    key, rep, mult = (g.column(k).to_numpy() for k in ("key", "rep", "mult"))
+    x, c = _units(g.column("vector")), _codes(g.column("codes"))
     bucket, same = g.column("bucket")[0].as_py(), g.column("bi")[0].as_py() == g.column("bj")[0].as_py()
     linked = x @ x.T >= cosine
     linked &= ~np.eye(len(x), dtype=bool) if same else side[:, None] != side[None, :]
@@ -160,18 +250,17 @@ def _large(g, probes, cosine):
         fresh = _fresh(c[a], c[b], np.full(len(a), bucket), probes)
         n += np.bincount(a[fresh], mult[b[fresh]], len(x)) + np.bincount(b[fresh], mult[a[fresh]], len(x))
     hit = linked.any(axis=1)
-    return rep[hit], n[hit], rep[_local_groups(linked)][hit]
+    low = np.full(len(x), np.iinfo(np.int64).max)
+    group = _local_groups(linked)
+    np.minimum.at(low, group, rep)
+    return key[hit], rep[hit], n[hit], low[group][hit]
 
 
 def _small(t, starts, sizes, probes, cosine):
     """The same for many blocks of a few rows: their pairs are formed at once, and a link is told where it is first met."""
-    rep, mult, side, bucket = (t.column(k).to_numpy() for k in ("rep", "mult", "side", "bucket"))
+    key, rep, mult, side, bucket = (t.column(k).to_numpy() for k in ("key", "rep", "mult", "side", "bucket"))
     same = t.column("bi").to_numpy() == t.column("bj").to_numpy()
-    unit = t.column("unit").combine_chunks()
-    unit = unit.chunk(0) if isinstance(unit, pa.ChunkedArray) else unit
-    width = len(unit[0].as_buffer()) // 8
-    codes = np.array(t.column("codes").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(t.num_rows, -1)
-    x = np.frombuffer(b"".join(unit.to_pylist()), np.float64).reshape(-1, width)
+    x, codes = _units(t.column("vector")), _codes(t.column("codes"))
     first, second = [], []
     for s in np.unique(sizes).tolist():
         a, b = np.triu_indices(s, 1)
@@ -189,24 +278,27 @@ def _small(t, starts, sizes, probes, cosine):
         fresh = _fresh(codes[i], codes[j], bucket[i], probes) if len(i) else np.empty(0, bool)
         i, j = i[fresh], j[fresh]
         low = np.minimum(rep[i], rep[j])
-        out += [(rep[i], mult[j], low), (rep[j], mult[i], low)]
-    return [np.concatenate([o[k] for o in out]) for k in range(3)] if out else [np.empty(0)] * 3
+        out += [(key[i], rep[i], mult[j], low), (key[j], rep[j], mult[i], low)]
+    return [np.concatenate([o[k] for o in out]) for k in range(4)] if out else [np.empty(0)] * 4
 
 
 def _verified(probes, cosine):
-    """Blocks (bucket, bi, bj, side, rep, mult, unit, codes) -> (id, n, to): links counted here, and a smaller member of its group."""
+    """Blocks (bucket, bi, bj, side, key, rep, mult, vector, width, codes) -> (key, id, n, to): links counted here, and the smallest id of the group."""
 
     def batch(found):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]).astype(np.int64)) for k in range(3)], names=["id", "n", "to"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]).astype(np.int64)) for k in range(4)], names=["key", "id", "n", "to"])
 
     def run(batches):
         for t, bounds in sorted_runs(batches):
             sizes, found = np.diff(bounds), []
-            lengths = {len(v.as_buffer()) for v in t.column("unit")} if t.num_rows else set()
-            few = (sizes <= SMALL) & (len(lengths) == 1)
-            if (few & (sizes > 1)).any():
-                found.append(_small(t, bounds[:-1][few & (sizes > 1)], sizes[few & (sizes > 1)], probes, cosine))
-            for k in np.flatnonzero(~few):
+            # Vectors of other lengths never share a bucket: a block has one length, and blocks of one length are verified together.
+            width = np.fromiter((len(t.column("codes")[int(i)].as_buffer()) << 32 | t.column("width")[int(i)].as_py() for i in bounds[:-1]), np.int64, len(sizes))
+            few = (sizes <= SMALL) & (sizes > 1)
+            for w in np.unique(width[few]).tolist():
+                mine = few & (width == w)
+                rows = np.concatenate([np.arange(a, b) for a, b in zip(bounds[:-1][mine].tolist(), bounds[1:][mine].tolist(), strict=True)])
+                found.append(_small(t.take(rows), np.cumsum(sizes[mine]) - sizes[mine], sizes[mine], probes, cosine))
+            for k in np.flatnonzero(sizes > SMALL):
                 found.append(_large(t.slice(bounds[k], sizes[k]), probes, cosine))
             if found:
                 yield batch(found)
@@ -214,33 +306,48 @@ def _verified(probes, cosine):
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, probes: int = PROBES, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of `vectors`.
 
     Vectors that are null, empty, zero, or hold null or non-finite components
     link with nothing. Equal vectors are one class that counts by its number
-    of rows. Vectors of other lengths do not compare. The hashes of a table
-    grow with the logarithm of the number of vectors, so buckets stay sparse;
-    a bucket of any size is cut into pairs of blocks. Empty table: empty result.
+    of rows. Vectors of other lengths do not compare. Rows without an id link
+    with nothing and have no component. Rows that repeat an id are one vertex
+    of the components, each with its own links. Ties: the smallest id stands
+    for a component. Other columns are not read. A bucket of any size is
+    cut into pairs of blocks. Empty table: empty result. `recall`: share of
+    the pairs at the threshold that is to be found; closer pairs are found more
+    surely.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
-    count = max(rows.count(), 1)
-    hashes = max(1, math.ceil(math.log(SPARSE * count) / math.log(128)))
-    tables += MORE_TABLES * max(0, hashes - 3)
-    hashed = cut(rows.mapInArrow(lean(_hashed(tables, hashes, probes)), "vec_id long, class binary, unit binary, codes array<long>"))
-    classes = cut(hashed.filter("class is not null and vec_id is not null").groupBy("class").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("unit").alias("unit"), F.first("codes").alias("codes")))
-    entries = classes.select("rep", F.explode(F.array_distinct("codes")).alias("bucket"))
-    # A large bucket is cut by the representatives' hash; its number of rows says into how many blocks.
-    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    cutup = entries.join(sizes, "bucket").withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    kinds = cut(rows.mapInArrow(lean(_kinds), "vec_id long, class binary, width int"))
+    named = kinds.filter("class is not null and vec_id is not null")
+    # A class has a key of its own, as an id may come with several vectors; such rows are one vertex.
+    classes = cut(named.groupBy("class").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.max("width").alias("width")).withColumn("key", F.monotonically_increasing_id()))
+    # Lengths are few in any table of embeddings; what comes here is a count for each.
+    plans = {r["width"]: plan(r["width"], r["n"], probes, cosine, recall) for r in classes.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # The vector of a class is that of its representative.
+    reps = rows.join(classes.select(F.col("rep").alias("vec_id")).distinct(), "vec_id", "left_semi").select("vec_id", "vector")
+    stored = reps.mapInArrow(lean(_classed), "class binary, vector binary").dropDuplicates(["class"])
+    hashed = cut(classes.select("key", "class", "width").join(stored, "class").select("key", "vector", "width").mapInArrow(lean(_hashed(plans, probes)), "key long, vector binary, width int, codes binary, buckets array<long>"))
+    entries = hashed.select("key", F.explode("buckets").alias("bucket"))
+    # Buckets with the same members are one: the smallest, which is also the first that its pairs share.
+    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("members"), F.min("key").alias("low")).filter("n > 1")
+    once = sizes.groupBy("n", "members", "low").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    # A large bucket is cut by the keys' hash; its number of rows says into how many blocks.
+    cutup = entries.join(once, "bucket").withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("bi"), F.greatest(k, F.col("block")).alias("bj")))
-    placed = cutup.withColumn("pair", F.explode(pair)).select("rep", "bucket", "pair.bi", "pair.bj", F.col("block").alias("side"))
-    full = placed.join(classes.select("rep", "mult", "unit", "codes"), "rep").select("bucket", "bi", "bj", "side", "rep", "mult", "unit", "codes")
+    placed = cutup.withColumn("pair", F.explode(pair)).select("key", "bucket", "pair.bi", "pair.bj", F.col("block").alias("side"))
+    full = placed.join(hashed.select("key", "vector", "width", "codes"), "key").join(classes.select("key", "rep", "mult"), "key").select("bucket", "bi", "bj", "side", "key", "rep", "mult", "vector", "width", "codes")
     dealt = full.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    found = cut(dealt.mapInArrow(lean(_verified(probes, cosine)), "id long, n long, to long"))
-    links = found.groupBy("id").agg(F.sum("n").alias("n"))
+    found = cut(dealt.mapInArrow(lean(_verified(probes, cosine)), "key long, id long, n long, to long"))
+    links = found.groupBy("key").agg(F.sum("n").alias("n"))
     grouped = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
-    of_class = classes.select("class", "rep", "mult").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(grouped.withColumnRenamed("id", "rep"), "rep", "left")
+    of_class = classes.select("class", "key", "rep", "mult").join(links, "key", "left").join(grouped.withColumnRenamed("id", "rep"), "rep", "left")
     of_class = of_class.select("class", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     component = F.coalesce("component_id", "vec_id")
-    return hashed.select("vec_id", "class").join(of_class, "class", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    # Vectors that link with nothing stay where they are.
+    some = named.join(of_class, "class").select("vec_id", "n_links", "component_id")
+    rest = kinds.filter("class is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = some.unionByName(rest)
+    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

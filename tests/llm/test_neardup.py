@@ -136,19 +136,47 @@ def test_vectors_match_brute_force(spark, small):
     assert V.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("d", [2, 10, 64, 256, 768])
+@pytest.mark.parametrize("count", [1_000, 60_000, 5_000_000, 2_000_000_000])
+def test_recall_at_the_threshold(d, count):
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(1500, 64))
+    n = 400 if d > 100 else 1500
+    x = rng.normal(size=(n, d))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = rng.normal(size=x.shape)
     z -= (z * x).sum(1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     y = 0.9 * x + np.sqrt(1 - 0.81) * z
-    a, b = V.codes(x, V.TABLES, 3, V.PROBES), V.codes(y, V.TABLES, 3, V.PROBES)
+    hashes, tables = V.plan(d, count)
+    a, b = V.codes(x, tables, hashes, V.PROBES), V.codes(y, tables, hashes, V.PROBES)
     hit = np.zeros(len(x), bool)
-    for i in range(a.shape[1]):
-        hit |= (a[:, i : i + 1] == b).any(1)
-    assert hit.mean() > 0.97
+    for t in range(tables):
+        at = slice(t * V.PROBES, (t + 1) * V.PROBES)
+        hit |= (a[:, at, None] == b[:, None, at]).any(axis=(1, 2))
+    assert hit.mean() >= 0.96 and tables <= V.MAX_TABLES
+    # Few vectors that are not alike meet.
+    assert (a[:-1] == b[1:]).any(1).mean() < 0.5 or d < 64
+
+
+def test_a_pair_is_fresh_in_its_first_bucket_only():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 16))
+    x[30:] = x[:30] + 0.2 * rng.normal(size=(30, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = V.codes(x, 5, 2, V.PROBES)
+    short = (c >> (V.HASH_BITS - 32) & 0xFFFFFFFF).astype(np.uint32)
+    for i in range(30):
+        for j in (i + 30, (i + 1) % 30):
+            shared = sorted(set(c[i].tolist()) & set(c[j].tolist()))
+            fresh = [bool(V._fresh(short[[i]], short[[j]], np.array([k]), V.PROBES)[0]) for k in shared]
+            assert fresh == [True] + [False] * (len(shared) - 1) if shared else True
+
+
+def test_vectors_beside_clashing_columns(spark):
+    names = ("class", "rep", "mult", "width", "codes", "buckets", "bucket", "n", "id", "component_id", "kept")
+    rows = [(1, [1.0, 0.0], *"abcdefghijk"), (2, [1.0, 0.1], *"abcdefghijk"), (2, [0.0, 5.0], *"abcdefghijk"), (3, [0.0, 1.0], *"abcdefghijk"), (None, [1.0, 0.0], *"abcdefghijk")]
+    got = V.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, " + ", ".join(f"`{c}` string" for c in names))).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in got) == [(0, 0, 0), (1, 1, 1), (2, 1, 1), (2, 1, 1), (3, 1, 1)]
 
 
 def test_hadamard():
