@@ -9,10 +9,14 @@ their width, how many tables there are from the chance that a pair at the
 threshold meets in one table (found by hashing random such pairs) and the
 recall asked for.
 
-Only ids travel to buckets. Buckets with the same members are one; the
-vectors then meet once for each of those left, in blocks of bounded size. A
-block gives each vector its number of links and its group, never a list of
-pairs. A pair is counted in the first bucket it shares.
+Only ids and short sketches travel to buckets, which are worked through in
+blocks of bounded size. Buckets with the same members are one. A sketch has
+the signs of random projections: two of them differ in more than a known
+number of signs only if their vectors are below the threshold, but for a
+chance of one in 10^9. What has no likely partner in a block is done with; the
+vectors of the others then meet, and a block gives each of them its number of
+links and its group, never a list of pairs. A pair is counted in the first
+bucket it shares.
 """
 
 from __future__ import annotations
@@ -39,6 +43,9 @@ SMALL, PAIRS = 16, 1 << 15
 #: A bucket's number: its table, then bits of its hash. Codes hold the upper 32 of these bits.
 TABLE_BITS, HASH_BITS = 7, 56
 
+#: Signs of a sketch, and standard deviations by which two may differ in more of them than the threshold's angle makes likely.
+SKETCH, DEVIATIONS = 256, 6.0
+
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -187,21 +194,38 @@ def _classed(batches):
         yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest((v + 0.0).tobytes()) for v in vectors], pa.binary()), pa.array([_stored(v) for v in vectors], pa.binary())], names=["class", "vector"])
 
 
+@lru_cache(8)
+def _projections(d: int) -> np.ndarray:
+    return np.random.default_rng(1009 + d).normal(size=(d, SKETCH))
+
+
+def sketches(units: np.ndarray) -> np.ndarray:
+    """(vectors, SKETCH / 64) of signs as bits."""
+    return np.packbits(units @ _projections(units.shape[1]) > 0, axis=1).view(np.uint64)
+
+
+def most_apart(cosine: float) -> int:
+    """Signs in which two vectors at this cosine, or closer, differ at most."""
+    p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    return math.ceil(SKETCH * p + DEVIATIONS * math.sqrt(SKETCH * p * (1 - p)))
+
+
 def _hashed(plans, probes):
-    """(key, vector, width) -> with codes and buckets; plans: width -> (hashes, tables)."""
+    """(key, vector, width) -> with codes, sketch and buckets; plans: width -> (hashes, tables)."""
 
     def run(batches):
         for b in batches:
             width = b.column(2).to_numpy()
-            short, buckets = [None] * b.num_rows, [None] * b.num_rows
+            short, signs, buckets = [None] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
             for d in np.unique(width).tolist():
                 at = np.flatnonzero(width == d)
                 hashes, tables = plans[d]
-                got = codes(_units(b.column(1).take(pa.array(at))), tables, hashes, probes)
-                for i, c in zip(at.tolist(), got, strict=True):
+                units = _units(b.column(1).take(pa.array(at)))
+                for i, c, sign in zip(at.tolist(), codes(units, tables, hashes, probes), sketches(units), strict=True):
+                    signs[i] = sign.tobytes()
                     short[i] = (c >> (HASH_BITS - 32) & 0xFFFFFFFF).astype(np.uint32).tobytes()
                     buckets[i] = np.unique(c)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(short, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["key", "vector", "width", "codes", "buckets"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(short, pa.binary()), pa.array(signs, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["key", "vector", "width", "codes", "sketch", "buckets"])
 
     return run
 
@@ -282,6 +306,41 @@ def _small(t, starts, sizes, probes, cosine):
     return [np.concatenate([o[k] for o in out]) for k in range(4)] if out else [np.empty(0)] * 4
 
 
+def _likely(most):
+    """Blocks (bucket, bi, bj, side, key, sketch) -> the rows with a partner that may be similar, without the sketch."""
+
+    def run(batches):
+        for t, bounds in sorted_runs(batches):
+            sizes = np.diff(bounds)
+            side = t.column("side").to_numpy()
+            same = t.column("bi").to_numpy() == t.column("bj").to_numpy()
+            bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+            hit = np.zeros(t.num_rows, bool)
+
+            def meet(first, second):
+                keep = same[first] | (side[first] != side[second])
+                first, second = first[keep], second[keep]
+                near = np.bitwise_count(bits[first] ^ bits[second]).sum(1) <= most
+                hit[first[near]] = True
+                hit[second[near]] = True
+
+            for s in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
+                a, b = np.triu_indices(s, 1)
+                starts = bounds[:-1][sizes == s]
+                step = max(1, PAIRS // len(a))
+                for at in range(0, len(starts), step):
+                    some = starts[at : at + step, None]
+                    meet((some + a).ravel(), (some + b).ravel())
+            for k in np.flatnonzero(sizes > SMALL).tolist():
+                rows = np.arange(bounds[k], bounds[k + 1])
+                for i in range(len(rows) - 1):
+                    meet(np.repeat(rows[i], len(rows) - i - 1), rows[i + 1 :])
+            if hit.any():
+                yield from t.select(["bucket", "bi", "bj", "side", "key"]).filter(pa.array(hit)).to_batches()
+
+    return run
+
+
 def _verified(probes, cosine):
     """Blocks (bucket, bi, bj, side, key, rep, mult, vector, width, codes) -> (key, id, n, to): links counted here, and the smallest id of the group."""
 
@@ -329,7 +388,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # The vector of a class is that of its representative.
     reps = rows.join(classes.select(F.col("rep").alias("vec_id")).distinct(), "vec_id", "left_semi").select("vec_id", "vector")
     stored = reps.mapInArrow(lean(_classed), "class binary, vector binary").dropDuplicates(["class"])
-    hashed = cut(classes.select("key", "class", "width").join(stored, "class").select("key", "vector", "width").mapInArrow(lean(_hashed(plans, probes)), "key long, vector binary, width int, codes binary, buckets array<long>"))
+    hashed = cut(classes.select("key", "class", "width").join(stored, "class").select("key", "vector", "width").mapInArrow(lean(_hashed(plans, probes)), "key long, vector binary, width int, codes binary, sketch binary, buckets array<long>"))
     entries = hashed.select("key", F.explode("buckets").alias("bucket"))
     # Buckets with the same members are one: the smallest, which is also the first that its pairs share.
     sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("members"), F.min("key").alias("low")).filter("n > 1")
@@ -338,7 +397,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     cutup = entries.join(once, "bucket").withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("bi"), F.greatest(k, F.col("block")).alias("bj")))
     placed = cutup.withColumn("pair", F.explode(pair)).select("key", "bucket", "pair.bi", "pair.bj", F.col("block").alias("side"))
-    full = placed.join(hashed.select("key", "vector", "width", "codes"), "key").join(classes.select("key", "rep", "mult"), "key").select("bucket", "bi", "bj", "side", "key", "rep", "mult", "vector", "width", "codes")
+    sketched = placed.join(hashed.select("key", "sketch"), "key").select("bucket", "bi", "bj", "side", "key", "sketch")
+    met = sketched.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj").mapInArrow(lean(_likely(most_apart(cosine))), "bucket long, bi int, bj int, side int, key long")
+    full = met.join(hashed.select("key", "vector", "width", "codes"), "key").join(classes.select("key", "rep", "mult"), "key").select("bucket", "bi", "bj", "side", "key", "rep", "mult", "vector", "width", "codes")
     dealt = full.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
     found = cut(dealt.mapInArrow(lean(_verified(probes, cosine)), "key long, id long, n long, to long"))
     links = found.groupBy("key").agg(F.sum("n").alias("n"))

@@ -158,6 +158,20 @@ def test_recall_at_the_threshold(d, count):
     assert (a[:-1] == b[1:]).any(1).mean() < 0.5 or d < 64
 
 
+@pytest.mark.parametrize("cosine", [0.5, 0.9, 0.99, 1.0])
+def test_sketches_of_similar_vectors_are_close(cosine):
+    rng = np.random.default_rng(8)
+    for d in (2, 64, 300):
+        x, z = rng.normal(size=(2, 4000, d))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(1, keepdims=True) * x
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        apart = np.bitwise_count(V.sketches(x) ^ V.sketches(cosine * x + np.sqrt(1 - cosine**2) * z)).sum(1)
+        assert apart.max() <= V.most_apart(cosine)
+        if d == 300 and cosine >= 0.9:
+            assert np.bitwise_count(V.sketches(x) ^ V.sketches(z)).sum(1).min() > V.most_apart(cosine)
+
+
 def test_a_pair_is_fresh_in_its_first_bucket_only():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 16))
