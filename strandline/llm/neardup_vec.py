@@ -92,14 +92,24 @@ def plan(d: int, count: int, probes: int = PROBES, cosine: float = COSINE, recal
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of the last axis (a power of two), orthonormal."""
+    """Fast Walsh-Hadamard transform of the last axis (a power of two), orthonormal, by factors of up to 16."""
     n, shape = x.shape[-1], x.shape
-    h = 1
-    while h < n:
-        y = x.reshape(*shape[:-1], n // (2 * h), 2, h)
-        x = np.stack([y[..., 0, :] + y[..., 1, :], y[..., 0, :] - y[..., 1, :]], axis=-2).reshape(shape)
-        h *= 2
-    return x / math.sqrt(n)
+    left = n
+    y = x.reshape(-1, n)
+    while left > 1:
+        f = min(16, left)
+        # The last factor's axis is transformed and goes to the front; after all of them the axes are in order again.
+        y = (y.reshape(-1, f) @ _small_hadamard(f)).reshape(-1, n // f, f).transpose(0, 2, 1).reshape(-1, n)
+        left //= f
+    return y.reshape(shape)
+
+
+@lru_cache(8)
+def _small_hadamard(n: int) -> np.ndarray:
+    h = np.ones((1, 1))
+    while len(h) < n:
+        h = np.block([[h, h], [h, -h]]) / math.sqrt(2)
+    return h
 
 
 def codes(units: np.ndarray, tables: int, hashes: int, probes: int, seed: int = 5) -> np.ndarray:

@@ -197,3 +197,6 @@ def test_hadamard():
     x = np.eye(8)
     h = V.hadamard(x)
     assert np.allclose(h @ h.T, np.eye(8)) and np.allclose(np.abs(h), 1 / np.sqrt(8))
+    for n in (2, 16, 64, 512, 1024):
+        bits = np.array([[bin(i & j).count("1") & 1 for j in range(n)] for i in range(n)])
+        assert np.allclose(V.hadamard(np.eye(n)), (1 - 2 * bits) / np.sqrt(n))
