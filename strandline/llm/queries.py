@@ -68,6 +68,50 @@ QUERIES = {
     "op10_wrapper_induction": op10_wrapper_induction,
 }
 
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes: each step adds the constants of the bits of its byte."""
+    constants = []
+    for k in range(8):
+        c = 1 << k
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        constants.append(c)
+    step = "c >> 8"
+    for k, constant in enumerate(constants):
+        step = f"xor({step}, (xor(c, b) >> {k} & 1) * {constant})"
+    listed = f"list_transform(regexp_extract_all(hex(encode(coalesce({text}, ''))), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {listed}), lambda c, b: {step}), 4294967295::BIGINT)"
+
+
+def _shards_sql(shards: int = 8, tolerance: str = "0.002") -> str:
+    """Histogram sort as SQL: a round for each step of the probes; a splitter is open until it is near its goal."""
+    steps = [1 << sharding.ID_BITS]
+    while steps[-1] > 1:
+        steps.append(max(1, steps[-1] // sharding.PROBES))
+    rounds, span = [], 1 << (sharding.CELL_BITS + sharding.ID_BITS)
+    for r, step in enumerate(steps):
+        near = "TRUE" if step == 1 else "least(goal - below, below + more - goal) <= slack"
+        rounds.append(f"""
+c{r} AS (SELECT o.s, (d.key - o.lo) // {step} AS bin, sum(d.size)::BIGINT AS more FROM o{r} o JOIN d ON d.key >= o.lo AND d.key < o.lo + {span} GROUP BY 1, 2),
+a{r} AS (SELECT o.s, o.goal, o.slack, o.lo + c.bin * {step} AS edge, c.more, (o.below + sum(c.more) OVER (PARTITION BY o.s ORDER BY c.bin) - c.more)::BIGINT AS below FROM c{r} c JOIN o{r} o ON o.s = c.s),
+f{r} AS (SELECT *, {near} AS done FROM a{r} WHERE below + more > goal QUALIFY row_number() OVER (PARTITION BY s ORDER BY edge) = 1),
+o{r + 1} AS (SELECT s, edge AS lo, below, goal, slack FROM f{r} WHERE NOT done)""")
+        span = step
+    found = " UNION ALL ".join(f"SELECT s, CASE WHEN goal - below <= below + more - goal THEN edge ELSE edge + {step} END AS key FROM f{r} WHERE done" for r, step in enumerate(steps))
+    sql = f"""
+WITH d AS (
+  SELECT doc_id, text, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
+         ('0x' || substr(md5(coalesce(text, '')), 1, {sharding.CELL_BITS // 4}))::BIGINT * {1 << sharding.ID_BITS} + ('0x' || substr(md5('id:' || coalesce(doc_id::VARCHAR, '')), 1, {sharding.ID_BITS // 4}))::BIGINT AS key
+  FROM documents),
+t AS (SELECT coalesce(sum(size), 0)::BIGINT AS total FROM d),
+o0 AS (SELECT s::INT AS s, 0::BIGINT AS lo, 0::BIGINT AS below, total * s / {shards}::DOUBLE AS goal, {tolerance}::DOUBLE * total / {shards}::DOUBLE AS slack FROM t, range(1, {shards}) r(s)),{",".join(rounds)},
+k AS (SELECT s, max(key) OVER (ORDER BY s) AS key FROM ({found})),
+p AS (SELECT d.*, (SELECT count(*) FROM k WHERE d.key >= k.key)::INT AS shard FROM d)
+SELECT doc_id, size, CRC32_OF_TEXT AS text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY key, doc_id, size) - 1)::BIGINT AS slot, NULL::INT AS grown_shard FROM p"""
+    return sql.replace("CRC32_OF_TEXT", _crc32_sql("text"))
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mix": """
 WITH d AS (
@@ -88,6 +132,7 @@ p AS (SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT
 SELECT doc_id, size, source_size, target,
        (greatest(0, least(a + size, words) - a) + greatest(0, least(a + size, words - source_size) - a))::BIGINT AS taken
 FROM p""",
+    "op3_histogram_shards": _shards_sql(),
     "op5_cross_polytope": """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings

@@ -1,7 +1,7 @@
 """Sharding by histogram sort. DataFrame functions only.
 
-Rows are ordered by one integer key: 12 bits of the text's hash (a cell), then
-50 bits of the id's hash. Splitters for equal bytes are found by rounds of
+Rows are ordered by one integer key: 12 bits of the text's MD5 (a cell), then
+48 bits of the id's. Splitters for equal bytes are found by rounds of
 probes: each round counts the exact bytes in the equal parts of every open
 splitter's interval over all partitions and keeps the part in which the
 splitter lies. The first round probes the cells' own borders, so equal texts
@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 
 from strandline.llm.base import cut
 
-CELL_BITS, ID_BITS = 12, 50
+CELL_BITS, ID_BITS = 12, 48
 #: Parts of an interval in the later rounds.
 PROBES = 1024
 
@@ -60,7 +60,8 @@ def find_splitters(keyed: DataFrame, shards: int, tolerance: float) -> list[int]
 def histogram_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, tolerance: float = 0.002, extra: dict | None = None) -> DataFrame:
     """(doc_id, size, *extra, shard, slot) for each row: shards of near equal bytes, slots without gaps in each.
 
-    Size: UTF-8 bytes plus 1; null or empty text: 1. Null ids share one key.
+    Size: UTF-8 bytes plus 1; null or empty text: 1. Null and empty texts are
+    equal. Null ids share one key.
     Repeated rows have neighbouring slots. Empty table: empty result. A shard
     differs from the ideal by `tolerance` of it, or by a part of the row on
     its border where rows are larger than that. A hot text is one cell; its
@@ -69,8 +70,9 @@ def histogram_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     extra = extra or {}
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 1
-    cell = F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << CELL_BITS)).cast("long")
-    low = F.shiftrightunsigned(F.xxhash64(F.lit("id"), F.col(id_col)), 64 - ID_BITS)
+    bits = lambda text, digits: F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+    cell = bits(F.coalesce(F.col(text_col), F.lit("")), CELL_BITS // 4)
+    low = bits(F.concat(F.lit("id:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), ID_BITS // 4)
     base = cut(docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), (F.shiftleft(cell, ID_BITS) + low).alias("key"), *[c.alias(k) for k, c in extra.items()]))
     per_part = max(1, math.isqrt(base.count()))
     splitters = find_splitters(base.select("key", "size"), shards, tolerance)
