@@ -1,8 +1,10 @@
 """Quality classifier: gated-attention multiple-instance learning over passages.
 
-Every passage of 64 words becomes a feature vector (shares of characters,
-repetition within the passage and against the text before it, word lengths).
-A small encoder maps it to a hidden vector, gated attention weighs the
+Every passage of 64 words becomes a feature vector: shares of its hashed
+subwords (byte trigrams, words with their borders), shares of kinds of
+characters, repetition within the passage and against the text before it, word
+lengths. An encoder, whose first layer holds an embedding of each hashed
+subword, maps it to a hidden vector, gated attention weighs the
 passages, and the weighted sum is scored. Encoder, attention and scorer are
 trained together from document labels, in numpy, on a bounded sample.
 """
@@ -20,7 +22,9 @@ from strandline.llm.langid import held_out
 
 PASSAGE_WORDS, HIDDEN, ATTENTION = 64, 32, 16
 #: Labelled rows to learn from; passages that a row of the sample may have (a prediction reads all).
-SAMPLE_ROWS, SAMPLE_PASSAGES = 4000, 256
+SAMPLE_ROWS, SAMPLE_PASSAGES = 4000, 24
+#: Subwords are hashed to so many places.
+SUBWORDS = 512
 EPOCHS, BATCH, RATE, DECAY, SEED = 24, 64, 3e-3, 1e-4, 23
 KEEP = 0.3
 #: Words that are worked on at once.
@@ -32,7 +36,8 @@ _CLASS = np.zeros(256, np.int64)
 for _c in range(256):
     _CLASS[_c] = 0 if 97 <= _c <= 122 else 1 if 65 <= _c <= 90 else 2 if 48 <= _c <= 57 else 3 if _c == 10 else 4 if _c <= 32 or _c == 127 else 5 if 128 <= _c < 192 else 6 if _c >= 192 else 7 + _OTHER.index(_c)
 CLASSES = 7 + len(_OTHER)
-FEATURES = CLASSES + 8
+FEATURES = CLASSES + 8 + SUBWORDS
+_G1, _G2, _G3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
 
 def passage_features(text: str | None) -> np.ndarray:
@@ -70,7 +75,15 @@ def passage_features(text: str | None) -> np.ndarray:
     mean = np.bincount(of, lengths, n) / size
     spread = np.sqrt(np.maximum(np.bincount(of, lengths.astype(np.float64) ** 2, n) / size - mean**2, 0))
     extra = [*repeated(hashes), *repeated(triples), mean / 10, spread / 10, np.log1p(size) / 4, np.full(n, np.log1p(len(words)) / 10)]
-    return np.concatenate([np.sqrt(share), np.stack(extra, axis=1)], axis=1).astype(np.float32)
+    # Trigrams of lower-case bytes, any white space as one; each belongs to the passage of its middle.
+    low = b.astype(np.uint32) | np.where((b >= 65) & (b <= 90), np.uint32(32), np.uint32(0))
+    low[space] = 32
+    low = np.concatenate((np.full(1, 32, np.uint32), low, np.full(1, 32, np.uint32)))
+    mixed = (low[:-2] * _G1 + low[1:-1] * _G2 ^ low[2:] * _G3) * _G1
+    at = passage * SUBWORDS + (mixed >> np.uint32(32 - (SUBWORDS - 1).bit_length())).astype(np.int64)
+    grams = np.bincount(at[~space], minlength=n * SUBWORDS).reshape(n, SUBWORDS).astype(np.float32)
+    grams = np.sqrt(grams / np.maximum(grams.sum(1, keepdims=True), 1))
+    return np.concatenate([np.sqrt(share), np.stack(extra, axis=1), grams], axis=1).astype(np.float32)
 
 
 class Attention:
@@ -82,6 +95,11 @@ class Attention:
         self.mean, self.scale = np.zeros(FEATURES), np.ones(FEATURES)
         self.p = {"w1": weight(FEATURES, HIDDEN), "b1": np.zeros(HIDDEN), "v": weight(HIDDEN, ATTENTION), "u": weight(HIDDEN, ATTENTION), "a": weight(ATTENTION, 1)[:, 0], "w": np.zeros(HIDDEN), "b": np.zeros(1)}
 
+    @staticmethod
+    def damping():
+        """What is added to each feature's spread: single subwords are many and say little each."""
+        return np.where(np.arange(FEATURES) < FEATURES - SUBWORDS, 1e-2, 4e-1)
+
     def forward(self, x, starts):
         p = self.p
         x = (x - self.mean) / self.scale
@@ -110,8 +128,9 @@ class Attention:
     def fit(self, bags: list[np.ndarray], y: np.ndarray) -> Attention:
         if not bags:
             return self
-        every = np.concatenate(bags).astype(np.float64)
-        self.mean, self.scale = every.mean(0), every.std(0) + 1e-2
+        n = sum(map(len, bags))
+        self.mean = sum(b.sum(0, dtype=np.float64) for b in bags) / n
+        self.scale = np.sqrt(sum(((b - self.mean) ** 2).sum(0) for b in bags) / n) + self.damping()
         rate = y.mean()
         self.p["b"][:] = np.log(max(rate, 1e-3) / max(1 - rate, 1e-3))
         rng = np.random.default_rng(SEED)
@@ -133,7 +152,9 @@ class Attention:
     def score(self, bags: list[np.ndarray]) -> np.ndarray:
         if not bags:
             return np.empty(0)
-        return self.forward(np.concatenate(bags).astype(np.float64), np.cumsum([0] + [len(b) for b in bags[:-1]]))[-1]
+        scores = self.forward(np.concatenate(bags).astype(np.float64), np.cumsum([0] + [len(b) for b in bags[:-1]]))[-1]
+        # The last digits depend on the texts that are scored together.
+        return scores.round(9)
 
 
 def train_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Attention:
@@ -154,11 +175,11 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
                 x = passage_features(text)
                 if len(x) > SAMPLE_PASSAGES:
                     x = x[np.sort(np.random.default_rng(SEED).choice(len(x), SAMPLE_PASSAGES, replace=False))]
-                out.append((i, y, x.tobytes()))
+                out.append((i, y, x.astype(np.float16).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["id", "y", "x"])
 
     got = texts.select(F.col("id").cast("long"), "text", "y").mapInArrow(lean(run), "id long, y int, x binary").orderBy("id", "x").limit(2 * sample_rows).collect()
-    return Attention().fit([np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in got], np.array([float(r["y"]) for r in got]))
+    return Attention().fit([np.frombuffer(r["x"], np.float16).reshape(-1, FEATURES) for r in got], np.array([float(r["y"]) for r in got]))
 
 
 def _scores(column, model: Attention) -> np.ndarray:
@@ -166,14 +187,19 @@ def _scores(column, model: Attention) -> np.ndarray:
     for x in column:
         bags.append(passage_features(x.as_py()))
         load += len(bags[-1])
-        if load >= 4096:
+        if load >= 1024:
             scores.append(model.score(bags))
             bags, load = [], 0
     return np.concatenate([*scores, model.score(bags)])
 
 
 def keep_good(docs: DataFrame, model: Attention, text_col: str = "text", keep: float = KEEP) -> DataFrame:
-    """The rows of `docs` that are not rejected, with their columns as they are. No shuffle."""
+    """The rows of `docs` that are not rejected, with their columns as they are. No shuffle.
+
+    Null and empty texts are scored as one passage of zeros and go or stay
+    together. Repeated rows and equal texts share their fate; other columns are
+    not looked at, so their names cannot clash. Empty table: empty result.
+    """
 
     def run(batches):
         for b in batches:

@@ -78,6 +78,50 @@ def test_attention_gradient():
         assert (up - down) / 2e-6 == pytest.approx(grad[k][at], rel=1e-3, abs=1e-7)
 
 
+def test_attention_forward_by_hand():
+    rng = np.random.default_rng(2)
+    m = Q.Attention()
+    m.p = {k: rng.normal(size=v.shape) * 0.3 for k, v in m.p.items()}
+    m.mean, m.scale = rng.normal(size=Q.FEATURES), 1 + rng.random(Q.FEATURES)
+    bags = [rng.normal(size=(n, Q.FEATURES)) for n in (1, 4, 2)]
+    for bag, score in zip(bags, m.score(bags), strict=True):
+        hidden = [[np.tanh(sum((x[i] - m.mean[i]) / m.scale[i] * m.p["w1"][i, j] for i in range(Q.FEATURES)) + m.p["b1"][j]) for j in range(Q.HIDDEN)] for x in bag]
+        weight = []
+        for h in hidden:
+            gate = [np.tanh(np.dot(h, m.p["v"][:, k])) / (1 + np.exp(-np.dot(h, m.p["u"][:, k]))) for k in range(Q.ATTENTION)]
+            weight.append(np.exp(np.dot(gate, m.p["a"])))
+        whole = sum(w * np.array(h) for w, h in zip(weight, hidden, strict=True)) / sum(weight)
+        assert score == pytest.approx(1 / (1 + np.exp(-(np.dot(whole, m.p["w"]) + m.p["b"][0]))), abs=2e-9)
+
+
+def trigrams(passage):
+    """The hashed subwords of one passage of a text that has no other, counted one by one."""
+    raw = b" " + bytes(32 if c in b" \t\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in passage.encode()) + b" "
+    out = np.zeros(Q.SUBWORDS)
+    for i in range(1, len(raw) - 1):
+        if passage.encode()[i - 1 : i].isspace():
+            continue
+        a, b, c = raw[i - 1 : i + 2]
+        h = ((a * 0x9E3779B1 + b * 0x85EBCA77 & 0xFFFFFFFF) ^ c * 0xC2B2AE3D & 0xFFFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF
+        out[h >> 23] += 1
+    return np.sqrt(out / max(out.sum(), 1))
+
+
+def test_subwords_reach_the_encoder():
+    for text in ("a", "Some WORDS\tand a few\nmore é!", "xx " * 50):
+        assert np.allclose(Q.passage_features(text)[0, -Q.SUBWORDS :], trigrams(text), atol=1e-6)
+    # Words with their letters in another order have the same characters and lengths, but other subwords.
+    text = words(60, 9)
+    salad = " ".join(w[::-1] for w in text.split())
+    a, b = Q.passage_features(text)[0], Q.passage_features(salad)[0]
+    assert np.allclose(a[: -Q.SUBWORDS], b[: -Q.SUBWORDS]) and np.abs(a - b).sum() > 1
+    rng = np.random.default_rng(3)
+    good = [Q.passage_features(words(80, i)) for i in range(60)]
+    bad = [Q.passage_features(" ".join("".join(rng.permutation(list("klmnopqrst"))[: rng.integers(2, 8)]) for _ in range(80))) for i in range(60)]
+    model = Q.Attention().fit(good[:40] + bad[:40], np.repeat([1.0, 0.0], 40))
+    assert model.score(good[40:]).min() > 0.8 and model.score(bad[40:]).max() < 0.2
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{PATH}/documents.parquet"), spark.read.parquet(f"{PATH}/labels.parquet")
     model = Q.train_quality_model(docs, labels)
