@@ -11,8 +11,11 @@ a counter keyed by the row, so results do not depend on batches or partitions.
 
 No piece of such a vocabulary spans a space that follows another character, so
 a text falls into units (a word with the spaces before it) whose lattices are
-independent. A block of texts builds each distinct unit's lattice once, all
-units at the same time, and samples all occurrences at the same time.
+independent; so are the parts of a unit between positions that no piece spans,
+as between most characters of scripts without spaces. A block of texts builds
+each distinct unit's lattice once, all parts at the same time, and samples all
+occurrences at the same time. A long part that pieces span throughout is
+summed and walked along one character after another.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ SAMPLES = 2
 BLOCK = 1 << 19
 #: Regions of a segmentation that are opened at first; the rest is one region until it wins.
 OPEN = 48
+#: Characters of a part from which it is summed by itself; walks that are so few are followed one by one.
+LONG, FEW = 512, 4
 SPACE, LITERAL = "▁", "\U0010ffff"
 UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
@@ -167,45 +172,89 @@ class Lattice:
         ids.append(-1 - char)
         weights.append(vocabulary.byte_weight * (1.0 + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF)))
         start, size, piece, weight = (np.concatenate(x) for x in (starts, sizes, ids, weights))
-        # By characters left in the unit, for the backward sums; in a node by falling length, since long pieces are the likely ones.
+        # Positions that no piece spans part a unit; `left` becomes the characters left in the part.
+        wide = size > 1
+        spanned = np.cumsum(np.bincount(start[wide] + 1, minlength=n + 1)[: n + 1] - np.bincount(start[wide] + size[wide], minlength=n + 1)[: n + 1])[:n] > 0
+        border = np.where(spanned, np.int32(n), np.arange(n, dtype=np.int32))
+        following = np.minimum.accumulate(border[::-1])[::-1]
+        part_end = np.concatenate((following[1:], [n])).astype(np.int32)
+        #: First node of each part, and the range of each unit's parts.
+        self.parts = np.flatnonzero(~spanned & (left > 0))
+        self.part_lo, self.part_hi = np.searchsorted(self.parts, self.first), np.searchsorted(self.parts, ends)
+        left = np.where(left > 0, part_end - np.arange(n, dtype=np.int32), 0)
+        # By characters left in the part, for the backward sums; in a node by falling length, since long pieces are the likely ones.
         by_left = np.argsort(np.minimum(left, 65535).astype(np.uint16) if n and left.max() < 65536 else left, kind="stable")
         place = np.empty(n, np.int32)
         place[by_left] = np.arange(n, dtype=np.int32)
         longest = len(vocabulary.tables) + 1
         order = np.argsort(place[start] * np.int64(longest) - size if n * longest >= 2**31 else place[start] * np.int32(longest) - size)
-        start, weight, self.piece = start[order], weight[order], piece[order]
-        after = start + size[order]
+        start, weight, self.piece, size = start[order], weight[order], piece[order], size[order]
+        after = start + size
+        last = size == left[start]
         beta = np.zeros(n + 1)
         head = np.flatnonzero(np.concatenate((np.ones(1, bool), start[1:] != start[:-1]))) if len(start) else np.empty(0, np.int64)
         node = start[head]
         tail = np.concatenate((head, [len(start)]))
         count = np.diff(tail)
         node_left = left[node]
-        cuts = np.searchsorted(node_left, np.arange(1, (node_left[-1] if len(head) else 0) + 2))
         log_prob = np.empty(len(start))
+        long_parts = self.parts[left[self.parts] >= LONG] if len(self.parts) else self.parts
+        alone = np.zeros(n, bool)
+        for p in long_parts.tolist():
+            alone[p : p + int(left[p])] = True
+        most = int(node_left[~alone[node]].max(initial=0)) if len(long_parts) else node_left[-1] if len(head) else 0
+        cuts = np.searchsorted(node_left, np.arange(1, most + 2))
         for r in range(len(cuts) - 1):
             a, b = cuts[r], cuts[r + 1]
             if a == b:
                 continue
             lo, hi = tail[a], tail[b]
-            s = weight[lo:hi] + beta[after[lo:hi]]
+            s = weight[lo:hi] + np.where(last[lo:hi], 0.0, beta[after[lo:hi]])
             seg = head[a:b] - lo
             top = np.maximum.reduceat(s, seg)
             total = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, count[a:b])), seg))
             beta[node[a:b]] = total
             log_prob[lo:hi] = s - np.repeat(total, count[a:b])
-        self.log_prob = np.minimum(log_prob, 0.0, out=log_prob)
-        #: Edge range of each node, cumulative probabilities within it, and the node an edge leads to (-1: the unit's end).
+        #: Edge range of each node, cumulative probabilities within it, and the node an edge leads to (-1: the part's end).
         self.lo, self.hi = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.lo[node], self.hi[node] = head, tail[1:]
+        for p in long_parts.tolist():
+            self._sum_along(p, p + int(left[p]), weight, size, log_prob, longest)
+        self.log_prob = np.minimum(log_prob, 0.0, out=log_prob)
         cumulative = np.cumsum(np.exp(log_prob))
         if len(head):
             cumulative -= np.repeat(np.concatenate(([0.0], cumulative[tail[1:-1] - 1])), count)
             cumulative[tail[1:] - 1] = 2.0
         self.cumulative = cumulative
-        self.next = np.where(left[after] == 0, np.int32(-1), after)
+        self.next = np.where(last, np.int32(-1), after)
         self.start = start
 
+    def _sum_along(self, begin: int, end: int, weight: np.ndarray, size: np.ndarray, log_prob: np.ndarray, longest: int) -> None:
+        """Backward sums of one long part, from its end: shares of each node's edges. Sums are kept within range, as only their ratios count."""
+        step = 1 << 14
+        after = [1.0] + [0.0] * (longest + 1)
+        for top in range(end, begin, -step):
+            bottom = max(begin, top - step)
+            lo, hi = self.lo[bottom:top], self.hi[bottom:top]
+            edges = np.concatenate([np.arange(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+            shares, many = np.exp(weight[edges]).tolist(), (hi - lo).tolist()
+            sizes, k = size[edges].tolist(), len(edges)
+            for count in reversed(many):
+                k -= count
+                total = 0.0
+                for e in range(k, k + count):
+                    v = shares[e] * after[sizes[e] - 1]
+                    shares[e] = v
+                    total += v
+                for e in range(k, k + count):
+                    shares[e] /= total
+                after.insert(0, total)
+                after.pop()
+                if total < 1e-200:
+                    after = [x * 1e200 for x in after]
+            with np.errstate(divide="ignore"):
+                log_prob[edges] = np.log(shares)
+
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node."""
         edge = self.lo[node]
@@ -219,9 +268,9 @@ class Lattice:
         """From each node to its unit's end: (edges one walk after another, number of edges of each). Node -1: nothing."""
         count = np.zeros(len(node), np.int64)
         live = np.flatnonzero(node >= 0)
-        at, k, steps = node[live], key[live], []
+        at, k, steps, alone = node[live], key[live], [], []
         step = 0
-        while len(live):
+        while len(live) > (FEW if step else 0):
             edge = self.draw(at, uniform(k, np.uint64(step)))
             steps.append((live, edge))
             count[live] += 1
@@ -229,12 +278,33 @@ class Lattice:
             more = at >= 0
             live, at, k = live[more], at[more], k[more]
             step += 1
+        for lane, place, own in zip(live.tolist(), at.tolist(), k, strict=True):
+            alone.append((lane, self._walk_on(place, own, step)))
+            count[lane] += len(alone[-1][1])
         first = np.cumsum(count) - count
         out = np.empty(int(count.sum()), np.int32)
         for s, (lanes, edge) in enumerate(steps):
             out[first[lanes] + s] = edge
+        for lane, edges in alone:
+            out[first[lane] + step : first[lane] + step + len(edges)] = edges
         return out, count
 
+    def _walk_on(self, node: int, key: np.uint64, step: int) -> list[int]:
+        """The rest of one walk, edge by edge."""
+        lo, cumulative, following, out, drawn = self.lo, self.cumulative, self.next, [], 32
+        while node >= 0:
+            for u in uniform(key, np.arange(step, step + drawn, dtype=np.uint64)).tolist():
+                edge = int(lo[node])
+                while u > cumulative[edge]:
+                    edge += 1
+                out.append(edge)
+                node = int(following[edge])
+                if node < 0:
+                    break
+            step += drawn
+            drawn = min(2 * drawn, 1 << 14)
+        return out
+
 
 class Search:
     """Perturbed A* over one text's segmentations; `lattice` is shared by the texts of a block."""
@@ -334,8 +404,13 @@ def segment_block(keys: list[int], texts: list[str | None], vocabulary: Vocabula
         occurrences.extend(map(numbers.__getitem__, units))
         per_text.append(len(units))
     lattice = Lattice(list(numbers), vocabulary)
-    node = lattice.first[np.array(occurrences, np.int64)] if occurrences else np.empty(0, np.int64)
-    first_unit = np.concatenate(([0], np.cumsum(per_text)))
+    # From here on a unit is a part.
+    seen = np.array(occurrences, np.int64)
+    parts = lattice.part_hi[seen] - lattice.part_lo[seen]
+    upto = np.concatenate(([0], np.cumsum(parts)))
+    node = lattice.parts[np.repeat(lattice.part_lo[seen] - upto[:-1], parts) + np.arange(upto[-1])]
+    first_unit = upto[np.concatenate(([0], np.cumsum(per_text)))]
+    per_text = np.diff(first_unit)
     text_key = np.array(keys, np.uint64)
     which = np.repeat(np.arange(len(texts)), per_text)
     within = np.arange(len(node)) - first_unit[which]

@@ -116,3 +116,39 @@ def test_batches_do_not_matter(vocabulary):
     for i, t in enumerate(texts):
         alone = P.segment_block([P.row_key(i)], [t], vocabulary, 3)[0]
         assert [(a[0].tolist(), round(a[1], 6)) for a in alone] == [(a[0].tolist(), round(a[1], 6)) for a in together[i]]
+
+
+@pytest.mark.parametrize("long_,few", [(1, 0), (1, 100), (3, 4), (10**9, 100)])
+def test_parts_summed_alone_have_the_same_law(vocabulary, monkeypatch, long_, few):
+    monkeypatch.setattr(P, "LONG", long_)
+    monkeypatch.setattr(P, "FEW", few)
+    for text in ("thecat", "aaab the", "é日x日本"):
+        want = every_segmentation(text, vocabulary)
+        got = P.segment_block([P.row_key(text)], [text], vocabulary, len(want) + 3)[0]
+        assert len(got) == len(want)
+        for pieces, lp, _, q in got:
+            assert math.exp(lp) == pytest.approx(want[tuple(pieces.tolist())], rel=1e-6) and q == 0.0
+
+
+def test_samples_do_not_depend_on_how_they_are_walked(vocabulary, monkeypatch):
+    texts = [words(200, 1), words(200, 2).replace(" ", ""), "日本語のテキスト" * 50, "a" * 3000]
+    keys = [P.row_key(i) for i in range(len(texts))]
+    first = P.segment_block(keys, texts, vocabulary, 3)
+    monkeypatch.setattr(P, "FEW", 0)
+    for a, b in zip(first, P.segment_block(keys, texts, vocabulary, 3), strict=True):
+        assert [x[0].tolist() for x in a] == [x[0].tolist() for x in b]
+
+
+def test_long_texts_without_spaces(vocabulary):
+    import time
+
+    spaced = words(40_000, 4)
+    took = []
+    for text in (spaced, spaced.replace(" ", ""), "日本語のテキスト" * 20_000):
+        began = time.process_time()
+        got = P.segment_block([7], [text], vocabulary, 2)[0]
+        took.append((time.process_time() - began) / len(text.encode()))
+        for pieces, *_ in got:
+            assert vocabulary.decode(P.spelled(pieces, vocabulary.byte_id)) == text
+    # A part that pieces span throughout is summed one character after another, yet in proportion to its length.
+    assert max(took[1:]) < 12 * took[0]
