@@ -19,6 +19,7 @@ import re
 import zlib
 from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,8 +53,28 @@ EXPANSION, MAX_DECODED = 32, 64 << 20
 PLACEHOLDER = "[SECRET]"
 
 
+def byte_places(text: str):
+    """Character -> its first byte in UTF-8, for each one and the end."""
+    if text.isascii():
+        return lambda i: i
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    upto = np.concatenate(([0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))))
+    return lambda i: int(upto[i])
+
+
+def unit_places(text: str):
+    """Character -> its first unit in UTF-16, for each one and the end."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    upto = np.concatenate(([0], np.cumsum(1 + (code > 0xFFFF))))
+    return lambda i: int(upto[i])
+
+
 class Layer:
-    """A text with its parent; `segments`: (from, to, parent from, parent to, parent characters for each one, 0: the region as a whole)."""
+    """A text with its parent; `segments`: (from, to, parent from, parent to, how).
+
+    how: 1, the parent's own characters; 0, the region as a whole; or a
+    function from a range of the segment's characters to the parent's.
+    """
 
     __slots__ = ("text", "parent", "segments", "starts")
 
@@ -73,10 +94,11 @@ class Layer:
     def origin(self, start, end):
         layer = self
         while layer.parent is not None:
-            lo, _, plo, _, scale = layer.segments[bisect_right(layer.starts, start) - 1]
-            first = plo + (start - lo) * scale if scale else plo
-            lo, _, plo, phi, scale = layer.segments[bisect_right(layer.starts, end - 1) - 1]
-            start, end = first, plo + (end - lo) * scale if scale else phi
+            lo, _, plo, _, how = layer.segments[bisect_right(layer.starts, start) - 1]
+            first = plo + start - lo if how == 1 else how(start - lo, start - lo + 1)[0] if how else plo
+            lo, _, plo, phi, how = layer.segments[bisect_right(layer.starts, end - 1) - 1]
+            last = plo + end - lo if how == 1 else how(end - 1 - lo, end - lo)[1] if how else phi
+            start, end = first, last
             layer = layer.parent
         return start, end
 
@@ -140,15 +162,15 @@ def readable(data: bytes, cut_short: bool = False) -> str | None:
 
 
 def _substituted(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """The layer with every region that `decode` accepts replaced; decode: match -> [(from, to, text, scale)], in order."""
+    """The layer with every region that `decode` accepts replaced; decode: match -> [(from, to, text, how)], in order."""
     text, parts, segments, at, pos = layer.text, [], [], 0, 0
-    for start, end, out, scale in (found for m in pattern.finditer(text) for found in decode(m)):
+    for start, end, out, how in (found for m in pattern.finditer(text) for found in decode(m)):
         if start > at:
             segments.append((pos, pos + start - at, at, start, 1))
             parts.append(text[at:start])
             pos += start - at
         if out:
-            segments.append((pos, pos + len(out), start, end, scale))
+            segments.append((pos, pos + len(out), start, end, how))
             parts.append(out)
             pos += len(out)
         at = end
@@ -186,12 +208,18 @@ def children(layer: Layer, budget: Budget):
             budget.unopened.add(layer.origin(start, end))
         return out, cut_short
 
-    def of_bytes(raw: bytes, scale: int, m: re.Match):
+    def of_bytes(raw: bytes, width: int, m: re.Match):
+        """Bytes that were written in `width` characters each."""
         out, cut_short = opened(raw, *m.span())
         if out is not raw:
             text = readable(out, cut_short)
             return [] if text is None else [(*m.span(), text, 0)]
-        return [(*m.span(), *((raw.decode("ascii"), scale) if raw.isascii() else (raw.decode("utf-8", "replace"), 0)))]
+        try:
+            text = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            return [(*m.span(), raw.decode("utf-8", "replace"), 0)]
+        at, begin = byte_places(text), m.start()
+        return [(*m.span(), text, lambda i, j: (begin + width * at(i), begin + width * at(j)))]
 
     def percent(m):
         return of_bytes(bytes.fromhex(m[0].replace("%", "")), 3, m)
@@ -202,19 +230,12 @@ def children(layer: Layer, budget: Budget):
     def unicode_escape(m):
         units = bytes.fromhex(m[0].replace("\\u", ""))
         text = units.decode("utf-16-be", "replace")
-        return [(*m.span(), text, 6 if len(text) * 2 == len(units) else 0)]
-
-    def base64_whole(tokens):
-        """The tokens, one after another, as one payload."""
-        body = "".join(t[0] for t in tokens).rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            return []
-        start, end = tokens[0].start(), tokens[-1].end()
-        text = readable(*opened(base64.b64decode(body + "=" * (-len(body) % 4)), start, end))
-        return [] if text is None else [(start, end, text, 0)]
+        # A lone surrogate becomes one character, as a unit does.
+        at, begin = unit_places(text), m.start()
+        return [(*m.span(), text, (lambda i, j: (begin + 6 * at(i), begin + 6 * at(j))) if at(len(text)) * 2 == len(units) else 0)]
 
-    def base64_within(tokens):
-        """Texts and compressed payloads within the tokens, as words and paths glued to base64 shift its start."""
+    def joined(tokens):
+        """The characters of tokens without padding, one after another, and the place of each in the layer."""
         body = "".join(t[0] for t in tokens).rstrip("=").replace("-", "+").replace("_", "/")
         starts = [0]
         for t in tokens:
@@ -224,12 +245,34 @@ def children(layer: Layer, budget: Budget):
             k = min(bisect_right(starts, i), len(tokens)) - 1
             return tokens[k].start() + i - starts[k]
 
+        return body, place
+
+    def of_text(text, first, body, place, shift=0):
+        """Characters of `text`, which begins at byte `first` of what the body holds from `shift` on, to the characters that hold their bits."""
+        at = byte_places(text)
+        return lambda i, j: (place(shift + (first + at(i)) * 4 // 3), place(min(shift + -(-(first + at(j)) * 4 // 3), len(body)) - 1) + 1)
+
+    def base64_whole(tokens):
+        """The tokens, one after another, as one payload."""
+        body, place = joined(tokens)
+        if len(body) % 4 == 1:
+            return []
+        start, end = tokens[0].start(), tokens[-1].end()
+        raw = base64.b64decode(body + "=" * (-len(body) % 4))
+        out, cut_short = opened(raw, start, end)
+        text = readable(out, cut_short)
+        return [] if text is None else [(start, end, text, of_text(text, 0, body, place) if out is raw else 0)]
+
+    def base64_within(tokens):
+        """Texts and compressed payloads within the tokens, as words and paths glued to base64 shift its start."""
+        body, place = joined(tokens)
         found = []
         for shift in range(4):
             part = body[shift:]
             part = part[: len(part) - (len(part) % 4 == 1)]
             raw = base64.b64decode(part + "=" * (-len(part) % 4))
-            spans = [(m.start(), m.end(), m[0].decode("utf-8", "ignore")) for m in RUN.finditer(raw)]
+            texts = [(m.start(), m.end(), m[0].decode("utf-8", "ignore"), m[0]) for m in RUN.finditer(raw)]
+            spans = [(s, e, text, of_text(text, s, body, place, shift) if text.encode() == whole else 0) for s, e, text, whole in texts]
             for m in MAGIC.finditer(raw):
                 # The first bytes tell most of what only looks like a deflated payload.
                 head = raw[m.start() : m.start() + 1024]
@@ -237,9 +280,9 @@ def children(layer: Layer, budget: Budget):
                     continue
                 text = readable(*opened(raw[m.start() :], place(shift + m.start() * 4 // 3), tokens[-1].end()))
                 if text is not None:
-                    spans.append((m.start(), len(raw), text))
+                    spans.append((m.start(), len(raw), text, 0))
                     break
-            found += [(place(shift + s * 4 // 3), place(min(shift + -(-e * 4 // 3), len(body)) - 1) + 1, text, 0) for s, e, text in spans]
+            found += [(place(shift + s * 4 // 3), place(min(shift + -(-e * 4 // 3), len(body)) - 1) + 1, text, how) for s, e, text, how in spans]
         chosen: list[tuple] = []
         for f in sorted(found, key=lambda f: (f[0], -f[1])):
             if chosen and f[0] < chosen[-1][1]:
@@ -341,7 +384,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """`docs` with every found secret in `text_col` replaced; rows and columns stay. `length_col` follows the new text if it is there.
 
-    A payload that was not read to its end is replaced as a whole, as secrets may lie beyond.
+    A secret within an encoded region goes with the characters that hold it,
+    within a compressed one with the whole region. A payload that was not read
+    to its end is replaced as a whole, as secrets may lie beyond. Null texts
+    stay null, empty ones empty; repeated rows get equal texts; other columns
+    are carried as they are, whatever their names. Empty table: empty result.
     """
 
     def hidden(text):

@@ -3,6 +3,7 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import random
 import re
 import urllib.parse
 import zlib
@@ -58,6 +59,58 @@ def test_layers_map_back(hidden):
     assert "assign" in {k for k, *_ in found["all"]}
 
 
+def bytes_upto(text):
+    out = [0]
+    for c in text:
+        out.append(out[-1] + len(c.encode()))
+    return out
+
+
+def percented(text):
+    at = bytes_upto(text)
+    return "".join(f"%{b:02X}" for b in text.encode()), [(3 * a, 3 * b) for a, b in zip(at, at[1:], strict=False)]
+
+
+def byte_escaped(text):
+    at = bytes_upto(text)
+    return "".join(f"\\x{b:02x}" for b in text.encode()), [(4 * a, 4 * b) for a, b in zip(at, at[1:], strict=False)]
+
+
+def unit_escaped(text):
+    out, places = "", []
+    for c in text:
+        units = c.encode("utf-16-be").hex()
+        part = "".join("\\u" + units[k : k + 4] for k in range(0, len(units), 4))
+        places.append((len(out), len(out) + len(part)))
+        out += part
+    return out, places
+
+
+def in_base64(text):
+    at = bytes_upto(text)
+    return base64.b64encode(text.encode()).decode(), [(8 * a // 6, -(-8 * b // 6)) for a, b in zip(at, at[1:], strict=False)]
+
+
+WAYS = (percented, byte_escaped, unit_escaped, in_base64)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_spans_are_those_of_the_characters_that_hold_the_secret(seed):
+    # Each way of writing tells where every character went; the chain of them tells where the secret is.
+    rng = random.Random(seed)
+    before = "".join(rng.choice("ab é日\U0001f600,") for _ in range(rng.randint(0, 12))) + " "
+    text, spans = before + KEY + " " + "é" * rng.randint(0, 4) + "tail", [(len(before), len(before) + len(KEY))]
+    for _ in range(rng.randint(1, 3)):
+        text, places = rng.choice(WAYS)(text)
+        spans = [(places[s][0], places[e - 1][1]) for s, e in spans]
+        around = rng.choice(["", "see é ", "x: "])
+        text, spans = around + text + " end", [(s + len(around), e + len(around)) for s, e in spans]
+    found = S.scan(text)
+    assert {(s, e) for k, s, e in found["all"] if k == "assign"} == set(spans)
+    hidden = S.redact(text, found["all"])
+    assert hidden == text[: spans[0][0]] + S.PLACEHOLDER + text[spans[0][1] :] and not S.scan(hidden)["all"]
+
+
 def test_escapes_map_exactly():
     text = "x " + urllib.parse.quote("é") + " %74oken%3Dabcdef1 y"
     assert ("assign", text.index("%74"), text.index(" y")) in S.scan(text)["all"]
