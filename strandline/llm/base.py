@@ -19,18 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
 
-    Only a purely local session without that setting gets a folder of its own;
-    a cluster without it gets one beside the warehouse, never a local one.
+    A session without that setting gets a folder of its own if it is purely
+    local, and one beside the warehouse if that is on a shared file system; on
+    a cluster whose warehouse is a local path there is none, and this raises.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and sc.master.split("[")[0] == "local":
             folder = tempfile.mkdtemp(prefix="strandline-")
-        sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        if not folder:
+            warehouse = spark.conf.get("spark.sql.warehouse.dir")
+            if "://" not in warehouse or warehouse.startswith("file:"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = warehouse.rstrip("/") + "/_checkpoints"
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute `df` once and read it back from the shared checkpoint folder."""
     durable_dir(df.sparkSession)

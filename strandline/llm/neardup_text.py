@@ -251,7 +251,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         grouped = components(links.unionByName(more))
 
     of_class = classes.select("class", "rep").join(grouped, classes.rep == grouped.id, "left").select("class", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
+    # Rows that link with nothing stay where they are: joined, they would all meet in one task.
+    shown = signed.select("doc_id", "n_shingles", "class")
+    alone = F.col("class").isNull() | F.col("doc_id").isNull()
+    out = shown.filter(~alone).join(of_class, "class", "left").unionByName(shown.filter(alone).withColumn("component_id", F.lit(None).cast("long")))
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
