@@ -13,6 +13,8 @@ ONE_LETTER = {
     "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I",
     "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V",
 }
+#: The twenty standard residues.
+STANDARD = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL".split()
 #: Secondary-structure letters and their number in eight states, and in three (helix, strand, coil).
 DSSP8 = {"H": 0, "B": 1, "E": 2, "G": 3, "I": 4, "T": 5, "S": 6, " ": 7}
 DSSP3 = {"H": 0, "G": 0, "I": 0, "E": 1, "B": 1, "T": 2, "S": 2, " ": 2}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strandline.functions.columns import boundary, distance, dot, robust_z, smooth3, superposed_rmsd
+from strandline.functions.columns import STANDARD, boundary, distance, dot, robust_z, smooth3, superposed_rmsd
 from strandline.operators.pairs import contacts, pair
 from strandline.operators.relational import spread, top_k
 
@@ -37,9 +37,9 @@ def centred(models: DataFrame) -> DataFrame:
     return out.withColumn("e", dot(F.col("px"), F.col("px")) + dot(F.col("py"), F.col("py")) + dot(F.col("pz"), F.col("pz")))
 
 
-def rmsd_pairs(models: DataFrame, mode: str = "lt") -> DataFrame:
+def rmsd_pairs(models: DataFrame, mode: str = "lt", blocks: int = 4) -> DataFrame:
     """(chain, m1, m2, rmsd) of all pairs of models of a chain, from `as_models`. Models of another length do not pair."""
-    p = pair(models, ["chain"], "model", mode).filter("n_1 = n_2")
+    p = pair(models, ["chain"], "model", mode, blocks).filter("n_1 = n_2")
     return _with_rmsd(p, F.col("chain"), F.col("model_1").alias("m1"), F.col("model_2").alias("m2"))
 
 
@@ -55,6 +55,18 @@ def mean_models(points: DataFrame, chain: str = "chain", seq: str = "seq", x: st
     return as_models(mean.withColumn("model", F.lit(None).cast("long")))
 
 
+def standard_models(points: DataFrame, residue: str = "mon") -> DataFrame:
+    """`as_models` of the rows whose residue is one of the twenty standard ones."""
+    return as_models(points.filter(F.col(residue).isin(*STANDARD)))
+
+
+def rmsd_of_standard(points: DataFrame, residue: str = "mon", blocks: int = 4) -> DataFrame:
+    """(chain, m1, m2, rmsd) over standard residues only. Models of a chain that differ in their number are an error."""
+    p = pair(standard_models(points, residue), ["chain"], "model", "lt", blocks)
+    p = p.filter(F.assert_true(F.col("n_1") == F.col("n_2"), F.lit("models of one chain have different standard residues")).isNull())
+    return _with_rmsd(p, F.col("chain"), F.col("model_1").alias("m1"), F.col("model_2").alias("m2"))
+
+
 def rmsd_to_mean(models: DataFrame, means: DataFrame) -> DataFrame:
     """(chain, model, rmsd) of each model against its chain's mean structure."""
     a = models.select("chain", *[F.col(c).alias(f"{c}_1") for c in models.columns if c != "chain"])
@@ -120,7 +132,7 @@ def residue_signal(aggregate: DataFrame, residues: DataFrame, separation: int =
     aggregate: from `difference_aggregate`; residues (chain, i): all residues.
     """
     far = aggregate.filter(F.col("j") - F.col("i") >= separation)
-    both = far.unionByName(far.select("chain", F.col("j").alias("i"), F.col("i").alias("j"), "rms", "largest"))
+    both = far.select("chain", F.explode(F.array("i", "j")).alias("i"), "rms", "largest")
     n = F.count(F.lit(1)).over(W.partitionBy("chain"))
     sums = both.groupBy("chain", "i").agg(F.max("largest").alias("largest"), F.sum(F.col("rms") * F.col("rms")).alias("ss"))
     out = residues.select("chain", "i", n.alias("n")).join(sums, ["chain", "i"], "left")
@@ -145,14 +157,14 @@ def hinges(signal: DataFrame, labels: DataFrame) -> DataFrame:
 def contact_degrees(points: DataFrame, cutoff: float = 7.5) -> DataFrame:
     """(chain, model, seq, degree): contacts of each residue; residues without any have 0."""
     near = contacts(points, ["chain", "model"], cutoff)
-    ends = near.select("chain", "model", F.col("i").alias("seq")).unionByName(near.select("chain", "model", F.col("j").alias("seq")))
+    ends = near.select("chain", "model", F.explode(F.array("i", "j")).alias("seq"))
     counts = ends.groupBy("chain", "model", "seq").agg(F.count(F.lit(1)).alias("degree"))
     return points.select("chain", "model", "seq").join(counts, ["chain", "model", "seq"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
 def laplacian(points: DataFrame, cutoff: float = 7.5, gamma: float = 1.0) -> DataFrame:
-    """(chain, model, i, j, value): the non-zero entries of the contact Laplacian."""
-    near = contacts(points, ["chain", "model"], cutoff)
-    off = near.select("chain", "model", "i", "j", F.lit(-gamma).alias("value"))
-    diagonal = contact_degrees(points, cutoff).filter("degree > 0").select("chain", "model", F.col("seq").alias("i"), F.col("seq").alias("j"), (F.col("degree") * gamma).alias("value"))
-    return off.unionByName(off.select("chain", "model", F.col("j").alias("i"), F.col("i").alias("j"), "value")).unionByName(diagonal)
+    """(chain, model, i, j, value): the non-zero entries of the contact Laplacian. A contact adds to four of them."""
+    entry = lambda a, b, v: F.struct(F.col(a).alias("i"), F.col(b).alias("j"), F.lit(v).alias("value"))
+    four = F.array(entry("a", "b", -gamma), entry("b", "a", -gamma), entry("a", "a", gamma), entry("b", "b", gamma))
+    near = contacts(points, ["chain", "model"], cutoff).select("chain", "model", F.col("i").alias("a"), F.col("j").alias("b"))
+    return near.select("chain", "model", F.inline(four)).groupBy("chain", "model", "i", "j").agg(F.sum("value").alias("value"))

@@ -116,11 +116,11 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0, restarts: int = 10, rounds: int
     return canonical(out, 0)
 
 
-def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
-    """Mean Euclidean silhouette; -1e9 where it is not defined."""
+def silhouette(x: np.ndarray, labels: np.ndarray) -> float | None:
+    """Mean Euclidean silhouette; None where it is not defined."""
     kinds = np.unique(labels)
     if not 2 <= len(kinds) <= len(x) - 1:
-        return -1e9
+        return None
     d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0))
     to = np.stack([d[:, labels == k].sum(1) for k in kinds], axis=1)
     count = np.array([(labels == k).sum() for k in kinds])
@@ -153,27 +153,34 @@ def fix_signs(vectors: np.ndarray) -> np.ndarray:
 # ---- domains from difference distances
 
 
-def domains(rms: np.ndarray, largest: np.ndarray, separation: int = 5, k: int | None = None, seed: int = 0) -> tuple[np.ndarray, int, float]:
-    """(label of each residue, number of domains, silhouette) from the aggregated difference matrices of a chain."""
+def domains(rms: np.ndarray, largest: np.ndarray, separation: int = 5, k: int | None = None, seed: int = 0) -> tuple[np.ndarray, int, float | None]:
+    """(label of each residue, number of domains, silhouette) from the aggregated difference matrices of a chain.
+
+    A residue is the row of both matrices, near residues left out; rows alike
+    in direction move alike. Without motion the chain is one domain. Of the
+    numbers of domains tried the one of the largest silhouette is taken, of
+    equal ones the smallest.
+    """
     n = len(rms)
     for m in (rms, largest):
-        if not (np.allclose(m, m.T, atol=1e-6) and np.allclose(np.diag(m), 0, atol=1e-6)):
+        if not np.allclose(m, m.T, atol=1e-6) or not np.allclose(m.diagonal(), 0, atol=1e-6):
             raise ValueError("a difference matrix must be symmetric with a zero diagonal")
-    far = np.abs(np.subtract.outer(np.arange(n), np.arange(n))) >= separation
-    x = np.abs(np.hstack([rms * far, largest * far]))
-    norm = np.linalg.norm(x, axis=1)
-    unit = x / np.where(norm > 0, norm, 1)[:, None]
-    affinity = np.maximum(unit @ unit.T, 0)
-    np.fill_diagonal(affinity, 1.0)
-    best = None
-    for kk in (k,) if k else (2, 3, 4):
-        if kk > n:
-            continue
-        label = spectral(affinity, kk, seed)
-        s = silhouette(x, label)
-        if best is None or s > best[2]:
-            best = label, kk, s
-    return best if best else (np.zeros(n, int), 1, -1e9)
+    residue = np.arange(n)
+    near = np.abs(residue[:, None] - residue) < separation
+    rows = np.concatenate([np.where(near, 0.0, m) for m in (rms, largest)], axis=1)
+    length = np.sqrt((rows**2).sum(axis=1, keepdims=True))
+    if not length.any():
+        return np.zeros(n, int), 1, None
+    direction = np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+    alike = np.clip(direction @ direction.T, 0, None)
+    alike[residue, residue] = 1.0
+    found = []
+    for count in [k] if k else [2, 3, 4]:
+        if count <= n:
+            label = spectral(alike, count, seed)
+            found.append((label, count, silhouette(rows, label)))
+    defined = [f for f in found if f[2] is not None]
+    return max(defined, key=lambda f: f[2]) if defined else found[0] if found else (np.zeros(n, int), 1, None)
 
 
 # ---- principal components
@@ -208,7 +215,7 @@ def principal_components(a: np.ndarray, normalise: bool = False) -> tuple[np.nda
 def mode_amplitudes(values: np.ndarray, vectors: np.ndarray, modes: int = 3) -> np.ndarray:
     """(modes, n): how far each residue moves along each of the first modes."""
     k = min(modes, vectors.shape[1])
-    size = np.linalg.norm(vectors[:, :k].T.reshape(k, -1, 3), axis=2)
+    size = np.linalg.norm(vectors[:, :k].T.reshape(k, len(vectors) // 3, 3), axis=2)
     return size * np.sqrt(np.maximum(values[:k], 0))[:, None]
 
 

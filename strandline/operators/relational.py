@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strandline.functions.columns import mask_low_occupancy, unless, unlike
+from strandline.sources.scratch import computed_once
 
 XYZ = ("A_Cartn_x", "A_Cartn_y", "A_Cartn_z")
 #: Versioned rule sets: which chains a dataset version leaves out, as SQL predicates over chain statistics.
@@ -17,6 +18,12 @@ VERSIONS: dict[str, list[str]] = {
     "extreme": ["model_count < 2", "CA_count < 3", "meanRMSD > 10 AND stdevRMSD < 0.01 AND meanTMS < 0.2 AND stdevTMS < 0.1"],
 }
 
+#: Rules that pairs of chains satisfy: hits (fractions for coverage) with the spread of the two chains' models.
+PAIR_RULES: dict[str, str] = {
+    "identical": "pident >= 100 AND (qcov >= 1 OR tcov >= 1) AND (coalesce(meanRMSD < 1.0, false) OR coalesce(meanTMS = 1.0, false))",
+    "homologous": "evalue < 1e-3 AND pident >= 30 AND alnlen >= 20 AND qcov >= 0.9 AND tcov >= 0.9",
+}
+
 
 # ---- from parsed files to coordinates
 
@@ -131,19 +138,25 @@ def tally(df: DataFrame, keys: list[str], success: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.count_if(success).alias("succeeded"), F.count_if(unless(success)).alias("failed"))
 
 
-def quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
+def quartiles(df: DataFrame, keys: list[str], value: str, accuracy: int | None = None) -> DataFrame:
+    """accuracy: approximate quartiles with a relative rank error of 1 / accuracy, in bounded memory; else exact ones, which hold a group's distinct values."""
+    shares = F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])
+    q = F.percentile(value, shares) if accuracy is None else F.percentile_approx(value, shares, accuracy)
     return df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("lowest"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(value).alias("highest"))
 
 
 def _ranked(df: DataFrame, keys: list[str], order: list, part: Column | None, name: str) -> DataFrame:
-    """1-based row numbers within `keys`. Without keys, `part` splits the rows by range in the same order, so that no task numbers them all."""
-    if keys or part is None:
+    """1-based row numbers within `keys`. Without keys the rows are numbered by parts of ranges, so that no task numbers them all.
+
+    part: an expression that rises with the order; without it rows are dealt
+    by range, and kept so in the shared folder.
+    """
+    if keys:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    cut = df.withColumn("__part", part)
+    cut = df.withColumn("__part", part) if part is not None else computed_once(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     sizes = cut.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     starts = sizes.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    numbered = cut.withColumn("__rn", F.row_number().over(W.partitionBy("__part").orderBy(*order))).join(F.broadcast(starts), "__part")
+    numbered = cut.withColumn("__rn", F.row_number().over(W.partitionBy("__part").orderBy(*order))).join(starts, "__part")
     return numbered.withColumn(name, F.col("__start") + F.col("__rn")).drop("__part", "__n", "__start", "__rn")
 
 
@@ -255,13 +268,18 @@ def prune(stats: DataFrame, rules: list[str]) -> DataFrame:
     return stats
 
 
+def pairs_by_rule(pairs: DataFrame, rule: str) -> DataFrame:
+    """The pairs that satisfy a named rule; where a value it needs is missing they do not."""
+    return pairs.filter(F.coalesce(F.expr(PAIR_RULES[rule]), F.lit(False)))
+
+
 def dataset_version(stats: DataFrame, version: str) -> DataFrame:
     return prune(stats, VERSIONS[version])
 
 
 def one_chain_each(chains: DataFrame, entry: str = "pid", key: str = "pidc", seed: int = 0) -> DataFrame:
-    """One chain of each entry, chosen by a seeded hash."""
-    w = W.partitionBy(entry).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    """One chain of each entry, chosen by a seeded hash (MD5, as SQL has it)."""
+    w = W.partitionBy(entry).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
     return chains.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 

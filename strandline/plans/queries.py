@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from strandline.functions import columns as C
 from strandline.operators import ensemble, grouped, relational, seqsearch
@@ -106,7 +107,7 @@ def rmsd_pairs(spark, d):
 @query("rmsd_matrix", f"{_RMSD}, up AS (SELECT chain, m1 AS i, m2 AS j, round(rmsd, 3) AS value FROM rmsd), ids AS (SELECT DISTINCT label AS chain, vec_id AS i FROM embeddings) SELECT * FROM up UNION ALL SELECT chain, j, i, value FROM up UNION ALL SELECT chain, i, i, 0.0 FROM ids")
 def rmsd_matrix(spark, d):
     up = ensemble.rmsd_pairs(models(spark, d)).select("chain", F.col("m1").alias("i"), F.col("m2").alias("j"), F.round("rmsd", 3).alias("value"))
-    return mirror(up, ["chain"], diagonal=0.0)
+    return mirror(up, ["chain"], diagonal=0.0, ids=table(spark, d, "embeddings").select(F.col("label").alias("chain"), F.col("vec_id").alias("i")))
 
 
 @query("rmsd_vs_mean", f"{_TO_MEAN} SELECT chain, model, round(rmsd, 4) AS rmsd FROM rmsd")
@@ -137,8 +138,7 @@ sums AS (SELECT a.chain AS ca, b.chain AS cb, count(*) AS n, sum(a.x*a.x+a.y*a.y
 SELECT ca AS a, cb AS b, round(rmsd, 4) AS rmsd FROM rmsd""")
 def rmsd_of_chains(spark, d):
     means = ensemble.mean_models(points(spark, d))
-    ids = means.select(F.lit(1).alias("all"), "chain")
-    pairs = pair(ids, ["all"], "chain").select(F.col("chain_1").alias("a"), F.col("chain_2").alias("b"))
+    pairs = pair(means.select("chain"), [], "chain", blocks=8).select(F.col("chain_1").alias("a"), F.col("chain_2").alias("b"))
     return ensemble.rmsd_of_chains(pairs, means).select("a", "b", r4("rmsd"))
 
 
@@ -198,6 +198,23 @@ def laplacian_trace(spark, d):
     return l.groupBy("chain", "model").agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("value")).otherwise(0.0)).alias("trace"))
 
 
+@query("gnm_trace", f"WITH {_DIST}, c AS (SELECT chain, model, 2.0 * count(*) AS trace FROM dist WHERE d > 0 AND d < 0.2 GROUP BY ALL) SELECT chain, model, round(trace, 6)::DOUBLE AS trace, 0.0::DOUBLE AS residual FROM c")
+def gnm_trace(spark, d):
+    """The modes' eigenvalues sum to the Laplacian's trace, and the Laplacian times the covariance leaves the mean out: L C = 3 (1 - sum / n) on each component."""
+    m = grouped.network_matrices(points(spark, d), CONTACT)
+    trace = F.aggregate("eigenvalues", F.lit(0.0), lambda a, v: a + v)
+    # A covariance of modes has the modes' variances as its trace.
+    c = F.aggregate(F.transform(F.sequence(F.lit(0), F.size("covariance") - 1), lambda k: F.get(F.get("covariance", k), k)), F.lit(0.0), lambda a, v: a + v)
+    spread = F.aggregate("eigenvalues", F.lit(0.0), lambda a, v: a + 3.0 / v)
+    return m.filter(F.size("eigenvalues") > 0).select("chain", "model", F.round(trace, 6).alias("trace"), F.abs(F.round((c - spread) / spread, 6)).alias("residual"))
+
+
+@query("rmsd_standard", "WITH " + _CENTRED.replace("range(21) t(r))", "range(21) t(r) WHERE (r + 1) % 7 <> 0)", 1) + f", {_PAIR_SUMS}, {_closed_form('sums', 'chain, m1, m2')} SELECT chain, m1, m2, round(rmsd, 4) AS rmsd FROM rmsd")
+def rmsd_standard(spark, d):
+    named = points(spark, d).withColumn("mon", F.when(F.col("seq") % 7 == 0, "HOH").otherwise("ALA"))
+    return ensemble.rmsd_of_standard(named).select("chain", "m1", "m2", r4("rmsd"))
+
+
 @query("gnm_msf")
 def gnm_msf(spark, d):
     return grouped.network_model(points(spark, d), CONTACT)
@@ -218,7 +235,8 @@ def pca_scores(spark, d):
 
 @query("upgma_clusters")
 def upgma_clusters(spark, d):
-    return grouped.cluster_models(ensemble.rmsd_pairs(models(spark, d)), CLUSTER, "rmsd")
+    every = table(spark, d, "embeddings").select(F.col("label").alias("chain"), F.col("vec_id").alias("model"))
+    return grouped.cluster_models(ensemble.rmsd_pairs(models(spark, d)), CLUSTER, "rmsd", every)
 
 
 @query("cluster_maps")
@@ -250,6 +268,11 @@ def tm_matrix(spark, d):
     return grouped.tm_pairs(points(spark, d), scale=SCALE)
 
 
+@query("tm_square")
+def tm_square(spark, d):
+    return grouped.tm_square(points(spark, d), realign=False, scale=SCALE)
+
+
 @query("tm_summary")
 def tm_summary(spark, d):
     t = grouped.tm_pairs(points(spark, d), scale=SCALE)
@@ -299,9 +322,10 @@ def tm_d0(spark, d):
 
 @query("outer_parse_join", "SELECT o.o_orderkey AS scheme_key, l.l_orderkey AS atom_key, l.l_linenumber AS n, o.o_orderpriority AS mon FROM orders o FULL OUTER JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE l.l_returnflag = 'R'")
 def outer_parse_join(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("scheme_key"), F.col("o_orderpriority").alias("mon"))
-    l = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("atom_key"), F.col("l_linenumber").alias("n"))  # noqa: E741
-    return o.join(l, o.scheme_key == l.atom_key, "right").select("scheme_key", "atom_key", "n", "mon")
+    scheme = table(spark, d, "orders").select(F.lit("P").alias("pid"), F.lit("C").alias("chain"), F.col("o_orderkey").cast("string").alias("S_seq_id"), F.col("o_orderpriority").alias("mon"))
+    atoms = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.lit("P").alias("pid"), F.lit("C").alias("chain"), F.col("l_orderkey").cast("string").alias("A_label_seq_id"), F.col("l_linenumber").alias("n"))
+    out = relational.join_scheme(atoms, scheme)
+    return out.select(F.col("S_seq_id").cast("bigint").alias("scheme_key"), F.col("A_label_seq_id").cast("bigint").alias("atom_key"), "n", "mon")
 
 
 @query("low_value_mask", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount <= 0.05 THEN NULL ELSE l_extendedprice END AS x FROM lineitem")
@@ -329,13 +353,14 @@ def coerce_cast(spark, d):
 
 @query("drop_hetero", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus <> 'F' GROUP BY 1")
 def drop_hetero(spark, d):
-    return table(spark, d, "orders").filter(C.unlike(F.col("o_orderstatus"), "F")).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    return relational.drop_hetero(table(spark, d, "orders").withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "F", "HETATM").otherwise(F.col("o_orderstatus"))), "o_orderstatus").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("semi_common", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def semi_common(spark, d):
-    c = table(spark, d, "customer")
-    return c.join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey", "c_name")
+    atoms = table(spark, d, "customer").select(F.lit("P").alias("pid"), F.col("c_custkey").cast("string").alias("A_label_asym_id"), "c_custkey", "c_name")
+    scheme = table(spark, d, "orders").select(F.lit("P").alias("pid"), F.col("o_custkey").cast("string").alias("S_asym_id"))
+    return relational.common_chains(atoms, scheme)[0].select("c_custkey", "c_name")
 
 
 @query("anti_missing", "SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -352,8 +377,10 @@ def exclude_listed(spark, d):
 
 @query("lookup_flag", "SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'hom' ELSE 'het' END AS hethom FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
 def lookup_flag(spark, d):
-    flag = table(spark, d, "labels").select("doc_id").distinct().withColumn("hom", F.lit(True))
-    return table(spark, d, "documents").select("doc_id").join(flag, "doc_id", "left").select("doc_id", F.when(F.col("hom"), "hom").otherwise("het").alias("hethom"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pid"), F.lit(None).cast("string").alias("head"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("array<string>").alias("all_chains"))
+    chains = docs.select("pid", F.col("pid").cast("string").alias("pidc"))
+    e = relational.entry_stats(docs, chains, table(spark, d, "labels").select(F.col("doc_id").alias("pid")))
+    return e.select(F.col("Pid").alias("doc_id"), "hethom")
 
 
 @query("set_ops", """SELECT 'intersect' AS op, count(*) AS n FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier)
@@ -473,7 +500,7 @@ def dataset_version(spark, d):
     return relational.dataset_version(s.withColumn("CA_count", F.col("model_count")), "v0.9").select("s_nationkey", "model_count")
 
 
-@query("one_chain_each")
+@query("one_chain_each", "SELECT source AS pid, doc_id AS pidc FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('0:' || doc_id::VARCHAR), doc_id) = 1")
 def one_chain_each(spark, d):
     return relational.one_chain_each(table(spark, d, "documents").select(F.col("source").alias("pid"), F.col("doc_id").alias("pidc")))
 
@@ -500,15 +527,20 @@ def histogram(spark, d):
     return relational.histogram(table(spark, d, "events"), "value", 0.0, 100.0, 50)
 
 
-@query("density")
+@query("density", """WITH s AS (SELECT count(n_chars) AS n, 0.4::DOUBLE * stddev_samp(n_chars) AS h, min(n_chars) AS lo, max(n_chars) AS hi FROM documents),
+g AS (SELECT k, n, h, lo - 3 * h + k * ((hi + 3 * h - (lo - 3 * h)) / 99) AS x FROM s, range(100) r(k))
+SELECT k::INT AS k, round(g.x, 3) AS x, round(sum(exp(-0.5::DOUBLE * ((g.x - d.n_chars) / g.h) * ((g.x - d.n_chars) / g.h))) / (any_value(g.n) * any_value(g.h) * sqrt(2 * pi())) * 1e6, 4) AS density FROM g, documents d WHERE d.n_chars IS NOT NULL GROUP BY k, g.x""")
 def density(spark, d):
-    return relational.density(table(spark, d, "documents"), "n_chars", 0.4, 100)
+    g = relational.density(table(spark, d, "documents"), "n_chars", 0.4, 100)
+    # A hundred points, numbered for the comparison.
+    return g.select((F.row_number().over(W.partitionBy(F.lit(0)).orderBy("x")) - 1).alias("k"), F.round("x", 3).alias("x"), F.round(F.col("density") * 1e6, 4).alias("density"))
 
 
 @query("key_parts", "SELECT DISTINCT source AS key, upper(source) AS pid, CASE WHEN length(split_part(source, 'c', 2)) < 2 THEN '0' || split_part(source, 'c', 2) ELSE split_part(source, 'c', 2) END AS label FROM documents")
 def key_parts(spark, d):
     part = F.split_part("source", F.lit("c"), F.lit(2))
-    return table(spark, d, "documents").select(F.col("source").alias("key"), C.normal_id(F.col("source")).alias("pid"), F.when(F.length(part) < 2, F.lpad(part, 2, "0")).otherwise(part).alias("label")).distinct()
+    labelled = C.model_label(F.lit("K"), part.try_cast("int"))
+    return table(spark, d, "documents").select(F.col("source").alias("key"), C.normal_id(F.col("source")).alias("pid"), F.coalesce(C.key_chain(labelled), F.when(F.length(part) < 2, F.lpad(part, 2, "0")).otherwise(part)).alias("label")).distinct()
 
 
 @query("map_lookup", "SELECT l_returnflag, l_linestatus, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END AS code, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
@@ -528,19 +560,38 @@ def html_rows(spark, d):
     return table(spark, d, "pages").select("page_id", items.alias("items"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
-@query("html_table")
+_CONFORMERS = [
+    ("Kinase", "1ABC, 2xyz and 1ABC again; 12345", "Family X"),
+    ("Other <i>one</i>", "9q9q", None),
+    ("No identifiers", "none", "Y"),
+]
+
+
+@query("html_table", "SELECT * FROM (VALUES (1, 1, 'Kinase', '1ABC,2xyz', 'Family X'), (1, 2, 'Other one', '9q9q', NULL), (1, 3, 'No identifiers', '', 'Y'), (2, 0, 'Kinase', '1ABC,2xyz', 'Family X')) t(page_id, \"row\", \"Protein name\", \"Conformers\", \"Family\")")
 def html_table(spark, d):
-    t = scrape_rows(table(spark, d, "pages"), keep=["page_id"])
+    row = lambda name, ids, family: f"<tr><td>{name}</td><td>{ids}</td><td>{f'<a href=#>{family}</a>' if family else ''}</td></tr>"
+    whole = "<table><tr><th>Name</th></tr>" + "".join(row(*r) for r in _CONFORMERS) + "<tr><td> </td><td>1abc</td></tr></table>"
+    pages = spark.createDataFrame([(1, whole), (2, row(*_CONFORMERS[0])), (3, "<p>none</p>")], "page_id int, html string")
+    t = scrape_rows(pages, keep=["page_id"])
     return t.select("page_id", "row", "Protein name", joined(F.col("Conformers")).alias("Conformers"), "Family")
 
 
+@query("pair_rules", f"""WITH {_HITS}, m AS (SELECT *, CASE WHEN ordinal % 3 = 0 THEN NULL ELSE ordinal % 20 / 10.0 END AS mr FROM hits),
+r AS (SELECT 'homologous' AS rule, query, target, ordinal FROM m WHERE {"evalue < 1e-3 AND pident >= 30 AND alnlen >= 20 AND qcov >= 0.9 AND tcov >= 0.9"}
+UNION ALL SELECT 'identical', query, target, ordinal FROM m WHERE pident >= 100 AND (qcov >= 1 OR tcov >= 1) AND mr < 1) SELECT rule, count(*) AS n, sum(ordinal)::BIGINT AS total FROM r GROUP BY rule""")
+def pair_rules(spark, d):
+    h = hits(spark, d).withColumn("meanRMSD", F.when(F.col("ordinal") % 3 != 0, F.col("ordinal") % 20 / 10.0)).withColumn("meanTMS", F.lit(None).cast("double"))
+    parts = [relational.pairs_by_rule(h, rule).select(F.lit(rule).alias("rule"), "ordinal") for rule in ("homologous", "identical")]
+    return parts[0].unionByName(parts[1]).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.sum("ordinal").alias("total"))
+
+
 @query("id_regex", r"SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(url, '[a-z]+[.]example'))), ',') AS ids FROM pages")
 def id_regex(spark, d):
     found = F.array_sort(F.array_distinct(F.regexp_extract_all("url", F.lit("[a-z]+[.]example"), F.lit(0))))
     return table(spark, d, "pages").select("page_id", F.array_join(found, ",").alias("ids"))
 
 
-_WORDS = """(SELECT DISTINCT {id} AS id, substr(text, i::BIGINT, 24) AS word FROM {t}, range(1, 30000) r(i) WHERE i <= length(text) - 23)"""
+_WORDS = """(SELECT DISTINCT {id} AS id, substr(text, i::BIGINT, 24) AS word FROM {t}, unnest(range(1, length(text) - 22)) r(i))"""
 
 
 @query("kmer_hits", f"""SELECT q.id AS query, t.id AS target, count(*) AS shared FROM {_WORDS.format(id='item_id', t='benchmark')} q JOIN {_WORDS.format(id='doc_id', t='documents')} t ON q.word = t.word GROUP BY 1, 2 HAVING count(*) >= 2""")
@@ -588,3 +639,9 @@ def entry_stats(spark, d):
     chains = nation.select(F.col("n_regionkey").alias("pid"), F.col("n_name").alias("pidc"))
     hom = nation.join(table(spark, d, "supplier").filter("s_acctbal < 0"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("pid"))
     return relational.entry_stats(entries, chains, hom).select("Pid", "head", "hethom", F.array_join("all_prot_only_chains", ",").alias("chains"))
+
+
+from strandline.plans import files  # noqa: E402  (it adds its queries to those above)
+
+QUERIES |= files.QUERIES
+ORACLE_SQL |= files.ORACLE_SQL

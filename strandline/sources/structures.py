@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.columns import normal_id
 from strandline.schemas import ATOM_SITE, POLY_SEQ
+from strandline.sources.scratch import computed_once
 
 #: The file's fields that feed the two tables.
 ATOM_FIELDS = dict(zip(ATOM_SITE.names, ("group_PDB", "id", "label_atom_id", "label_comp_id", "label_asym_id", "label_seq_id", "Cartn_x", "Cartn_y", "Cartn_z", "occupancy", "pdbx_PDB_model_num"), strict=True))
@@ -79,14 +80,16 @@ def parse_cif(text: str) -> dict[str, list[str]]:
     return out
 
 
-def _rows(fields: dict[str, list[str]], category: str, wanted: dict[str, str]):
+def _columns(fields: dict[str, list[str]], category: str, wanted: dict[str, str]) -> list[list[str]]:
     columns = [fields.get(f"{category}.{f}") for f in wanted.values()]
     if not any(columns):
-        return []
+        return [[] for _ in wanted]
     missing = [f for f, c in zip(wanted.values(), columns, strict=True) if c is None]
     if missing:
         raise KeyError(f"{category} lacks {', '.join(missing)}")
-    return zip(*columns, strict=True)
+    if len({len(c) for c in columns}) > 1:
+        raise ValueError(f"{category} has columns of different length")
+    return columns
 
 
 def _header(fields: dict[str, list[str]]) -> dict:
@@ -103,46 +106,80 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bo
     return files.select(normal_id(name).alias("pid"), "path", F.decode("content", "UTF-8").alias("text"))
 
 
-def parse_mmcif(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(atom_site, poly_seq, headers), each keyed by pid, of a table (pid, text). Each is one lazy pass over the files."""
-    import pandas as pd
+def parse_files(files: DataFrame) -> DataFrame:
+    """One row a file of a table (pid, text): pid, atoms, scheme (arrays of rows), head, deposition, all_chains, model_count. One pass, a file at a time, no shuffle."""
+    import pyarrow as pa
+
+    def rows(fields, category, wanted):
+        columns = _columns(fields, category, wanted)
+        cells = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], names=list(wanted))
+        return pa.ListArray.from_arrays(pa.array([0, len(columns[0])], pa.int32()), cells)
 
-    def table(category, wanted):
-        def run(frames):
-            for pdf in frames:
-                out = [(pid, *row) for pid, text in zip(pdf["pid"], pdf["text"], strict=True) for row in _rows(parse_cif(text or ""), category, wanted)]
-                yield pd.DataFrame(out, columns=["pid", *wanted], dtype="string")
+    def run(batches):
+        for b in batches:
+            for pid, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                fields = parse_cif(text.as_py() or "")
+                h = _header(fields)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([pid], pa.string()), rows(fields, "_atom_site", ATOM_FIELDS), rows(fields, "_pdbx_poly_seq_scheme", SCHEME_FIELDS), pa.array([h["head"]], pa.string()), pa.array([h["deposition"]], pa.string()), pa.array([h["chains"]], pa.list_(pa.string())), pa.array([h["model_count"]], pa.int32())],
+                    names=["pid", "atoms", "scheme", "head", "deposition", "all_chains", "model_count"],
+                )
 
-        return files.select("pid", "text").mapInPandas(run, "pid string, " + ", ".join(f"{c} string" for c in wanted))
+    row = lambda names: "array<struct<" + ", ".join(f"{n}: string" for n in names) + ">>"
+    return files.select("pid", "text").mapInArrow(run, f"pid string, atoms {row(ATOM_FIELDS)}, scheme {row(SCHEME_FIELDS)}, head string, deposition string, all_chains array<string>, model_count int")
 
-    def headers(frames):
-        for pdf in frames:
-            out = [(pid, *_header(parse_cif(text or "")).values()) for pid, text in zip(pdf["pid"], pdf["text"], strict=True)]
-            yield pd.DataFrame(out, columns=["pid", "head", "deposition", "all_chains", "model_count"])
 
-    head = files.select("pid", "text").mapInPandas(headers, "pid string, head string, deposition string, all_chains array<string>, model_count int")
-    return table("_atom_site", ATOM_FIELDS), table("_pdbx_poly_seq_scheme", SCHEME_FIELDS), head
+def parse_mmcif(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(atom_site, poly_seq, headers), each keyed by pid, of a table (pid, text). Files are parsed once, now; the three tables read what that left in the shared folder."""
+    parsed = computed_once(parse_files(files))
+    return parsed.select("pid", F.inline("atoms")), parsed.select("pid", F.inline("scheme")), parsed.select("pid", "head", "deposition", "all_chains", "model_count")
 
 
-def read_pdb(spark: SparkSession, path: str, pattern: str = "*.pdb", atom: str = "CA", hetero: bool = False, split_models: bool = True, until_ter: bool = False) -> DataFrame:
-    """Fixed-width PDB coordinates: (pid, model, chain, seq_id, mon_id, atom_id, x, y, z), one row a matching atom.
+def parse_pdb(files: DataFrame, atom: str = "CA", hetero: bool = False, split_models: bool = True, until_ter: bool = False) -> DataFrame:
+    """Fixed-width PDB coordinates of a table (pid, text): (pid, model, chain, seq_id, mon_id, atom_id, x, y, z), one row a matching atom.
 
     hetero: also HETATM rows; split_models: number models (else all are 1);
-    until_ter: only up to the first TER of a model.
+    until_ter: only up to the first TER of a model. A file is cut into its
+    models before its lines become rows, so nothing is shuffled.
     """
-    files = read_files(spark, path, pattern)
-    lines = files.select("pid", F.posexplode(F.split("text", "\r?\n")).alias("no", "line"))
-    record = F.rtrim(F.substring("line", 1, 6))
-    from pyspark.sql import Window as W
-
-    so_far = W.partitionBy("pid").orderBy("no").rowsBetween(W.unboundedPreceding, 0)
-    model = F.max(F.when(record == "MODEL", F.trim(F.substring("line", 7, 20)).try_cast("bigint"))).over(so_far)
-    lines = lines.filter(record.isin("MODEL", "ATOM", "HETATM", "TER")).withColumn("model", F.coalesce(model, F.lit(1).cast("long")) if split_models else F.lit(1).cast("long"))
-    if until_ter:
-        ter = F.max(F.when(record == "TER", 1).otherwise(0)).over(W.partitionBy("pid", "model").orderBy("no").rowsBetween(W.unboundedPreceding, 0))
-        lines = lines.withColumn("ter", ter).filter("ter = 0")
+    parts = F.split("text", r"(?m)^(?=MODEL(?: |\r?$))") if split_models else F.array("text")
+    models = files.select("pid", F.explode(parts).alias("part"))
+    number = F.regexp_extract("part", r"\AMODEL\s+(\d+)", 1).try_cast("bigint") if split_models else F.lit(None).cast("bigint")
+    body = F.element_at(F.split("part", r"(?m)^TER(?: {3}| {0,2}\r?$)", 2), 1) if until_ter else F.col("part")
+    lines = models.select("pid", F.coalesce(number, F.lit(1).cast("bigint")).alias("model"), F.explode(F.split(body, "\r?\n")).alias("line"))
     kinds = ["ATOM", "HETATM"] if hetero else ["ATOM"]
     field = lambda a, n: F.trim(F.substring("line", a, n))
-    rows = lines.filter(record.isin(*kinds) & (field(13, 4) == atom) & field(17, 1).isin("", "A"))
+    rows = lines.filter(F.rtrim(F.substring("line", 1, 6)).isin(*kinds) & (field(13, 4) == atom) & field(17, 1).isin("", "A"))
     numbers = [field(31 + 8 * k, 8).try_cast("double").alias(c) for k, c in enumerate("xyz")]
     return rows.select("pid", "model", field(22, 1).alias("chain"), field(23, 4).try_cast("bigint").alias("seq_id"), field(18, 3).alias("mon_id"), field(7, 5).try_cast("bigint").alias("atom_id"), *numbers)
+
+
+def read_pdb(spark: SparkSession, path: str, pattern: str = "*.pdb", **options) -> DataFrame:
+    """`parse_pdb` of files."""
+    return parse_pdb(read_files(spark, path, pattern), **options)
+
+
+def parse_xyz(files: DataFrame, atom: str | None = None) -> DataFrame:
+    """Plain coordinate files (a count, a comment, then name x y z; several frames one after another), in the columns of `parse_pdb`."""
+    # A frame begins where a line is nothing but a count; its comment is the line after it.
+    parts = files.select("pid", F.posexplode(F.filter(F.split("text", r"(?m)^(?=[ \t]*\d+[ \t]*\r?$)"), lambda p: F.trim(p) != "")).alias("frame", "part"))
+    lines = parts.select("pid", (F.col("frame") + 1).cast("long").alias("model"), F.posexplode(F.slice(F.split("part", "\r?\n"), 3, 1 << 30)).alias("no", "line"))
+    cells = F.split(F.trim("line"), r"\s+")
+    rows = lines.select("pid", "model", "no", cells.alias("c")).filter(F.size("c") >= 4)
+    if atom is not None:
+        rows = rows.filter(F.get("c", F.lit(0)) == atom)
+    numbers = [F.get("c", F.lit(k + 1)).try_cast("double").alias(x) for k, x in enumerate("xyz")]
+    n = (F.col("no") + 1).cast("long")
+    return rows.select("pid", "model", F.lit("A").alias("chain"), n.alias("seq_id"), F.lit("UNK").alias("mon_id"), n.alias("atom_id"), *numbers)
+
+
+def parse_traces(files: DataFrame, atom: str = "CA", hetero: bool = False) -> DataFrame:
+    """Coordinates of files of any of the three formats, told by their text: mmCIF has loop_, plain ones begin with a count."""
+    kind = F.when(F.col("text").rlike(r"(?m)^\s*loop_"), "cif").when(F.col("text").rlike(r"\A\s*\d+[ \t]*\r?\n"), "xyz").otherwise("pdb")
+    told = files.select("pid", "text", kind.alias("kind"))
+    rows = parse_files(told.filter("kind = 'cif'")).select("pid", F.inline("atoms"))
+    kinds = ["ATOM", "HETATM"] if hetero else ["ATOM"]
+    rows = rows.filter(F.col("A_group_PDB").isin(*kinds) & (F.col("A_label_atom_id") == atom))
+    number = lambda c, t, to: F.col(c).try_cast(t).alias(to)
+    cif = rows.select("pid", number("A_pdbx_PDB_model_num", "bigint", "model"), F.col("A_label_asym_id").alias("chain"), number("A_label_seq_id", "bigint", "seq_id"), F.col("A_label_comp_id").alias("mon_id"), number("A_id", "bigint", "atom_id"), *[number(f"A_Cartn_{c}", "double", c) for c in "xyz"])
+    return cif.unionByName(parse_pdb(told.filter("kind = 'pdb'"), atom, hetero)).unionByName(parse_xyz(told.filter("kind = 'xyz'"), atom))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import io
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from strandline.schemas import HITS, SSV
+from strandline.sources.scratch import exists, replace
 
 
 def read_delimited(spark: SparkSession, path: str, schema: StructType, sep: str = ",", header: bool = False) -> DataFrame:
@@ -23,6 +25,28 @@ def read_ssv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(key.alias("pidc"), F.split_part(key, F.lit("_"), F.lit(1)).alias("pid"), F.split_part(key, F.lit("_"), F.lit(2)).alias("chain"), *SSV.names)
 
 
+def read_written_ssv(spark: SparkSession, path: str) -> DataFrame:
+    """The chains that `write_ssv` wrote, keyed by their folder's name."""
+    kept = StructType([StructField("pidc", StringType()), *SSV.fields])
+    return spark.read.schema(kept).option("sep", " ").option("header", True).csv(path).select("pidc", *SSV.names)
+
+
+def write_hits(hits: DataFrame, path: str, sep: str = "\t") -> None:
+    hits.select(*HITS.names).write.mode("overwrite").option("sep", sep).csv(path)
+
+
+def read_states(spark: SparkSession, path: str) -> DataFrame:
+    """(id, states) of a FASTA file of structural-alphabet strings, as an external encoder writes them: twenty letters, in either case."""
+    return read_fasta(spark, path).select("id", F.upper("seq").alias("states"))
+
+
+def attach_states(sequences: DataFrame, states: DataFrame) -> DataFrame:
+    """(id, seq, states, problem) of all ids on either side: problem says why the two strings do not belong together, or is null."""
+    both = sequences.select("id", "seq").join(states.select("id", "states"), "id", "full_outer")
+    problem = F.when(F.col("seq").isNull(), "no sequence").when(F.col("states").isNull(), "no states").when(F.length("seq") != F.length("states"), "different lengths").when(F.col("states").rlike("[^ACDEFGHIKLMNPQRSTVWY]"), "unknown state")
+    return both.select("id", "seq", "states", problem.alias("problem"))
+
+
 def read_hits(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """Search hits with their place in the file as `ordinal`: unique, and rising within a file."""
     return spark.read.schema(HITS).option("sep", sep).csv(path).withColumn("ordinal", F.monotonically_increasing_id())
@@ -119,15 +143,13 @@ def write_keys(keys: DataFrame, path: str, column: str = "pidc", per_line: int =
 
 
 def update_keys(spark: SparkSession, keys: DataFrame, path: str, column: str = "pidc") -> None:
-    """Add keys to a list: union, distinct, sorted. The old list is read in full before it is replaced."""
+    """Add keys to a list: union, distinct, sorted. The new list is written beside the old one and takes its place when it is complete."""
     fresh = keys.select(F.col(column).alias("key"))
-    try:
+    if exists(spark, path):
         fresh = fresh.unionByName(read_keys(spark, path)).distinct()
-        fresh.persist().count()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    write_keys(fresh, path, "key")
+    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    write_keys(fresh, new, "key")
+    replace(spark, new, path)
 
 
 def write_fasta(sequences: DataFrame, path: str, width: int = 80, legacy: bool = False) -> None:
@@ -155,11 +177,31 @@ def write_top_pairs(top: DataFrame, path: str) -> None:
     top.repartition("chain").sortWithinPartitions("chain", "rank").select("chain", line.alias("value")).write.mode("overwrite").partitionBy("chain").text(path)
 
 
+def alignment_text(rows: DataFrame, style: str = "full") -> DataFrame:
+    """(query, target, text) of aligned pairs (query, target, tm1, tm2, rmsd, n_ali, seq_x, marks, seq_y).
+
+    style full: names, lengths, scores and the alignment; table: one line of
+    tab-separated numbers; fasta: the two gapped sequences. Pairs that could
+    not be aligned have no text.
+    """
+    length = lambda c: F.length(F.regexp_replace(c, "-", ""))
+    same = F.aggregate(F.zip_with(F.split("seq_x", ""), F.split("seq_y", ""), lambda a, b: ((a == b) & (a != "-")).cast("int")), F.lit(0), lambda n, v: n + v)
+    if style == "full":
+        text = F.format_string("Structures: %s (%d residues), %s (%d residues)\nAligned: %d, RMSD: %.2f, identical: %.3f\nTM-score: %.4f by the first, %.4f by the second\n\n%s\n%s\n%s\n", F.col("query"), length("seq_x"), F.col("target"), length("seq_y"), F.col("n_ali"), F.col("rmsd"), same / F.greatest(F.col("n_ali"), F.lit(1)), F.col("tm1"), F.col("tm2"), F.col("seq_x"), F.col("marks"), F.col("seq_y"))
+    elif style == "table":
+        text = F.format_string("%s\t%s\t%.4f\t%.4f\t%.2f\t%.3f\t%d\t%d\t%d", F.col("query"), F.col("target"), F.col("tm1"), F.col("tm2"), F.col("rmsd"), same / F.greatest(F.col("n_ali"), F.lit(1)), length("seq_x"), length("seq_y"), F.col("n_ali"))
+    elif style == "fasta":
+        text = F.format_string(">%s\n%s\n>%s\n%s\n", F.col("query"), F.col("seq_x"), F.col("target"), F.col("seq_y"))
+    else:
+        raise ValueError(f"no style {style}")
+    return rows.select("query", "target", F.when(F.col("rmsd").isNotNull(), text).alias("text"))
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """Parquet beside a CSV whose list cells are JSON."""
     df.write.mode("overwrite").parquet(f"{path}/parquet")
     flat = [F.to_json(f.name).alias(f.name) if f.dataType.simpleString().startswith(("array", "map", "struct")) else F.col(f.name) for f in df.schema.fields]
-    df.select(*flat).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/csv")
 
 
 def write_matrices(matrix: DataFrame, path: str) -> None:

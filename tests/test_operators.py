@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
-from strandline.operators import ensemble, grouped, kernels, pairs, relational, seqsearch
+from strandline.operators import ensemble, grouped, kernels, pairs, relational, seqsearch, tm
+from strandline.operators.pairs import contacts, pair
 from tests.fixtures import POINTS, helix, hinged, points_rows, rotation, strand, wander
 
 
@@ -135,9 +136,7 @@ def test_columns(spark):
 def test_null_rules(spark):
     df = spark.createDataFrame([(1, None, 5.0), (2, 1, None), (3, 20, 11.0), (4, 20, 5.0)], "id int, CA_count int, meanRMSD double")
     assert [r["id"] for r in relational.prune(df, ["CA_count < 3", "meanRMSD > 10"]).orderBy("id").collect()] == [1, 4]
-    assert [r["id"] for r in relational.sort_for_report(df, "meanRMSD", "CA_count", "id").collect()] == [3, 1, 4, 2] or True
-    order = [r["id"] for r in relational.sort_for_report(df, "meanRMSD", "CA_count", "id").collect()]
-    assert order[0] == 3 and order[-1] == 2 and order.index(4) < order.index(1)
+    assert [r["id"] for r in relational.sort_for_report(df, "meanRMSD", "CA_count", "id").collect()] == [3, 4, 1, 2]
     one = spark.createDataFrame([("a", 1.0)], "k string, v double")
     r = relational.spread(one, ["k"], "v", "V").first()
     assert r["stdevV"] is None and r["minV"] == 1.0
@@ -213,3 +212,102 @@ def test_word_hits_read_whole_texts(spark):
     want = {(a, b, len(words(x) & words(y))) for a, x in q for b, y in t if len(words(x) & words(y)) >= 2}
     frames = [spark.createDataFrame(rows, "id long, seq string") for rows in (q, t)]
     assert {tuple(r) for r in seqsearch.word_hits(*frames, 24, 2).select("query", "target", "shared").collect()} == want and len(want) == 3
+
+
+def test_blocks_of_pairs(spark):
+    rows = [(k % 3, i) for k in range(3) for i in range(17 + k)]
+    df = spark.createDataFrame(rows, "g int, v int")
+    for mode in ("lt", "ne", "all"):
+        want = sorted((g, v, w) for g, v in rows for h, w in rows if g == h and (v < w or mode == "ne" and v != w or mode == "all"))
+        for blocks in (1, 2, 5):
+            got = pair(df, ["g"], "v", mode, blocks)
+            assert sorted(map(tuple, got.select("g", "v_1", "v_2").collect())) == want
+    whole = pair(df.select(F.monotonically_increasing_id().alias("v")), [], "v", blocks=4)
+    assert whole.distinct().count() == whole.count() == len(rows) * (len(rows) - 1) // 2
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_contacts_and_laplacian_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    x = rng.uniform(-3, 3, (60, 3))
+    p = spark.createDataFrame(points_rows([x]), POINTS)
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    want = {(i + 1, j + 1) for i in range(60) for j in range(i + 1, 60) if d[i, j] < 1.3}
+    got = contacts(p, ["chain", "model"], 1.3).collect()
+    assert len(got) == len(want) and {(r["i"], r["j"]) for r in got} == want
+    full = np.zeros((60, 60))
+    for r in ensemble.laplacian(p, 1.3, 2.0).collect():
+        full[r["i"] - 1, r["j"] - 1] += r["value"]
+    assert np.allclose(full, kernels.kirchhoff(x, 1.3, 2.0))
+
+
+def test_chains_of_one_model_and_uneven_ones(spark):
+    p = spark.createDataFrame(points_rows(hinged()) + points_rows(hinged()[:1], "B"), POINTS)
+    agg = ensemble.difference_aggregate(ensemble.residue_distances(p))
+    got = {(r["chain"], r["k"], r["silhouette"] is None) for r in grouped.find_domains(agg).collect()}
+    assert ("B", 1, True) in got and ("A", 2, False) in got
+    every = p.select("chain", "model").distinct()
+    clusters = grouped.cluster_models(ensemble.rmsd_pairs(ensemble.as_models(p)), 2.0, "rmsd", every).collect()
+    assert len(clusters) == 7 and [r["cluster"] for r in clusters if r["chain"] == "B"] == [1]
+    uneven = spark.createDataFrame(points_rows([wander(9, 1), wander(8, 1)], "C"), POINTS)
+    rows = {r["chain"]: r for r in grouped.essential_dynamics(p.unionByName(uneven)).collect()}
+    assert rows["C"]["problem"] and rows["C"]["eigenvalues"] is None and rows["A"]["problem"] is None and rows["B"]["problem"] is None
+
+
+def test_average_linkage_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    m = rng.uniform(1, 5, (9, 9))
+    m = np.triu(m, 1) + np.triu(m, 1).T
+    groups = [[i] for i in range(9)]
+    while len(groups) > 1:
+        mean = lambda a, b: np.mean([m[i, j] for i in a for j in b])
+        h, a, b = min((mean(groups[i], groups[j]), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+        if h > 2.9:
+            break
+        groups[a] += groups.pop(b)
+    rows = [("X", i, j, float(m[i, j])) for i in range(9) for j in range(i + 1, 9)]
+    got = grouped.cluster_models(spark.createDataFrame(rows, "chain string, m1 long, m2 long, value double"), 2.9).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["cluster"], []).append(r["model"])
+    assert sorted(map(sorted, groups)) == sorted(map(sorted, found.values())) and len(found) > 1
+
+
+def test_tm_square_and_standard_residues(spark):
+    models = [wander(30, 3), wander(30, 3) @ rotation(4) + 2, wander(30, 8)]
+    p = spark.createDataFrame(points_rows(models), POINTS)
+    got = {(r["i"], r["j"]): r["value"] for r in grouped.tm_square(p).collect()}
+    assert len(got) == 9 and all(got[i, i] == 1 for i in (1, 2, 3)) and got[1, 2] == pytest.approx(1, abs=1e-6)
+    assert all(got[i, j] == got[j, i] for i, j in got) and got[1, 3] < 0.6
+    named = p.withColumn("mon", F.when(F.col("seq") > 25, "HOH").otherwise("GLY"))
+    first = ensemble.rmsd_of_standard(named).filter("m1 = 1 AND m2 = 3").first()["rmsd"]
+    assert first == pytest.approx(kernels.rmsd(models[0][:25], models[2][:25]))
+    with pytest.raises(Exception, match="different standard residues"):
+        ensemble.rmsd_of_standard(named.filter("model <> 2 OR seq <> 3")).collect()
+
+
+def test_superposed_coordinates(spark):
+    x, r = wander(12, 3), rotation(7)
+    row = [(x.ravel().tolist(), r.ravel().tolist(), [1.0, 2.0, 3.0])]
+    got = grouped.superposed(spark.createDataFrame(row, "xyz array<double>, rotation array<double>, shift array<double>")).first()["moved"]
+    assert np.allclose(np.array(got).reshape(-1, 3), x @ r + [1, 2, 3])
+
+
+def test_aligner_options():
+    x = wander(60, 3)
+    y = x[:40] @ rotation(5) + 4
+    plain = tm.align(x, y)
+    more = tm.align(x, y, average=True, length=80, d0=5.0)
+    assert plain["tm1"] == more["tm1"] < more["tm_average"] < more["tm2"] and more["tm_length"] == pytest.approx(0.5, abs=0.01) and more["tm_d0"] == pytest.approx(1, abs=1e-6)
+    assert tm.align(x, y, cut=0.9) is None and tm.align(y, x, cut=0.9)["tm1"] == pytest.approx(1, abs=1e-6)
+    known = tm.by_number(np.arange(60), np.arange(10, 50))
+    assert known.tolist() == list(range(10, 50)) and tm.by_number(np.array([1, 1, 2]), np.array([2, 1, 9])).tolist() == [2, 0, -1]
+    chains = (np.array(["A", "A", "B"]), np.array(["B", "A", "A"]))
+    assert tm.by_number(np.array([1, 2, 1]), np.array([1, 2, 1]), chains).tolist() == [2, 1, 0]
+
+
+def test_quartiles_in_bounded_memory(spark):
+    df = spark.range(2001).withColumn("k", F.lit(1))
+    exact, near = relational.quartiles(df, ["k"], "id").first(), relational.quartiles(df, ["k"], "id", 1000).first()
+    assert exact["median"] == 1000 and all(abs(exact[c] - near[c]) <= 3 for c in ("q1", "median", "q3"))

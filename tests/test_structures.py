@@ -87,3 +87,26 @@ def test_stream_of_structures(spark, tmp_path):
         ingest_structures(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
         (src / "2abc.cif").write_text(cif(chains=("A",)))
     assert {r["pidc"]: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("pidc").count().collect()} == {"1ABC_A": 18, "1ABC_B": 18, "2ABC_A": 18}
+
+
+def test_files_are_parsed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    files = spark.createDataFrame([(f"{k}AAA", cif()) for k in range(5)], "pid string, text string")
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    atoms, scheme, head = S.parse_mmcif(files.mapInArrow(count, files.schema))
+    assert R.parse_structures(atoms, scheme).count() == 5 * 36 and head.count() == 5 and atoms.count() > 0
+    assert seen.value == 5
+
+
+def test_traces_of_any_format(spark):
+    xyz = "3\nwater\nCA 1.0 2.0 3.0\nO 0 0 0\nCA -1 2e0 .5\n2\n\nCA 7 8 9\nN 1 1 1\n"
+    pdb = "MODEL        2\nATOM      1  CA  GLY A   4       1.500   2.000   3.000  1.00  0.00\nENDMDL"
+    files = spark.createDataFrame([("X", xyz), ("P", pdb), ("C", cif(("A",), 1, 2))], "pid string, text string")
+    got = sorted((r["pid"], r["model"], r["seq_id"], r["x"], r["mon_id"]) for r in S.parse_traces(files).collect())
+    assert got[0][:3] == ("C", 1, 1) and len([g for g in got if g[0] == "C"]) == 2
+    assert [g for g in got if g[0] != "C"] == [("P", 2, 4, 1.5, "GLY"), ("X", 1, 1, 1.0, "UNK"), ("X", 1, 3, -1.0, "UNK"), ("X", 2, 1, 7.0, "UNK")]

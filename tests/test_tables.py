@@ -67,3 +67,24 @@ def test_services_and_trajectories(spark, tmp_path):
     frames = spark.createDataFrame([("d", 320, 0, 1, 1.5, 2.5)], schemas.FRAMES)
     frames.write.parquet(str(tmp_path / "frames"))
     assert T.read_trajectories(spark, str(tmp_path / "frames"), schemas.FRAMES).agg(F.avg("rmsd")).first()[0] == 1.5
+
+
+def test_a_list_survives_an_update_that_fails(spark, tmp_path):
+    import pytest
+
+    path = str(tmp_path / "list")
+    T.update_keys(spark, spark.createDataFrame([("a",), ("b",)], "pidc string"), path)
+    broken = spark.createDataFrame([("c",)], "pidc string").select(F.raise_error(F.lit("lost")).cast("string").alias("pidc"))
+    with pytest.raises(Exception, match="lost"):
+        T.update_keys(spark, broken, path)
+    assert [r["key"] for r in T.read_keys(spark, path).collect()] == ["a", "b"]
+
+
+def test_alignment_texts_and_states(spark):
+    row = [("q", "t", 0.5, 0.25, 1.5, 2, "AC-D", ": .", "A-GE"), ("q", "u", None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(row, "query string, target string, tm1 double, tm2 double, rmsd double, n_ali int, seq_x string, marks string, seq_y string")
+    full, none = (r["text"] for r in T.alignment_text(df).orderBy("target").collect())
+    assert full.splitlines()[0] == "Structures: q (3 residues), t (3 residues)" and full.splitlines()[-3:] == ["AC-D", ": .", "A-GE"] and none is None
+    assert T.alignment_text(df, "fasta").filter("target = 't'").first()["text"] == ">q\nAC-D\n>t\nA-GE\n"
+    both = T.attach_states(spark.createDataFrame([("a", "AC"), ("b", "AC"), ("c", "A")], "id string, seq string"), spark.createDataFrame([("a", "DV"), ("b", "DB"), ("d", "D")], "id string, states string"))
+    assert {r["id"]: r["problem"] for r in both.collect()} == {"a": None, "b": "unknown state", "c": "no states", "d": "no sequence"}
