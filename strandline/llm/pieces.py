@@ -39,10 +39,10 @@ SAMPLES = 2
 BLOCK = 1 << 19
 #: Regions of a segmentation that are opened at first; the rest is one region until it wins.
 OPEN = 48
-#: Characters of a part from which it is summed by itself; walks that are so few are followed one by one.
-LONG, FEW = 512, 4
+#: Characters of a unit from which it is parted, and of a part from which it is summed by itself; walks that are so few are followed one by one.
+PARTED, LONG, FEW = 32, 512, 4
 SPACE, LITERAL = "▁", "\U0010ffff"
-UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+UNIT = re.compile("\n| *[^ \n]+| +")
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,6 +132,7 @@ class Lattice:
     """Edges of many units at once; node numbers are positions in the joined units."""
 
     def __init__(self, units: list[str], vocabulary: Vocabulary):
+        """Units from PARTED characters on come last."""
         # A separator after each unit: a node without edges, where the backward sum is 0.
         code = np.frombuffer("\0".join([*units, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         lengths = np.fromiter(map(len, units), np.int32, len(units))
@@ -141,6 +142,12 @@ class Lattice:
         left = np.repeat(ends, lengths + 1) - np.arange(n, dtype=np.int32)
         at = np.flatnonzero(left).astype(np.int32)
         alone = left > 0
+        # Where the units begin that are looked at for parts.
+        short = len(units)
+        while short and lengths[short - 1] >= PARTED:
+            short -= 1
+        parted = int(ends[short - 1]) + 1 if short else 0
+        crossings = np.zeros(n - parted + 1, np.int64)
         h = np.zeros(len(at), np.uint64)
         starts, sizes, ids, weights = [], [], [], []
         with np.errstate(over="ignore"):
@@ -160,6 +167,9 @@ class Lattice:
                 start = at[ends_here]
                 if k == 1:
                     alone[start] = False
+                elif parted < n:
+                    wide = start[np.searchsorted(start, parted) :] - parted
+                    crossings += np.bincount(wide + 1, minlength=len(crossings)) - np.bincount(wide + k, minlength=len(crossings))
                 starts.append(start)
                 sizes.append(np.full(len(start), k, np.int32))
                 ids.append(here[ends_here])
@@ -172,25 +182,34 @@ class Lattice:
         ids.append(-1 - char)
         weights.append(vocabulary.byte_weight * (1.0 + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF)))
         start, size, piece, weight = (np.concatenate(x) for x in (starts, sizes, ids, weights))
-        # Positions that no piece spans part a unit; `left` becomes the characters left in the part.
-        wide = size > 1
-        spanned = np.cumsum(np.bincount(start[wide] + 1, minlength=n + 1)[: n + 1] - np.bincount(start[wide] + size[wide], minlength=n + 1)[: n + 1])[:n] > 0
-        border = np.where(spanned, np.int32(n), np.arange(n, dtype=np.int32))
-        following = np.minimum.accumulate(border[::-1])[::-1]
-        part_end = np.concatenate((following[1:], [n])).astype(np.int32)
+        # Positions that no piece spans part a long unit; `left` becomes the characters left in the part.
         #: First node of each part, and the range of each unit's parts.
-        self.parts = np.flatnonzero(~spanned & (left > 0))
-        self.part_lo, self.part_hi = np.searchsorted(self.parts, self.first), np.searchsorted(self.parts, ends)
-        left = np.where(left > 0, part_end - np.arange(n, dtype=np.int32), 0)
+        self.parts, self.part_lo, self.part_hi = self.first, np.arange(len(units)), np.arange(len(units)) + 1
+        if short < len(units):
+            spanned = np.cumsum(crossings)[:-1] > 0
+            borders = np.where(spanned, np.int32(n), np.arange(parted, n, dtype=np.int32))
+            following = np.minimum.accumulate(borders[::-1])[::-1]
+            begins = parted + np.flatnonzero(~spanned & (left[parted:] > 0))
+            left[parted:] = np.where(left[parted:] > 0, np.concatenate((following[1:], [n])) - np.arange(parted, n), 0)
+            self.parts = np.concatenate((self.first[:short], begins))
+            self.part_lo, self.part_hi = np.searchsorted(self.parts, self.first), np.searchsorted(self.parts, ends)
         # By characters left in the part, for the backward sums; in a node by falling length, since long pieces are the likely ones.
         by_left = np.argsort(np.minimum(left, 65535).astype(np.uint16) if n and left.max() < 65536 else left, kind="stable")
         place = np.empty(n, np.int32)
         place[by_left] = np.arange(n, dtype=np.int32)
         longest = len(vocabulary.tables) + 1
-        order = np.argsort(place[start] * np.int64(longest) - size if n * longest >= 2**31 else place[start] * np.int32(longest) - size)
+        rank = place[start].astype(np.int64) * longest + (longest - size)
+        if n * longest < 2**31:
+            # Sorted with their places, as numbers sort faster than places do.
+            rank = rank << 32 | np.arange(len(start))
+            rank.sort()
+            order = rank & 0xFFFFFFFF
+        else:
+            order = np.argsort(rank)
         start, weight, self.piece, size = start[order], weight[order], piece[order], size[order]
-        after = start + size
         last = size == left[start]
+        # Node n stands for the end of any part.
+        after = np.where(last, n, start + size)
         beta = np.zeros(n + 1)
         head = np.flatnonzero(np.concatenate((np.ones(1, bool), start[1:] != start[:-1]))) if len(start) else np.empty(0, np.int64)
         node = start[head]
@@ -209,7 +228,7 @@ class Lattice:
             if a == b:
                 continue
             lo, hi = tail[a], tail[b]
-            s = weight[lo:hi] + np.where(last[lo:hi], 0.0, beta[after[lo:hi]])
+            s = weight[lo:hi] + beta[after[lo:hi]]
             seg = head[a:b] - lo
             top = np.maximum.reduceat(s, seg)
             total = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, count[a:b])), seg))
@@ -226,7 +245,7 @@ class Lattice:
             cumulative -= np.repeat(np.concatenate(([0.0], cumulative[tail[1:-1] - 1])), count)
             cumulative[tail[1:] - 1] = 2.0
         self.cumulative = cumulative
-        self.next = np.where(last, np.int32(-1), after)
+        self.next = np.where(last, -1, after).astype(np.int32)
         self.start = start
 
     def _sum_along(self, begin: int, end: int, weight: np.ndarray, size: np.ndarray, log_prob: np.ndarray, longest: int) -> None:
@@ -400,12 +419,16 @@ def segment_block(keys: list[int], texts: list[str | None], vocabulary: Vocabula
     numbers: dict[str, int] = defaultdict(count().__next__)
     occurrences, per_text = [], []
     for t in texts:
-        units = UNIT.findall(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE)) if t else []
+        units = UNIT.findall(" " + t) if t else []
         occurrences.extend(map(numbers.__getitem__, units))
         per_text.append(len(units))
-    lattice = Lattice(list(numbers), vocabulary)
+    units = list(numbers)
+    short, long_ = [i for i, u in enumerate(units) if len(u) < PARTED], [i for i, u in enumerate(units) if len(u) >= PARTED]
+    lattice = Lattice([units[i].replace(SPACE, LITERAL).replace(" ", SPACE) for i in short + long_], vocabulary)
+    moved = np.empty(len(units), np.int64)
+    moved[short + long_] = np.arange(len(units))
     # From here on a unit is a part.
-    seen = np.array(occurrences, np.int64)
+    seen = moved[np.array(occurrences, np.int64)]
     parts = lattice.part_hi[seen] - lattice.part_lo[seen]
     upto = np.concatenate(([0], np.cumsum(parts)))
     node = lattice.parts[np.repeat(lattice.part_lo[seen] - upto[:-1], parts) + np.arange(upto[-1])]

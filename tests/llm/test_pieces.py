@@ -120,6 +120,7 @@ def test_batches_do_not_matter(vocabulary):
 
 @pytest.mark.parametrize("long_,few", [(1, 0), (1, 100), (3, 4), (10**9, 100)])
 def test_parts_summed_alone_have_the_same_law(vocabulary, monkeypatch, long_, few):
+    monkeypatch.setattr(P, "PARTED", 2)
     monkeypatch.setattr(P, "LONG", long_)
     monkeypatch.setattr(P, "FEW", few)
     for text in ("thecat", "aaab the", "é日x日本"):
