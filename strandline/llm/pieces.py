@@ -132,10 +132,17 @@ class Lattice:
     """Edges of many units at once; node numbers are positions in the joined units."""
 
     def __init__(self, units: list[str], vocabulary: Vocabulary):
-        """Units from PARTED characters on come last."""
         # A separator after each unit: a node without edges, where the backward sum is 0.
-        code = np.frombuffer("\0".join([*units, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         lengths = np.fromiter(map(len, units), np.int32, len(units))
+        long_ = lengths >= PARTED
+        #: Units from PARTED characters on come last: the place of each given unit.
+        self.moved = np.arange(len(units))
+        if long_.any():
+            order = np.argsort(long_, kind="stable")
+            self.moved[order] = np.arange(len(units))
+            units, lengths = [units[i] for i in order.tolist()], lengths[order]
+        joined = "\0".join([*units, ""]).replace(SPACE, LITERAL).replace(" ", SPACE)
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         ends = np.cumsum(lengths + 1, dtype=np.int32) - 1
         self.first = (ends - lengths).astype(np.int64)
         n = len(code)
@@ -143,9 +150,7 @@ class Lattice:
         at = np.flatnonzero(left).astype(np.int32)
         alone = left > 0
         # Where the units begin that are looked at for parts.
-        short = len(units)
-        while short and lengths[short - 1] >= PARTED:
-            short -= 1
+        short = len(units) - int(long_.sum())
         parted = int(ends[short - 1]) + 1 if short else 0
         crossings = np.zeros(n - parted + 1, np.int64)
         h = np.zeros(len(at), np.uint64)
@@ -422,13 +427,9 @@ def segment_block(keys: list[int], texts: list[str | None], vocabulary: Vocabula
         units = UNIT.findall(" " + t) if t else []
         occurrences.extend(map(numbers.__getitem__, units))
         per_text.append(len(units))
-    units = list(numbers)
-    short, long_ = [i for i, u in enumerate(units) if len(u) < PARTED], [i for i, u in enumerate(units) if len(u) >= PARTED]
-    lattice = Lattice([units[i].replace(SPACE, LITERAL).replace(" ", SPACE) for i in short + long_], vocabulary)
-    moved = np.empty(len(units), np.int64)
-    moved[short + long_] = np.arange(len(units))
+    lattice = Lattice(list(numbers), vocabulary)
     # From here on a unit is a part.
-    seen = moved[np.array(occurrences, np.int64)]
+    seen = lattice.moved[np.array(occurrences, np.int64)]
     parts = lattice.part_hi[seen] - lattice.part_lo[seen]
     upto = np.concatenate(([0], np.cumsum(parts)))
     node = lattice.parts[np.repeat(lattice.part_lo[seen] - upto[:-1], parts) + np.arange(upto[-1])]
