@@ -124,7 +124,10 @@ def interleave_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share=SHARE, cap=CAP, block_words: int = 256, seed: int = 17, extra: dict | None = None) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source, *extra) for each row of `docs`; taken: its words in `interleave_sources`.
+    """(doc_id, size, source_size, target, taken, first_slot, n_slots, source, *extra) for each row of `docs`.
+
+    taken: its words in `interleave_sources`; first_slot: the first slot of the
+    schedule that reads it (null: none does); n_slots: how many slots do.
 
     Null text: size 0, taken 0. A null source is a source, the last one.
     Repeated rows each have words of their own. Ties in the order key fall by
@@ -137,8 +140,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     read, none = _scheduled(docs, id_col, text_col, source_col, weights, share, cap, block_words, seed, extra)
     kept = ["doc_id", "size", "source_size", "target", "source", *extra]
     got = F.when(F.col("slot").isNull(), F.lit(0)).otherwise(F.col("word_to") - F.col("word_from"))
-    some = read.groupBy("skey", "a", *kept).agg(F.sum(got).cast("long").alias("taken"))
-    return some.select(*kept, "taken").unionByName(none.withColumn("taken", F.lit(0).cast("long"))).select("doc_id", "size", "source_size", "target", "taken", "source", *extra)
+    some = read.groupBy("skey", "a", *kept).agg(F.sum(got).cast("long").alias("taken"), F.min("slot").alias("first_slot"), F.count("slot").alias("n_slots"))
+    never = none.select(*kept, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"), F.lit(0).cast("long").alias("n_slots"))
+    return some.select(*kept, "taken", "first_slot", "n_slots").unionByName(never).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots", "source", *extra)
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:

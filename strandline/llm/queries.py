@@ -14,7 +14,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,13 +125,22 @@ t2 AS (SELECT *, most / weight AS ratio, 1.5::DOUBLE * (sum(source_size) OVER ()
 t3 AS (SELECT *, (goal - coalesce(sum(most) OVER (ORDER BY ratio, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
               / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY ratio, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM t2),
 t4 AS (SELECT *, (SELECT level FROM t3 WHERE level <= ratio ORDER BY ratio, skey LIMIT 1) AS chosen FROM t3),
-t AS (SELECT skey, source_size, least(most, coalesce(chosen * weight, most)) AS target FROM t4),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS words,
+t AS (SELECT skey, source_size, goal, least(most, coalesce(chosen * weight, most)) AS target FROM t4),
+w0 AS (SELECT skey, source_size, target, goal, round(target)::BIGINT AS words, ((source_size + 255) // 256)::BIGINT AS blocks, (round(target)::BIGINT // source_size)::BIGINT AS rounds, (round(target)::BIGINT % source_size)::BIGINT AS rest,
+              sum(target) OVER (ORDER BY skey ROWS UNBOUNDED PRECEDING) / goal AS upto_share, row_number() OVER (ORDER BY skey) - 1 AS nth, count(*) OVER () AS sources FROM t WHERE source_size > 0),
+w AS (SELECT *, rounds * blocks + (rest + 255) // 256 AS needed, lag(upto_share, 1, 0.0::DOUBLE) OVER (ORDER BY skey) AS lo, CASE WHEN nth = sources - 1 THEN 2.0::DOUBLE ELSE upto_share END AS hi FROM w0),
+points AS (SELECT i::BIGINT AS slot, (i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE - floor((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE) AS u FROM range((SELECT coalesce(ceil(max(goal) / 256), 0)::BIGINT FROM t)) r(i)),
+dealt AS (SELECT w.skey, slot, row_number() OVER (PARTITION BY w.skey ORDER BY slot) - 1 AS rank FROM points JOIN w ON u >= lo AND u < hi),
+given AS (SELECT w.skey, count(dealt.slot) AS given FROM w LEFT JOIN dealt ON w.skey = dealt.skey GROUP BY w.skey),
+every AS (SELECT * FROM dealt UNION ALL SELECT w.skey, (SELECT count(*) FROM points) + r.rank * w.sources + w.nth, r.rank FROM w JOIN given ON w.skey = given.skey, LATERAL (SELECT unnest(range(given.given, w.needed)) AS rank) r),
+slots AS (SELECT e.skey, e.slot, e.rank % w.blocks AS block, CASE WHEN e.rank // w.blocks >= w.rounds THEN least(256, w.rest - (e.rank - w.rounds * w.blocks) * 256) ELSE 256 END AS upto FROM every e JOIN w ON e.skey = w.skey WHERE e.rank < w.needed),
+p AS (SELECT d.doc_id, d.skey, d.size, t.source_size, t.target, row_number() OVER () AS row_id,
              (sum(d.size) OVER (PARTITION BY d.skey ORDER BY d.okey, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT - d.size AS a
-      FROM d JOIN t ON d.skey = t.skey)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(a + size, words) - a) + greatest(0, least(a + size, words - source_size) - a))::BIGINT AS taken
-FROM p""",
+      FROM d JOIN t ON d.skey = t.skey),
+b AS (SELECT row_id, skey, a, size, unnest(range(a // 256, (a + size - 1) // 256 + 1)) AS block FROM p WHERE size > 0),
+r AS (SELECT b.row_id, s.slot, least(b.a + b.size - b.block * 256, 256, s.upto) - greatest(b.a - b.block * 256, 0) AS n FROM b JOIN slots s ON s.skey = b.skey AND s.block = b.block WHERE s.upto > greatest(b.a - b.block * 256, 0)),
+k AS (SELECT row_id, sum(n)::BIGINT AS taken, min(slot)::BIGINT AS first_slot, count(*)::BIGINT AS n_slots FROM r GROUP BY row_id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot, coalesce(n_slots, 0)::BIGINT AS n_slots FROM p LEFT JOIN k ON p.row_id = k.row_id""",
     "op3_histogram_shards": _shards_sql(),
     "op5_cross_polytope": """
 WITH RECURSIVE v AS (
