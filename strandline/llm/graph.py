@@ -16,7 +16,9 @@ def components(edges: DataFrame) -> DataFrame:
     and doublings are few even for long chains. Smallest neighbours are partial
     aggregates, so a hub costs a row for each task; the joins have one row a
     node on one side. Every step is cut to the shared checkpoint folder, so a
-    lost executor costs one step at most.
+    lost executor costs one step at most. Repeated edges and loops count once
+    or not at all; a loop alone gives no row. Edges with a null end are left
+    out. No edges: no rows.
     """
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     mapping = None

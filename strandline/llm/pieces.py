@@ -550,7 +550,13 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def decode_pieces(df: DataFrame, pieces_col: str = "pieces", model_file: str = DEFAULT_MODEL) -> DataFrame:
-    """`df` with the decoded `text` of an array of piece ids in place of `pieces_col`; null stays null."""
+    """`df` with the decoded `text` of an array of piece ids in place of `pieces_col`.
+
+    A null array stays null, an empty one is an empty text. Bytes that are no
+    UTF-8 (a part of a segmentation) are read with replacement characters. A
+    column named text is replaced; others are carried as they are. Repeated
+    rows are repeated. Empty table: empty result. No shuffle.
+    """
     vocabulary = Vocabulary(model_file)
     rest = [c for c in df.columns if c not in (pieces_col, "text")]
 

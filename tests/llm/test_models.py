@@ -151,3 +151,26 @@ def test_features_of_long_text():
     assert Q.passage_features(None).shape == (1, Q.FEATURES)
     repeated = Q.passage_features("same words here " * 200)
     assert repeated[-1, Q.CLASSES] > 0.8 > x[0, Q.CLASSES]
+
+
+def test_language_scores_by_hand(spark):
+    docs = spark.read.parquet(f"{PATH}/documents.parquet").limit(300)
+    model = L.train_language_model(docs)
+    for text in ("Die Einheit der Welt 12", "the house, on", "é"):
+        raw = b" " + bytes(c if c > 127 or chr(c).isalpha() else 32 for c in text.lower().encode()) + b" "
+        counts = {}
+        for n in L.GRAMS:
+            for i in range(len(raw) - n + 1):
+                h = n
+                for k in range(n):
+                    h = (h ^ raw[i + k]) * int(L._MULTIPLIERS[k]) & 0xFFFFFFFF
+                    h ^= h >> 15
+                counts[h >> (32 - L.BITS)] = counts.get(h >> (32 - L.BITS), 0) + 1
+        total = sum(counts.values())
+        mean = sum(c / total * model.embedding[i] for i, c in counts.items())
+        logits = [(sum(mean[j] * model.output[j, k] for j in range(L.DIMENSION)) + model.bias[k]) / model.temperature for k in range(len(model.languages))]
+        p = np.exp(np.array(logits) - max(logits))
+        p /= p.sum()
+        got = L.identify_languages(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+        assert got["lang_pred"] == model.languages[int(p.argmax())] and got["score"] == pytest.approx(p.max(), abs=1e-5)
+        assert got["accepted"] == (got["score"] >= model.threshold)

@@ -106,6 +106,8 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[101] == got[100] == 100 and got[103] == 102
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    odd = components(spark.createDataFrame([(1, None), (None, 2), (5, 5), (7, 6), (7, 6)], "a long, b long")).collect()
+    assert sorted((r["id"], r["component"]) for r in odd) == [(6, 6), (7, 6)]
 
 
 @pytest.mark.parametrize("small", [0, 16])

@@ -153,3 +153,14 @@ def test_long_texts_without_spaces(vocabulary):
             assert vocabulary.decode(P.spelled(pieces, vocabulary.byte_id)) == text
     # A part that pieces span throughout is summed one character after another, yet in proportion to its length.
     assert max(took[1:]) < 12 * took[0]
+
+
+def test_decoding_odd_rows(spark, vocabulary):
+    ids = P.segment_block([1], ["a cat"], vocabulary, 1)[0][0][0]
+    ids = [int(i) for i in P.spelled(ids, vocabulary.byte_id)]
+    rows = [(1, ids, "old", "x"), (1, ids, "old", "x"), (2, None, "old", None), (None, [], "old", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, pieces array<int>, text string, `n pieces` string")
+    got = P.decode_pieces(df)
+    assert got.columns == ["doc_id", "n pieces", "text"]
+    assert sorted((str(r[0]), str(r[1]), str(r[2])) for r in got.collect()) == [("1", "x", "a cat"), ("1", "x", "a cat"), ("2", "None", "None"), ("None", "y", "")]
+    assert P.decode_pieces(df.limit(0)).count() == 0
