@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, mixing, neardup_text, neardup_vec, pieces, quality, secrets, sharding, webp, wrapper
+from strandline.llm import bpe, langid, lexical, mixing, neardup_text, neardup_vec, pieces, quality, resample, secrets, sharding, webp, wrapper
 from strandline.llm.base import cut, table
 
+#: The vocabulary of op12, by its name among the public tokenizers' files.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
@@ -55,6 +59,19 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract_articles(pages, cut(wrapper.induce_templates(pages)))
 
 
+def op11_tput_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_distinct_word_bpe(spark: SparkSession, sf_dir: str, ranks: str = VOCABULARY) -> DataFrame:
+    known = bpe.read_ranks(public_tokenizers.path(ranks))
+    return bpe.digest_encoding(bpe.encode_documents(table(spark, sf_dir, "documents"), known), known)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_source_mix": op2_source_mix,
@@ -66,6 +83,9 @@ QUERIES = {
     "op8_lossless_webp": op8_lossless_webp,
     "op9_super_minhash": op9_super_minhash,
     "op10_wrapper_induction": op10_wrapper_induction,
+    "op11_tput_search": op11_tput_search,
+    "op12_distinct_word_bpe": op12_distinct_word_bpe,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 
@@ -112,7 +132,36 @@ SELECT doc_id, size, CRC32_OF_TEXT AS text_crc32, 'bytes' AS law, shard, (row_nu
     return sql.replace("CRC32_OF_TEXT", _crc32_sql("text"))
 
 
+def _resample_sql() -> str:
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    runs = "list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]), list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))"
+    return f"""
+WITH d AS (SELECT doc_id, len(ws) AS n_words, {runs} AS fs FROM (SELECT doc_id, {words} AS ws FROM documents)),
+b AS (SELECT {runs} AS fs FROM (SELECT {words} AS ws FROM benchmark)),
+df AS (SELECT doc_id, f, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(fs) AS f FROM d) GROUP BY doc_id, f),
+bf AS (SELECT f, count(*)::BIGINT AS n FROM (SELECT unnest(fs) AS f FROM b) GROUP BY f),
+h AS (SELECT f, (CRC32_OF_F % 10000)::INT AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+s AS (SELECT bucket, sum(n)::BIGINT AS s FROM df JOIN h USING (f) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::BIGINT AS t FROM bf JOIN h USING (f) GROUP BY bucket),
+k AS (SELECT (SELECT coalesce(sum(s), 0) + 10000 FROM s)::DOUBLE AS big_s, (SELECT coalesce(sum(t), 0) + 10000 FROM t)::DOUBLE AS big_t),
+g AS (SELECT r.i::INT AS bucket, floor(1000 * ln((coalesce(t, 0) + 1) * big_s / ((coalesce(s, 0) + 1) * big_t)))::BIGINT AS gain FROM range(10000) r(i) LEFT JOIN s ON s.bucket = r.i LEFT JOIN t ON t.bucket = r.i, k),
+w AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM df JOIN h USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+e AS (SELECT d.doc_id, n_words, len(fs)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+             floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise FROM d LEFT JOIN w ON d.doc_id = w.doc_id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank, count(*) OVER () AS able FROM e WHERE n_words >= 20)
+SELECT e.doc_id, n_features, weight, (weight + noise)::BIGINT AS score, CASE WHEN rank <= able * 5 // 100 THEN rank END::BIGINT AS rank FROM e LEFT JOIN r ON e.doc_id = r.doc_id""".replace("CRC32_OF_F", _crc32_sql("f"))
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_importance_resampling": _resample_sql(),
+    "op11_tput_search": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+s AS (SELECT count(*)::BIGINT AS big_n, sum(len(ts))::BIGINT AS big_l FROM d WHERE len(ts) > 0),
+p AS (SELECT doc_id, term, count(*)::BIGINT AS tf, any_value(n)::BIGINT AS n FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d) GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+c AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM c WHERE score > 0 QUALIFY rank <= 50""",
     "op2_source_mix": """
 WITH d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
