@@ -3,9 +3,12 @@
 A worklist starts with the text itself. Each layer is scanned, then every
 decodable region in it (percent-encoding, \\u and \\x escapes, base64, and
 zlib/gzip/bzip2/xz payloads under any of these) yields a further layer, until
-nothing new appears. Layers already seen for this text are not opened again,
-so cycles end. A layer keeps the mapping of its characters to its parent, and
-a finding is reported at the characters of the original text it comes from.
+nothing new appears. A layer is the decoded region with as much of the text
+around it as a finding or a further encoding could take in, not a copy of the
+whole text. Layers already seen at a place are not opened again, so cycles
+end. A layer keeps the mapping of its characters to its parent, and a finding
+is reported once, at the characters of the original text it comes from: by the
+first layer that decodes a part of it.
 """
 
 from __future__ import annotations
@@ -34,9 +37,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_VALUE_MIN, ACCESS_MIN = 6, 20
 WORDS = ("token", "password", "passwd", "secret", "apikey", "api_key")
 
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
-BYTE_ESCAPE = re.compile(r"(?:\\x[0-9A-Fa-f]{2})+")
+#: An escaped escape sign (%25, \\x5c, \\u005c), escaped again any number of times, is undone in one step: what lies between is the sign and parts of what follows it.
+PERCENT = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+UNICODE = re.compile(r"(?:\\(?:u005[Cc])*u[0-9A-Fa-f]{4})+")
+BYTE_ESCAPE = re.compile(r"(?:\\(?:x5[Cc])*x[0-9A-Fa-f]{2})+")
+PERCENT_UNIT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+UNICODE_UNIT = re.compile(r"\\(?:u005[Cc])*u([0-9A-Fa-f]{4})")
+BYTE_UNIT = re.compile(r"\\(?:x5[Cc])*x([0-9A-Fa-f]{2})")
 #: One token, or lines of one width and a last one that is no longer.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{1,15}(?![A-Za-z0-9+/_-]))?={0,2}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
@@ -44,6 +51,11 @@ TOKEN_MIN = 16
 #: Text within other bytes, as long as a shortest token holds.
 RUN = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
 MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
+#: What around a decoded region may be of one finding or one encoding with it, on its right and, in the reversed text, on its left.
+AFTER = re.compile(r"""[A-Za-z0-9+/_.=%\\-]*["']?\x20*[:=]?\x20*["']?[A-Za-z0-9+/_.=%\\-]*(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_.=%\\-]+)*""")
+BEFORE = re.compile(AFTER.pattern.replace(r"\r?\n", r"\n\r?"))
+#: Steps after which escapes that keep yielding escapes are undone all at once.
+DEEP = 32
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
 #: Only decompression makes texts longer, so it alone is bounded. A payload may always grow by this factor; payloads of
@@ -76,11 +88,12 @@ class Layer:
     function from a range of the segment's characters to the parent's.
     """
 
-    __slots__ = ("text", "parent", "segments", "starts")
+    __slots__ = ("text", "parent", "segments", "starts", "depth", "steps")
 
-    def __init__(self, text, parent=None, segments=()):
-        self.text, self.parent, self.segments = text, parent, segments
+    def __init__(self, text, parent=None, segments=(), steps=1):
+        self.text, self.parent, self.segments, self.steps = text, parent, segments, steps
         self.starts = [s[0] for s in segments]
+        self.depth = parent.depth + 1 if parent else 0
 
     def decoded(self, start, end):
         """Whether any character of this range was decoded at this layer."""
@@ -161,10 +174,17 @@ def readable(data: bytes, cut_short: bool = False) -> str | None:
     return text if text and len(CONTROL.findall(text)) * 10 <= len(text) else None
 
 
-def _substituted(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """The layer with every region that `decode` accepts replaced; decode: match -> [(from, to, text, how)], in order."""
-    text, parts, segments, at, pos = layer.text, [], [], 0, 0
-    for start, end, out, how in (found for m in pattern.finditer(text) for found in decode(m)):
+def _steps(region: str) -> int:
+    """Layers that are undone where a region is decoded: one, and one for each time that the sign of an escape is itself escaped."""
+    units = ((PERCENT_UNIT, "%25", 3), (BYTE_UNIT, "\\x5", 4), (UNICODE_UNIT, "\\u005", 6))
+    return 1 + max(((m.end() - m.start() - width) // (width - 1) for unit, sign, width in units if sign in region for m in unit.finditer(region)), default=0)
+
+
+def _layer(parent: Layer, lo: int, hi: int, regions) -> Layer:
+    """The parent's text from lo to hi with regions (from, to, text, how) replaced."""
+    text, parts, segments, at, pos = parent.text, [], [], lo, 0
+    steps = max(_steps(text[start:end]) for start, end, _, _ in regions)
+    for start, end, out, how in (*regions, (hi, hi, "", 0)):
         if start > at:
             segments.append((pos, pos + start - at, at, start, 1))
             parts.append(text[at:start])
@@ -174,12 +194,54 @@ def _substituted(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
             parts.append(out)
             pos += len(out)
         at = end
-    if not any(s[4] != 1 for s in segments):
+    return Layer("".join(parts), parent, segments, steps)
+
+
+def _zones(layer: Layer, pattern: re.Pattern, decode):
+    """A layer for each zone of the text around regions that `decode` accepts; decode: match -> [(from, to, text, how)], in order."""
+    text, back, zone, lo, hi = layer.text, None, [], 0, 0
+    for region in (found for m in pattern.finditer(text) for found in decode(m)):
+        start, end, _, _ = region
+        if start > hi or not zone:
+            back = text[::-1] if back is None else back
+            # No character is looked at twice: a zone ends where the one before it does.
+            left = len(text) - BEFORE.match(back, len(text) - start, len(text) - hi).end()
+            if zone and left > hi:
+                yield _layer(layer, lo, hi, zone)
+                zone = []
+            if not zone:
+                lo = left
+        zone.append(region)
+        hi = AFTER.match(text, max(end, hi)).end()
+    if zone:
+        yield _layer(layer, lo, hi, zone)
+
+
+def settled(layer: Layer) -> Layer | None:
+    """The layer with all percent, byte and Unicode escapes undone until none is left, in one pass over a stack; bytes that are not ASCII become one replacement character each."""
+    chars: list[str] = []
+    lo: list[int] = []
+    hi: list[int] = []
+    for i, c in enumerate(layer.text):
+        chars.append(c)
+        lo.append(i)
+        hi.append(i + 1)
+        while True:
+            for width, sign in ((3, "%"), (4, "\\x"), (6, "\\u")):
+                tail = "".join(chars[-width:])
+                if len(tail) == width and tail.startswith(sign) and re.fullmatch("[0-9A-Fa-f]+", tail[len(sign) :]):
+                    code = int(tail[len(sign) :], 16)
+                    break
+            else:
+                break
+            first = lo[-width]
+            del chars[-width:], lo[-width:], hi[-width:]
+            chars.append(chr(code) if code < 0x80 or sign == "\\u" and not 0xD800 <= code < 0xE000 else "\ufffd")
+            lo.append(first)
+            hi.append(i + 1)
+    if len(chars) == len(layer.text):
         return None
-    if at < len(text):
-        segments.append((pos, pos + len(text) - at, at, len(text), 1))
-        parts.append(text[at:])
-    return Layer("".join(parts), layer, segments)
+    return Layer("".join(chars), layer, [(0, len(chars), 0, len(layer.text), lambda i, j: (lo[i], hi[j - 1]))])
 
 
 class Budget:
@@ -208,8 +270,10 @@ def children(layer: Layer, budget: Budget):
             budget.unopened.add(layer.origin(start, end))
         return out, cut_short
 
-    def of_bytes(raw: bytes, width: int, m: re.Match):
-        """Bytes that were written in `width` characters each."""
+    def of_bytes(unit: re.Pattern, m: re.Match):
+        """Bytes that were written as units, one after another."""
+        units = list(unit.finditer(layer.text, *m.span()))
+        raw = bytes.fromhex("".join(u[1] for u in units))
         out, cut_short = opened(raw, *m.span())
         if out is not raw:
             text = readable(out, cut_short)
@@ -218,21 +282,21 @@ def children(layer: Layer, budget: Budget):
             text = raw.decode("utf-8")
         except UnicodeDecodeError:
             return [(*m.span(), raw.decode("utf-8", "replace"), 0)]
-        at, begin = byte_places(text), m.start()
-        return [(*m.span(), text, lambda i, j: (begin + width * at(i), begin + width * at(j)))]
+        at, starts = byte_places(text), [*(u.start() for u in units), m.end()]
+        return [(*m.span(), text, lambda i, j: (starts[at(i)], starts[at(j)]))]
 
     def percent(m):
-        return of_bytes(bytes.fromhex(m[0].replace("%", "")), 3, m)
+        return of_bytes(PERCENT_UNIT, m)
 
     def byte_escape(m):
-        return of_bytes(bytes.fromhex(m[0].replace("\\x", "")), 4, m)
+        return of_bytes(BYTE_UNIT, m)
 
     def unicode_escape(m):
-        units = bytes.fromhex(m[0].replace("\\u", ""))
-        text = units.decode("utf-16-be", "replace")
+        units = list(UNICODE_UNIT.finditer(layer.text, *m.span()))
+        text = bytes.fromhex("".join(u[1] for u in units)).decode("utf-16-be", "replace")
         # A lone surrogate becomes one character, as a unit does.
-        at, begin = unit_places(text), m.start()
-        return [(*m.span(), text, (lambda i, j: (begin + 6 * at(i), begin + 6 * at(j))) if at(len(text)) * 2 == len(units) else 0)]
+        at, starts = unit_places(text), [*(u.start() for u in units), m.end()]
+        return [(*m.span(), text, (lambda i, j: (starts[at(i)], starts[at(j)])) if at(len(text)) == len(units) else 0)]
 
     def joined(tokens):
         """The characters of tokens without padding, one after another, and the place of each in the layer."""
@@ -303,9 +367,14 @@ def children(layer: Layer, budget: Budget):
                 out += base64_whole([t]) or base64_within([t])
         return out or (base64_within(tokens) if len(tokens) > 1 else [])
 
-    for sign, pattern, decode in (("%", PERCENT, percent), ("\\u", UNICODE, unicode_escape), ("\\x", BYTE_ESCAPE, byte_escape), ("", BASE64, base64_tokens)):
-        if sign in layer.text and (child := _substituted(layer, pattern, decode)) is not None:
-            yield child
+    escapes = (("%", PERCENT, percent), ("\\u", UNICODE, unicode_escape), ("\\x", BYTE_ESCAPE, byte_escape))
+    if layer.depth >= DEEP:
+        if (whole := settled(layer)) is not None:
+            yield whole
+        escapes = ()
+    for sign, pattern, decode in (*escapes, ("", BASE64, base64_tokens)):
+        if sign in layer.text:
+            yield from _zones(layer, pattern, decode)
 
 
 def scan(text: str | None) -> dict:
@@ -316,18 +385,18 @@ def scan(text: str | None) -> dict:
     """
     text = text or ""
     base = matches(text)
-    every, work, layers, budget = set(base), [Layer(text)], 0, Budget()
-    seen = None
+    every, work, layers, budget, seen = set(base), [Layer(text)], 0, Budget(), set()
     while work:
-        layer = work.pop()
-        for child in children(layer, budget):
-            seen = seen or {hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()}
-            mark = hashlib.blake2b(child.text.encode("utf-8", "replace"), digest_size=16).digest()
+        for child in children(work.pop(), budget):
+            if not child.text:
+                continue
+            mark = (hashlib.blake2b(child.text.encode("utf-8", "replace"), digest_size=16).digest(), child.origin(0, len(child.text)))
             if mark in seen:
                 continue
             seen.add(mark)
-            layers += 1
-            every.update((kind, *child.origin(s, e)) for kind, s, e in matches(child.text) if child.parent.parent is not None or child.decoded(s, e))
+            layers += child.steps
+            # What this layer has not decoded was told by the one before, where it is as long or longer.
+            every.update((kind, *child.origin(s, e)) for kind, s, e in matches(child.text) if child.decoded(s, e))
             work.append(child)
     order = lambda f: (f[1], KINDS.index(f[0]), f[2])
     return {"base": sorted(base, key=order), "all": sorted(every, key=order), "layers": layers, "truncated": bool(budget.unopened), "unopened": sorted(budget.unopened)}

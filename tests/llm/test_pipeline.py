@@ -67,7 +67,7 @@ def test_run_is_its_stages_and_leaves_one_folder(spark, tmp_path):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 14))
 
 
 def test_the_rest_stands_without_this_package(tmp_path):

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import lzma
 import random
+import time
 import re
 import urllib.parse
 import zlib
@@ -203,3 +204,42 @@ def test_frame(spark):
     assert S.scan_secrets(frame(spark, True)).count() == 0
     same = S.redact_secrets(frame(spark))
     assert same.columns == frame(spark).columns and sorted(map(str, same.collect())) == sorted(map(str, frame(spark).collect()))
+
+
+@pytest.mark.parametrize("nest", ["%" + "25" * 500_000 + "41", "\\" + "x5c" * 300_000 + "x41", "\\" + "u005c" * 200_000 + "u0041", "%5cx25" + "5cx25" * 20_000 + "41"])
+def test_a_megabyte_of_nested_signs(nest):
+    # Signs that are escaped over and over are undone in one step; mixed ones after DEEP steps in one pass.
+    began = time.perf_counter()
+    found = S.scan(f"see {nest}{'b' * 7} secret%3Dzzzzzz9 end")
+    assert time.perf_counter() - began < 20 and not found["truncated"]
+    assert ("assign", 4 + len(nest) + 8, 4 + len(nest) + 8 + len("secret%3Dzzzzzz9")) in found["all"]
+    assert len(S.told(found["all"])) < 1000
+
+
+def test_nested_signs_end_in_their_secret():
+    for n in range(6):
+        for text in ("secret%" + "25" * n + "3Dzzzzzz9", "secret\\" + "x5c" * n + "x3Dzzzzzz9", "secret\\" + "u005C" * n + "u003Dzzzzzz9"):
+            assert S.scan(f"é {text} y")["all"] == [("assign", 2, 2 + len(text))]
+    deep = "secret%5cx25" + "5cx25" * 60 + "3dzzzzzz9"
+    assert [f for f in S.scan(f"é {deep} y")["all"] if f[0] == "assign"] == [("assign", 2, 2 + len(deep))]
+
+
+def test_a_secret_is_told_once():
+    key = "0123456789abcdef" * 2
+    text = f"%41 token=plain77 {key} %2541{key} tail"
+    found = S.scan(text)["all"]
+    assert [f for f in found if f[0] == "assign"] == [("assign", 4, 17)] and len([f for f in found if f[0] == "hex"]) == 2
+
+
+def test_zones_take_in_what_belongs_to_a_finding():
+    for text in ("pass%77ord = 'hunter22'", "password%20=%20hunter22", "password:   hun%74er22", "'api_key%22 : %22abcdefgh", "se\\u0063ret = abc\\x64ef"):
+        spans = {(s, e) for k, s, e in S.scan(f"so, {text}, then")["all"] if k == "assign"}
+        assert any(s <= 5 and e >= 3 + len(text) for s, e in spans), (text, spans)
+    # One part in percent signs, one in base64, side by side.
+    text = "password%3D" + base64.b64encode(b"hunter22 is the word").decode()
+    assert ("assign", 0) in {(k, s) for k, s, _ in S.scan(text)["all"]}
+    # A line of wrapped base64 with an escaped letter in it.
+    whole = base64.b64encode(b"text before it is fifty " * 3 + KEY.encode() + b" after").decode()
+    lines = [whole[i : i + 76] for i in range(0, len(whole), 76)]
+    lines[0] = f"%{ord(lines[0][0]):02x}" + lines[0][1:]
+    assert "assign" in {k for k, *_ in S.scan("data:\n" + "\n".join(lines) + "\nend")["all"]}
