@@ -3,12 +3,12 @@
 A text is split into pre-tokens ("words"). The ids of a word depend on the word
 alone, so each distinct word is encoded once, wherever it occurs. Words that
 are frequent in a bounded sample of the documents are encoded first and
-broadcast; a document's ids are then a sequence with gaps at its other words.
-Those are exploded with their positions and shuffled by word, so that equal
-ones meet and are encoded once; their ids travel back to the documents and fill
-the gaps in order. Which words the sample finds decides what is shuffled, never
-what comes out. Decoding joins ids with the table of token bytes, which has a
-row for each id of the vocabulary.
+broadcast. All other words are exploded with their positions and shuffled by
+word, so that equal ones meet and are encoded once; their ids travel back to
+the documents, where they are put between those of the frequent words, in
+order. Which words the sample finds decides what is shuffled, never what comes
+out. Decoding joins ids with the table of token bytes, which has a row for each
+id of the vocabulary.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ import base64
 import hashlib
 import heapq
 import re
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ PLAIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+
 NOT_PLAIN = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
 
 #: Words that are broadcast, at most; the longest of them in characters; documents that are asked for them, about.
-HOT_WORDS, HOT_LENGTH, HOT_SAMPLE = 1 << 18, 64, 32_768
+HOT_WORDS, HOT_LENGTH, HOT_SAMPLE = 1 << 19, 64, 32_768
 #: Bytes of a word beyond which its pairs are kept in a heap.
 LONG = 128
 SALTS = 16
@@ -120,8 +122,8 @@ def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _kind(ranks: dict[bytes, int]):
-    """Number type of ids on the way; its largest value marks a gap."""
-    return np.dtype("<u2") if max(ranks.values(), default=0) < 0xFFFF else np.dtype("<u4")
+    """Number type of ids on the way."""
+    return np.dtype("<u2") if max(ranks.values(), default=0) <= 0xFFFF else np.dtype("<u4")
 
 
 def hot_words(docs: DataFrame, ranks, pattern: str = PATTERN, text_col: str = "text", sample: int = HOT_SAMPLE, words: int = HOT_WORDS) -> dict[str, bytes]:
@@ -174,27 +176,24 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PA
     """
     spark = docs.sparkSession
     kind = _kind(ranks)
-    gap = np.iinfo(kind).max
-    mark = np.array([gap], kind).tobytes()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hot = spark.sparkContext.broadcast(hot_words(rows, ranks, pattern, "text", sample, words))
     known = spark.sparkContext.broadcast(ranks)
 
-    def gapped(batches):
-        split, get = Splitter(pattern), hot.value.get
+    def packed(batches):
         for b in batches:
-            keys, ids = [], []
+            pack, keys, texts = zstandard.ZstdCompressor(level=3).compress, [], []
             for text in b.column(1).to_pylist():
                 keys.append(_key(text))
-                ids.append(b"".join([get(w, mark) for w in split(text)]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(np.full(len(ids), -1, np.int32)), pa.array(ids, pa.binary())], names=["doc_id", "key", "pos", "ids"])
+                texts.append(pack(text.encode()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(np.full(len(keys), -1, np.int32)), pa.array(texts, pa.binary())], names=["doc_id", "key", "pos", "ids"])
 
     def exploded(batches):
-        split, common = Splitter(pattern), hot.value
+        split, known_to_all = Splitter(pattern), hot.value.__contains__
         for b in batches:
             ids, keys, pos, found = [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rare = [w for w in split(text) if w not in common]
+                rare = list(filterfalse(known_to_all, split(text)))
                 if rare:
                     ids += [doc] * len(rare)
                     keys += [_key(text)] * len(rare)
@@ -214,24 +213,13 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PA
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], names=["doc_id", "key", "pos", "ids"])
 
     def filled(batches):
-        """Rows sorted by document and position, its own row (or rows, if it is repeated) first."""
-        now, times, ids, parts, at = None, 0, b"", [], -1
+        """Rows sorted by document and position: its text (as often as the row is repeated), then the ids of its words that are not broadcast."""
+        split, get, unpack = Splitter(pattern), hot.value.get, zstandard.ZstdDecompressor().decompress
+        now, times, text, rare, at = None, 0, b"", [], -1
 
         def whole():
-            if not parts:
-                return np.frombuffer(ids, kind)
-            given = np.frombuffer(ids, kind)
-            gaps = np.flatnonzero(given == gap)
-            sizes = np.ones(len(given), np.int64)
-            fill = [np.frombuffer(p, kind) for p in parts]
-            sizes[gaps] = [len(f) for f in fill]
-            starts = np.cumsum(sizes) - sizes
-            out = np.empty(int(sizes.sum()), kind)
-            out[starts[given != gap]] = given[given != gap]
-            lengths = sizes[gaps]
-            first = np.repeat(starts[gaps] - (np.cumsum(lengths) - lengths), lengths)
-            out[first + np.arange(len(first))] = np.concatenate(fill)
-            return out
+            after = iter(rare).__next__
+            return np.frombuffer(b"".join([get(w) or after() for w in split(unpack(text).decode())]), kind)
 
         def batch(done):
             lengths = [len(x) for _, x in done]
@@ -245,27 +233,33 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PA
                 if (doc, key) != now:
                     if now is not None:
                         x = whole()
-                        done += [(now[0], x)] * times
-                        load += len(x) * times
-                        if load > 1 << 20:
-                            yield batch(done)
-                            done, load = [], 0
-                    now, times, parts, at = (doc, key), 0, [], -1
+                        for _ in range(times):
+                            done.append((now[0], x))
+                            load += len(x)
+                            if load > 1 << 20:
+                                yield batch(done)
+                                done, load = [], 0
+                    now, times, rare, at = (doc, key), 0, [], -1
                 if pos < 0:
-                    ids = own
+                    text = own
                     times += 1
                 elif pos != at:
-                    parts.append(own)
+                    rare.append(own)
                     at = pos
         if now is not None:
-            done += [(now[0], whole())] * times
+            x = whole()
+            for _ in range(times):
+                done.append((now[0], x))
+                if len(done) * len(x) > 1 << 20:
+                    yield batch(done)
+                    done = []
         yield batch(done)
 
     row = "doc_id long, key long, pos int, {}"
     rare = rows.mapInArrow(lean(exploded), row.format("word string"))
     # Equal words meet. What the sample has missed may still be frequent: a word has up to SALTS places.
     met = rare.withColumn("salt", F.pmod("key", F.lit(SALTS))).repartition("word", "salt").sortWithinPartitions("word").select("doc_id", "key", "pos", "word")
-    back = met.mapInArrow(lean(encoded), row.format("ids binary")).unionByName(rows.mapInArrow(lean(gapped), row.format("ids binary")))
+    back = met.mapInArrow(lean(encoded), row.format("ids binary")).unionByName(rows.mapInArrow(lean(packed), row.format("ids binary")))
     return back.repartition("doc_id", "key").sortWithinPartitions("doc_id", "key", "pos").mapInArrow(lean(filled), "doc_id long, ids array<int>")
 
 
@@ -278,7 +272,7 @@ class TokenBytes:
             self.table[i] = token
 
     def __call__(self, ids) -> bytes:
-        return b"".join([self.table[i] for i in ids])
+        return b"".join(map(self.table.__getitem__, ids))
 
 
 def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
