@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.base import lean
+from strandline.llm.base import lean, release_memory
 
 #: Fixed value: how byte-level vocabularies split text, with white space written out (\s of `regex` and of the vocabulary's library agree on it).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -36,7 +36,7 @@ PLAIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+
 NOT_PLAIN = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
 
 #: Words that are broadcast, at most; the longest of them in characters; documents that are asked for them, about.
-HOT_WORDS, HOT_LENGTH, HOT_SAMPLE = 1 << 19, 64, 32_768
+HOT_WORDS, HOT_LENGTH, HOT_SAMPLE = 3 << 17, 64, 32_768
 #: Bytes of a word beyond which its pairs are kept in a heap.
 LONG = 128
 SALTS = 16
@@ -148,7 +148,8 @@ def hot_words(docs: DataFrame, ranks, pattern: str = PATTERN, text_col: str = "t
 
     most = some.mapInArrow(lean(counted), "word string, n long").filter(F.length("word") <= HOT_LENGTH).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
     known = docs.sparkSession.sparkContext.broadcast(ranks)
-    return dict(most.select("word").mapInArrow(lean(_ids_of_words(known, _kind(ranks))), "word string, ids binary").toPandas().itertuples(index=False, name=None))
+    found = most.select("word").mapInArrow(lean(_ids_of_words(known, _kind(ranks))), "word string, ids binary").toArrow()
+    return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
 
 
 def _ids_of_words(known, kind):
@@ -178,13 +179,17 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PA
     kind = _kind(ranks)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hot = spark.sparkContext.broadcast(hot_words(rows, ranks, pattern, "text", sample, words))
+    release_memory()
+    # Where ids are unique they alone tell documents apart; else so do id and text.
+    unique = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").isEmpty()
+    key_of = (lambda text: 0) if unique else _key
     known = spark.sparkContext.broadcast(ranks)
 
     def packed(batches):
         for b in batches:
             pack, keys, texts = zstandard.ZstdCompressor(level=3).compress, [], []
             for text in b.column(1).to_pylist():
-                keys.append(_key(text))
+                keys.append(key_of(text))
                 texts.append(pack(text.encode()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(np.full(len(keys), -1, np.int32)), pa.array(texts, pa.binary())], names=["doc_id", "key", "pos", "ids"])
 
@@ -196,7 +201,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PA
                 rare = list(filterfalse(known_to_all, split(text)))
                 if rare:
                     ids += [doc] * len(rare)
-                    keys += [_key(text)] * len(rare)
+                    keys += [key_of(text)] * len(rare)
                     pos += range(len(rare))
                     found += rare
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(pos, pa.int32()), pa.array(found, pa.string())], names=["doc_id", "key", "pos", "word"])
@@ -258,7 +263,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PA
     row = "doc_id long, key long, pos int, {}"
     rare = rows.mapInArrow(lean(exploded), row.format("word string"))
     # Equal words meet. What the sample has missed may still be frequent: a word has up to SALTS places.
-    met = rare.withColumn("salt", F.pmod("key", F.lit(SALTS))).repartition("word", "salt").sortWithinPartitions("word").select("doc_id", "key", "pos", "word")
+    met = rare.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS))).repartition("word", "salt").sortWithinPartitions("word").select("doc_id", "key", "pos", "word")
     back = met.mapInArrow(lean(encoded), row.format("ids binary")).unionByName(rows.mapInArrow(lean(packed), row.format("ids binary")))
     return back.repartition("doc_id", "key").sortWithinPartitions("doc_id", "key", "pos").mapInArrow(lean(filled), "doc_id long, ids array<int>")
 
