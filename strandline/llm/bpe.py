@@ -3,12 +3,12 @@
 A text is split into pre-tokens ("words"). The ids of a word depend on the word
 alone, so each distinct word is encoded once, wherever it occurs. Words that
 are frequent in a bounded sample of the documents are encoded first and
-broadcast. All other words are exploded with their positions and shuffled by
-word, so that equal ones meet and are encoded once; their ids travel back to
-the documents, where they are put between those of the frequent words, in
-order. Which words the sample finds decides what is shuffled, never what comes
-out. Decoding joins ids with the table of token bytes, which has a row for each
-id of the vocabulary.
+broadcast; a document becomes the sequence of its words' places in their list,
+with gaps at all other words. Those are exploded with their positions and
+shuffled by word, so that equal ones meet and are encoded once; their ids
+travel back to the documents and fill the gaps in order. Which words the sample
+finds decides what is shuffled, never what comes out. Decoding joins ids with
+the table of token bytes, which has a row for each id of the vocabulary.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ import base64
 import hashlib
 import heapq
 import re
-from itertools import filterfalse
+from itertools import filterfalse, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -126,8 +127,29 @@ def _kind(ranks: dict[bytes, int]):
     return np.dtype("<u2") if max(ranks.values(), default=0) <= 0xFFFF else np.dtype("<u4")
 
 
-def hot_words(docs: DataFrame, ranks, pattern: str = PATTERN, text_col: str = "text", sample: int = HOT_SAMPLE, words: int = HOT_WORDS) -> dict[str, bytes]:
-    """The most frequent words of up to HOT_LENGTH characters in about `sample` documents (chosen by their text's hash), with their ids as bytes.
+def place_code(n: int) -> bytes:
+    """A number in groups of seven bits, the low ones first; the last byte is below 128. 0 is a gap."""
+    out = []
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def places_of(codes: bytes) -> np.ndarray:
+    """The numbers of a sequence of `place_code`."""
+    b = np.frombuffer(codes, np.uint8)
+    ends = np.flatnonzero(b < 128)
+    starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+    out = (b[starts] & 127).astype(np.int64)
+    for k in range(1, int((ends - starts).max(initial=0)) + 1):
+        some = np.flatnonzero(ends - starts >= k)
+        out[some] |= (b[starts[some] + k] & 127).astype(np.int64) << 7 * k
+    return out
+
+
+def hot_words(docs: DataFrame, ranks, pattern: str = PATTERN, text_col: str = "text", sample: int = HOT_SAMPLE, words: int = HOT_WORDS) -> tuple[list[str], list[bytes]]:
+    """The most frequent words of up to HOT_LENGTH characters in about `sample` documents (chosen by their text's hash), most frequent first, and their ids as bytes.
 
     Bounded: `words` entries of a bounded length.
     """
@@ -148,8 +170,9 @@ def hot_words(docs: DataFrame, ranks, pattern: str = PATTERN, text_col: str = "t
 
     most = some.mapInArrow(lean(counted), "word string, n long").filter(F.length("word") <= HOT_LENGTH).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
     known = docs.sparkSession.sparkContext.broadcast(ranks)
-    found = most.select("word").mapInArrow(lean(_ids_of_words(known, _kind(ranks))), "word string, ids binary").toArrow()
-    return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
+    found = most.mapInArrow(lean(_ids_of_words(known, _kind(ranks))), "word string, n long, ids binary").toArrow()
+    found = found.take(pc.sort_indices(found, [("n", "descending"), ("word", "ascending")]))
+    return found.column("word").to_pylist(), found.column("ids").to_pylist()
 
 
 def _ids_of_words(known, kind):
@@ -157,7 +180,7 @@ def _ids_of_words(known, kind):
         ranks = known.value
         for b in batches:
             words = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(encode_word(w.encode(), ranks), kind).tobytes() for w in words], pa.binary())], names=["word", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.array(encode_word(w.encode(), ranks), kind).tobytes() for w in words], pa.binary())], names=["word", "n", "ids"])
 
     return run
 
@@ -178,20 +201,26 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PA
     spark = docs.sparkSession
     kind = _kind(ranks)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    hot = spark.sparkContext.broadcast(hot_words(rows, ranks, pattern, "text", sample, words))
+    names, given = hot_words(rows, ranks, pattern, "text", sample, words)
+    hot = spark.sparkContext.broadcast({w: place_code(n) for n, w in enumerate(names, 1)})
+    # The ids of word n are flat[begin[n] : begin[n + 1]]; a gap, 0, has none.
+    begin = np.cumsum([0, 0, *(len(x) // kind.itemsize for x in given)])
+    table = spark.sparkContext.broadcast((begin, np.frombuffer(b"".join(given), kind)))
+    del names, given
     release_memory()
     # Where ids are unique they alone tell documents apart; else so do id and text.
     unique = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").isEmpty()
     key_of = (lambda text: 0) if unique else _key
     known = spark.sparkContext.broadcast(ranks)
 
-    def packed(batches):
+    def gapped(batches):
+        split, get, pack = Splitter(pattern), hot.value.get, zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            pack, keys, texts = zstandard.ZstdCompressor(level=3).compress, [], []
+            keys, codes = [], []
             for text in b.column(1).to_pylist():
                 keys.append(key_of(text))
-                texts.append(pack(text.encode()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(np.full(len(keys), -1, np.int32)), pa.array(texts, pa.binary())], names=["doc_id", "key", "pos", "ids"])
+                codes.append(pack(b"".join(map(get, split(text), repeat(b"\0")))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(np.full(len(keys), -1, np.int32)), pa.array(codes, pa.binary())], names=["doc_id", "key", "pos", "ids"])
 
     def exploded(batches):
         split, known_to_all = Splitter(pattern), hot.value.__contains__
@@ -218,13 +247,29 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PA
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], names=["doc_id", "key", "pos", "ids"])
 
     def filled(batches):
-        """Rows sorted by document and position: its text (as often as the row is repeated), then the ids of its words that are not broadcast."""
-        split, get, unpack = Splitter(pattern), hot.value.get, zstandard.ZstdDecompressor().decompress
-        now, times, text, rare, at = None, 0, b"", [], -1
+        """Rows sorted by document and position: its words (as often as the row is repeated), then the ids of those that are gaps."""
+        begin, flat = table.value
+        unpack = zstandard.ZstdDecompressor().decompress
+        now, times, codes, rare, at = None, 0, b"", [], -1
 
         def whole():
-            after = iter(rare).__next__
-            return np.frombuffer(b"".join([get(w) or after() for w in split(unpack(text).decode())]), kind)
+            place = places_of(unpack(codes))
+            sizes = begin[place + 1] - begin[place]
+            first = begin[place]
+            if rare:
+                gaps = np.flatnonzero(place == 0)
+                sizes[gaps] = [len(r) // kind.itemsize for r in rare]
+                first[gaps] = len(flat) + np.cumsum(sizes[gaps]) - sizes[gaps]
+            ends = np.cumsum(sizes)
+            at = np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+            if rare:
+                other = np.frombuffer(b"".join(rare), kind)
+                inside = at < len(flat)
+                out = np.empty(len(at), kind)
+                out[inside] = flat[at[inside]]
+                out[~inside] = other[at[~inside] - len(flat)]
+                return out
+            return flat[at]
 
         def batch(done):
             lengths = [len(x) for _, x in done]
@@ -246,7 +291,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PA
                                 done, load = [], 0
                     now, times, rare, at = (doc, key), 0, [], -1
                 if pos < 0:
-                    text = own
+                    codes = own
                     times += 1
                 elif pos != at:
                     rare.append(own)
@@ -264,7 +309,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PA
     rare = rows.mapInArrow(lean(exploded), row.format("word string"))
     # Equal words meet. What the sample has missed may still be frequent: a word has up to SALTS places.
     met = rare.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS))).repartition("word", "salt").sortWithinPartitions("word").select("doc_id", "key", "pos", "word")
-    back = met.mapInArrow(lean(encoded), row.format("ids binary")).unionByName(rows.mapInArrow(lean(packed), row.format("ids binary")))
+    back = met.mapInArrow(lean(encoded), row.format("ids binary")).unionByName(rows.mapInArrow(lean(gapped), row.format("ids binary")))
     return back.repartition("doc_id", "key").sortWithinPartitions("doc_id", "key", "pos").mapInArrow(lean(filled), "doc_id long, ids array<int>")
 
 

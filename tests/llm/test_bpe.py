@@ -71,6 +71,12 @@ def test_repeated_rows_and_large_vocabularies(spark):
     assert sorted((r["doc_id"], list(r["ids"])) for r in out) == [(1, [256, 32, 257, 32, 122, 113, 70_000])] * 7 + [(2, [122, 113])]
 
 
+def test_places_as_bytes():
+    numbers = [0, 1, 127, 128, 129, 16_383, 16_384, 2_097_151, 2_097_152, 5, 0]
+    assert bpe.places_of(b"".join(map(bpe.place_code, numbers))).tolist() == numbers
+    assert bpe.places_of(b"").tolist() == []
+
+
 def test_digests(spark, ranks, library):
     import hashlib
 
