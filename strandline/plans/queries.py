@@ -641,7 +641,7 @@ def entry_stats(spark, d):
     return relational.entry_stats(entries, chains, hom).select("Pid", "head", "hethom", F.array_join("all_prot_only_chains", ",").alias("chains"))
 
 
-from strandline.plans import files  # noqa: E402  (it adds its queries to those above)
+from strandline.plans import files, searches  # noqa: E402  (they add their queries to those above)
 
-QUERIES |= files.QUERIES
-ORACLE_SQL |= files.ORACLE_SQL
+QUERIES |= files.QUERIES | searches.QUERIES
+ORACLE_SQL |= files.ORACLE_SQL | searches.ORACLE_SQL

@@ -52,6 +52,7 @@ LAWS = {
     "tm_square": lambda r: (r[r["i"] == r["j"]]["value"] == 1).all() and len(r) == sum(n * n for n in r[r["i"] == r["j"]].groupby("chain").size()),
     "tm_summary": lambda r: len(r) == 10 and (r["minTMS"] <= r["meanTMS"]).all() and (r["meanTMS"] <= r["maxTMS"]).all(),
     "structure_search": lambda r: len(r) == 90 and r["tm1"].between(0, 1).all() and (r["seq_x"].str.len() == r["seq_y"].str.len()).all(),
+    "sensitive_search": lambda r: (r[r["query"] == r["target"]]["pident"] == 100).all() and len(r[r["query"] == r["target"]]) == 40 and (r["evalue"] <= 1e-3).all() and r["qcov"].between(0, 1).all(),
     "sequence_search": lambda r: (r[r["query"] == r["target"]]["pident"] == 100).all() and r["qcov"].between(0, 1).all() and len(r[r["query"] == r["target"]]) == 40,
 }
 
