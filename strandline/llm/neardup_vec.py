@@ -40,7 +40,7 @@ RECALL, MAX_TABLES = 0.995, 64
 SPARSE, BLOCK = 32, 512
 #: Blocks of so few rows are verified together, many at a time; pairs that are at work at once.
 SMALL, PAIRS = 16, 1 << 15
-#: A bucket's number: its table, then bits of its hash. Codes hold the upper 32 of these bits.
+#: A bucket's number: its table, then bits of its hash.
 TABLE_BITS, HASH_BITS = 7, 56
 
 #: Signs of a sketch, and standard deviations by which two may differ in more of them than the threshold's angle makes likely.
@@ -233,7 +233,7 @@ def _hashed(plans, probes):
                 units = _units(b.column(1).take(pa.array(at)))
                 for i, c, sign in zip(at.tolist(), codes(units, tables, hashes, probes), sketches(units), strict=True):
                     signs[i] = sign.tobytes()
-                    short[i] = (c >> (HASH_BITS - 32) & 0xFFFFFFFF).astype(np.uint32).tobytes()
+                    short[i] = c.tobytes()
                     buckets[i] = np.unique(c)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(short, pa.binary()), pa.array(signs, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["key", "vector", "width", "codes", "sketch", "buckets"])
 
@@ -253,18 +253,17 @@ def _local_groups(linked: np.ndarray) -> np.ndarray:
 def _fresh(ci, cj, bucket, probes):
     """Whether no smaller bucket is shared, for rows of codes of pairs that share `bucket`."""
     fresh = np.ones(len(ci), bool)
-    table, own = bucket >> HASH_BITS, (bucket >> (HASH_BITS - 32) & 0xFFFFFFFF).astype(np.uint32)
-    for t in range(int(table.max(initial=-1)) + 1):
+    for t in range(int((bucket >> HASH_BITS).max(initial=-1)) + 1):
         at = slice(t * probes, (t + 1) * probes)
-        before = t < table
         for a in ci[:, at].T:
+            before = a < bucket
             for b in cj[:, at].T:
-                fresh &= ~((a == b) & (before | (t == table) & (a < own)))
+                fresh &= ~((a == b) & before)
     return fresh
 
 
 def _codes(column) -> np.ndarray:
-    return np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in column])
+    return np.stack([np.frombuffer(x.as_buffer(), np.int64) for x in column])
 
 
 def _large(g, probes, cosine):
