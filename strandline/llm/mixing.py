@@ -12,6 +12,7 @@ lacks at the end is appended as closing slots.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import DataFrame
@@ -25,6 +26,7 @@ GOLDEN = 0.6180339887498949
 #: The order key has 60 bits; cells are the equal parts of [0, 1) by which points meet sources.
 ORDER_BITS, CELLS = 60, 1024
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
+SALTS = 64
 
 
 def word_count(text):
@@ -145,17 +147,45 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return some.select(*kept, "taken", "first_slot", "n_slots").unionByName(never).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots", "source", *extra)
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slot_col: str | None = None, **options) -> DataFrame:
     """The mix in whole documents: each row of `docs` as often as the schedule reads it, columns as they are.
 
-    A document counts as read once for each full reading, a last reading by
-    the nearest whole number; each source has at most one read in part.
+    A row counts as read once for each full reading, a last reading by the
+    nearest whole number; each source has at most one read in part. Null and
+    empty texts, and those without words, are never read. A null source is a
+    source, the last one; a null id is an id. Rows that share id and text are
+    read as often, together, as the schedule reads them all: their readings are
+    dealt out evenly. Columns may have any names; none is read but the three
+    named. Empty table: empty result. slot_col: a further column with the first
+    slot of the schedule that reads a row's id and text, by which the rows are
+    in the order of the mix.
     """
-    content = F.xxhash64(F.col(text_col))
-    taken = mix_sources(docs, id_col, text_col, source_col, extra={"mix_content": content}, **options)
-    times = taken.filter("taken > 0").select("doc_id", "mix_content", F.expr("cast(floor(taken / size + 0.5) as int)").alias("mix_times"))
-    times = times.groupBy("doc_id", "mix_content").agg(F.max("mix_times").alias("mix_times")).filter("mix_times > 0")
-    keyed = docs.withColumn("mix_content", content)
-    same = keyed[id_col].eqNullSafe(times["doc_id"]) & (keyed["mix_content"] == times["mix_content"])
-    copies = keyed.join(times, same).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), times["mix_times"])))
-    return copies.select(*[keyed[c] for c in docs.columns])
+    named = (f"mixed_{k}" for k in itertools.count())
+    content, group, copies, rows, slot, salt, place, before = (next(n for n in named if n not in docs.columns) for _ in range(8))
+    digest = F.xxhash64(F.col(text_col))
+    taken = mix_sources(docs, id_col, text_col, source_col, extra={"content": digest}, **options)
+    times = F.expr("cast(floor(taken / size + 0.5) as int)")
+    groups = taken.filter("taken > 0").groupBy("doc_id", "content").agg(F.sum(times).alias(copies), F.min("first_slot").alias(slot))
+    # Rows that are not read are in the count, too.
+    counts = taken.filter("size > 0").groupBy("doc_id", "content").agg(F.count(F.lit(1)).alias(rows))
+    groups = groups.filter(F.col(copies) > 0).withColumnRenamed("content", content).withColumnRenamed("doc_id", group)
+    counts = counts.withColumnRenamed("content", "c").withColumnRenamed("doc_id", "i")
+    groups = groups.join(counts, F.col(group).eqNullSafe(F.col("i")) & (F.col(content) == F.col("c"))).select(group, F.col(content).alias(place), copies, rows, slot)
+    keyed = docs.withColumn(content, digest)
+    met = keyed.join(groups, keyed[id_col].eqNullSafe(groups[group]) & (keyed[content] == groups[place])).select(*[keyed[c] for c in docs.columns], content, copies, rows, slot)
+    each, more = F.expr(f"`{copies}` div `{rows}`"), F.expr(f"`{copies}` % `{rows}`")
+    even = met.filter(more == 0).withColumn(place, each)
+    # Of repeated rows the first ones are read once more; they are numbered in salted parts, as they may be many.
+    odd = cut(met.filter(more > 0).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))))
+    key = [F.col(id_col), F.col(content)]
+    parts = odd.groupBy(*key, salt).agg(F.count(F.lit(1)).alias(place))
+    earlier = F.coalesce(F.sum(place).over(W.partitionBy(*key).orderBy(salt).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select(F.col(id_col).alias(group), F.col(content).alias(place), F.col(salt).alias("s"), earlier.alias(before))
+    same = odd[id_col].eqNullSafe(starts[group]) & (odd[content] == starts[place]) & (odd[salt] == starts["s"])
+    number = F.row_number().over(W.partitionBy(*key, salt).orderBy(F.lit(0)))
+    numbered = odd.withColumn(rows + "_n", number).join(starts, same).select(*[odd[c] for c in odd.columns], F.col(rows + "_n"), before)
+    uneven = numbered.withColumn(place, each + F.when(F.col(before) + F.col(rows + "_n") <= more, 1).otherwise(0))
+    kept = [*docs.columns, slot, place]
+    whole = even.select(*[F.col(f"`{c}`") for c in kept]).unionByName(uneven.select(*[F.col(f"`{c}`") for c in kept])).filter(F.col(place) > 0)
+    whole = whole.withColumn(content, F.explode(F.sequence(F.lit(1), F.col(place).cast("int"))))
+    return whole.select(*[F.col(f"`{c}`") for c in docs.columns], *([F.col(slot).alias(slot_col)] if slot_col else []))

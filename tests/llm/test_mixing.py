@@ -2,6 +2,9 @@ import math
 import re
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from strandline.llm import mixing as M
 from tests.llm.cases import frame, rows
 
@@ -103,3 +106,35 @@ def test_documents_follow_the_mix(spark):
         count[r["doc_id"]] += 1
     assert all(count[i] == int(taken[i] / 10 + 0.5) for i in taken)
     assert M.mixed_documents(frame(spark)).columns == frame(spark).columns
+
+
+def emitted(df):
+    """Words of the rows by source."""
+    out = {}
+    for r in df.collect():
+        out[r["source"]] = out.get(r["source"], 0) + len(r["text"].split())
+    return out
+
+
+@pytest.mark.parametrize("n, words", [(40, 250), (7, 1000), (3, 10)])
+def test_repeated_rows_are_emitted_as_often_as_they_are_read(spark, n, words):
+    for i in (5, None):
+        rows = [(i, "w " * words, "a", k) for k in range(n)] + [(100 + k, "v " * words, "b", k) for k in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k long").repartition(3)
+        taken = {r["source"]: r["t"] for r in M.mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+        for source, t in emitted(M.mixed_documents(docs)).items():
+            assert abs(t - taken[source]) <= words / 2 + 1
+        each = [r["count"] for r in M.mixed_documents(docs).filter("source = 'a'").groupBy("k").count().collect()]
+        assert max(each) - min(each) <= 1
+
+
+def test_any_column_names_and_the_order_of_slots(spark):
+    rows = [(k, f"{'w ' * 300}{k}", "ab"[k % 2], k) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_content long").withColumns({c: F.col("doc_id") * 3 for c in ("mix_copy", "mix_times", "mixed_0", "mixed_1", "mixed_7", "content", "slot", "taken", "c", "i", "s")})
+    out = M.mixed_documents(docs, slot_col="first")
+    assert out.columns == [*docs.columns, "first"]
+    got = out.collect()
+    assert all(r["mix_content"] == r["doc_id"] and r["mix_copy"] == r["mixed_1"] == r["slot"] == r["s"] == 3 * r["doc_id"] for r in got)
+    slots = {r["doc_id"]: r["first_slot"] for r in M.mix_sources(docs).collect()}
+    assert {(r["doc_id"], r["first"]) for r in got} <= set(slots.items())
+    assert M.mixed_documents(docs.limit(0)).columns == docs.columns and M.mixed_documents(docs.limit(0)).count() == 0
