@@ -44,17 +44,35 @@ def distance_matrix(x: np.ndarray) -> np.ndarray:
 def linkage(distances: np.ndarray, method: str = "average") -> np.ndarray:
     """Agglomeration of a square distance matrix: rows (a, b, height, size); new clusters are n, n + 1, ... method: average or ward.
 
-    Ties fall to the pair with the smallest members.
+    Ties fall to the pair with the smallest members. Each cluster keeps its
+    nearest one of those after it, so a merge looks at one row of the matrix
+    and at the few clusters whose nearest was a part of it: O(n^2) in all but
+    contrived cases. Working memory is one copy of the matrix.
     """
     n = len(distances)
     d = np.array(distances, float)
-    d = (d + d.T) / 2
+    for k in range(0, n, 1024):
+        # In blocks, so that no second copy of the matrix is made.
+        rows, upto = slice(k, k + 1024), slice(0, k + 1024)
+        part = (d[rows, upto] + d[upto, rows].T) / 2
+        d[rows, upto], d[upto, rows] = part, part.T
     np.fill_diagonal(d, np.inf)
     ids, size = list(range(n)), np.ones(n)
     out = np.empty((max(n - 1, 0), 4))
+    near, least = np.zeros(n, int), np.full(n, np.inf)
+
+    def look(i):
+        if i + 1 < n:
+            near[i] = i + 1 + int(np.argmin(d[i, i + 1 :]))
+            least[i] = d[i, near[i]]
+        else:
+            least[i] = np.inf
+
+    for i in range(n):
+        look(i)
     for step in range(n - 1):
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        i, j = min(i, j), max(i, j)
+        i = int(np.argmin(least))
+        j = int(near[i])
         h = d[i, j]
         out[step] = (*sorted((ids[i], ids[j])), h, size[i] + size[j])
         others = np.isfinite(d[i]) & np.isfinite(d[j])
@@ -66,7 +84,16 @@ def linkage(distances: np.ndarray, method: str = "average") -> np.ndarray:
         d[i] = d[:, i] = np.where(others, new, np.inf)
         d[i, i] = np.inf
         d[j] = d[:, j] = np.inf
+        least[j] = np.inf
         ids[i], size[i] = n + step, size[i] + size[j]
+        look(i)
+        before = np.arange(i)
+        closer = before[(d[:i, i] < least[:i]) | (d[:i, i] == least[:i]) & (near[:i] > i)]
+        near[closer], least[closer] = i, d[closer, i]
+        # Whose nearest is gone, or has moved away, looks again.
+        for k in np.flatnonzero(np.isfinite(least) & ((near == j) | (near == i))):
+            if k != i and (near[k] == j or d[k, i] > least[k]):
+                look(k)
     return out
 
 

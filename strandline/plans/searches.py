@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.operators import graphs, relational, seqsearch
-from strandline.plans.tables import hits, table
+from strandline.operators import graphs, relational, seqsearch, shapes
+from strandline.plans.tables import hits, points, table
+from strandline.sources.scratch import computed_once
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -81,3 +82,58 @@ def _sequences(spark, d):
 def sensitive_search(spark, d):
     q, _ = _sequences(spark, d)
     return seqsearch.sensitive_search(q, q)
+
+
+#: Vectors have unit length; their values times this are distances of a chain's size.
+SCALE = 20.0
+_PTS = """pts AS (SELECT label AS chain, vec_id AS model, (r + 1)::BIGINT AS seq, embedding[3*r+1]::DOUBLE AS x, embedding[3*r+2]::DOUBLE AS y, embedding[3*r+3]::DOUBLE AS z
+  FROM embeddings, range(21) t(r))"""
+
+
+def _chains(spark, d):
+    values = F.transform(F.slice("embedding", 1, 63), lambda v: v.cast("double") * SCALE)
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.repeat(F.lit("A"), F.lit(21)).alias("seq"), values.alias("xyz"))
+
+
+def _shape_sql() -> str:
+    at = lambda k: f"[x[3 * (pos + {k}) + 1], x[3 * (pos + {k}) + 2], x[3 * (pos + {k}) + 3]]"
+    d = ", ".join(f"list_distance({at(-a)}, {at(b)}) AS d{n}" for n, (a, b) in enumerate(shapes.REACH))
+    word = " || '.' || ".join(["kind", *(f"c{n}" for n in range(len(shapes.REACH)))])
+    soft = "\n".join(f", unnest([floor((d{n} - {shapes.MARGIN}::DOUBLE) / {shapes.WIDTH}::DOUBLE)::INT, floor((d{n} + {shapes.MARGIN}::DOUBLE) / {shapes.WIDTH}::DOUBLE)::INT]) u{n}(c{n})" for n in range(len(shapes.REACH)))
+    hard = ", ".join(f"floor(d{n} / {shapes.WIDTH}::DOUBLE)::INT AS c{n}" for n in range(len(shapes.REACH)))
+    return f"""WITH e AS (SELECT vec_id AS id, list_transform(embedding[1:63], lambda v: v::DOUBLE * {SCALE}::DOUBLE) AS x FROM embeddings),
+g AS (SELECT id, pos, list_distance({at(-2)}, {at(2)}) AS k, {d} FROM e, range(3, 17) r(pos)),
+h AS (SELECT *, CASE WHEN abs(k - 6.37::DOUBLE) < 1.05 THEN '1' WHEN abs(k - 13.0::DOUBLE) < 1.42 THEN '2' WHEN k < 8.0 THEN '3' ELSE '0' END AS kind FROM g),
+q AS (SELECT DISTINCT id, pos, {word} AS word FROM h {soft} WHERE id % 50 = 0),
+t AS (SELECT DISTINCT id, {word} AS word FROM (SELECT id, kind, {hard} FROM h)),
+s AS (SELECT q.id AS query, t.id AS target, count(DISTINCT pos) AS shared FROM q JOIN t ON q.word = t.word WHERE q.id <> t.id GROUP BY ALL)
+SELECT query, target, shared, 14::BIGINT AS places FROM s WHERE shared >= 0.5::DOUBLE * 14"""
+
+
+@query("shape_hits", _shape_sql())
+def shape_hits(spark, d):
+    chains = _chains(spark, d)
+    return shapes.shape_hits(chains.filter("id % 50 = 0"), chains)
+
+
+@query("indexed_search")
+def indexed_search(spark, d):
+    chains = _chains(spark, d)
+    found = shapes.indexed_search(chains.filter("id % 50 = 0"), chains)
+    return found.select("query", "target", F.round("tm1", 4).alias("tm1"), F.round("tm2", 4).alias("tm2"), "n_ali")
+
+
+@query(
+    "nearest_residues",
+    f"""WITH {_PTS}, p AS (SELECT a.chain, a.model, a.seq AS i, b.seq AS j, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d
+  FROM pts a JOIN pts b ON a.chain = b.chain AND a.model = b.model AND abs(a.seq - b.seq) >= 3)
+SELECT chain, model, i, j, round(d, 5) AS d FROM p QUALIFY row_number() OVER (PARTITION BY chain, model, i ORDER BY d, j) = 1""",
+)
+def nearest_residues(spark, d):
+    return shapes.nearest_residues(points(spark, d), ["chain", "model"], 0.3).select("chain", "model", "i", "j", F.round("d", 5).alias("d"))
+
+
+@query("learned_states")
+def learned_states(spark, d):
+    found = computed_once(shapes.pair_features(points(spark, d), ["chain", "model"], 0.3))
+    return shapes.encode_states(found, ["chain", "model"], shapes.learn_states(found))
