@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.columns import distance
 from strandline.operators import ensemble, relational
 from strandline.plans.tables import hits, points, table
 from strandline.schemas import ATOM_SITE, POLY_SEQ
-from strandline.sources import structures, tables
+from strandline.sources import named, structures, tables
 from strandline.sources.scratch import fresh_folder
 
 QUERIES: dict = {}
@@ -231,3 +232,78 @@ def single_difference(spark, d):
     first, second = [r["model"] for r in chain.select("model").distinct().orderBy("model").limit(2).collect()]
     one, two = (chain.filter(F.col("model") == m).select("seq", "x", "y", "z") for m in (first, second))
     return ensemble.difference_of_chains(one, two).select("i", "j", F.round("dd", 5).alias("dd"))
+
+
+@query("named_files", "SELECT upper('s' || s_suppkey) AS pid, s_name AS text FROM supplier WHERE s_suppkey % 2 = 0")
+def named_files(spark, d):
+    path = fresh_folder(spark)
+    ending = F.when(F.col("s_suppkey") % 2 == 0, ".txt").otherwise(".dat")
+    named.write_named(table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), ending).alias("name"), F.col("s_name").cast("binary").alias("content")), path)
+    return structures.read_files(spark, path, "*.txt").select(F.regexp_replace("pid", r"\.TXT$", "").alias("pid"), "text")
+
+
+def _npz(key, pdf):
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    n = int(pdf["i"].max())
+    m = np.zeros((n, n))
+    m[pdf["i"] - 1, pdf["j"] - 1] = pdf["value"]
+    out = io.BytesIO()
+    np.savez(out, mat=m)
+    return pd.DataFrame({"name": [f"C_{key[0]}.npz"], "content": [out.getvalue()]})
+
+
+@query("npz_files", f"WITH {_PTS}, m AS (SELECT chain, seq, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pts GROUP BY ALL) SELECT 'C_' || a.chain AS pidc, a.seq::INT AS i, b.seq::INT AS j, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 5) AS value FROM m a JOIN m b ON a.chain = b.chain")
+def npz_files(spark, d):
+    path = fresh_folder(spark)
+    m = points(spark, d).groupBy("chain", F.col("seq").cast("int").alias("i")).agg(*[F.avg(c).alias(c) for c in "xyz"])
+    other = m.select("chain", F.col("i").alias("j"), *[F.col(c).alias(f"o{c}") for c in "xyz"])
+    pairs = m.join(other, "chain").select("chain", "i", "j", distance(*[F.col(c) for c in ("x", "y", "z", "ox", "oy", "oz")]).alias("value"))
+    named.write_named(pairs.groupBy("chain").applyInPandas(_npz, "name string, content binary"), path)
+    return tables.read_matrices(spark, f"{path}/*.npz").select("pidc", "i", "j", F.round("value", 5).alias("value"))
+
+
+def _trajectory(key, pdf):
+    import pandas as pd
+
+    frames = pdf.sort_values(["model", "seq"])[["x", "y", "z"]].to_numpy().reshape(pdf["model"].nunique(), -1, 3)
+    return pd.DataFrame({"name": [f"{key[0]}_{key[1]}.dcd"], "content": [named.frames_to_bytes(frames, cell=key[1] % 2 == 1)]})
+
+
+@query("frame_files", f"WITH {_PTS}, f AS (SELECT *, (dense_rank() OVER (PARTITION BY chain, model // 64 ORDER BY model) - 1)::INT AS frame FROM pts) SELECT chain || '_' || (model // 64) || '.dcd' AS file, frame, (seq - 1)::INT AS atom, round(x, 5) AS x, round(z, 5) AS z FROM f")
+def frame_files(spark, d):
+    path = fresh_folder(spark)
+    p = points(spark, d).withColumn("block", F.expr("model div 64"))
+    named.write_named(p.groupBy("chain", "block").applyInPandas(_trajectory, "name string, content binary"), path)
+    return named.read_frames(spark, path, ["file", "frame", "atom", "x", "z"], part=2000).select("file", "frame", "atom", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in "xz"])
+
+
+@query(
+    "html_table",
+    """WITH r AS (SELECT p_partkey, p_partkey // 50 AS page_id, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) - 1 AS row, p_name, p_type, p_size,
+  (p_partkey % 9 + 1) || upper(substr(md5(p_partkey::VARCHAR), 1, 3)) AS one, (p_partkey % 7 + 1) || substr(md5(p_brand), 1, 3) AS two FROM part)
+SELECT page_id, row::INT AS "row", p_name AS "Protein name", CASE WHEN p_size % 5 = 0 THEN '' WHEN one = two THEN one ELSE one || ',' || two END AS "Conformers", CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_type END AS "Family" FROM r WHERE p_size % 11 <> 0""",
+)
+def html_table(spark, d):
+    """Tables of fifty rows a page: identifiers in their first order, some missing, some rows without a name or a link."""
+    p = table(spark, d, "part")
+    digit = lambda n: (F.col("p_partkey") % n + 1).cast("string")
+    one = F.concat(digit(9), F.upper(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 3)))
+    two = F.concat(digit(7), F.substring(F.md5("p_brand"), 1, 3))
+    ids = F.when(F.col("p_size") % 5 == 0, "none").otherwise(F.concat(one, F.lit(", "), two, F.lit(" and "), one))
+    link = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit("<a href=#>"), "p_type", F.lit("</a>")))
+    name = F.when(F.col("p_size") % 11 == 0, " ").otherwise(F.col("p_name"))
+    row = F.concat(F.lit("<tr class=r><td> "), name, F.lit("</td>\n<td>"), ids, F.lit("</td><td>"), link, F.lit("</td></tr>"))
+    rows = p.select(F.expr("p_partkey div 50").alias("page_id"), "p_partkey", row.alias("row"))
+    pages = _listed(rows, "page_id", ["p_partkey"], "row").select("page_id", F.concat(F.lit("<table>"), "lines", F.lit("</table>")).alias("html"))
+    t = tables.scrape_rows(pages, keep=["page_id"])
+    return t.select("page_id", "row", "Protein name", F.array_join("Conformers", ",").alias("Conformers"), "Family")
+
+
+@query("search_homomeric", "SELECT p_partkey AS pid, p_retailprice AS score FROM part WHERE p_size % 3 = 1 AND p_size > 20 AND p_brand = 'Brand#1' ORDER BY score DESC, pid LIMIT 100")
+def search_homomeric(spark, d):
+    meta = table(spark, d, "part").select(F.col("p_partkey").alias("pid"), F.col("p_brand").alias("method"), (F.col("p_size") % 3).alias("protein_entities"), F.when(F.col("p_size") > 20, 2).otherwise(1).alias("protein_instances"), F.col("p_retailprice").alias("score"))
+    return relational.search_entries(meta, False, 100, "Brand#1").select("pid", "score")

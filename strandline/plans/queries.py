@@ -12,7 +12,6 @@ from strandline.functions import columns as C
 from strandline.operators import ensemble, grouped, relational, seqsearch
 from strandline.operators.pairs import contacts, mirror, pair
 from strandline.plans.tables import hits, models, points, table
-from strandline.sources.tables import scrape_rows
 from strandline.streaming.ingest import sessions, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -560,22 +559,6 @@ def html_rows(spark, d):
     return table(spark, d, "pages").select("page_id", items.alias("items"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
-_CONFORMERS = [
-    ("Kinase", "1ABC, 2xyz and 1ABC again; 12345", "Family X"),
-    ("Other <i>one</i>", "9q9q", None),
-    ("No identifiers", "none", "Y"),
-]
-
-
-@query("html_table", "SELECT * FROM (VALUES (1, 1, 'Kinase', '1ABC,2xyz', 'Family X'), (1, 2, 'Other one', '9q9q', NULL), (1, 3, 'No identifiers', '', 'Y'), (2, 0, 'Kinase', '1ABC,2xyz', 'Family X')) t(page_id, \"row\", \"Protein name\", \"Conformers\", \"Family\")")
-def html_table(spark, d):
-    row = lambda name, ids, family: f"<tr><td>{name}</td><td>{ids}</td><td>{f'<a href=#>{family}</a>' if family else ''}</td></tr>"
-    whole = "<table><tr><th>Name</th></tr>" + "".join(row(*r) for r in _CONFORMERS) + "<tr><td> </td><td>1abc</td></tr></table>"
-    pages = spark.createDataFrame([(1, whole), (2, row(*_CONFORMERS[0])), (3, "<p>none</p>")], "page_id int, html string")
-    t = scrape_rows(pages, keep=["page_id"])
-    return t.select("page_id", "row", "Protein name", joined(F.col("Conformers")).alias("Conformers"), "Family")
-
-
 @query("pair_rules", f"""WITH {_HITS}, m AS (SELECT *, CASE WHEN ordinal % 3 = 0 THEN NULL ELSE ordinal % 20 / 10.0 END AS mr FROM hits),
 r AS (SELECT 'homologous' AS rule, query, target, ordinal FROM m WHERE {"evalue < 1e-3 AND pident >= 30 AND alnlen >= 20 AND qcov >= 0.9 AND tcov >= 0.9"}
 UNION ALL SELECT 'identical', query, target, ordinal FROM m WHERE pident >= 100 AND (qcov >= 1 OR tcov >= 1) AND mr < 1) SELECT rule, count(*) AS n, sum(ordinal)::BIGINT AS total FROM r GROUP BY rule""")
