@@ -284,7 +284,7 @@ def structure_search(spark, d):
     rows = F.sort_array(F.collect_list(F.struct("seq", *[(F.col(c) * SCALE).alias(c) for c in "xyz"])))
     flat = F.flatten(F.transform(rows, lambda p: F.array(p["x"], p["y"], p["z"])))
     chains = means.groupBy("chain").agg(flat.alias("xyz")).select(F.col("chain").cast("string").alias("id"), F.repeat(F.lit("A"), F.lit(21)).alias("seq"), "xyz")
-    return grouped.structure_search(chains, chains, fast=True).select("query", "target", r4("tm1"), r4("tm2"), "n_ali", "seq_x", "marks", "seq_y")
+    return grouped.structure_search(chains, chains).select("query", "target", r4("tm1"), r4("tm2"), "n_ali", "seq_x", "marks", "seq_y")
 
 
 _TERMS = [(a, b, v) for a, b, v in ((-2, 2, (6.37, 13.0)), (-2, 1, (5.18, 10.4)), (-1, 2, (5.18, 10.4)), (-2, 0, (5.45, 6.1)), (-1, 1, (5.45, 6.1)), (0, 2, (5.45, 6.1)))]

@@ -37,13 +37,32 @@ def _place(spark: SparkSession, path: str):
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, after what a crash within `replace` may have left aside is put back."""
     p, fs = _place(spark, path)
+    aside, _ = _place(spark, f"{path.rstrip('/')}.old")
+    if not fs.exists(p) and fs.exists(aside):
+        fs.rename(aside, p)
     return fs.exists(p)
 
 
 def replace(spark: SparkSession, new: str, path: str) -> None:
-    """Put a finished folder in the place of another one, which stays until the new one is complete."""
+    """Put a finished folder in the place of another one, which stays until the new one is complete.
+
+    The old folder is moved aside, to `<path>.old`, before the new one takes
+    its name, and deleted after that. A crash in between leaves it there, from
+    where `exists` or the next call puts it back.
+    """
+    there = exists(spark, path)
     old, fs = _place(spark, path)
-    if fs.exists(old):
-        fs.delete(old, True)
-    fs.rename(_place(spark, new)[0], old)
+    aside, _ = _place(spark, f"{path.rstrip('/')}.old")
+    fresh, _ = _place(spark, new)
+    if not fs.exists(fresh):
+        raise FileNotFoundError(new)
+    fs.delete(aside, True)
+    if there:
+        fs.rename(old, aside)
+    if not fs.rename(fresh, old):
+        if there:
+            fs.rename(aside, old)
+        raise OSError(f"could not move {new} to {path}")
+    fs.delete(aside, True)

@@ -83,3 +83,21 @@ def test_other_files_are_refused(spark, tmp_path):
     (tmp_path / "x.dcd").write_bytes(b"no trajectory at all" * 9)
     with pytest.raises(Exception, match="not a trajectory"):
         named.read_frames(spark, str(tmp_path)).count()
+
+
+def test_a_list_is_never_without_its_file(spark, tmp_path):
+    from strandline.sources.scratch import replace
+
+    path, new = f"{tmp_path}/list", f"{tmp_path}/new"
+    for text in ("one", "two"):
+        spark.createDataFrame([(text,)], "value string").write.text(new)
+        replace(spark, new, path)
+        assert spark.read.text(path).first()[0] == text and not os.path.exists(f"{path}.old")
+    with pytest.raises(OSError):
+        replace(spark, f"{tmp_path}/missing", path)
+    assert spark.read.text(path).first()[0] == "two"
+    # A crash after the old list was moved aside: the next call finds it.
+    os.rename(path, f"{path}.old")
+    with pytest.raises(OSError):
+        replace(spark, f"{tmp_path}/missing", path)
+    assert spark.read.text(path).first()[0] == "two"
