@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.operators import graphs, relational, seqsearch, shapes
+from strandline.operators import graphs, networks, relational, seqsearch, shapes
 from strandline.plans.tables import hits, points, table
 from strandline.sources.scratch import computed_once
 
@@ -137,3 +137,8 @@ def nearest_residues(spark, d):
 def learned_states(spark, d):
     found = computed_once(shapes.pair_features(points(spark, d), ["chain", "model"], 0.3))
     return shapes.encode_states(found, ["chain", "model"], shapes.learn_states(found))
+
+
+@query("network_by_solves")
+def network_by_solves(spark, d):
+    return networks.large_fluctuations(points(spark, d), 0.2)
