@@ -163,7 +163,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     calibrated probability of lang_pred; accepted says whether it reaches the
     rejection threshold. Ties fall to the first language by code point.
     Without any labelled row every text is `und`. Repeated rows are repeated;
-    other columns are not read. No shuffle.
+    other columns are not read. Empty table: empty result. No shuffle.
     """
     languages, temperature, threshold = model.languages, model.temperature, model.threshold
     table, bias = model.table().astype(np.float32), model.bias

@@ -165,27 +165,33 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     digest = F.xxhash64(F.col(text_col))
     taken = mix_sources(docs, id_col, text_col, source_col, extra={"content": digest}, **options)
     times = F.expr("cast(floor(taken / size + 0.5) as int)")
-    groups = taken.filter("taken > 0").groupBy("doc_id", "content").agg(F.sum(times).alias(copies), F.min("first_slot").alias(slot))
-    # Rows that are not read are in the count, too.
-    counts = taken.filter("size > 0").groupBy("doc_id", "content").agg(F.count(F.lit(1)).alias(rows))
-    groups = groups.filter(F.col(copies) > 0).withColumnRenamed("content", content).withColumnRenamed("doc_id", group)
-    counts = counts.withColumnRenamed("content", "c").withColumnRenamed("doc_id", "i")
-    groups = groups.join(counts, F.col(group).eqNullSafe(F.col("i")) & (F.col(content) == F.col("c"))).select(group, F.col(content).alias(place), copies, rows, slot)
+    # Rows that are not read are in the number of rows, too.
+    groups = taken.filter("size > 0").groupBy("doc_id", "content").agg(F.sum(times).alias(copies), F.count(F.lit(1)).alias(rows), F.min("first_slot").alias(slot))
+    groups = cut(groups.filter(F.col(copies) > 0).select(F.col("doc_id").alias(group), F.col("content").alias(place), copies, rows, slot))
     keyed = docs.withColumn(content, digest)
-    met = keyed.join(groups, keyed[id_col].eqNullSafe(groups[group]) & (keyed[content] == groups[place])).select(*[keyed[c] for c in docs.columns], content, copies, rows, slot)
     each, more = F.expr(f"`{copies}` div `{rows}`"), F.expr(f"`{copies}` % `{rows}`")
-    even = met.filter(more == 0).withColumn(place, each)
-    # Of repeated rows the first ones are read once more; they are numbered in salted parts, as they may be many.
-    odd = cut(met.filter(more > 0).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))))
-    key = [F.col(id_col), F.col(content)]
-    parts = odd.groupBy(*key, salt).agg(F.count(F.lit(1)).alias(place))
-    earlier = F.coalesce(F.sum(place).over(W.partitionBy(*key).orderBy(salt).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = parts.select(F.col(id_col).alias(group), F.col(content).alias(place), F.col(salt).alias("s"), earlier.alias(before))
-    same = odd[id_col].eqNullSafe(starts[group]) & (odd[content] == starts[place]) & (odd[salt] == starts["s"])
-    number = F.row_number().over(W.partitionBy(*key, salt).orderBy(F.lit(0)))
-    numbered = odd.withColumn(rows + "_n", number).join(starts, same).select(*[odd[c] for c in odd.columns], F.col(rows + "_n"), before)
-    uneven = numbered.withColumn(place, each + F.when(F.col(before) + F.col(rows + "_n") <= more, 1).otherwise(0))
+
+    def read(some):
+        met = keyed.join(some, keyed[id_col].eqNullSafe(some[group]) & (keyed[content] == some[place]))
+        return met.select(*[keyed[c] for c in docs.columns], content, copies, rows, slot)
+
     kept = [*docs.columns, slot, place]
-    whole = even.select(*[F.col(f"`{c}`") for c in kept]).unionByName(uneven.select(*[F.col(f"`{c}`") for c in kept])).filter(F.col(place) > 0)
-    whole = whole.withColumn(content, F.explode(F.sequence(F.lit(1), F.col(place).cast("int"))))
+    whole = read(groups.filter(more == 0)).withColumn(place, each).select(*[F.col(f"`{c}`") for c in kept])
+    uneven = groups.filter(more > 0)
+    if not uneven.isEmpty():
+        whole = whole.unionByName(_dealt_out(read(uneven), id_col, content, copies, rows, salt, place, before).select(*[F.col(f"`{c}`") for c in kept]))
+    whole = whole.filter(F.col(place) > 0).withColumn(content, F.explode(F.sequence(F.lit(1), F.col(place).cast("int"))))
     return whole.select(*[F.col(f"`{c}`") for c in docs.columns], *([F.col(slot).alias(slot_col)] if slot_col else []))
+
+
+def _dealt_out(met: DataFrame, id_col: str, content: str, copies: str, rows: str, salt: str, place: str, before: str) -> DataFrame:
+    """Repeated rows with `place`, their own number of readings: the first ones are read once more. They are numbered in salted parts, as they may be many."""
+    odd = cut(met.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))))
+    key, number = [F.col(id_col), F.col(content)], f"{rows}_n"
+    parts = odd.groupBy(*key, salt).agg(F.count(F.lit(1)).alias(place))
+    earlier = F.coalesce(F.sum(place).over(W.partitionBy(*key).orderBy(salt).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select(F.col(id_col).alias("i"), F.col(content).alias("c"), F.col(salt).alias("s"), earlier.alias(before))
+    same = odd[id_col].eqNullSafe(starts["i"]) & (odd[content] == starts["c"]) & (odd[salt] == starts["s"])
+    numbered = odd.withColumn(number, F.row_number().over(W.partitionBy(*key, salt).orderBy(F.lit(0)))).join(starts, same).select(*[odd[c] for c in odd.columns], number, before)
+    once_more = F.col(before) + F.col(number) <= F.expr(f"`{copies}` % `{rows}`")
+    return numbered.withColumn(place, F.expr(f"`{copies}` div `{rows}`") + F.when(once_more, 1).otherwise(0))

@@ -264,7 +264,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Only the ids that go are moved: they are broadcast while they are few
     (BROADCAST_IDS), and joined by a shuffle beyond that. Rows that repeat an
-    id are one document; rows without an id stay.
+    id are one document; rows without an id stay, and so do null, empty and
+    word-less texts, which link with nothing. Empty table: empty result.
     """
     found = cut(near_duplicates(docs, id_col, text_col).filter("doc_id is not null"))
     gone = found.filter("not kept").select(F.col("doc_id").alias(id_col)).distinct()

@@ -519,7 +519,8 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
     the next value below. round_trip: decoding gives the text back. A null or
     empty text has one segmentation without pieces; a text with fewer
     segmentations than asked for has them all. Repeated rows get equal
-    samples; other columns are not read. No shuffle.
+    samples; other columns are not read. Equal Gumbel values fall to the region
+    that was opened first. Empty table: empty result. No shuffle.
     """
     vocabulary = Vocabulary(model_file, alpha)
 

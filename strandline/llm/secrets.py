@@ -428,7 +428,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null or empty text has no findings; a null id stays null; repeated rows
     are repeated; other columns are not read, so their names cannot clash.
-    No shuffle: one pass over the text in Arrow batches.
+    Empty table: empty result. No shuffle: one pass over the text in Arrow batches.
     """
 
     def run(batches):

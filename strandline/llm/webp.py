@@ -996,7 +996,8 @@ def store_as_webp(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_bytes, payload_bytes, media): each text as a lossless WebP image of its bytes.
 
     Null and empty texts give one row of 64 zero bytes. Equal texts give equal
-    media; repeated rows are repeated; other columns are not read. No shuffle.
+    media; repeated rows are repeated; other columns are not read. Empty table:
+    empty result. No shuffle.
     """
 
     def run(batches):
