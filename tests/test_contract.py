@@ -53,7 +53,7 @@ LAWS = {
     "tm_summary": lambda r: len(r) == 10 and (r["minTMS"] <= r["meanTMS"]).all() and (r["meanTMS"] <= r["maxTMS"]).all(),
     "structure_search": lambda r: len(r) == 90 and r["tm1"].between(0, 1).all() and (r["seq_x"].str.len() == r["seq_y"].str.len()).all(),
     "network_by_solves": lambda r: len(r) == 500 * 21 and (r["msf"] >= 0).all() and np.allclose(r["b_factor"], 8 * np.pi**2 / 3 * r["msf"]) and r.set_index(["chain", "model", "seq"])["msf"].index.is_unique,
-    "indexed_search": lambda r: r["tm1"].between(0, 1).all() and (r["query"] % 50 == 0).all() and len(r) < 0.2 * 10 * 500,
+    "indexed_search": lambda r: r["tm1"].between(0, 1).all() and (r["query"].astype(int) % 50 == 0).all() and len(r) < 0.2 * 10 * 500,
     "learned_states": lambda r: len(r) == 500 and (r["states"].str.len() == 21).all() and set("".join(r["states"])) <= set("ABCDEFGHIJKLMNOPQRST" + "X") and (r["states"].str[0] == "X").all(),
     "sensitive_search": lambda r: (r[r["query"] == r["target"]]["pident"] == 100).all() and len(r[r["query"] == r["target"]]) == 40 and (r["evalue"] <= 1e-3).all() and r["qcov"].between(0, 1).all(),
     "sequence_search": lambda r: (r[r["query"] == r["target"]]["pident"] == 100).all() and r["qcov"].between(0, 1).all() and len(r[r["query"] == r["target"]]) == 40,
