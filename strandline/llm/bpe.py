@@ -314,15 +314,27 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str = PA
 
 
 class TokenBytes:
-    """The table of token bytes, id by id."""
+    """The table of token bytes, one after another, joined to ids by their number."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.table = [b""] * (max(ranks.values(), default=-1) + 1)
+        n = max(ranks.values(), default=-1) + 1
+        table: list[bytes] = [b""] * n
+        self.size = np.full(n, -1, np.int32)
         for token, i in ranks.items():
-            self.table[i] = token
-
-    def __call__(self, ids) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids))
+            table[i], self.size[i] = token, len(token)
+        self.begin = (np.cumsum(np.maximum(self.size, 0)) - np.maximum(self.size, 0)).astype(np.int32)
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        if not len(ids):
+            return b""
+        if ids.min() < 0 or ids.max() >= len(self.size) or (self.size[ids] < 0).any():
+            raise ValueError("an id that the vocabulary lacks")
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        at = np.repeat(self.begin[ids] - (ends - size), size)
+        at += np.arange(len(at))
+        return self.flat[at].tobytes()
 
 
 def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -337,7 +349,7 @@ def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], id_col: str =
     def run(batches):
         table = TokenBytes(known.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([table(x or ()) for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "bytes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([table(x.values.to_numpy() if x.is_valid else np.empty(0, np.int32)) for x in b.column(1)], pa.binary())], names=["doc_id", "bytes"])
 
     return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(lean(run), "doc_id long, bytes binary")
 
@@ -354,7 +366,7 @@ def digest_encoding(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 own = x.values.to_numpy() if x.is_valid else np.empty(0, np.int32)
                 n.append(len(own))
                 ids.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
-                decoded.append(hashlib.sha256(table(own.tolist())).hexdigest())
+                decoded.append(hashlib.sha256(table(own)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

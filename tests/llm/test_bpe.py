@@ -89,6 +89,14 @@ def test_digests(spark, ranks, library):
     assert out[2]["ids_sha256"] == out[2]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_ids_that_the_vocabulary_lacks():
+    table = bpe.TokenBytes({b"a": 0, b"bc": 2})
+    assert table(bpe.np.array([2, 0, 2])) == b"bcabc" and table(bpe.np.array([], int)) == b""
+    for bad in (1, 3, -1):
+        with pytest.raises(ValueError):
+            table(bpe.np.array([0, bad]))
+
+
 def test_empty_table(spark, ranks):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.digest_encoding(bpe.encode_documents(none, ranks), ranks).count() == 0
