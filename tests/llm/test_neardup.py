@@ -180,14 +180,22 @@ def test_a_pair_is_fresh_in_its_first_bucket_only():
     x[30:] = x[:30] + 0.2 * rng.normal(size=(30, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     c = V.codes(x, 5, 2, V.PROBES)
-    short = (c >> (V.HASH_BITS - 32) & 0xFFFFFFFF).astype(np.uint32)
     for i in range(30):
         for j in (i + 30, (i + 1) % 30):
             shared = sorted(set(c[i].tolist()) & set(c[j].tolist()))
-            fresh = [bool(V._fresh(short[[i]], short[[j]], np.array([k]), V.PROBES)[0]) for k in shared]
+            fresh = [bool(V._fresh(c[[i]], c[[j]], np.array([k]), V.PROBES)[0]) for k in shared]
             assert fresh == [True] + [False] * (len(shared) - 1) if shared else True
 
 
+def test_buckets_are_told_apart_by_their_whole_number():
+    # The second pair of buckets differs in its low bits alone: the pair first meets in the third.
+    a = np.array([[5, 6, 7, 1 << 40, (1 << V.HASH_BITS) + 3, (1 << V.HASH_BITS) + 4, (1 << V.HASH_BITS) + 5, (1 << V.HASH_BITS) + 9]])
+    b = np.array([[8, 9, 10, (1 << 40) + 1, (1 << V.HASH_BITS) + 30, (1 << V.HASH_BITS) + 40, (1 << V.HASH_BITS) + 50, (1 << V.HASH_BITS) + 9]])
+    assert V._fresh(a, b, np.array([(1 << V.HASH_BITS) + 9]), 4).tolist() == [True]
+    b[0, 3] -= 1
+    assert V._fresh(a, b, np.array([(1 << V.HASH_BITS) + 9]), 4).tolist() == [False] and V._fresh(a, b, np.array([1 << 40]), 4).tolist() == [True]
+
+
 def test_vectors_beside_clashing_columns(spark):
     names = ("class", "rep", "mult", "width", "codes", "buckets", "bucket", "n", "id", "component_id", "kept")
     rows = [(1, [1.0, 0.0], *"abcdefghijk"), (2, [1.0, 0.1], *"abcdefghijk"), (2, [0.0, 5.0], *"abcdefghijk"), (3, [0.0, 1.0], *"abcdefghijk"), (None, [1.0, 0.0], *"abcdefghijk")]
