@@ -119,8 +119,9 @@ def shape_hits(spark, d):
 @query("indexed_search")
 def indexed_search(spark, d):
     chains = _chains(spark, d)
-    found = shapes.indexed_search(chains.filter("id % 50 = 0"), chains)
-    return found.select("query", "target", F.round("tm1", 4).alias("tm1"), F.round("tm2", 4).alias("tm2"), "n_ali")
+    named = lambda df: df.withColumn("id", F.col("id").cast("string"))
+    found = shapes.indexed_search(named(chains.filter("id % 50 = 0")), named(chains))
+    return found.select(F.col("query").cast("long").alias("query"), F.col("target").cast("long").alias("target"), F.round("tm1", 4).alias("tm1"), F.round("tm2", 4).alias("tm2"), "n_ali")
 
 
 @query(
