@@ -160,3 +160,9 @@ def test_diagonals_by_trying_all_without_a_shuffle_of_hits(spark, monkeypatch, h
     full = lambda rows: [(i, s) for i, s in rows if s]
     assert {(r["query"], r["target"], r["diagonal"]): r["hits"] for r in found.collect()} == brute_diagonals(full(queries), full(targets), 3, 12, 30)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similar_words_come_in_batches_of_bounded_size(spark):
+    df = spark.createDataFrame([(1, "AAAASSSSTTTT" * 20)], "id int, seq string")
+    sizes = df.transform(lambda d: seqsearch.scored_words(d, 5, 9)).selectExpr("id", "length(word) AS n").groupBy("n").count().collect()
+    assert sizes[0]["n"] == 5 and sizes[0]["count"] > 1 << 17
