@@ -30,3 +30,36 @@ def test_rmsd_by_tiles(spark, small, mode):
     keep = {"lt": lambda i, j: i < j, "ne": lambda i, j: i != j, "all": lambda i, j: True}[mode]
     want = {(c, i + 1, j + 1): kernels.rmsd(a, b) for c, m in models.items() for i, a in enumerate(m) for j, b in enumerate(m) if len(a) == len(b) and keep(i, j)}
     assert len(rows) == len(want) and all(r["rmsd"] == pytest.approx(want[r["chain"], r["m1"], r["m2"]], abs=1e-5) for r in rows)
+
+
+def test_clusters_travel_as_models(spark):
+    models = some_models()
+    models = {"A": models["A"], "C": models["C"], "D": [wander(9, 20 + k) for k in range(7)]}
+    m = ensemble.as_models(frame(spark, models))
+    every = m.select("chain", "model")
+    pairs = ensemble.rmsd_pairs(m)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    made = grouped.cluster_ensembles(m, 3.0)
+    assert rows(made) == rows(grouped.cluster_models(pairs, 3.0, "rmsd", every))
+    assert rows(grouped.cluster_ensembles(m, 3.0, alone=False)) == rows(grouped.cluster_models(pairs, 3.0, "rmsd"))
+    # Only models are shuffled to where a chain is merged.
+    assert "m1" not in made._jdf.queryExecution().executedPlan().toString()
+    for method in ("average", "ward"):
+        got, want = (rows(df) for df in (grouped.ensemble_tree(m, method), grouped.linkage_tree(pairs, method, "rmsd")))
+        got = [r for r in got if r[0] != "C"]
+        assert [r[:4] for r in got] == [r[:4] for r in want] and np.allclose([r[4] for r in got], [r[4] for r in want])
+    mixed = ensemble.as_models(frame(spark, {"B": some_models()["B"] + [wander(4, 0)]}))
+    found = {r["model"]: r["cluster"] for r in grouped.cluster_ensembles(mixed, 0.0).collect()}
+    assert found == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: None}
+
+
+def test_agglomeration_takes_half_a_matrix():
+    import tracemalloc
+
+    x = np.random.default_rng(1).normal(size=(3, 3000, 4))
+    x -= x.mean(2, keepdims=True)
+    tracemalloc.start()
+    tree = kernels.agglomerate(kernels.rmsd_condensed(x, (x**2).sum((0, 2))), 3000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(tree) == 2999 and peak < 3000 * 3000 * 8 * 0.85
