@@ -63,3 +63,14 @@ def test_agglomeration_takes_half_a_matrix():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(tree) == 2999 and peak < 3000 * 3000 * 8 * 0.85
+
+
+def test_highest_scores_leave_their_tiles(spark, small):
+    models = some_models()
+    models["A"] += [models["A"][0], models["A"][3]]
+    models["D"] = [wander(7, 2)] * 6
+    d = ensemble.residue_distances(frame(spark, models), 2)
+    want = ensemble.top_pairs(ensemble.pair_scores(d).withColumn("score", F.round("score", 1)), 5)
+    got = ensemble.top_scores(d, 5, 1)
+    rows = lambda df: sorted(map(tuple, df.select("chain", "m1", "m2", "score", "rank").collect()))
+    assert rows(got) == rows(want) and len(rows(got)) == 15
