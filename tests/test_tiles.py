@@ -74,3 +74,14 @@ def test_highest_scores_leave_their_tiles(spark, small):
     got = ensemble.top_scores(d, 5, 1)
     rows = lambda df: sorted(map(tuple, df.select("chain", "m1", "m2", "score", "rank").collect()))
     assert rows(got) == rows(want) and len(rows(got)) == 15
+
+
+def test_totals_without_pairs(spark):
+    d = ensemble.residue_distances(frame(spark, {"A": some_models()["A"] + [wander(12, 3)], "C": [wander(5, 1)]}))
+    got = ensemble.difference_totals(d)
+    want: dict = {}
+    for r in ensemble.difference_distances(d).collect():
+        n, total = want.get((r["chain"], r["i"], r["j"]), (0, 0.0))
+        want[r["chain"], r["i"], r["j"]] = (n + 1, total + r["dd"])
+    rows = got.collect()
+    assert len(rows) == len(want) and all(r["pairs"] == want[r["chain"], r["i"], r["j"]][0] and r["total"] == pytest.approx(want[r["chain"], r["i"], r["j"]][1]) for r in rows)
