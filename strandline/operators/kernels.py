@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Values of an array in which pairs of rows are looked at.
+BLOCK = 1 << 21
+
 # ---- superposition
 
 
@@ -206,8 +209,12 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float | None:
     kinds = np.unique(labels)
     if not 2 <= len(kinds) <= len(x) - 1:
         return None
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0))
-    to = np.stack([d[:, labels == k].sum(1) for k in kinds], axis=1)
+    to = np.empty((len(x), len(kinds)))
+    # Some rows at a time: the distances of all are never there together.
+    step = max(1, BLOCK // x.size)
+    for r in range(0, len(x), step):
+        d = np.sqrt(((x[r : r + step, None] - x[None]) ** 2).sum(-1))
+        to[r : r + step] = np.stack([d[:, labels == k].sum(1) for k in kinds], axis=1)
     count = np.array([(labels == k).sum() for k in kinds])
     own = np.searchsorted(kinds, labels)
     rows = np.arange(len(x))
@@ -312,11 +319,40 @@ def kernel_components(scores: np.ndarray, components: int = 2, top: int = 5, gam
     s = x.std(0)
     x = (x - x.mean(0)) / np.where(s == 0, 1, s)
     g = 1 / x.shape[1] if gamma is None else gamma
-    k = np.exp(-g * ((x[:, None] - x[None]) ** 2).sum(-1))
-    k = k - k.mean(0) - k.mean(1)[:, None] + k.mean()
-    values, v = np.linalg.eigh(k)
-    v = fix_signs(v[:, ::-1][:, :components])
-    return v * np.sqrt(np.maximum(values[::-1][:components], 0))
+    n = len(x)
+    square = (x * x).sum(1)
+    step = max(1, BLOCK // max(n, 1))
+
+    def times(v):
+        """The centred kernel times vectors, some of its rows at a time."""
+        v = v - v.mean(0)
+        out = np.concatenate([np.exp(-g * np.maximum(square[r : r + step, None] + square - 2 * x[r : r + step] @ x.T, 0)) @ v for r in range(0, n, step)])
+        return out - out.mean(0)
+
+    values, v = leading(times, n, components)
+    return fix_signs(v) * np.sqrt(np.maximum(values, 0))
+
+
+def leading(times, n: int, count: int, width: int = 10, tolerance: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """The highest eigenvalues of a symmetric matrix known by its products, and their vectors: a block Krylov space, grown until they no longer change."""
+    block = np.linalg.qr(np.random.default_rng(0).normal(size=(n, min(n, width))))[0]
+    basis, image = block, times(block)
+    while True:
+        h = basis.T @ image
+        values, w = np.linalg.eigh((h + h.T) / 2)
+        values, w = values[::-1][:count], w[:, ::-1][:, :count]
+        left = image @ w - basis @ w * values
+        if basis.shape[1] == n or np.abs(left).max() <= tolerance * max(abs(values[0]), 1e-300):
+            return values, basis @ w
+        fresh = image[:, -block.shape[1] :]
+        for _ in range(2):
+            fresh = fresh - basis @ (basis.T @ fresh)
+        # Directions that are spent give way to random ones, so that the space grows to the whole if need be.
+        fresh = fresh + 1e-12 * max(abs(values[0]), 1e-300) * np.random.default_rng(basis.shape[1]).normal(size=fresh.shape)
+        block = np.linalg.qr(fresh)[0][:, : n - basis.shape[1]]
+        for _ in range(2):
+            block = np.linalg.qr(block - basis @ (basis.T @ block))[0]
+        basis, image = np.concatenate([basis, block], axis=1), np.concatenate([image, times(block)], axis=1)
 
 
 # ---- Gaussian network model

@@ -144,3 +144,32 @@ def test_circular():
 def test_secondary_structure():
     assert set(tm.secondary(helix(12))[2:-2]) == {"H"} and set(tm.secondary(strand(12))[2:-2]) == {"E"}
     assert tm.secondary(helix(12))[0] == "C" and set(tm.secondary(helix(4))) == {"C"}
+
+
+def test_models_against_each_other_in_bounded_memory():
+    import tracemalloc
+
+    from strandline.operators.kernels import fix_signs, kernel_components, silhouette
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(2500, 6)), rng.normal(3, 1, size=(1500, 6))])
+    labels = np.repeat([0, 1], [2500, 1500])
+    tracemalloc.start()
+    silhouette(x, labels)
+    got = kernel_components(x.T, 2, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4000 * 4000 * 8 and got.shape == (4000, 2)
+    few = x[::20]
+    d = np.sqrt(((few[:, None] - few[None]) ** 2).sum(-1))
+    kind = labels[::20]
+    own, other = (np.array([d[i, (kind == k) & (np.arange(len(few)) != i)].mean() for i, k in enumerate(ks)]) for ks in (kind, 1 - kind))
+    assert np.isclose(silhouette(few, kind), ((other - own) / np.maximum(own, other)).mean())
+    for rows in (few, few[:4], np.ones((5, 6))):
+        z = rows[:, :5]
+        z = (z - z.mean(0)) / np.where(z.std(0) == 0, 1, z.std(0))
+        k = np.exp(-((z[:, None] - z[None]) ** 2).sum(-1) / 5)
+        k = k - k.mean(0) - k.mean(1)[:, None] + k.mean()
+        values, v = np.linalg.eigh(k)
+        want = fix_signs(v[:, ::-1][:, :2]) * np.sqrt(np.maximum(values[::-1][:2], 0))
+        assert np.allclose(np.abs(kernel_components(rows.T, 2, 5)), np.abs(want), atol=1e-6)
