@@ -173,3 +173,19 @@ def test_models_against_each_other_in_bounded_memory():
         values, v = np.linalg.eigh(k)
         want = fix_signs(v[:, ::-1][:, :2]) * np.sqrt(np.maximum(values[::-1][:2], 0))
         assert np.allclose(np.abs(kernel_components(rows.T, 2, 5)), np.abs(want), atol=1e-6)
+
+
+def test_many_pairs_at_once_score_as_one_by_one():
+    rng = np.random.default_rng(4)
+    for n in (3, 4, 9, 21, 70):
+        x = np.array([wander(n, k) for k in range(150 if n == 21 else 12)])
+        y = np.array([(a + rng.normal(0, [0, 0.5, 3, 9][k % 4], a.shape)) @ rotation(k) + k for k, a in enumerate(x)])
+        y[3] = y[3] * [1, 1, -1]
+        x[4], y[4] = x[4] * [1, 1, 0], y[4] * [1, 1, 0]
+        x[5] = y[5] = np.arange(n)[:, None] * np.array([1.0, 2.0, 3.0])
+        x[6] = y[6] = 1.0
+        score, rmsd = tm.tm_scores(x, y)
+        assert np.allclose(score, [tm.tm_score(a, b) for a, b in zip(x, y, strict=True)], atol=1e-6)
+        assert np.allclose(rmsd, [K.rmsd(a, b) for a, b in zip(x, y, strict=True)], atol=1e-6)
+        again, _ = tm.tm_scores(y, x)
+        assert np.allclose(again, score, atol=1e-5)

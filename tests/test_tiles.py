@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import ensemble, grouped, kernels, tiles
+from strandline.operators import ensemble, grouped, kernels, tiles, tm
 from tests.fixtures import POINTS, points_rows, wander
 
 
@@ -85,3 +85,26 @@ def test_totals_without_pairs(spark):
         want[r["chain"], r["i"], r["j"]] = (n + 1, total + r["dd"])
     rows = got.collect()
     assert len(rows) == len(want) and all(r["pairs"] == want[r["chain"], r["i"], r["j"]][0] and r["total"] == pytest.approx(want[r["chain"], r["i"], r["j"]][1]) for r in rows)
+
+
+def test_scores_by_tiles(spark, monkeypatch):
+    monkeypatch.setattr(grouped, "MATCHED", 3)
+    monkeypatch.setattr(grouped, "ALIGNED", 3)
+    models = {"A": [wander(12, k) for k in range(7)], "B": [wander(9, 0), wander(8, 1), wander(9, 2), wander(2, 0), wander(2, 1)]}
+    p = frame(spark, models)
+    for mode in ("lt", "ne"):
+        got = {(r["chain"], r["m1"], r["m2"]): r for r in grouped.tm_pairs(p, mode).collect()}
+        assert len(got) == (7 * 6 + 5 * 4) // (2 if mode == "lt" else 1)
+        for (c, i, j), r in got.items():
+            a, b = models[c][i - 1], models[c][j - 1]
+            if min(len(a), len(b)) < 3:
+                assert r["tm"] is None and r["n_ali"] is None
+            elif len(a) == len(b):
+                assert r["tm"] == pytest.approx(tm.tm_score(a, b), abs=1e-6) and r["rmsd"] == pytest.approx(kernels.rmsd(a, b)) and r["n_ali"] == len(a)
+            else:
+                assert r["tm"] == pytest.approx(tm.align(a, b)["tm1"])
+    square = {(r["chain"], r["i"], r["j"]): r["value"] for r in grouped.tm_square(p, realign=False).collect()}
+    assert len(square) == 49 + 25
+    for (c, i, j), v in square.items():
+        if i != j and v is not None:
+            assert v == pytest.approx((got[c, i, j]["tm"] + got[c, j, i]["tm"]) / 2, abs=1e-6)
