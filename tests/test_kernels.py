@@ -189,3 +189,24 @@ def test_many_pairs_at_once_score_as_one_by_one():
         assert np.allclose(rmsd, [K.rmsd(a, b) for a, b in zip(x, y, strict=True)], atol=1e-6)
         again, _ = tm.tm_scores(y, x)
         assert np.allclose(again, score, atol=1e-5)
+
+
+def test_alignments_under_way_at_once_are_those_of_one_by_one(monkeypatch):
+    """Equal bit by bit, whatever is aligned beside; and a table of searches is not one call a pair."""
+    xs = [wander(n, n) for n in (3, 7, 21, 21, 22, 40, 61)] + [helix(21), strand(19)]
+    pairs = [(a, b) for a in xs for b in xs]
+    calls = []
+    searches = tm._searches
+    monkeypatch.setattr(tm, "_searches", lambda asked: calls.append(len(asked)) or searches(asked))
+    many = tm.align_many(pairs)
+    assert len(calls) < sum(calls) / 10
+    for (x, y), r in zip(pairs, many, strict=True):
+        one = tm.align(x, y)
+        assert all(np.array_equal(r[k], one[k]) for k in ("tm1", "tm2", "rmsd", "n_ali", "rotation", "shift")) and all(map(np.array_equal, r["pairs"], one["pairs"]))
+    for n in (3, 5, 21, 50):
+        x, y = wander(n, 1), wander(n, 2)
+        (got, *_), (want, *_) = tm._searches([(x, y, 2.0, n, 5.0, 8.0, 2)])[0], tm.search(x, y, 2.0, n, 5.0, 8.0, 2)
+        assert abs(got - want) < 1e-9
+    bad = wander(21, 3)
+    bad[4] = np.nan
+    assert [r is None for r in tm.align_many([(bad, xs[2]), (xs[2], xs[3]), (xs[2][:2], xs[3])])] == [True, False, True]
