@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import struct
 import uuid
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 #: Bytes of frames that one task reads, about.
 PART = 32 << 20
+#: Tasks to which smaller parts are dealt at least, and atoms of a batch of frames.
+TASKS, ATOMS = 256, 1 << 16
 FRAME_COLUMNS = {"file": "string", "frame": "int", "atom": "int", "x": "float", "y": "float", "z": "float"}
 
 
@@ -136,8 +139,8 @@ def frame_ranges(path: str, part: int = PART) -> list[FrameRange]:
     system, root = place(path)
     one = system.get_file_info(root)
     files = [one] if one.type == fs.FileType.File else sorted((f for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File and "/_" not in f.path), key=lambda f: f.path)
-    out = []
-    for f in files:
+
+    def ranges(f):
         with system.open_input_file(f.path) as stream:
             head = stream.read(4096)
         order = "<" if head[:4] == struct.pack("<i", 84) else ">"
@@ -152,7 +155,33 @@ def frame_ranges(path: str, part: int = PART) -> list[FrameRange]:
         start, cell = atoms_at + 12, 56 if control[10] else 0
         size = cell + 3 * (4 * atoms + 8)
         total, step = (f.size - start) // size, max(1, part // size)
-        out += [FrameRange(f.path, f.base_name, start + a * size, a, min(step, total - a), atoms, cell, order) for a in range(0, total, step)]
+        return [FrameRange(f.path, f.base_name, start + a * size, a, min(step, total - a), atoms, cell, order) for a in range(0, total, step)]
+
+    with ThreadPoolExecutor(16) as pool:
+        return [r for own in pool.map(ranges, files) for r in own]
+
+
+@dataclass
+class Ranges(InputPartition):
+    ranges: list[FrameRange]
+
+
+def dealt(ranges: list[FrameRange]) -> list[Ranges]:
+    """Ranges by task: one each, but neighbours go together where there are more than `TASKS`, up to `PART` bytes a task. So small parts do not make tasks without end."""
+    size = [r.frames * (r.cell + 3 * (4 * r.atoms + 8)) for r in ranges]
+    most = min(PART, sum(size) / TASKS)
+    out: list[Ranges] = []
+    held = 0
+    for r, n in zip(ranges, size, strict=True):
+        if len(ranges) <= TASKS or not out or held + n > most:
+            out.append(Ranges([]))
+            held = 0
+        own = out[-1].ranges
+        if own and own[-1].path == r.path:
+            own[-1] = replace(own[-1], frames=own[-1].frames + r.frames)
+        else:
+            own.append(r)
+        held += n
     return out
 
 
@@ -178,27 +207,33 @@ class FrameReader(DataSourceReader):
         self.path, self.columns, self.part = path, columns, part
 
     def partitions(self):
-        return frame_ranges(self.path, self.part)
+        return dealt(frame_ranges(self.path, self.part))
 
-    def read(self, p):
+    def read(self, partition):
         system, _ = place(self.path)
+        for p in partition.ranges:
+            with system.open_input_file(p.path) as stream:
+                yield from self._frames(stream, p)
+
+    def _frames(self, stream, p):
         size = p.cell + 3 * (4 * p.atoms + 8)
         axes = {"x": 0, "y": 1, "z": 2}
-        with system.open_input_file(p.path) as stream:
-            stream.seek(p.start)
-            for k in range(p.frames):
-                raw = stream.read(size)
-                values = {}
-                for c in self.columns:
-                    if c in axes:
-                        # Only the axes asked for are decoded.
-                        at = p.cell + axes[c] * (4 * p.atoms + 8) + 4
-                        values[c] = pa.array(np.frombuffer(raw, f"{p.order}f4", p.atoms, at).astype(np.float32))
-                    elif c == "file":
-                        values[c] = pa.array([p.file] * p.atoms, pa.string())
-                    else:
-                        values[c] = pa.array(np.full(p.atoms, p.first + k, np.int32) if c == "frame" else np.arange(p.atoms, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([values[c] for c in self.columns], names=self.columns)
+        many = max(1, ATOMS // max(1, p.atoms))
+        stream.seek(p.start)
+        for k in range(0, p.frames, many):
+            n = min(many, p.frames - k)
+            raw = np.frombuffer(stream.read(n * size), np.uint8).reshape(n, size)
+            values = {}
+            for c in self.columns:
+                if c in axes:
+                    # Only the axes asked for are decoded.
+                    at = p.cell + axes[c] * (4 * p.atoms + 8) + 4
+                    values[c] = pa.array(np.ascontiguousarray(raw[:, at : at + 4 * p.atoms]).view(f"{p.order}f4").astype(np.float32).ravel())
+                elif c == "file":
+                    values[c] = pa.repeat(pa.scalar(p.file, pa.string()), n * p.atoms)
+                else:
+                    values[c] = pa.array(np.repeat(np.arange(p.first + k, p.first + k + n, dtype=np.int32), p.atoms) if c == "frame" else np.tile(np.arange(p.atoms, dtype=np.int32), n))
+            yield pa.RecordBatch.from_arrays([values[c] for c in self.columns], names=self.columns)
 
 
 def read_frames(spark: SparkSession, path: str, columns: list[str] | None = None, part: int = PART) -> DataFrame:

@@ -101,3 +101,17 @@ def test_a_list_is_never_without_its_file(spark, tmp_path):
     with pytest.raises(OSError):
         replace(spark, f"{tmp_path}/missing", path)
     assert spark.read.text(path).first()[0] == "two"
+
+
+def test_small_parts_do_not_make_tasks_without_end(spark, tmp_path):
+    x = np.random.default_rng(2).normal(size=(700, 3, 3))
+    for k in range(3):
+        (tmp_path / f"{k}.dcd").write_bytes(named.frames_to_bytes(x + k, cell=k == 1))
+    ranges = named.frame_ranges(str(tmp_path), 100)
+    tasks = named.dealt(ranges)
+    assert len(ranges) > 2000 and named.TASKS <= len(tasks) <= 2 * named.TASKS
+    assert sum(r.frames for t in tasks for r in t.ranges) == 2100
+    df = named.read_frames(spark, str(tmp_path), part=100)
+    assert df.rdd.getNumPartitions() == len(tasks)
+    got = {(r["file"], r["frame"], r["atom"]): (r["x"], r["y"], r["z"]) for r in df.collect()}
+    assert got == {(f"{k}.dcd", f, a): tuple(map(float, np.float32(x[f, a] + k))) for k in range(3) for f in range(700) for a in range(3)}
