@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,19 +19,39 @@ SCHEME_FIELDS = dict(zip(POLY_SEQ.names, ("seq_id", "mon_id", "pdb_seq_num", "as
 _WORD = re.compile(r"""#[^\n]*|'(?:[^'\n]|'(?=\S))*'|"(?:[^"\n]|"(?=\S))*"|\S+""")
 
 
-def cif_words(text: str):
+#: Bytes of a text that are taken apart at once, and rows of a loop that leave a task together.
+SLICE, ROWS = 1 << 20, 1 << 13
+
+
+def _lines(text) -> Iterator[str]:
+    """The lines of a text, a string or the bytes of one; of bytes only a slice is decoded at a time."""
+    if isinstance(text, str):
+        yield from text.splitlines()
+        return
+    at, size = 0, len(text)
+    while at < size:
+        end, step = size, SLICE
+        while at + step < size:
+            cut = bytes(text[at : at + step]).rfind(b"\n")
+            if cut >= 0:
+                end = at + cut + 1
+                break
+            step *= 2
+        yield from bytes(text[at:end]).decode().splitlines()
+        at = end
+
+
+def cif_words(text):
     """(value, quoted) of an mmCIF file; comments are dropped, text fields between line-initial semicolons are one value."""
-    lines, at = text.splitlines(), 0
-    while at < len(lines):
-        line = lines[at]
-        at += 1
+    lines = _lines(text)
+    for line in lines:
         if line.startswith(";"):
-            parts = [line[1:]]
-            while at < len(lines) and not lines[at].startswith(";"):
-                parts.append(lines[at])
-                at += 1
-            rest = lines[at][1:] if at < len(lines) else ""
-            at += 1
+            parts, rest = [line[1:]], ""
+            for more in lines:
+                if more.startswith(";"):
+                    rest = more[1:]
+                    break
+                parts.append(more)
             yield "\n".join(parts), True
             line = rest
         for m in _WORD.finditer(line):
@@ -41,45 +62,74 @@ def cif_words(text: str):
             yield (w[1:-1] if quoted else w), quoted
 
 
-def parse_cif(text: str) -> dict[str, list[str]]:
-    """Field name -> values of the first data block."""
-    out: dict[str, list[str]] = {}
+def cif_pieces(text) -> Iterator[tuple[list[str], list[str], bool]]:
+    """(names, values, first) of the first data block: a name with its value, or a loop's names with the values of some of its rows, one after another. first: whether the loop begins here."""
     names: list[str] | None = None
-    rows, key, blocks, reading = [], None, 0, False
-
-    def end_loop():
-        nonlocal names, rows, reading
-        if names:
-            for k, n in enumerate(names):
-                out[n] = rows[k :: len(names)]
-        names, rows, reading = None, [], False
-
+    values: list[str] = []
+    key, blocks, first, step = None, 0, True, 0
     for w, quoted in cif_words(text):
         low = w.lower()
-        if not quoted and low.startswith("data_"):
-            end_loop()
-            blocks += 1
-            if blocks > 1:
-                break
-        elif not quoted and low == "loop_":
-            end_loop()
-            names = []
-        elif not quoted and w.startswith("_"):
-            if names is not None and not reading:
+        if not quoted and (low.startswith("data_") or low == "loop_" or w.startswith("_")):
+            if w.startswith("_") and names is not None and not step:
                 names.append(w)
+                continue
+            if names:
+                yield names, values, first
+            names, values, first, step = None, [], True, 0
+            if low.startswith("data_"):
+                blocks += 1
+                if blocks > 1:
+                    return
+            elif low == "loop_":
+                names = []
             else:
-                end_loop()
                 key = w
         elif names is not None:
-            reading = True
-            rows.append(w)
+            step = step or max(1, ROWS * len(names))
+            values.append(w)
+            if len(values) == step:
+                if names:
+                    yield names, values, first
+                values, first = [], False
         elif key:
-            out[key] = [w]
+            yield [key], [w], True
             key = None
-    end_loop()
+    if names:
+        yield names, values, first
+
+
+def parse_cif(text: str) -> dict[str, list[str]]:
+    """Field name -> values of the first data block."""
+    out: dict[str, list[str]] = {}
+    for names, values, first in cif_pieces(text):
+        _gather(out, names, values, first)
     return out
 
 
+def _gather(out: dict[str, list[str]], names: list[str], values: list[str], first: bool) -> None:
+    for n, k in {n: k for k, n in enumerate(names)}.items():
+        if first:
+            out[n] = []
+        out[n] += values[k :: len(names)]
+
+
+def _in_one_loop(text, category: str) -> bool:
+    """Whether a category's names stand one after another behind one loop_, and nowhere else. Then its rows are final as they come; else a later value may replace an earlier one."""
+    end = None
+    for m in re.finditer(category.encode() + rb"\.\S*\s*", text):
+        if m.start() != end and (end is not None or not re.search(rb"(?i)\bloop_\s+\Z", bytes(text[max(0, m.start() - 64) : m.start()]))):
+            return False
+        end = m.end()
+    return True
+
+
+def _rows(names: list[str], values: list[str], category: str, wanted: dict[str, str]) -> list[list[str]]:
+    """`_columns` of a piece of a loop."""
+    fields: dict[str, list[str]] = {}
+    _gather(fields, names, values, True)
+    return _columns(fields, category, wanted)
+
+
 def _columns(fields: dict[str, list[str]], category: str, wanted: dict[str, str]) -> list[list[str]]:
     columns = [fields.get(f"{category}.{f}") for f in wanted.values()]
     if not any(columns):
@@ -92,13 +142,6 @@ def _columns(fields: dict[str, list[str]], category: str, wanted: dict[str, str]
     return columns
 
 
-def _header(fields: dict[str, list[str]]) -> dict:
-    one = lambda k: (fields.get(k) or [None])[0]
-    chains = list(dict.fromkeys(fields.get("_atom_site.label_asym_id") or fields.get("_struct_asym.id") or []))
-    models = len(set(fields.get("_atom_site.pdbx_PDB_model_num") or []))
-    return {"head": one("_struct.title"), "deposition": one("_pdbx_database_status.recvd_initial_deposition_date"), "chains": chains, "model_count": models}
-
-
 def read_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
     """(pid, path, text) of whole files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
@@ -106,33 +149,74 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bo
     return files.select(normal_id(name).alias("pid"), "path", F.decode("content", "UTF-8").alias("text"))
 
 
+#: The two tables: category and fields.
+_TABLES = (("_atom_site", ATOM_FIELDS), ("_pdbx_poly_seq_scheme", SCHEME_FIELDS))
+
+
+def file_rows(text) -> Iterator[tuple[list, list, dict | None]]:
+    """(columns of atoms, columns of the scheme, header) of the bytes of an mmCIF file, some rows at a time; the header comes last, alone.
+
+    Only a piece of a loop is held. A category that is not in one loop is
+    gathered first, as its later values replace the earlier ones.
+    """
+    streamed = [_in_one_loop(text, c) for c, _ in _TABLES]
+    held: dict[str, list[str]] = {}
+    one = dict.fromkeys(("_struct.title", "_pdbx_database_status.recvd_initial_deposition_date"))
+    some: dict[str, dict] = {n: {} for n in ("_atom_site.label_asym_id", "_struct_asym.id", "_atom_site.pdbx_PDB_model_num")}
+    nothing: list[list] = [[[] for _ in wanted] for _, wanted in _TABLES]
+    for names, values, first in cif_pieces(text):
+        place = {n: k for k, n in enumerate(names)}
+        for n in one.keys() & place.keys() if first else ():
+            one[n] = values[place[n]] if place[n] < len(values) else None
+        for n in some.keys() & place.keys():
+            some[n] = ({} if first else some[n]) | dict.fromkeys(values[place[n] :: len(names)])
+        for t, (category, wanted) in enumerate(_TABLES):
+            if not any(f"{category}.{f}" in place for f in wanted.values()):
+                continue
+            if streamed[t]:
+                columns = list(nothing)
+                columns[t] = _rows(names, values, category, wanted)
+                yield *columns, None
+            else:
+                _gather(held, names, values, first)
+    for t, (category, wanted) in enumerate(_TABLES):
+        if not streamed[t]:
+            columns = _columns(held, category, wanted)
+            for k in range(0, len(columns[0]), ROWS):
+                part = list(nothing)
+                part[t] = [c[k : k + ROWS] for c in columns]
+                yield *part, None
+    title, deposition = one.values()
+    chains = some["_atom_site.label_asym_id"] or some["_struct_asym.id"]
+    yield *nothing, {"head": title, "deposition": deposition, "chains": list(chains), "model_count": len(some["_atom_site.pdbx_PDB_model_num"])}
+
+
 def parse_files(files: DataFrame) -> DataFrame:
-    """One row a file of a table (pid, text): pid, atoms, scheme (arrays of rows), head, deposition, all_chains, model_count. One pass, a file at a time, no shuffle."""
+    """Rows of a table (pid, text): pid, atoms, scheme (arrays of some rows of a file), and one a file with head, deposition, all_chains, model_count, where `last` is true. One pass, no shuffle; what a task holds is a file's text, not its values."""
     import pyarrow as pa
 
-    def rows(fields, category, wanted):
-        columns = _columns(fields, category, wanted)
+    def rows(columns, wanted):
         cells = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], names=list(wanted))
         return pa.ListArray.from_arrays(pa.array([0, len(columns[0])], pa.int32()), cells)
 
     def run(batches):
         for b in batches:
             for pid, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                fields = parse_cif(text.as_py() or "")
-                h = _header(fields)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([pid], pa.string()), rows(fields, "_atom_site", ATOM_FIELDS), rows(fields, "_pdbx_poly_seq_scheme", SCHEME_FIELDS), pa.array([h["head"]], pa.string()), pa.array([h["deposition"]], pa.string()), pa.array([h["chains"]], pa.list_(pa.string())), pa.array([h["model_count"]], pa.int32())],
-                    names=["pid", "atoms", "scheme", "head", "deposition", "all_chains", "model_count"],
-                )
+                for atoms, scheme, h in file_rows(memoryview(text.as_buffer() or b"")):
+                    own = h or dict.fromkeys(("head", "deposition", "chains", "model_count"))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([pid], pa.string()), rows(atoms, ATOM_FIELDS), rows(scheme, SCHEME_FIELDS), pa.array([own["head"]], pa.string()), pa.array([own["deposition"]], pa.string()), pa.array([own["chains"]], pa.list_(pa.string())), pa.array([own["model_count"]], pa.int32()), pa.array([h is not None])],
+                        names=["pid", "atoms", "scheme", "head", "deposition", "all_chains", "model_count", "last"],
+                    )
 
     row = lambda names: "array<struct<" + ", ".join(f"{n}: string" for n in names) + ">>"
-    return files.select("pid", "text").mapInArrow(run, f"pid string, atoms {row(ATOM_FIELDS)}, scheme {row(SCHEME_FIELDS)}, head string, deposition string, all_chains array<string>, model_count int")
+    return files.select("pid", "text").mapInArrow(run, f"pid string, atoms {row(ATOM_FIELDS)}, scheme {row(SCHEME_FIELDS)}, head string, deposition string, all_chains array<string>, model_count int, last boolean")
 
 
 def parse_mmcif(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(atom_site, poly_seq, headers), each keyed by pid, of a table (pid, text). Files are parsed once, now; the three tables read what that left in the shared folder."""
     parsed = computed_once(parse_files(files))
-    return parsed.select("pid", F.inline("atoms")), parsed.select("pid", F.inline("scheme")), parsed.select("pid", "head", "deposition", "all_chains", "model_count")
+    return parsed.select("pid", F.inline("atoms")), parsed.select("pid", F.inline("scheme")), parsed.filter("last").select("pid", "head", "deposition", "all_chains", "model_count")
 
 
 def parse_pdb(files: DataFrame, atom: str = "CA", hetero: bool = False, split_models: bool = True, until_ter: bool = False) -> DataFrame:

@@ -110,3 +110,41 @@ def test_traces_of_any_format(spark):
     got = sorted((r["pid"], r["model"], r["seq_id"], r["x"], r["mon_id"]) for r in S.parse_traces(files).collect())
     assert got[0][:3] == ("C", 1, 1) and len([g for g in got if g[0] == "C"]) == 2
     assert [g for g in got if g[0] != "C"] == [("P", 2, 4, 1.5, "GLY"), ("X", 1, 1, 1.0, "UNK"), ("X", 1, 3, -1.0, "UNK"), ("X", 2, 1, 7.0, "UNK")]
+
+
+def test_a_file_is_parsed_in_pieces(monkeypatch):
+    """Its rows leave as they come: many rows cost no more memory than few, beside the text; odd files as before."""
+    import tracemalloc
+
+    head = "data_x _struct.title 'a b'\nloop_\n" + "\n".join(f"_atom_site.{f}" for f in S.ATOM_FIELDS.values()) + "\n"
+    line = "ATOM %d CA ALA A %d 1.0 2.0 3.0 1.00 %d\n"
+    peaks = []
+    for n in (30_000, 120_000):
+        text = memoryview((head + "".join(line % (k, k, k % 7) for k in range(n)) + "#\n").encode())
+        tracemalloc.start()
+        count = 0
+        for atoms, _, h in S.file_rows(text):
+            count += len(atoms[0])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert count == n and h == {"head": "a b", "deposition": None, "chains": ["A"], "model_count": 7}
+    assert peaks[1] < 1.3 * peaks[0]
+
+    def whole(text):
+        atoms, scheme, h = zip(*S.file_rows(memoryview(text.encode())), strict=True)
+        assert [x is None for x in h] == [True] * (len(h) - 1) + [False]
+        return [[sum((p[k] for p in parts), []) for k in range(len(parts[0]))] for parts in (atoms, scheme)]
+
+    scheme = "loop_ _pdbx_poly_seq_scheme.seq_id _pdbx_poly_seq_scheme.mon_id _pdbx_poly_seq_scheme.pdb_seq_num _pdbx_poly_seq_scheme.asym_id "
+    text = head + line % (1, 1, 1) + line % (2, 2, 1) + scheme + "1 ALA 1 A 2 GLY 2 A "
+    cases = {"plain": text, "again": text + "\n" + head[7:] + line % (9, 9, 9), "noted": text + " _note.x '_atom_site.id'", "single": "data_y " + " ".join(f"_pdbx_poly_seq_scheme.{f} 7" for f in S.SCHEME_FIELDS.values()), "field": text + "\n_a.b\n;x\n_atom_site.id\n;\n", "second": text + "\n" + text, "none": "", "empty": head}
+    monkeypatch.setattr(S, "SLICE", 16)
+    for rows in (1, 3, 1000):
+        monkeypatch.setattr(S, "ROWS", rows)
+        for name, case in cases.items():
+            fields = S.parse_cif(case)
+            assert whole(case) == [S._columns(fields, c, w) for c, w in S._TABLES], name
+        with pytest.raises(ValueError, match="different length"):
+            whole(head + line % (1, 1, 1) + "ATOM 2")
+        with pytest.raises(KeyError, match="lacks"):
+            whole("loop_ _atom_site.id _atom_site.group_PDB 1 ATOM")
