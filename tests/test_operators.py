@@ -311,3 +311,18 @@ def test_quartiles_in_bounded_memory(spark):
     df = spark.range(2001).withColumn("k", F.lit(1))
     exact, near = relational.quartiles(df, ["k"], "id").first(), relational.quartiles(df, ["k"], "id", 1000).first()
     assert exact["median"] == 1000 and all(abs(exact[c] - near[c]) <= 3 for c in ("q1", "median", "q3"))
+
+
+def test_more_hits_are_sorted_in_more_partitions(spark, monkeypatch, tmp_path):
+    """What a task sorts does not grow with the table; the pairs are the same."""
+    from strandline.plans import queries, tables
+
+    lines = [(o, n, (7 * o + 3 * n) % 11, 10.0, 0.05, 0.02) for o in range(40) for n in range(1, 5)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    few = sorted(map(tuple, queries.QUERIES["pair_dedupe"](spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(tables, "SORTED", 10)
+    assert tables.hits_parts(spark, str(tmp_path)) == 48
+    many = queries.QUERIES["pair_dedupe"](spark, str(tmp_path))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 48)") == 3 and plan.count("Exchange hashpartitioning") == 3
+    assert sorted(map(tuple, many.collect())) == few and few
