@@ -13,12 +13,12 @@ entered as long as what stands beside it is thin and no heading. The names of
 elements and classes only break ties: they say how much beside the article may
 be left out, and what within it is small and not the article's.
 
-All pages count. Adding up trees and their numbers does not depend on order,
-and trees are merged in an order of their own (by their pages, then by their
-form), so the result does not depend on how rows are dealt to tasks. A host
-with more than MAX_FORMS different trees is looked at more coarsely: without
-classes, then to a few levels, then as one slot, so a task holds a bounded
-number of trees whatever the number of pages.
+All pages and all their different trees count, whatever their number. Adding up
+trees and their numbers does not depend on order, and trees are merged two and
+two along the bits of a hash of their form, so a part of them merged in a task
+of its own gives the same template as all of them in one. Words of classes, ids
+and roles tell siblings apart if EVIDENCE different pages of the host, or half
+of its pages, hold them; those of single pages would part what is alike.
 """
 
 from __future__ import annotations
@@ -37,12 +37,14 @@ from strandline.llm.base import cut, lean
 
 #: A slot counts as constant, and numbers as telling, when this many different pages, at least, hold it.
 EVIDENCE = 8
-#: Different trees of a host that are merged at one coarseness; nodes that a task adds up before it hands them on.
+#: Different trees of a host that a task merges, about; nodes that a task adds up before it hands them on.
 MAX_FORMS, OPEN_NODES = 2048, 1 << 16
 #: Elements nested deeper than this belong to the slot they are in; their text stays. Siblings of one label, or labels, beyond which siblings are one node.
 MAX_DEPTH, MANY = 64, 32
-#: Levels of coarseness: (whether classes, ids and roles tell siblings apart, levels of the tree).
-GRAINS = ((True, MAX_DEPTH), (False, MAX_DEPTH), (False, 4), (False, 0))
+#: Whether classes, ids and roles tell siblings apart; a host without words that do is read without them.
+GRAINS = (True, False)
+#: Bits of a form's hash by which partial templates are merged at once.
+BITS = 8
 SALTS = 16
 #: Share of links that makes a slot navigation; share of a host's varying text that outweighs hints.
 LINKS, BULK = 0.5, 0.8
@@ -227,28 +229,30 @@ def siblings(kids: list[Element], names: bool, together: bool) -> list[list[Elem
     return out
 
 
-def everything(e: Element) -> list[int]:
-    out = list(e.blocks)
+def words_of(e: Element) -> set[str]:
+    """All words of classes, ids and roles in a tree."""
+    return set(e.names.split()).union(*map(words_of, e.kids))
+
+
+def tell(e: Element, words) -> None:
+    """Leave only these words in a tree."""
+    e.names = " ".join(w for w in e.names.split() if w in words)
     for k in e.kids:
-        out += everything(k)
-    return out
+        tell(k, words)
 
 
 def slots(root: Element, grain: int) -> tuple[list, list[list[int]]]:
     """The page's form ([label, children]) at one coarseness, and the blocks of each node, both in preorder."""
-    names, depth = GRAINS[grain]
+    names = GRAINS[grain]
     places: list[list[int]] = []
 
-    def node(group: list[Element], level: int) -> list:
-        blocks: list[int] = []
-        places.append(blocks)
-        for e in group:
-            blocks += e.blocks if level < depth else everything(e)
-        kids = [k for e in group for k in e.kids] if level < depth else []
+    def node(group: list[Element]) -> list:
+        places.append([b for e in group for b in e.blocks])
+        kids = [k for e in group for k in e.kids]
         told = names and len({e.names for e in group}) == 1
-        return [label(group[0], told), [node(g, level + 1) for g in siblings(kids, names, len(group) > 1)] if kids else []]
+        return [label(group[0], told), [node(g) for g in siblings(kids, names, len(group) > 1)] if kids else []]
 
-    return node([root], 0), places
+    return node([root]), places
 
 
 def fingerprint(texts) -> int:
@@ -362,12 +366,35 @@ def preorder(n: list, out: list | None = None) -> list:
     return out
 
 
-def fold(forms) -> list:
-    """The template of (pages, form as JSON, numbers) of one host, merged in an order of their own."""
-    template = ["", [], [0, 0, [], 0, 0]]
-    for _, form, given in sorted(forms, key=lambda f: (-f[0], f[1])):
-        merge(template, grown(json.loads(form), given))
-    return template
+def hash_of(form: str) -> int:
+    return xxhash.xxh3_64_intdigest(form)
+
+
+def fold(forms, hashes=None) -> list:
+    """The template of (pages, form as JSON, numbers) of one host: those whose hashes share more leading bits are merged first.
+
+    hashes: of the forms. A form may be the template of all whose hash begins
+    so, with the rest of its bits 0; it is what merging them here would give.
+    """
+    parts = sorted((hash_of(form) if hashes is None else hashes[i], form, given) for i, (_, form, given) in enumerate(forms))
+
+    def one(lo: int, hi: int) -> list:
+        if hi - lo == 1:
+            return grown(json.loads(parts[lo][1]), parts[lo][2])
+        apart, mid = parts[lo][0] ^ parts[hi - 1][0], lo + 1
+        if apart:
+            bit = 1 << apart.bit_length() - 1
+            mid = next(i for i in range(lo, hi) if parts[i][0] & bit)
+        out = one(lo, mid)
+        merge(out, one(mid, hi))
+        return out
+
+    return one(0, len(parts)) if parts else ["", [], [0, 0, [], 0, 0]]
+
+
+def bare(n: list) -> list:
+    """The form of a template."""
+    return [n[0], [bare(c) for c in n[1]]]
 
 
 def host_of(url: str | None) -> str:
@@ -376,15 +403,18 @@ def host_of(url: str | None) -> str:
 
 
 class Wrapper:
-    """A host's template, and what it says of each form of page."""
+    """A host's template, and what it says of each form of page; words: those of classes, ids and roles that tell (None: all)."""
 
-    def __init__(self, template: list, grain: int):
+    def __init__(self, template: list, grain: int, words=None):
         self.template, self.grain, self.known = template, grain, {}
+        self.words = words if words is None else frozenset(words)
 
     def chosen(self, form: list) -> list[bool]:
         """Whether each node of a page's form is the article's."""
         key = json.dumps(form)
         if key not in self.known:
+            if len(self.known) >= MAX_FORMS:
+                self.known.clear()
             self.known[key] = self._judge(form)
         return self.known[key]
 
@@ -488,24 +518,21 @@ def extract(page: str | None, wrapper: Wrapper | None = None) -> str:
     if not found:
         return ""
     filled(root)
+    if wrapper and wrapper.words is not None:
+        tell(root, wrapper.words)
     form, places = slots(root, wrapper.grain if wrapper else 0)
     if wrapper is None:
         wrapper = Wrapper(grown(form, numbers(places, found, page_mark(found))), 0)
     keep = {i for k, blocks in zip(wrapper.chosen(form), places, strict=True) if k for i in blocks}
-    # Where a tree is cut to a few levels a slot may hold marked elements; they are not part of the article.
-    return "\n\n".join(text for i, (e, text, _) in enumerate(found) if i in keep and (GRAINS[wrapper.grain][1] == MAX_DEPTH or not e.shade))
+    return "\n\n".join(text for i, (_, text, _) in enumerate(found) if i in keep)
 
 
-def _forms(batches):
-    """(url, html) -> (host, grain, form, pages, numbers): pages with the same tree added up."""
+def _words(batches):
+    """(url, html) -> (host, word, pages, marks): pages that hold a word of classes, ids and roles, and marks of up to 2 * EVIDENCE different ones; the word '' is on every page."""
     open_: dict[tuple, list] = {}
-    load = 0
 
     def out():
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in open_], pa.string()), pa.array([k[1] for k in open_], pa.int32()), pa.array([k[2] for k in open_], pa.string()), pa.array([v[0] for v in open_.values()], pa.int64()), pa.array([json.dumps(v[1]) for v in open_.values()], pa.string())],
-            names=["host", "grain", "form", "pages", "numbers"],
-        )
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in open_], pa.string()), pa.array([k[1] for k in open_], pa.string()), pa.array([v[0] for v in open_.values()], pa.int64()), pa.array([v[1] for v in open_.values()], pa.list_(pa.int64()))], names=["host", "word", "pages", "marks"])
 
     for b in batches:
         for url, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -514,29 +541,72 @@ def _forms(batches):
                 continue
             filled(root)
             name, mark = host_of(url), page_mark(found)
-            for grain in range(len(GRAINS)):
-                form, places = slots(root, grain)
-                key, fresh = (name, grain, json.dumps(form)), numbers(places, found, mark)
-                if key in open_:
-                    open_[key][0] += 1
-                    for x, y in zip(open_[key][1], fresh, strict=True):
-                        add(x, y)
-                else:
-                    open_[key] = [1, fresh]
-                    load += len(fresh)
-            if load > OPEN_NODES:
+            for word in words_of(root) | {""}:
+                kept = open_.setdefault((name, word), [0, []])
+                kept[0] += 1
+                if len(kept[1]) < 2 * EVIDENCE and mark not in kept[1]:
+                    kept[1].append(mark)
+            if len(open_) > OPEN_NODES:
                 yield out()
-                open_, load = {}, 0
+                open_ = {}
+    if open_:
+        yield out()
+
+
+def _forms(batches):
+    """(url, html) -> (host, grain, form, pages, numbers) at each grain, with all words."""
+    return _formed((url, page, None) for b in batches for url, page in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+
+
+def _formed(rows):
+    """(url, html, words that tell in its host or None) -> (host, grain, form, pages, numbers): pages with the same tree added up."""
+    open_: dict[tuple, list] = {}
+    load = 0
+
+    def out():
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in open_], pa.string()), pa.array([k[1] for k in open_], pa.int32()), pa.array([k[2] for k in open_], pa.string()), pa.array([v[0] for v in open_.values()], pa.int64()), pa.array([json.dumps(v[1]) for v in open_.values()], pa.string())],
+            names=["host", "grain", "form", "pages", "numbers"],
+        )
+
+    for url, page, words in rows:
+        root, found = parse(page.as_py())
+        if not found:
+            continue
+        filled(root)
+        name, mark = host_of(url), page_mark(found)
+        if words is not None:
+            tell(root, words)
+        for grain in range(len(GRAINS)) if words is None else [0 if words else 1]:
+            form, places = slots(root, grain)
+            key, fresh = (name, grain, json.dumps(form)), numbers(places, found, mark)
+            if key in open_:
+                open_[key][0] += 1
+                for x, y in zip(open_[key][1], fresh, strict=True):
+                    add(x, y)
+            else:
+                open_[key] = [1, fresh]
+                load += len(fresh)
+        if load > OPEN_NODES:
+            yield out()
+            open_, load = {}, 0
     if open_:
         yield out()
 
 
+def _part(host, grain, form, pages, given, hashed):
+    return pa.RecordBatch.from_arrays(
+        [pa.array([host], pa.string()), pa.array([grain], pa.int32()), pa.array([form], pa.string()), pa.array([pages], pa.int64()), pa.array([json.dumps(given)], pa.string()), pa.array([hashed - (1 << 63)], pa.int64())],
+        names=["host", "grain", "form", "pages", "numbers", "place"],
+    )
+
+
 def _added(batches):
-    """Sorted rows of _forms -> one row a form."""
+    """Sorted rows of _forms -> one row a form, with its place: the form's hash less 2 ** 63."""
     key, pages, given = None, 0, []
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int32()), pa.array([key[2]], pa.string()), pa.array([pages], pa.int64()), pa.array([json.dumps(given)], pa.string())], names=["host", "grain", "form", "pages", "numbers"])
+        return _part(*key, pages, given, hash_of(key[2]))
 
     for b in batches:
         for host, grain, form, n, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
@@ -552,25 +622,95 @@ def _added(batches):
         yield out()
 
 
-def _folded(batches):
-    """Rows (host, grain, form, pages, numbers) by host -> (host, template, pages)."""
-    name, grain, forms = None, 0, []
+def _folded(batches, bits: int = 0):
+    """Rows of _added by host and place -> one such row for each host and leading bits of the hash."""
+    key, forms, hashes = None, [], []
 
     def out():
-        text = json.dumps([grain, fold(forms)])
-        return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([text], pa.string()), pa.array([sum(f[0] for f in forms)], pa.int64())], names=["host", "template", "pages"])
+        template = fold(forms, hashes)
+        return _part(key[0], key[1], json.dumps(bare(template)), sum(f[0] for f in forms), [n[2] for n in preorder(template)], key[2] << 64 - bits)
 
     for b in batches:
-        for host, g, form, n, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            if host != name and name is not None:
-                yield out()
-                forms = []
-            name, grain = host, g
+        for host, grain, form, n, text, place in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            hashed = place + (1 << 63)
+            if key != (host, grain, hashed >> 64 - bits):
+                if key is not None:
+                    yield out()
+                key, forms, hashes = (host, grain, hashed >> 64 - bits), [], []
             forms.append((n, form, json.loads(text)))
-    if name is not None:
+            hashes.append(hashed)
+    if key is not None:
         yield out()
 
 
+def _beside(rows: DataFrame, known: DataFrame, of, run, schema: str) -> DataFrame:
+    """`run` over groups of (page_id, url, html, what `of` makes of its host's text or None) of all rows. known: a table (host, text, pages).
+
+    The texts of the largest hosts are broadcast up to a size, so a hot host
+    moves no pages; pages of the others meet theirs by host and salt.
+    """
+    sized = known.select("host", "pages", (F.length("text") + F.length("host")).alias("size"))
+    fits, room = [], BROADCAST_BYTES
+    largest = sized.orderBy(F.desc("pages"), "host").limit(BROADCAST_HOSTS).collect()
+    for r in largest:
+        room -= r["size"]
+        if room < 0:
+            break
+        fits.append(r["host"])
+    hot = rows.sparkSession.createDataFrame([(h,) for h in fits], "host string")
+    given = {r["host"]: r["text"] for r in known.join(F.broadcast(hot), "host").select("host", "text").collect()} if fits else {}
+    left = len(fits) < len(largest) or len(fits) == BROADCAST_HOSTS
+    shared = rows.sparkSession.sparkContext.broadcast(given)
+
+    def here(batches):
+        made: dict = {}
+
+        def met(b):
+            for i, url, page in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                url = url.as_py()
+                name = host_of(url)
+                if name not in made and name in shared.value:
+                    made[name] = of(shared.value[name])
+                yield i.as_py(), url, page, made.get(name)
+
+        yield from run(met(b) for b in batches)
+
+    if not left:
+        return rows.mapInArrow(lean(here), schema)
+
+    def joined(batches):
+        name, own = None, None
+
+        def met(b):
+            nonlocal name, own
+            for i, url, page, host, text in zip(*(b.column(k) for k in range(5)), strict=True):
+                if text.is_valid:
+                    name, own = host.as_py(), of(text.as_py())
+                    continue
+                yield i.as_py(), url.as_py(), page, own if host.as_py() == name else None
+
+        yield from run(met(b) for b in batches)
+
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
+    keyed = rows.withColumn("host", host)
+    first = keyed.join(F.broadcast(hot), "host", "left_semi").select("page_id", "url", "html").mapInArrow(lean(here), schema)
+    others = keyed.join(F.broadcast(hot), "host", "left_anti").select("page_id", "url", "html", "host", F.lit(None).cast("string").alias("text"), F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).cast("int").alias("salt"))
+    theirs = known.join(F.broadcast(hot), "host", "left_anti").select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "host", "text", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # A host's text comes before its pages.
+    both = others.unionByName(theirs).repartition("host", "salt").sortWithinPartitions("host", "salt", F.col("text").isNull())
+    return first.unionByName(both.select("page_id", "url", "html", "host", "text").mapInArrow(lean(joined), schema))
+
+
+def telling_words(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, text, pages): of each host with text the words of classes, ids and roles, as a JSON list, that EVIDENCE of its different pages or half of them hold."""
+    found = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(lean(_words), "host string, word string, pages long, marks array<long>")
+    counted = found.groupBy("host", "word").agg(F.sum("pages").alias("pages"), F.size(F.array_distinct(F.flatten(F.collect_list("marks")))).alias("n"))
+    counted = cut(counted)
+    every = counted.filter("word = ''").select("host", "pages", F.least(F.lit(EVIDENCE), F.ceil(F.col("n") / 2)).alias("least"))
+    kept = counted.filter("word <> ''").join(every.select("host", "least"), "host").filter("n >= least").groupBy("host").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    return cut(every.join(kept, "host", "left").select("host", F.to_json(F.coalesce("words", F.array().cast("array<string>"))).alias("text"), "pages"))
+
+
 def induce_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, template, pages): one row a host, from all its pages.
 
@@ -579,15 +719,32 @@ def induce_templates(pages: DataFrame, url_col: str = "url", html_col: str = "ht
     one page as evidence. Other columns are not read. Empty table: empty result.
     """
     schema = "host string, grain int, form string, pages long, numbers string"
-    partial = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(lean(_forms), schema)
+    words = telling_words(pages, url_col, html_col)
+    rows = pages.select(F.lit(None).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+
+    def formed(groups):
+        return _formed((url, page, told or frozenset()) for group in groups for _, url, page, told in group)
+
+    partial = _beside(rows, words, lambda text: frozenset(json.loads(text)), formed, schema)
     dealt = partial.withColumn("salt", F.pmod(F.xxhash64("form"), F.lit(SALTS))).repartition("host", "grain", "salt").sortWithinPartitions("host", "grain", "form").select("host", "grain", "form", "pages", "numbers")
+    schema += ", place long"
     forms = cut(dealt.mapInArrow(lean(_added), schema))
-    # The finest grain with a bounded number of forms; the coarsest has one.
-    few = forms.groupBy("host", "grain").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") <= MAX_FORMS) | (F.col("grain") == len(GRAINS) - 1))
-    chosen = few.groupBy("host").agg(F.min("grain").alias("grain")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    # Salted, as the finer grains of a host may have a form for each of its pages.
-    used = forms.withColumn("salt", F.pmod(F.xxhash64("form"), F.lit(SALTS)).cast("int")).join(chosen, ["host", "grain", "salt"]).select("host", "grain", "form", "pages", "numbers")
-    return used.repartition("host").sortWithinPartitions("host").mapInArrow(lean(_folded), "host string, template string, pages long")
+    most, bits = forms.groupBy("host").count().agg(F.max("count")).first()[0] or 0, 0
+    while most > MAX_FORMS << bits:
+        bits += BITS
+    # The most forms of a host are merged in parts, by leading bits of their hashes, and the parts by fewer bits.
+    while bits:
+        # Merging costs time, not bytes: partitions are not to be merged by size.
+        n = 4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        forms = forms.repartition(n, "host", F.shiftright("place", 64 - bits)).sortWithinPartitions("host", "place").mapInArrow(lean(partial_fold(bits)), schema)
+        bits -= BITS
+    whole = forms.repartition("host").sortWithinPartitions("host", "place").mapInArrow(lean(_folded), schema)
+    text = F.concat(F.lit("["), F.col("grain").cast("string"), F.lit(", ["), "form", F.lit(", "), "numbers", F.lit("], "), "text", F.lit("]"))
+    return whole.join(words.select("host", "text"), "host").select("host", text.alias("template"), "pages")
+
+
+def partial_fold(bits: int):
+    return lambda batches: _folded(batches, bits)
 
 
 def extract_articles(pages: DataFrame, templates: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -600,59 +757,18 @@ def extract_articles(pages: DataFrame, templates: DataFrame, id_col: str = "page
     a hot host moves no pages; pages of the others meet theirs by host and salt.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    schema = "page_id long, url string, text string, n_chars long"
-    sized = templates.select("host", "pages", (F.length("template") + F.length("host")).alias("size"))
-    fits, room = [], BROADCAST_BYTES
-    largest = sized.orderBy(F.desc("pages"), "host").limit(BROADCAST_HOSTS).collect()
-    for r in largest:
-        room -= r["size"]
-        if room < 0:
-            break
-        fits.append(r["host"])
-    hot = rows.sparkSession.createDataFrame([(h,) for h in fits], "host string")
-    given = {r["host"]: r["template"] for r in templates.join(F.broadcast(hot), "host").select("host", "template").collect()} if fits else {}
-    left = len(fits) < len(largest) or len(fits) == BROADCAST_HOSTS
-    known = rows.sparkSession.sparkContext.broadcast(given)
-
-    def result(ids, urls, texts):
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     def wrapper_of(text):
-        grain, template = json.loads(text)
-        return Wrapper(template, grain)
-
-    def run(batches):
-        hosts: dict[str, Wrapper] = {}
-        for b in batches:
-            texts = []
-            for url, page in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                name = host_of(url)
-                if name not in hosts and name in known.value:
-                    hosts[name] = wrapper_of(known.value[name])
-                texts.append(extract(page.as_py(), hosts.get(name)))
-            yield result(b.column(0), b.column(1), texts)
+        grain, (form, given), words = json.loads(text)
+        return Wrapper(grown(form, given), grain, words)
 
-    if not left:
-        return rows.mapInArrow(lean(run), schema)
-
-    def joined(batches):
-        name, wrapper = None, None
-        for b in batches:
+    def run(groups):
+        for group in groups:
             ids, urls, texts = [], [], []
-            for i, url, page, host, template in zip(*(b.column(k) for k in range(5)), strict=True):
-                if template.is_valid:
-                    name, wrapper = host.as_py(), wrapper_of(template.as_py())
-                    continue
-                ids.append(i.as_py())
-                urls.append(url.as_py())
-                texts.append(extract(page.as_py(), wrapper if host.as_py() == name else None))
-            yield result(ids, urls, texts)
+            for i, url, page, wrapper in group:
+                ids.append(i)
+                urls.append(url)
+                texts.append(extract(page.as_py(), wrapper))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
-    keyed = rows.withColumn("host", host)
-    here = keyed.join(F.broadcast(hot), "host", "left_semi").select("page_id", "url", "html").mapInArrow(lean(run), schema)
-    others = keyed.join(F.broadcast(hot), "host", "left_anti").select("page_id", "url", "html", "host", F.lit(None).cast("string").alias("template"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
-    theirs = templates.join(F.broadcast(hot), "host", "left_anti").select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "host", "template", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    # A host's template comes before its pages.
-    met = others.unionByName(theirs).repartition("host", "salt").sortWithinPartitions("host", "salt", F.col("template").isNull())
-    return here.unionByName(met.select("page_id", "url", "html", "host", "template").mapInArrow(lean(joined), schema))
+    return _beside(rows, templates.withColumnRenamed("template", "text"), wrapper_of, run, "page_id long, url string, text string, n_chars long")

@@ -300,3 +300,32 @@ def test_parts_that_are_not_thin_stay():
     assert all(f"first {i}" in got[i] and f"second {i}" in got[i] for i in range(12))
     titled = lambda i: f"<body><h1>Title {i}</h1><div class=b><p>{f'text {i} ' * 40}</p></div></body>"
     assert folded([(i, "http://u.org/", titled(i)) for i in range(12)])[4].startswith("Title 4\n\n")
+
+
+def shaped(i, rng):
+    """A page of a layout that few others have: classes tell the notice from the story, and sections vary in number and kind."""
+    inner = "".join(rng.choice(["<div class='part'><p>%s</p></div>", "<section><h2>%s</h2></section>", "<ul><li>%s</li></ul>", "<blockquote>%s</blockquote>"]) % f"piece {i} {k}" for k in range(rng.randint(1, 9)))
+    return f"<body class='post-{letters(i)}'><div class='note'><p>Said on every page</p></div><div class='story'><h1>Story {i}</h1>{inner}</div><div class='{'odd' if i % 2 else 'even'}'>Known {i % 2}</div></body>"
+
+
+def test_the_number_of_forms_changes_nothing(spark, monkeypatch):
+    rng = random.Random(5)
+    data = [(i, f"http://h{i % 7 // 6}.org/", shaped(i, rng)) for i in range(400)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+
+    def read():
+        t = X.induce_templates(df)
+        return sorted(map(tuple, t.collect())), {r["page_id"]: r["text"] for r in X.extract_articles(df, t).collect()}
+
+    whole = read()
+    monkeypatch.setattr(X, "MAX_FORMS", 3)
+    assert read() == whole
+    for i in range(400):
+        assert whole[1][i].split("\n\n") == [f"Story {i}", *re.findall(r"piece \d+ \d+", data[i][2])]
+
+
+def test_names_of_single_pages_do_not_tell(spark):
+    data = [(i, "http://a.org/", f"<body class='page {letters(i)}'><div><p>always the same</p></div><div><p>only {i}</p><ul><li>x</li></ul></div>") for i in range(60)]
+    assert all(r["text"] == f"only {i}" for i, r in extracted(spark, data).items())
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    assert [r["text"] for r in X.telling_words(df).collect()] == ['["page"]']
