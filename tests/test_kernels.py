@@ -210,3 +210,26 @@ def test_alignments_under_way_at_once_are_those_of_one_by_one(monkeypatch):
     bad = wander(21, 3)
     bad[4] = np.nan
     assert [r is None for r in tm.align_many([(bad, xs[2]), (xs[2], xs[3]), (xs[2][:2], xs[3])])] == [True, False, True]
+
+
+def test_an_alignment_searches_no_path_twice(monkeypatch):
+    searches, asked = tm._searches, []
+    monkeypatch.setattr(tm, "_searches", lambda asks: asked.extend(asks) or searches(asks))
+    for k in range(4):
+        asked.clear()
+        tm.align(wander(21, k), wander(21, k + 9))
+        keys = [(x.tobytes(), y.tobytes(), *rest) for x, y, *rest in asked]
+        assert len(keys) == len(set(keys))
+
+
+def test_memory_of_a_search_is_bounded():
+    """Fragments of many pairs go together, but not all of them."""
+    import tracemalloc
+
+    x, y = (np.array([wander(100, k + s) for k in range(128)]) for s in (0, 500))
+    tm.tm_scores(x[:1], y[:1])
+    tracemalloc.start()
+    tm.tm_scores(x, y, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
