@@ -108,3 +108,13 @@ def test_scores_by_tiles(spark, monkeypatch):
     for (c, i, j), v in square.items():
         if i != j and v is not None:
             assert v == pytest.approx((got[c, i, j]["tm"] + got[c, j, i]["tm"]) / 2, abs=1e-6)
+
+
+def test_only_chains_of_several_lengths_are_aligned(spark, monkeypatch):
+    """Where all models of a chain correspond, the pass that aligns gets none of them."""
+    given, tm_pairs = {}, grouped.tm_pairs
+    monkeypatch.setattr(grouped, "tm_pairs", lambda points, *a, alike=None, **b: given.update({alike: points}) or tm_pairs(points, *a, alike=alike, **b))
+    models = {"A": [wander(8, k) for k in range(3)], "B": [wander(8, 0), wander(7, 1)]}
+    square = grouped.tm_square(frame(spark, models), realign=False)
+    assert {r["chain"] for r in given[False].select("chain").distinct().collect()} == {"B"}
+    assert {(r["chain"], r["i"], r["j"]) for r in square.collect()} == {(c, i + 1, j + 1) for c, m in models.items() for i in range(len(m)) for j in range(len(m))}
