@@ -118,3 +118,30 @@ def test_only_chains_of_several_lengths_are_aligned(spark, monkeypatch):
     square = grouped.tm_square(frame(spark, models), realign=False)
     assert {r["chain"] for r in given[False].select("chain").distinct().collect()} == {"B"}
     assert {(r["chain"], r["i"], r["j"]) for r in square.collect()} == {(c, i + 1, j + 1) for c, m in models.items() for i in range(len(m)) for j in range(len(m))}
+
+
+def test_rounding_is_sparks(spark):
+    rng = np.random.default_rng(0)
+    v = np.concatenate([rng.random(2000), (rng.integers(0, 20000, 2000) + 0.5) / 1e4, np.nextafter(rng.integers(0, 20000, 500) / 1e4 + 5e-5, 1), [0.0, 1e17, -0.00005, -0.2, 2.00005, np.nan]])
+    v = np.concatenate([v, np.nextafter(v, 0)])
+    for digits in (3, 4, 6):
+        got = kernels.rounded(v, digits)
+        want = np.array([r[0] for r in spark.createDataFrame([(float(x),) for x in v], "v double").coalesce(1).select(F.round("v", digits)).collect()])
+        assert np.array_equal(got, want, equal_nan=True)
+
+
+def test_summary_without_pairs(spark, small):
+    """Sums leave the tiles; the pairs do not."""
+    models = some_models()
+    models["D"] = [wander(6, 1), wander(6, 2)]
+    models["E"] = [wander(6, 3), wander(6, 4) * np.nan, wander(6, 5) * np.nan]
+    models["F"] = [wander(6, 3), wander(6, 4) * np.nan]
+    m = ensemble.as_models(frame(spark, models))
+    got = ensemble.rmsd_pairs_summary(m, digits=2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "m1" not in plan
+    got = {r["chain"]: tuple(r)[1:] for r in got.collect()}
+    want = {r["chain"]: tuple(r)[1:] for r in ensemble.rmsd_summary(ensemble.rmsd_pairs(m), digits=2).collect()}
+    assert got.keys() == want.keys()
+    for c, w in want.items():
+        assert all(g == pytest.approx(x) if x is not None else g is None for g, x in zip(got[c], w, strict=True)), (c, got[c], w)
