@@ -145,3 +145,27 @@ def test_summary_without_pairs(spark, small):
     assert got.keys() == want.keys()
     for c, w in want.items():
         assert all(g == pytest.approx(x) if x is not None else g is None for g, x in zip(got[c], w, strict=True)), (c, got[c], w)
+
+
+@pytest.mark.parametrize("method", ["average", "ward"])
+def test_agglomeration_in_bounded_memory(method, monkeypatch):
+    """The tree of the half matrix, without it: memory does not grow with the square of the models."""
+    import tracemalloc
+
+    monkeypatch.setattr(kernels, "TILE", 64)
+    rng = np.random.default_rng(3)
+    for n, held in ((2, 1), (7, 2), (300, 40), (300, 1)):
+        x = rng.normal(size=(3, n, 6)) + 2 * rng.normal(size=(3, 5, 6))[:, rng.integers(5, size=n)]
+        x -= x.mean(2, keepdims=True)
+        e = (x**2).sum((0, 2))
+        want = kernels.agglomerate(kernels.rmsd_condensed(x, e), n, method)
+        got = kernels.agglomerate_models(x, e, method, held)
+        assert np.array_equal(got[:, [0, 1, 3]], want[:, [0, 1, 3]]) and np.allclose(got[:, 2], want[:, 2])
+    monkeypatch.setattr(kernels, "TILE", 128)
+    x = rng.normal(size=(3, 1500, 4))
+    x -= x.mean(2, keepdims=True)
+    tracemalloc.start()
+    kernels.agglomerate_models(x, (x**2).sum((0, 2)), method, 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1500 * 1500 * 8 * 0.3
